@@ -1,6 +1,4 @@
-"""Registered queries: name -> (function call on proxy columns, DuckDB SQL)."""
+"""Registered queries: each calls an operator on proxy columns of the driver's tables, next to its SQL."""
 
-from __future__ import annotations
-
-QUERIES: dict = {}
-ORACLE: dict = {}
+from varloom.queries import graphs, groups, joins, scalars  # noqa: F401
+from varloom.queries.base import ORACLE, QUERIES  # noqa: F401
