@@ -7,7 +7,7 @@ backwards from the unit's end, which pops whole segmentations in order of score.
 independent, so the N best of a text are the N best sums over its units, and those can only depart
 from the best at the N - 1 units whose second choice costs least.
 
-Scores are the vocabulary file's own. Characters outside of the vocabulary become byte pieces, each
+Scores are the vocabulary file's own (under UNSCORED: the least of the others). Characters outside of the vocabulary become byte pieces, each
 BYTE_COST under the least score. A space is put before the text, as the file's trainer did, and
 taken off by decoding, which gives back every text exactly, U+2581 included. Null and empty texts
 have no pieces and score 0. Equal scores: the segmentation whose last pieces are longer comes first.
@@ -21,6 +21,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,104 +32,255 @@ from varloom.llm.text import id_and_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_COST = 10.0
-#: Units whose segmentations a worker keeps, twice over: those of late and those of before.
-KEPT_UNITS = 120_000
-ROWS = 512
+UNSCORED = -1e8
+MARKS = ".,;:!?"
+#: Units whose segmentations a worker keeps at most, before it starts anew.
+KEPT_UNITS = 300_000
+#: Rows that are worked on at a time; units searched at a time.
+ROWS, UNITS = 256, 4096
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_FAR = -np.inf
 
 
 class Lattice:
-    """Pieces of a vocabulary and the N-best search over them."""
+    """Pieces of a vocabulary and the N-best search over them, for many units at once."""
 
     def __init__(self, pieces: list[tuple[str, float, int]], n_best: int):
         """pieces: (text or '', score, byte value or -1) by id; the space stands for the file's U+2581."""
         self.n_best = n_best
-        self.ids = {p: (i, s) for i, (p, s, _) in enumerate(pieces) if p}
-        self.bytes = {b: i for i, (_, _, b) in enumerate(pieces) if b >= 0}
+        # Files give pieces that no merge makes (runs of spaces) a score far under all others: they count as the least of those.
+        least = min((s for p, s, _ in pieces if p and s > UNSCORED), default=0.0)
+        self.ids = {p: (i, max(s, least)) for i, (p, s, _) in enumerate(pieces) if p}
+        self.bytes = np.zeros(256, np.int32)
+        for i, (_, _, b) in enumerate(pieces):
+            if b >= 0:
+                self.bytes[b] = i
         self.out = [bytes([b]) if b >= 0 else p.encode() for p, _, b in pieces]
-        self.longest = max(map(len, self.ids), default=1)
-        self.byte_score = min((s for _, s in self.ids.values()), default=0.0) - BYTE_COST
+        self.byte_score = least - BYTE_COST
+        self.scores = np.array([max(s, least) for _, s, _ in pieces])
+        self._table()
         long = [p for p in self.ids if len(p) > 1]
         cut = "".join(c for c in "\n\t\r" if not any(c in p for p in long))
+        # Before punctuation a word ends, unless some piece joins its last character and the mark.
+        ends = {p[i - 1] for p in long for i in range(1, len(p)) if p[i] in MARKS and re.match(r"\w", p[i - 1])}
+        word = rf" *\w+(?<![{re.escape(''.join(sorted(ends)))}])(?=[{re.escape(MARKS)}])" if ends else rf" *\w+(?=[{re.escape(MARKS)}])"
         across = any(" " in p.lstrip(" ") for p in long)
-        self.units = re.compile("(?s).+" if across else rf" *[^ {cut}]+| +|[{cut}]" if cut else r" *[^ ]+| +")
-        self.new: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
-
-    def edges(self, unit: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """By end: (start, score, ids), longest first."""
-        out, ids, longest = [[]], self.ids, self.longest
-        for end in range(1, len(unit) + 1):
-            at = []
-            for start in range(max(0, end - longest), end):
-                if (hit := ids.get(unit[start:end])) is not None:
-                    at.append((start, hit[1], (hit[0],)))
-            if not at or at[-1][0] != end - 1:
-                raw = unit[end - 1].encode()
-                at.append((end - 1, self.byte_score * len(raw), tuple(self.bytes[b] for b in raw)))
-            out.append(at)
-        return out
+        ways = [word, rf" *[^ {cut}]+", " +"] + [f"[{cut}]"] * bool(cut)
+        self.units = re.compile("(?s).+" if across else "|".join(ways))
+        self._forget()
+
+    def _table(self) -> None:
+        """A hash table of every beginning of a piece, by open addressing: the hash, and the piece's id or -1."""
+        starts = {p[:i]: -1 for p in self.ids for i in range(1, len(p) + 1)}
+        starts |= {p: i for p, (i, _) in self.ids.items()}
+        self.longest = max(map(len, starts), default=1)
+        self.shift = np.uint64(64 - (4 * len(starts) + 1).bit_length())
+        size = 1 << int(64 - self.shift)
+        self.slot_hash, self.slot_id = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        with np.errstate(over="ignore"):
+            for p, i in starts.items():
+                h = np.uint64(0)
+                for c in p:
+                    h = (h + np.uint64(ord(c) + 1)) * _PRIME
+                at = int(h >> self.shift)
+                while self.slot_hash[at]:
+                    if self.slot_hash[at] == h:
+                        raise ValueError("two beginnings of pieces have one hash")
+                    at = (at + 1) % size
+                self.slot_hash[at], self.slot_id[at] = h, i
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash begins a piece, and the piece's id or -1."""
+        at = (h >> self.shift).astype(np.int64)
+        found, ids = np.zeros(len(h), bool), np.full(len(h), -1, np.int32)
+        open_ = np.arange(len(h))
+        while len(open_):
+            there = self.slot_hash[at[open_]]
+            hit = there == h[open_]
+            found[open_[hit]], ids[open_[hit]] = True, self.slot_id[at[open_[hit]]]
+            open_ = open_[~hit & (there != 0)]
+            at[open_] = (at[open_] + 1) % len(self.slot_hash)
+        return found, ids
+
+    def _edges(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By length - 1, unit and start: the piece's id (-1 none, -2 a character as bytes) and its score."""
+        n, width = codes.shape
+        depth = min(self.longest, width)
+        ids, score = np.full((depth, n, width), -1, np.int32), np.full((depth, n, width), _FAR)
+        inside = np.arange(width)[None, :] < sizes[:, None]
+        row, start = np.nonzero(inside)
+        h = np.zeros(len(row), np.uint64)
+        for k in range(depth):
+            if k:
+                more = start + k < sizes[row]
+                row, start, h = row[more], start[more], h[more]
+            h = (h + (codes[row, start + k].astype(np.uint64) + np.uint64(1))) * _PRIME
+            alive, found = self._find(h)
+            piece = found >= 0
+            ids[k, row[piece], start[piece]] = found[piece]
+            score[k, row[piece], start[piece]] = self.scores[found[piece]]
+            row, start, h = row[alive], start[alive], h[alive]
+        bare = inside & (ids[0] == -1)
+        ids[0][bare] = -2
+        c = codes[bare]
+        score[0][bare] = self.byte_score * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+        return ids, score
+
+    def search(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of each unit its n_best segmentations, best first: scores (-inf where there are fewer), numbers of ids, and the ids of all.
+
+        Forward, Viterbi gives the best score of reaching each place. Backward, A-star pops the tail whose whole segmentation
+        scores best. As the heuristic is exact, each entry of the agenda stands for a segmentation of its own with just that
+        score: entries beyond as many as are still to be found can never be popped, so the agenda is n_best wide.
+        """
+        n, wide = len(units), self.n_best
+        sizes = np.fromiter(map(len, units), np.int64, n)
+        width = int(sizes.max())
+        codes = np.frombuffer("".join(u.ljust(width, "\0") for u in units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
+        ids, score = self._edges(codes, sizes)
+        depth = len(ids)
+        best = np.full((n, width + 1), _FAR)
+        best[:, 0] = 0
+        for end in range(1, width + 1):
+            for k in range(min(depth, end)):
+                np.maximum(best[:, end], best[:, end - k - 1] + score[k][:, end - k - 1], out=best[:, end])
+        whole, place = np.full((n, wide), _FAR), np.zeros((n, wide), np.int64)
+        behind, tail = np.zeros((n, wide)), np.full((n, wide), -1, np.int64)
+        whole[:, 0], place[:, 0] = best[np.arange(n), sizes], sizes
+        # A tail is a number in the log of (tail after it, length, start); lengths count from 0.
+        log: list[np.ndarray] = []
+        logged = 0
+        scores, last, count = np.full((n, wide), _FAR), np.full((n, wide), -1, np.int64), np.zeros(n, np.int64)
+        back = np.arange(depth - 1, -1, -1)  # the longest pieces come first among equals
+        active = np.arange(n)
+        while len(active):
+            done = place[active, 0] == 0
+            if done.any():
+                u = active[done]
+                scores[u, count[u]], last[u, count[u]] = behind[u, 0], tail[u, 0]
+                count[u] += 1
+                for a in (whole, place, behind, tail):
+                    a[u, :-1] = a[u, 1:]
+                whole[u, -1] = _FAR
+            u = active[~done]
+            if len(u):
+                at = place[u, 0]
+                start = at[:, None] - back[None, :] - 1
+                ok = start >= 0
+                start = np.maximum(start, 0)
+                s = np.where(ok, score[back[None, :], u[:, None], start], _FAR) + behind[u, :1]
+                new = best[u[:, None], start] + s
+                every = np.concatenate([whole[u, 1:], new], axis=1)
+                order = np.argsort(-every, axis=1, kind="stable")[:, :wide]
+                is_new = order >= wide - 1
+                edge = np.maximum(order - (wide - 1), 0)
+                pick = lambda a, order=order: np.take_along_axis(a, order, 1)
+                kept = pick(every)
+                chosen_start, chosen_s = np.take_along_axis(start, edge, 1), np.take_along_axis(s, edge, 1)
+                pad = lambda a, fill: np.concatenate([a[u, 1:], np.full((len(u), depth), fill, a.dtype)], axis=1)
+                is_new &= kept > _FAR
+                r, c = np.nonzero(is_new)
+                log.append(np.stack([tail[u[r], 0], back[edge[r, c]], chosen_start[r, c]], axis=1))
+                number = np.zeros(is_new.shape, np.int64)
+                number[r, c] = logged + np.arange(len(r))
+                logged += len(r)
+                old_place, old_behind, old_tail = pick(pad(place, 0)), pick(pad(behind, 0.0)), pick(pad(tail, -1))
+                whole[u], place[u] = kept, np.where(is_new, chosen_start, old_place)
+                behind[u], tail[u] = np.where(is_new, chosen_s, old_behind), np.where(is_new, number, old_tail)
+            more = (count[active] < wide) & (whole[active, 0] > _FAR)
+            active = active[more]
+        return scores, *self._spell(units, ids, np.concatenate(log) if log else np.empty((0, 3), np.int64), last, sizes)
+
+    def _spell(self, units: list[str], ids: np.ndarray, log: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids and ids of the segmentations whose first piece is at `last` in the log."""
+        wide = last.shape[1]
+        unit, at = np.repeat(np.arange(len(units)), wide), last.ravel()
+        columns, owners, step = [], [], []
+        rows = np.flatnonzero(at >= 0)
+        k = 0
+        while len(rows):
+            entry = log[at[rows]]
+            columns.append(ids[entry[:, 1], unit[rows], entry[:, 2]])
+            # A character as bytes is remembered by its place, as a number under -1.
+            bare = columns[-1] == -2
+            columns[-1] = np.where(bare, -2 - entry[:, 2], columns[-1])
+            owners.append(rows)
+            step.append(np.full(len(rows), k))
+            at[rows] = entry[:, 0]
+            rows = rows[entry[:, 0] >= 0]
+            k += 1
+        if not columns:
+            return np.zeros(last.shape, np.int64), np.empty(0, np.int32)
+        flat, owner = np.concatenate(columns).astype(np.int64), np.concatenate(owners)
+        order = np.lexsort((np.concatenate(step), owner))
+        flat, owner = flat[order], owner[order]
+        if (flat < -1).any():
+            parts = [self.bytes[np.frombuffer(units[o // wide][-2 - x].encode(), np.uint8)] if x < -1 else np.array([x], np.int32) for x, o in zip(flat.tolist(), owner.tolist(), strict=True)]
+            owner = np.repeat(owner, [len(p) for p in parts])
+            flat = np.concatenate(parts)
+        return np.bincount(owner, minlength=len(units) * wide).reshape(last.shape), flat.astype(np.int32)
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.unit_score, self.unit_start = np.empty((0, self.n_best)), np.empty((0, self.n_best), np.int64)
+        self.unit_size, self.unit_ids = np.empty((0, self.n_best), np.int64), np.empty(0, np.int32)
+
+    def _learn(self, units: list[str]) -> None:
+        """Search units that aren't known, those of like length together."""
+        scores, sizes, ids, at = [self.unit_score], [self.unit_size], [self.unit_ids], 0
+        ranked = sorted(units, key=len)
+        while at < len(ranked):
+            # Wide units come in small lots, so that a lot's arrays stay of one size.
+            lot = ranked[at : at + UNITS]
+            if len(lot[-1]) > 32:
+                lot = ranked[at : at + max(1, 32 * UNITS // len(lot[-1]))]
+            s, n, flat = self.search(lot)
+            for u in lot:
+                self.known[u] = len(self.known)
+            scores.append(s)
+            sizes.append(n)
+            ids.append(flat)
+            at += len(lot)
+        self.unit_score, self.unit_size, self.unit_ids = np.concatenate(scores), np.concatenate(sizes), np.concatenate(ids)
+        n = self.unit_size.ravel()
+        self.unit_start = (np.cumsum(n) - n).reshape(self.unit_size.shape)
+
+    def _gather(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.unit_ids[np.repeat(start - (ends - size), size) + np.arange(total)]
+
+    def encode(self, texts: list[str]) -> list[list[tuple[float, np.ndarray]]]:
+        """(score, ids) of the n_best segmentations of each text."""
+        if len(self.known) > KEPT_UNITS:
+            self._forget()
+        each = [self.units.findall(" " + t) if t else [] for t in texts]
+        flat = [u for units in each for u in units]
+        known = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(known < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys(flat[i] for i in missing)))
+            known[missing] = [self.known[flat[i]] for i in missing]
+        score, start, size = self.unit_score[known], self.unit_start[known], self.unit_size[known]
+        ends = np.cumsum([0, *map(len, each)]).tolist()
+        return [self._ways(score[s:e], start[s:e], size[s:e]) for s, e in zip(ends, ends[1:], strict=False)]
 
-    def search(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
-        """The n_best segmentations of a unit, best first."""
-        edges, n = self.edges(unit), len(unit)
-        best = [0.0] * (n + 1)
-        for end in range(1, n + 1):
-            best[end] = max(best[start] + s for start, s, _ in edges[end])
-        # Each entry: minus the score of the best whole segmentation that ends so, order of finding, place, score, tail.
-        agenda, found, order = [(-best[n], 0, n, 0.0, None)], [], 0
-        while agenda and len(found) < self.n_best:
-            _, _, at, behind, tail = heapq.heappop(agenda)
-            if at == 0:
-                ids = []
-                while tail is not None:
-                    ids += tail[0]
-                    tail = tail[1]
-                found.append((behind, tuple(ids)))
-                continue
-            for start, s, piece in edges[at]:
-                order += 1
-                heapq.heappush(agenda, (-(best[start] + s + behind), order, start, s + behind, (piece, tail)))
-        return found
-
-    def known(self, units: list[str]) -> dict[str, tuple]:
-        """(ids as bytes, score, cost of the second choice, segmentations) of each unit."""
-        new = self.new
-        if len(new) > KEPT_UNITS:
-            self.old, self.new = new, {}
-            new = self.new
-        for u in set(units):
-            if u not in new:
-                if (hit := self.old.get(u)) is None:
-                    got = self.search(u)
-                    hit = (np.array(got[0][1], np.int32).tobytes(), got[0][0], got[0][0] - got[1][0] if len(got) > 1 else np.inf, got)
-                new[u] = hit
-        return new
-
-    def encode(self, text: str) -> list[tuple[float, bytes]]:
-        """(score, ids as int32 bytes) of the n_best segmentations of a text."""
-        if not text:
-            return [(0.0, b"")]
-        units = self.units.findall(" " + text)
-        known = self.known(units)
-        each = [known[u] for u in units]
-        ids = [x[0] for x in each]
-        total = sum(x[1] for x in each)
-        out = [(total, b"".join(ids))]
-        if self.n_best > 1:
-            cost = np.fromiter((x[2] for x in each), np.float64, len(each))
-            few = min(self.n_best - 1, len(cost))
-            near = np.sort(np.lexsort((np.arange(len(cost)), cost))[:few] if len(cost) < 64 else np.argpartition(cost, few - 1)[:few])
+    def _ways(self, score: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[tuple[float, np.ndarray]]:
+        """The n_best sums over a text's units. They depart from the best only at the n_best - 1 units whose second choice costs least."""
+        best = float(score[:, 0].sum())
+        out = [(best, self._gather(start[:, 0], size[:, 0]))]
+        few = min(self.n_best - 1, len(score))
+        if few:
+            cost = score[:, 0] - score[:, 1]
+            near = np.sort(np.argsort(cost, kind="stable")[:few] if len(cost) < 64 else np.argpartition(cost, few - 1)[:few]).tolist()
             ways: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-            for i in near.tolist():
-                got = each[i][3]
-                ways = heapq.nsmallest(self.n_best, ((c + got[0][0] - s, (*w, k)) for c, w in ways for k, (s, _) in enumerate(got)))
+            for i in near:
+                lost = [(k, float(score[i, 0] - x)) for k, x in enumerate(score[i]) if x > _FAR]
+                ways = heapq.nsmallest(self.n_best, ((c + d, (*w, k)) for c, w in ways for k, d in lost))
             for c, way in ways[1:]:
-                own = ids.copy()
-                for i, k in zip(near.tolist(), way, strict=True):
-                    own[i] = np.array(each[i][3][k][1], np.int32).tobytes()
-                out.append((total - c, b"".join(own)))
-        if len(self.new) > 2 * KEPT_UNITS:  # one text with very many units
-            self.new = {}
+                own_start, own_size = start[:, 0].copy(), size[:, 0].copy()
+                own_start[near], own_size[near] = start[near, way], size[near, way]
+                out.append((best - c, self._gather(own_start, own_size)))
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -160,10 +312,10 @@ def encode(docs: DataFrame, n_best: int = 1, model: str = MODEL) -> DataFrame:
         lattice = Lattice(pieces.value, n_best)
         for whole in batches:
             for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
-                got = [lattice.encode(t) for t in b.column(1).to_pylist()]
+                got = lattice.encode(b.column(1).to_pylist())
                 flat = [x for ways in got for x in ways]
-                ends = np.cumsum([0, *(len(x[1]) // 4 for x in flat)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(x[1] for x in flat), np.int32)))
+                ends = np.cumsum([0, *(len(x[1]) for x in flat)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[1] for x in flat])))
                 ways = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.float64()), ids], names=["score", "ids"])
                 outer = pa.array(np.cumsum([0, *map(len, got)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(outer, ways)], names=["doc_id", "nbest"])
@@ -177,11 +329,11 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces.value, 1)
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             nbest = b.column(1)
             ids = nbest.flatten().field("ids")
-            flat, ends = ids.flatten().to_numpy().tolist(), np.cumsum([0, *ids.value_lengths().to_pylist()]).tolist()
-            texts = pa.array([lattice.decode(flat[s:e]) for s, e in zip(ends, ends[1:], strict=False)], pa.binary()).cast(pa.string())
+            flat, ends = ids.flatten().to_numpy(), np.cumsum([0, *ids.value_lengths().to_pylist()]).tolist()
+            texts = pa.array([lattice.decode(flat[s:e].tolist()) for s, e in zip(ends, ends[1:], strict=False)], pa.binary()).cast(pa.string())
             outer = pa.array(np.cumsum([0, *nbest.value_lengths().to_pylist()]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), nbest, pa.ListArray.from_arrays(outer, texts)], names=["doc_id", "nbest", "texts"])
 
