@@ -1,16 +1,16 @@
 """LM scoring: Stupid-backoff scores over n-gram counts of the corpus itself.
 
-Three exchanges, each a join or an aggregation by hash:
+Documents are dealt into blocks, n-grams by their hash into buckets. Two rounds of joins:
 
-1. Documents are dealt into blocks. A block explodes its documents' 1-, 2- and 3-grams to hashes,
-   counts them (the partial aggregation) and hands each hash bucket its sorted distinct hashes and counts.
-2. A bucket is one partition of the n-gram count table: it sums the counts of all blocks and joins
-   them back to the blocks' hashes.
-3. A block joins the totals to its exploded n-grams and sums log10 scores per document.
+1. A block explodes its documents' 1- and 2-grams to hashes, counts them (the partial aggregation)
+   and hands each bucket its sorted distinct hashes and counts. A bucket is one partition of the n-gram
+   count table: it sums all blocks' counts and joins back to each block what the others have.
+2. The same for those 3-grams whose two 2-grams were both met outside of their document; no other
+   3-gram can have been.
 
-Rows of the exchanges are packed, one for each block and bucket, as sorted arrays; their number
-and size follow from the corpus, and every n-gram of every text takes part. A hash keeps the
-bucket's bits and 48 more.
+A block then joins the totals to its exploded n-grams and sums log10 scores per document. Rows of the
+exchanges are packed, one for each block and bucket, as sorted arrays; their number and size follow
+from the corpus, and every n-gram of every text takes part. A hash keeps the bucket's bits and 48 more.
 
 The score of a word is f(w-2 w-1 w) / f(w-2 w-1) if that n-gram was seen, else BACKOFF times the
 score with one word less; a word never seen scores as BACKOFF / N. Counts leave out those of the
@@ -24,8 +24,12 @@ looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,25 +48,62 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def _explode(texts: pd.Series, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """n-gram hashes of a block (all 1-grams, then 2-grams, then 3-grams), document of each word, words at place 1 or later, at 2 or later."""
-    from xxhash import xxh64_intdigest as xxh
-
-    hashes, sizes = [], np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        w = t.encode().lower().split()
-        sizes[i] = len(w)
-        hashes.append(np.fromiter(map(xxh, w), np.uint64, len(w)))
-    h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    second, third = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
-    two = _mix(h[second - 1] * _U(0x9E3779B97F4A7C15) + _mix(h[second]) + _U(2))
-    before = np.zeros(len(h), np.uint64)
-    before[second] = two
-    three = _mix(before[third - 1] * _U(0xD6E8FEB86659FD93) + _mix(h[third]) + _U(3))
-    keys = np.concatenate([_mix(h + _U(1)), two, three])
-    return keys & ~((_U(1) << _U(max(0, 16 - bits))) - _U(1)), doc, second, third
+class _Block:
+    """The exploded n-grams of a block's texts."""
+
+    def __init__(self, packed: pd.DataFrame, bits: int):
+        from xxhash import xxh64_intdigest as xxh
+
+        hashes = []
+        for n_bytes, texts in zip(packed["sizes"], packed["texts"], strict=True):
+            raw, at = zstandard.decompress(texts), 0
+            for n in np.frombuffer(n_bytes, np.int64).tolist():
+                w = raw[at : at + n].lower().split()
+                at += n
+                hashes.append(np.fromiter(map(xxh, w), np.uint64, len(w)))
+        sizes = np.array([len(x) for x in hashes], np.int64)
+        h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        self.n, self.sizes, self.doc = len(h), sizes, np.repeat(np.arange(len(sizes)), sizes)
+        self.ids, self.has_id = (np.frombuffer(b"".join(packed[c]), t) for c, t in (("ids", np.int64), ("has_ids", np.bool_)))
+        place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.second, self.third = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+        two = np.zeros(len(h), np.uint64)
+        two[self.second] = _mix(h[self.second - 1] * _U(0x9E3779B97F4A7C15) + _mix(h[self.second]) + _U(2))
+        self._h, self._two, self._keep = h, two, ~((_U(1) << _U(max(0, 16 - bits))) - _U(1))
+
+    def short(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all 1-grams, then 2-grams, and the document of each."""
+        return np.concatenate([_mix(self._h + _U(1)), self._two[self.second]]) & self._keep, np.concatenate([self.doc, self.doc[self.second]])
+
+    def long(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the 3-grams that end at these words, and the document of each."""
+        return _mix(self._two[at - 1] * _U(0xD6E8FEB86659FD93) + _mix(self._h[at]) + _U(3)) & self._keep, self.doc[at]
+
+    def counts(self, elsewhere: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts by word of its 1-gram and its 2-gram outside of the document."""
+        seen, two = _outside(*self.short(), elsewhere), np.zeros(self.n, np.int64)
+        two[self.second] = seen[self.n :]
+        return seen[: self.n], two
+
+    def promising(self, two: np.ndarray) -> np.ndarray:
+        """Words at which a 3-gram may have been met outside of its document."""
+        return self.third[(two[self.third] > 0) & (two[self.third - 1] > 0)]
+
+
+def _outside(keys: np.ndarray, doc: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
+    """For each n-gram its count outside of its document; elsewhere: counts outside of the block, by sorted distinct hash."""
+    order = np.argsort(keys)
+    s = keys[order]
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(np.r_[False, s[1:] != s[:-1]]) if len(s) else 0
+    other = elsewhere
+    inside = np.bincount(at, minlength=len(other))
+    out = other[at]
+    # Where the block has it once, that is the document's own.
+    often = np.flatnonzero(inside[at] > 1)
+    _, which, n = np.unique((doc[often] << 32) | at[often], return_inverse=True, return_counts=True)
+    out[often] += inside[at[often]] - n[which]
+    return out
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,77 +123,112 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _narrow(values: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as single bytes, and in a second part those of 255 or more."""
+    return np.minimum(values, 255).astype(np.uint8).tobytes(), values[values >= 255].astype(np.int64).tobytes()
+
+
+def _wide(small: bytes, large: bytes) -> np.ndarray:
+    out = np.frombuffer(small, np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(large, np.int64)
+    return out
+
+
+def _cells(keys: np.ndarray, bits: int, block: int, words: int) -> pd.DataFrame:
+    """A row for each bucket: the block's distinct hashes in it and their counts; one of the rows has the block's number of words."""
+    keys, counts = _distinct(keys)
+    ends = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << _U(64 - bits)).tolist() + [len(keys)]
+    rows = [(b, block, _pack(keys[s:e], bits), *_narrow(counts[s:e]), words if b == block % (1 << bits) else 0) for b, (s, e) in enumerate(zip(ends, ends[1:], strict=False))]
+    return pd.DataFrame(rows, columns=["bucket", "block", "hashes", "small", "large", "words"])
+
+
+def _sum_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each block, in the order of its hashes, what the other blocks count."""
+    keys = np.concatenate([_unpack(x) for x in pdf["hashes"]])
+    counts = _wide(b"".join(pdf["small"]), b"".join(pdf["large"]))
+    order = np.argsort(keys)
+    s = keys[order]
+    group = np.cumsum(np.r_[False, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
+    sums = np.bincount(group, weights=counts[order])
+    each = np.empty(len(keys), np.int64)
+    each[order] = sums[group]
+    each -= counts
+    ends = np.cumsum([0, *(len(x) // 6 for x in pdf["hashes"])]).tolist()
+    parts = [_narrow(each[s:e]) for s, e in zip(ends, ends[1:], strict=False)]
+    return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "small": [p[0] for p in parts], "large": [p[1] for p in parts], "words": int(pdf["words"].sum())})
+
+
+def _in_order(back: pd.DataFrame) -> np.ndarray:
+    back = back.sort_values("bucket")
+    return _wide(b"".join(back["small"]), b"".join(back["large"]))
+
+
+def _packed(docs: DataFrame, blocks: int) -> DataFrame:
+    """Documents dealt into blocks: ids, sizes and texts, compressed together for each block and batch, so that texts move small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            ids, block = b.column(0), b.column(2).to_numpy()
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            has, number = np.array(ids.is_valid()), np.array(ids.fill_null(0), np.int64)
+            order = np.argsort(block, kind="stable")
+            rows = []
+            for at in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                if len(at):
+                    own = [texts[i] for i in at.tolist()]
+                    rows.append((int(block[at[0]]), number[at].tobytes(), has[at].tobytes(), np.array([len(t) for t in own], np.int64).tobytes(), squeeze.compress(b"".join(own))))
+            types = [pa.int32(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["block", "ids", "has_ids", "sizes", "texts"])
+
+    d = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
+    return d.mapInArrow(run, "block int, ids binary, has_ids binary, sizes binary, texts binary")
+
+
 def score(docs: DataFrame, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, log10_sum, mean_log10 and how many words were scored with 3, 2, 1 and no words of evidence."""
     d = id_and_text(docs)
     least, size = partitions(d.sparkSession), d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(least, -(-size // block_bytes))
     bits = max(1, int(max(least, -(-size // bucket_bytes)) - 1).bit_length())
-    # pandas would turn a column of longs with nulls into doubles
-    d = d.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"), "text")
-    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _distinct((got := _explode(pdf["text"], bits))[0])
-        block = int(pdf["block"].iloc[0])
-        ends = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << _U(64 - bits)).tolist() + [len(keys)]
-        rows = [(b, block, _pack(keys[s:e], bits), counts[s:e].tobytes()) for b, (s, e) in enumerate(zip(ends, ends[1:], strict=False))]
-        out = pd.DataFrame(rows, columns=["bucket", "block", "hashes", "counts"])
-        out["words"] = np.where(out["bucket"] == block % (1 << bits), len(got[1]), 0)
-        return out
+    d = _packed(d, blocks)
+
+    def count_short(own: pd.DataFrame) -> pd.DataFrame:
+        block = _Block(own, bits)
+        return _cells(block.short()[0], bits, int(own["block"].iloc[0]), block.n)
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([_unpack(x) for x in pdf["hashes"]])
-        counts = np.frombuffer(b"".join(pdf["counts"]), np.int32)
-        order = np.argsort(keys)
-        s = keys[order]
-        group = np.cumsum(np.r_[False, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
-        sums = np.bincount(group, weights=counts[order]) if len(s) else np.empty(0)
-        each = np.empty(len(keys), np.int64)
-        each[order] = sums[group].astype(np.int64)
-        ends = np.cumsum([0, *(len(x) // 6 for x in pdf["hashes"])]).tolist()
-        totals = [each[s:e].tobytes() for s, e in zip(ends, ends[1:], strict=False)]
-        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "totals": totals, "words": int(pdf["words"].sum())})
+    def count_long(own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        block = _Block(own, bits)
+        at = block.promising(block.counts(_in_order(back))[1])
+        return _cells(block.long(at)[0], bits, int(own["block"].iloc[0]), 0)
 
     def summed(own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        keys, doc, second, third = _explode(own["text"], bits)
-        back = back.sort_values("bucket")
-        corpus = int(back["words"].sum())
-        totals = np.frombuffer(b"".join(back["totals"]), np.int64)
-        order = np.argsort(keys)
-        s = keys[order]
-        at = np.empty(len(keys), np.int64)
-        at[order] = np.cumsum(np.r_[False, s[1:] != s[:-1]]) if len(s) else 0
-        inside = np.bincount(at, minlength=len(totals))
-        of = np.concatenate([doc, doc[second], doc[third]])
-        # What the document itself has: 1 where the block has it once, else counted.
-        self_has = np.ones(len(keys), np.int64)
-        often = np.flatnonzero(inside[at] > 1)
-        _, which, n = np.unique((of[often] << 32) | at[often], return_inverse=True, return_counts=True)
-        self_has[often] = n[which]
-        seen = totals[at] - self_has
-        words = len(doc)
-        one, two, three = seen[:words], np.zeros(words, np.int64), np.zeros(words, np.int64)
-        two[second], three[third] = seen[words : words + len(second)], seen[words + len(second) :]
-        length = np.bincount(doc, minlength=len(own))
-        rest = np.maximum(corpus - length[doc], 1)
+        block = _Block(own, bits)
+        short, long = back[back["round"] == 1], back[back["round"] == 2]
+        one, two = block.counts(_in_order(short))
+        at = block.promising(two)
+        three = np.zeros(block.n, np.int64)
+        three[at] = _outside(*block.long(at), _in_order(long))
+        n, words = len(block.sizes), block.n
+        rest = np.maximum(int(short["words"].sum()) - block.sizes[block.doc], 1)
         previous_one, previous_two = np.r_[1, one[:-1]][:words], np.r_[1, two[:-1]][:words]
         evidence = np.where(three > 0, 3, np.where(two > 0, 2, np.where(one > 0, 1, 0)))
         # The first word of a document has no shorter context to back off from, the second one.
         tried = np.ones(words, np.int64)
-        tried[second], tried[third] = 2, 3
+        tried[block.second], tried[block.third] = 2, 3
         top = np.select([evidence == 3, evidence == 2, evidence == 1], [three, two, one], 1).astype(np.float64)
         under = np.select([evidence == 3, evidence == 2], [previous_two, previous_one], rest).astype(np.float64)
-        log = np.log10(top / under) + (tried - evidence) * np.log10(backoff)
-        sums = np.bincount(doc, weights=log, minlength=len(own))
-        out = pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "has_id": own["has_id"].to_numpy(), "n_words": length, "log10_sum": sums})
-        out["mean_log10"] = np.where(length > 0, sums / np.maximum(length, 1), np.nan)
+        sums = np.bincount(block.doc, weights=np.log10(top / under) + (tried - evidence) * np.log10(backoff), minlength=n)
+        out = pd.DataFrame({"doc_id": block.ids, "has_id": block.has_id, "n_words": block.sizes, "log10_sum": sums})
+        out["mean_log10"] = np.where(block.sizes > 0, sums / np.maximum(block.sizes, 1), np.nan)
         for k in (3, 2, 1, 0):
-            out[f"seen_{k}"] = np.bincount(doc[evidence == k], minlength=len(own))
+            out[f"seen_{k}"] = np.bincount(block.doc[evidence == k], minlength=n)
         return out
 
-    counts = d.groupBy("block").applyInPandas(count, "bucket int, block int, hashes binary, counts binary, words long")
-    back = counts.groupBy("bucket").applyInPandas(total, "block int, bucket int, totals binary, words long")
+    cells, joined = "bucket int, block int, hashes binary, small binary, large binary, words long", "block int, bucket int, small binary, large binary, words long"
+    short = d.groupBy("block").applyInPandas(count_short, cells).groupBy("bucket").applyInPandas(_sum_bucket, joined)
+    long = d.groupBy("block").cogroup(short.groupBy("block")).applyInPandas(count_long, cells).groupBy("bucket").applyInPandas(_sum_bucket, joined)
+    back = short.withColumn("round", F.lit(1)).unionByName(long.withColumn("round", F.lit(2)))
     schema = "doc_id long, has_id boolean, n_words long, log10_sum double, mean_log10 double, seen_3 long, seen_2 long, seen_1 long, seen_0 long"
     out = d.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(summed, schema)
     named = {"doc_id": F.when(F.col("has_id"), F.col("doc_id")), "mean_log10": F.when(F.col("n_words") > 0, F.col("mean_log10"))}
