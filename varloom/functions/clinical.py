@@ -57,7 +57,8 @@ def hgmd_vote(classes: Column) -> Column:
 def least_frequency(text: Column) -> Column:
     """The least of colon-joined frequencies, 1.0 at most; '.' and other text don't count."""
     values = F.transform(F.split(text, ":"), lambda x: x.try_cast("double"))
-    return F.least(F.array_min(F.filter(values, lambda v: v.isNotNull())), F.lit(1.0))
+    least = F.array_min(F.filter(values, lambda v: v.isNotNull()))
+    return F.when(least.isNotNull(), F.least(least, F.lit(1.0)))
 
 
 def frequency_class(sources: list[Column], limit: float) -> Column:

@@ -13,6 +13,14 @@ FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")
 _TYPES = {"Integer": T.IntegerType(), "Float": T.DoubleType(), "Flag": T.BooleanType(), "String": T.StringType(), "Character": T.StringType()}
 
 
+def _caster(kind: T.DataType):
+    return lambda x: x.try_cast(kind)
+
+
+def _looker(values: Column):
+    return lambda key: F.coalesce(F.try_element_at(values, key), F.lit("."))
+
+
 def quoted_split(text: str, sep: str = ",") -> list[str]:
     """Parts of a text at separators outside of double quotes; the quotes go.
 
@@ -138,7 +146,7 @@ def typed_info(records: DataFrame, header: Header, prefix: str = "info_") -> Dat
         elif e.get("Number") == "1":
             col = raw.try_cast(kind)
         else:
-            col = F.transform(F.split(raw, ","), lambda x, k=kind: x.try_cast(k))
+            col = F.transform(F.split(raw, ","), _caster(kind))
         columns[prefix + re.sub(r"\W", "_", ident)] = col
     return records.withColumns(columns)
 
@@ -186,8 +194,7 @@ def format_records(records: DataFrame, samples: list[str]) -> DataFrame:
         keys = F.array_sort(F.map_keys(first), lambda a, b: F.when(a == b, 0).when(a == "GT", -1).when(b == "GT", 1).when(a < b, -1).otherwise(1))
         parts.append(F.array_join(keys, ":"))
         for s in samples:
-            own = F.try_element_at("genotypes", F.lit(s))
-            parts.append(F.array_join(F.transform(keys, lambda k, g=own: F.coalesce(F.try_element_at(g, k), F.lit("."))), ":"))
+            parts.append(F.array_join(F.transform(keys, _looker(F.try_element_at("genotypes", F.lit(s)))), ":"))
     return records.select(F.concat_ws("\t", *parts).alias("value"))
 
 
