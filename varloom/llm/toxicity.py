@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms (runs of ASCII letters and digits and of other characters, lower-cased) are hashed to 2^18
-places. The machine scores bias + sum of weights + pairwise products of the present terms' factor
+Terms (runs of ASCII letters and digits and of other characters, lower-cased) and their beginnings are
+hashed to 2^18 places. The machine scores bias + sum of weights + pairwise products of the present terms' factor
 vectors, so a pair such as an insult with a group's name can weigh more than both do apart.
 
 It is fitted on a bounded sample of labelled documents: `max_train` rows at most, up to half of
@@ -30,6 +30,8 @@ from varloom.llm.text import id_and_text
 
 PLACES = 1 << 18
 THRESHOLD = 0.7
+#: Bytes of the beginnings that count as terms of their own.
+BEGINNINGS = (4, 5, 6)
 #: Everything but letters, digits and bytes of other scripts parts terms.
 _TERM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -39,8 +41,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def places(text: bytes) -> np.ndarray:
-    """The distinct places of a text's terms."""
-    terms = set(text.translate(_TERM).split())
+    """The distinct places of a text's terms and of their beginnings, which inflected forms share."""
+    whole = set(text.translate(_TERM).split())
+    terms = whole.union(*({t[:k] + b"*" for t in whole if len(t) >= k} for k in BEGINNINGS))
     return np.unique(np.fromiter(map(crc32, terms), np.uint32, len(terms)) & np.uint32(PLACES - 1))
 
 
@@ -72,7 +75,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, n_features: int = 1024, ra
     rate = [(with_term[c] + 0.5) / (n[c] + 1) for c in (0, 1)]
     both = (with_term[0] + with_term[1] + 1.0) / (n[0] + n[1] + 2)
     apart = np.abs(rate[1] - rate[0]) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))
-    apart[with_term[0] + with_term[1] < 5] = 0
+    apart[with_term[0] + with_term[1] < 4] = 0
     chosen = np.argsort(-apart, kind="stable")[:n_features]
     chosen = chosen[apart[chosen] > 3]
     slots[chosen] = np.arange(len(chosen))
