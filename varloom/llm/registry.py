@@ -69,6 +69,37 @@ QUERIES = {f.__name__: f for f in (op1_lm_score, op2_mix_sources, op3_sentencepi
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _secrets_sql() -> str:
+    """Places of matches from the lengths of what lies between them; entropy counted anew for every window."""
+    either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    words = "|".join(either(w) for w in ("password", "passwd", "secret", "token")) + "|" + either("api") + "_?" + either("key")
+    assign = rf"""({words})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = [("assign", assign, 2, 8), ("access", "AKIA([A-Z0-9]+)", 0, 16), ("hex", "([0-9a-f]+)", 0, 32)]
+    kinds += [(kind, f"({pattern.rpartition('{')[0]}+)", 0, secrets.WINDOW) for kind, pattern, _, _ in secrets.CLASSES]
+    found = " UNION ALL ".join(
+        f"""SELECT doc_id, '{kind}' AS kind, {o} AS ord, unnest(list_transform(list_filter(range(1, len(m) + 1), lambda i: length(v[i]) >= {least}), lambda i: {{'s': CAST(list_sum(list_transform(g[1:i], lambda y: length(y)))
+            + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT), 'm': m[i]}})) AS h
+        FROM (SELECT doc_id, regexp_split_to_array(x, '{p}') AS g, regexp_extract_all(x, '{p}', 0) AS m, regexp_extract_all(x, '{p}', {group}) AS v FROM t)"""
+        for o, (kind, p, group, least) in enumerate(kinds)
+    )
+    allow = " OR ".join(f"regexp_matches(m, '{a}')" for a in secrets.ALLOW)
+    limit = " ".join(f"WHEN '{kind}' THEN {bits}" for kind, _, _, bits in secrets.CLASSES)
+    text = "kind || ':' || CAST(s AS VARCHAR) || ':' || CAST(e AS VARCHAR)"
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), f AS (SELECT doc_id, kind, ord, h.s AS s, h.s + length(h.m) AS e, h.m AS m FROM ({found})),
+        base AS (SELECT * FROM f WHERE ord < 3), cand AS (SELECT * FROM f WHERE ord >= 3 AND NOT ({allow}) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.s < f.e AND f.s < b.e)),
+        w AS (SELECT doc_id, kind, ord, s, w, substr(m, w, {secrets.WINDOW}) AS part FROM (SELECT *, unnest(range(1, length(m) - {secrets.WINDOW} + 2)) AS w FROM cand)),
+        ch AS (SELECT doc_id, kind, ord, s, w, c, count(*) AS n FROM (SELECT doc_id, kind, ord, s, w, unnest(string_split(part, '')) AS c FROM w) GROUP BY ALL),
+        hot AS (SELECT doc_id, kind, ord, s, w FROM ch GROUP BY ALL HAVING -sum(n / {secrets.WINDOW}.0 * log2(n / {secrets.WINDOW}.0)) >= CASE kind {limit} END - 1e-12),
+        added AS (SELECT doc_id, kind, ord, s + min(w) - 1 AS s, s + max(w) - 1 + {secrets.WINDOW} AS e FROM hot GROUP BY doc_id, kind, ord, hot.s),
+        every AS (SELECT doc_id, kind, ord, s, e FROM base UNION ALL SELECT doc_id, kind, ord, s, e FROM added)
+        SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+            sha256(coalesce(string_agg({text}, ',' ORDER BY s, ord) FILTER (ord < 3), '')) AS base_sha256, coalesce(string_agg({text}, ',' ORDER BY s, ord) FILTER (kind IS NOT NULL), '') AS spans
+        FROM t LEFT JOIN every ON every.doc_id = t.doc_id GROUP BY t.doc_id"""
+
+
 ORACLE = {
     "op1_lm_score": f"""
         WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[ \\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -115,4 +146,13 @@ ORACLE = {
         r AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first_id FROM p)
         SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id <> first_id THEN first_id END AS refers_to FROM r""",
+    "op10_chat_format": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+        e AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS shown, regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g') AS who FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(24 + length(who) + length(shown)) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+    "op4_secrets": _secrets_sql(),
 }
