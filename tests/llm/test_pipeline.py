@@ -35,3 +35,26 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert kept[2] == kept[1] - set(range(3000, 3010))
     assert kept[3] <= kept[2] and kept[4] == kept[3]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, path).select("doc_id").collect()} == kept[4]
+
+
+def test_stages_bear_odd_rows_and_clashing_columns(spark, tmp_path):
+    names = ["digest", "fp", "kept", "block", "score", "row", "_doc", "_id", "_n", "node", "root", "ids", "size", "weight"]
+    rows = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "x y z"), (5, "w " * 20_000), (6, "W " * 20_000), (None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(i, t, None, None, None, *["z"] * len(names)) for i, t in rows], schema)
+    spark.createDataFrame([(3, None, 1), (5, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (docs, docs.limit(0)):
+        d = table
+        for name, stage in corpus_pipeline.STAGES:
+            d = stage(spark, d, f"file://{tmp_path}")
+            if name != "encode":
+                assert d.columns == docs.columns
+            if name == "near_dedup":
+                assert sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in d.collect()) == ([] if table is not docs else [(0, 5), (2, 0), (3, 3), (6, 40_000)])
+        assert d.count() >= 0
+
+
+def test_queries_of_operators_on_the_small_tables(spark, sf):
+    for name, run in registry.QUERIES.items():
+        d = run(spark, sf)
+        assert d.count() > 0, name

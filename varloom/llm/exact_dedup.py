@@ -86,9 +86,9 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The documents that stay, with all their columns; joined by document, so that no text meets its copies in one task."""
-    kept = deduplicate(docs, index).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    kept = deduplicate(docs, index).where("kept").select(F.col("doc_id").alias("__dedup_id"), F.col("digest").alias("__dedup_digest"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select("*", F.unhex(F.sha2(ascii_lower(text), 256)).alias("_of"), F.col("doc_id").cast("long").alias("_doc"))
-    d = d.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_digest")), "left_semi")
-    once = Window.partitionBy("_doc", "_of").orderBy("_doc")
-    return d.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    d = docs.select("*", F.unhex(F.sha2(ascii_lower(text), 256)).alias("__dedup_of"), F.col("doc_id").cast("long").alias("__dedup_doc"))
+    d = d.join(kept, F.col("__dedup_doc").eqNullSafe(F.col("__dedup_id")) & (F.col("__dedup_of") == F.col("__dedup_digest")), "left_semi")
+    once = Window.partitionBy("__dedup_doc", "__dedup_of").orderBy("__dedup_doc")
+    return d.withColumn("__dedup_n", F.row_number().over(once)).where("__dedup_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
