@@ -113,14 +113,23 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(keys: np.ndarray, bits: int) -> bytes:
-    """The 48 bits under the bucket's."""
-    return ((keys << _U(bits)) >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """The 48 bits under the bucket's of sorted hashes, as gaps: their number, the low four bytes of each, the high two compressed."""
+    low = (keys << _U(bits)) >> _U(16)
+    planes = np.diff(low, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    high = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes[:, 4:6].T).tobytes())
+    return len(low).to_bytes(4, "little") + planes[:, :4].tobytes() + high
+
+
+def _packed_size(raw: bytes) -> int:
+    return int.from_bytes(raw[:4], "little")
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    n = _packed_size(raw)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :4] = np.frombuffer(raw, np.uint8, 4 * n, 4).reshape(n, 4)
+    out[:, 4:6] = np.frombuffer(zstandard.decompress(raw[4 + 4 * n :]), np.uint8).reshape(2, n).T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
 def _narrow(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -153,7 +162,7 @@ def _sum_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     each = np.empty(len(keys), np.int64)
     each[order] = sums[group]
     each -= counts
-    ends = np.cumsum([0, *(len(x) // 6 for x in pdf["hashes"])]).tolist()
+    ends = np.cumsum([0, *map(_packed_size, pdf["hashes"])]).tolist()
     parts = [_narrow(each[s:e]) for s, e in zip(ends, ends[1:], strict=False)]
     return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "small": [p[0] for p in parts], "large": [p[1] for p in parts], "words": int(pdf["words"].sum())})
 
