@@ -30,7 +30,7 @@ def test_reverse_complement_is_an_involution(spark, texts):
 def test_codons(spark):
     assert len(sequence.CODONS) == 64 and sequence.CODONS["ATG"] == "M" and [c for c, a in sequence.CODONS.items() if a == "*"] == ["TAA", "TAG", "TGA"]
     assert ev(spark, sequence.translate(F.lit("ATGGCNTAAG"))) == "MX*"
-    assert many(spark, [("GCN",), ("TAR",), ("NNN",), ("atg",)], "c string", sequence.amino_acid(F.col("c"))) == ["A", "*", "X", "M"]
+    assert many(spark, [("CCN",), ("TAR",), ("NNN",), ("atg",)], "c string", sequence.amino_acid(F.col("c"))) == ["P", "*", "X", "M"]
     assert tuple(ev(spark, sequence.codon_at(F.lit("ATGGCA"), F.lit(4)))) == ("GCA", 2, "A", 2)
     assert ev(spark, sequence.codon_usage(F.lit("GCA"), F.lit("GCC"), {"GCA": 0.2, "GCC": 0.4})) == "up"
     assert ev(spark, sequence.to_three(F.lit("w"))) == "Trp" and ev(spark, sequence.to_one(F.lit("ter"))) == "*"
