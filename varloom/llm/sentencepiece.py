@@ -55,7 +55,9 @@ class Lattice:
         for i, (_, _, b) in enumerate(pieces):
             if b >= 0:
                 self.bytes[b] = i
-        self.out = [bytes([b]) if b >= 0 else p.encode() for p, _, b in pieces]
+        spelled = [bytes([b]) if b >= 0 else p.encode() for p, _, b in pieces]
+        self.out_size = np.array([len(x) for x in spelled], np.int64)
+        self.out_start, self.out_bytes = np.cumsum(self.out_size) - self.out_size, np.frombuffer(b"".join(spelled), np.uint8)
         self.byte_score = least - BYTE_COST
         self.scores = np.array([max(s, least) for _, s, _ in pieces])
         self._table()
@@ -283,8 +285,17 @@ class Lattice:
                 out.append((best - c, self._gather(own_start, own_size)))
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.out.__getitem__, ids))[1:]
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """Texts of consecutive runs of ids, the space before each taken off."""
+        size = self.out_size[ids]
+        ends = np.cumsum(size)
+        data = self.out_bytes[np.repeat(self.out_start[ids] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        last = np.cumsum(counts)
+        stops = np.r_[0, ends][last]
+        starts, some = np.r_[0, stops[:-1]], counts > 0
+        data = np.delete(data, starts[some])
+        offsets = np.r_[0, stops - np.cumsum(some)].astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 @lru_cache(maxsize=4)
@@ -332,9 +343,8 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             nbest = b.column(1)
             ids = nbest.flatten().field("ids")
-            flat, ends = ids.flatten().to_numpy(), np.cumsum([0, *ids.value_lengths().to_pylist()]).tolist()
-            texts = pa.array([lattice.decode(flat[s:e].tolist()) for s, e in zip(ends, ends[1:], strict=False)], pa.binary()).cast(pa.string())
-            outer = pa.array(np.cumsum([0, *nbest.value_lengths().to_pylist()]).astype(np.int32))
+            texts = lattice.decode(ids.flatten().to_numpy(), ids.value_lengths().to_numpy())
+            outer = pa.array(np.r_[0, np.cumsum(nbest.value_lengths().to_numpy())].astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), nbest, pa.ListArray.from_arrays(outer, texts)], names=["doc_id", "nbest", "texts"])
 
     return encoded.select("doc_id", "nbest").mapInArrow(run, "doc_id long, nbest array<struct<score: double, ids: array<int>>>, texts array<string>")
