@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.llm import ann, chat, exact_dedup, lm_score, mixing, secrets, sentencepiece, simhash, toxicity, warc
+from varloom.llm.ship import shipped
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +66,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.render(chat.fold(chat.events(turns.unionByName(extra)))))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_mix_sources, op3_sentencepiece, op4_secrets, op5_hnsw, op6_toxicity, op7_exact_dedup, op8_simhash, op9_warc, op10_chat_format)}
+QUERIES = {f.__name__: shipped(f) for f in (op1_lm_score, op2_mix_sources, op3_sentencepiece, op4_secrets, op5_hnsw, op6_toxicity, op7_exact_dedup, op8_simhash, op9_warc, op10_chat_format)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
