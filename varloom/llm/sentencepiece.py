@@ -224,28 +224,31 @@ class Lattice:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.unit_score, self.unit_start = np.empty((0, self.n_best)), np.empty((0, self.n_best), np.int64)
-        self.unit_size, self.unit_ids = np.empty((0, self.n_best), np.int64), np.empty(0, np.int32)
+        self.n_ids = 0
+        self.unit_score, self.unit_start = np.empty((1024, self.n_best)), np.empty((1024, self.n_best), np.int64)
+        self.unit_size, self.unit_ids = np.empty((1024, self.n_best), np.int64), np.empty(4096, np.int32)
 
     def _learn(self, units: list[str]) -> None:
         """Search units that aren't known, those of like length together."""
-        scores, sizes, ids, at = [self.unit_score], [self.unit_size], [self.unit_ids], 0
-        ranked = sorted(units, key=len)
+        ranked, at = sorted(units, key=len), 0
         while at < len(ranked):
             # Wide units come in small lots, so that a lot's arrays stay of one size.
             lot = ranked[at : at + UNITS]
             if len(lot[-1]) > 32:
                 lot = ranked[at : at + max(1, 32 * UNITS // len(lot[-1]))]
-            s, n, flat = self.search(lot)
-            for u in lot:
-                self.known[u] = len(self.known)
-            scores.append(s)
-            sizes.append(n)
-            ids.append(flat)
+            score, size, ids = self.search(lot)
+            first, last = len(self.known), len(self.known) + len(lot)
+            self.known.update(zip(lot, range(first, last), strict=True))
+            for name, more in (("unit_score", last), ("unit_start", last), ("unit_size", last), ("unit_ids", self.n_ids + len(ids))):
+                old = getattr(self, name)
+                if more > len(old):
+                    setattr(self, name, np.concatenate([old, np.empty((max(len(old), more - len(old)), *old.shape[1:]), old.dtype)]))
+            n = size.ravel()
+            self.unit_score[first:last], self.unit_size[first:last] = score, size
+            self.unit_start[first:last] = (self.n_ids + np.cumsum(n) - n).reshape(size.shape)
+            self.unit_ids[self.n_ids : self.n_ids + len(ids)] = ids
+            self.n_ids += len(ids)
             at += len(lot)
-        self.unit_score, self.unit_size, self.unit_ids = np.concatenate(scores), np.concatenate(sizes), np.concatenate(ids)
-        n = self.unit_size.ravel()
-        self.unit_start = (np.cumsum(n) - n).reshape(self.unit_size.shape)
 
     def _gather(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         ends = np.cumsum(size)
@@ -317,10 +320,10 @@ def vocabulary(model: str = MODEL) -> tuple[tuple[str, float, int], ...]:
 
 def encode(docs: DataFrame, n_best: int = 1, model: str = MODEL) -> DataFrame:
     """(doc_id, nbest array<struct<score, ids>>), best first; the vocabulary travels with the tasks."""
-    pieces = docs.sparkSession.sparkContext.broadcast(vocabulary(model))  # as large as the model file
+    shared = docs.sparkSession.sparkContext.broadcast(Lattice(vocabulary(model), n_best))  # a few times the model file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(pieces.value, n_best)
+        lattice = shared.value  # one for each worker: what it has learnt serves its next task
         for whole in batches:
             for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
                 got = lattice.encode(b.column(1).to_pylist())
@@ -336,10 +339,10 @@ def encode(docs: DataFrame, n_best: int = 1, model: str = MODEL) -> DataFrame:
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """Rows of encode() with texts array<string>: the text that each segmentation gives back."""
-    pieces = encoded.sparkSession.sparkContext.broadcast(vocabulary(model))
+    shared = encoded.sparkSession.sparkContext.broadcast(Lattice(vocabulary(model), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(pieces.value, 1)
+        lattice = shared.value
         for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             nbest = b.column(1)
             ids = nbest.flatten().field("ids")
