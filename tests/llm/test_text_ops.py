@@ -1,3 +1,4 @@
+import decimal
 import hashlib
 import itertools
 import json
@@ -90,6 +91,28 @@ def test_mixing_meets_weights_and_repeats_alike(spark):
     assert mixing.mix(d.limit(0)).count() == 0 and mixing.mix(d).columns[:7] == d.columns
 
 
+def test_mixing_inverts_large_means(spark):
+    u = [2.0**-52, 1e-9, 0.01, 0.3, 0.5, 0.9, 0.9999, 1 - 2.0**-40]
+    for rate in (64.5, 100.0, 181.3, 800.0, 20_000.0):
+        d = spark.createDataFrame([(x,) for x in u], "u double").select("u", mixing.poisson_count(F.col("u"), F.lit(rate)).alias("k"))
+        with decimal.localcontext(prec=60):
+            p = cdf = decimal.Decimal(-rate).exp()
+            k = 0
+            for r in sorted(d.collect(), key=lambda r: r["u"]):
+                while decimal.Decimal(r["u"]) >= cdf:
+                    k += 1
+                    p = p * decimal.Decimal(rate) / k
+                    cdf += p
+                assert r["k"] == k, (rate, r["u"])
+
+
+def test_mixing_meets_weights_of_small_sources(spark):
+    rows = [(i, "t" * 100, "big") for i in range(10_000)] + [(20_000 + i, "t" * 100, "small") for i in range(10)]
+    got = mixing.mix(docs(spark, rows), weights={"big": 0.9, "small": 0.1}).groupBy("source").count().collect()
+    n = {r["source"]: r["count"] for r in got}
+    assert abs(n["small"] - 1001) < 130 and abs(n["big"] - 9009) < 400
+
+
 # --- SentencePiece
 
 

@@ -21,8 +21,8 @@ from varloom.storage import materialize, partitions
 
 #: A source table of more rows than this isn't broadcast.
 BROADCAST_SOURCES = 20_000
-#: No document is asked for more often than this on average.
-MAX_RATE = 64.0
+#: Up to this rate the distribution is summed from zero, beyond it over the counts around the rate.
+FROM_ZERO = 64.0
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -33,6 +33,10 @@ def uniform(key: Column, seed: str) -> Column:
 
 def poisson_count(u: Column, rate: Column) -> Column:
     """The least k whose cumulative Poisson probability is over u."""
+    return F.when(rate <= FROM_ZERO, _from_zero(u, rate)).when(u <= 0, F.lit(0)).otherwise(_around_rate(u, rate))
+
+
+def _from_zero(u: Column, rate: Column) -> Column:
     steps = F.sequence(F.lit(1), F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int"))
     start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"))
 
@@ -44,6 +48,29 @@ def poisson_count(u: Column, rate: Column) -> Column:
     return F.aggregate(steps, start, step, lambda at: at["k"])
 
 
+def _around_rate(u: Column, rate: Column) -> Column:
+    """For large rates, where exp(-rate) underflows: weights relative to that of the least count looked at, over their sum.
+
+    What lies outside of 12 standard deviations has less than 1e-30 of the probability, and u is a multiple of 2^-52.
+    """
+    low = F.greatest(F.floor(rate - 12 * F.sqrt(rate) - 20).cast("int"), F.lit(0))
+    steps = F.sequence(low + 1, F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int"))
+    one = F.lit(1.0)
+
+    def add(at: Column, i: Column) -> Column:
+        p = at["p"] * rate / i
+        return F.struct(p.alias("p"), (at["sum"] + p).alias("sum"))
+
+    goal = u * F.aggregate(steps, F.struct(one.alias("p"), one.alias("sum")), add, lambda at: at["sum"])
+
+    def step(at: Column, i: Column) -> Column:
+        p = at["p"] * rate / i
+        over = at["goal"] >= at["cdf"]
+        return F.struct(p.alias("p"), F.when(over, at["cdf"] + p).otherwise(at["cdf"]).alias("cdf"), F.when(over, i).otherwise(at["k"]).alias("k"), at["goal"].alias("goal"))
+
+    return F.aggregate(steps, F.struct(one.alias("p"), one.alias("cdf"), low.alias("k"), goal.alias("goal")), step, lambda at: at["k"])
+
+
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0) -> DataFrame:
     """(source_mix, rate_mix). Without weights a source weighs its characters to the power `temperature`."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
@@ -58,7 +85,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     total = per.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
     goal, weight = float(total["size"] or 0) * epochs, float(total["weight"] or 0)
     rate = F.when((F.col("size") > 0) & F.lit(weight > 0), F.col("weight") / F.lit(weight or 1.0) * F.lit(goal) / F.col("size")).otherwise(F.lit(1.0))
-    return per.select("source_mix", F.least(rate, F.lit(MAX_RATE)).alias("rate_mix"))
+    return per.select("source_mix", rate.alias("rate_mix"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: str = "mix") -> DataFrame:
