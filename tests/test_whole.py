@@ -1,0 +1,36 @@
+"""Queries that run on all rows, against SQL in which the subsets of the cut queries are taken out."""
+
+import duckdb
+import pytest
+
+from varloom import queries as core
+from varloom.functions import sequence
+
+KNOWN = [("p_partkey % 5 < 4", "p_size <= 25"), ("p_partkey % 3 > 0", "p_size <= 25"), ("s_suppkey % 5 = 0", "s_acctbal > 0"), ("s_suppkey % 4 = 0", "s_acctbal > 0"), ("s_suppkey = acc % 100", "s_suppkey = acc")]
+ALL = ["l_orderkey < 500", "l_orderkey < 300", "l_orderkey < 400", "l_orderkey < 100", "o_orderkey % 7 = 0"]
+
+
+def clean(rows):
+    return sorted((tuple(round(x, 6) if isinstance(x, float) else None if x != x else x for x in r) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("name", ["effect_prediction_two_modes", "per_base_scores", "clinical_first_hit", "domain_density", "packed_transcripts", "dblink_pivot", "bipartite_diffusion_k"])
+def test_whole_queries_equal_sql_without_subsets(spark, sf, name):
+    sql = core.ORACLE[name]
+    for cut, to in KNOWN + [(c, "true") for c in ALL]:
+        sql = sql.replace(cut, to)
+    db = duckdb.connect()
+    for t in ("lineitem", "orders", "part", "supplier", "nation"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    cut, got = core.QUERIES[name](spark, sf), core.QUERIES[f"{name}_whole"](spark, sf)
+    rows = clean(map(tuple, got.collect()))
+    assert rows == clean(db.execute(sql).fetchall())
+    assert len(rows) > cut.count() or rows != clean(map(tuple, cut.collect()))
+
+
+def test_whole_sequences_are_translated(spark, sf):
+    bases = {r["p_partkey"]: r["rc"] for r in core.QUERIES["reverse_complement"](spark, sf).collect()}
+    turn = str.maketrans("ACGT", "TGCA")
+    for r in core.QUERIES["codon_translate_whole"](spark, sf).collect():
+        s = bases[r["p_partkey"]][::-1].translate(turn)
+        assert r["peptide"] == "".join(sequence.CODONS.get(s[i : i + 3], "X") for i in range(0, len(s) - 2, 3))

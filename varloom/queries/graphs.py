@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.operators import network, phenotype
@@ -55,7 +56,16 @@ def _bipartite_sql(k: int) -> str:
 
 @query(_bipartite_sql(3))
 def bipartite_diffusion_k(t: Tables):
-    r0 = t.supplier.where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("node"), F.abs("s_acctbal").alias("value"))
+    return _bipartite(t, t.supplier.where("s_suppkey % 5 = 0"))
+
+
+@query()
+def bipartite_diffusion_k_whole(t: Tables):
+    return _bipartite(t, t.supplier.where("s_acctbal > 0"))
+
+
+def _bipartite(t: Tables, seeds: DataFrame):
+    r0 = seeds.select(F.col("s_suppkey").alias("node"), F.abs("s_acctbal").alias("value"))
     out = network.bipartite_diffusion(_edges(t), r0, rounds=3)
     return out.orderBy(F.desc("value"), "node").limit(25).select("node", F.round("value", 8).alias("value"))
 

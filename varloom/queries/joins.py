@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.operators import aggregates, intervals, sites
@@ -187,7 +188,16 @@ def all_pairs_lt(t: Tables):
     b AS (SELECT l_partkey, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS ids FROM (SELECT DISTINCT v.l_partkey, l_orderkey AS o FROM v JOIN lineitem l ON l.l_partkey = v.l_partkey WHERE l_quantity > 40) GROUP BY 1)
     SELECT p.l_partkey, coalesce(a.ids, 'NULL') AS sizes, coalesce(b.ids, 'NULL') AS large_orders FROM (SELECT DISTINCT l_partkey FROM v) p LEFT JOIN a USING (l_partkey) LEFT JOIN b USING (l_partkey)""")
 def dblink_pivot(t: Tables):
-    v = t.lineitem.where("l_orderkey < 100").select("l_partkey").distinct()
+    return _links(t, t.lineitem.where("l_orderkey < 100"))
+
+
+@query()
+def dblink_pivot_whole(t: Tables):
+    return _links(t, t.lineitem)
+
+
+def _links(t: Tables, lines: DataFrame):
+    v = lines.select("l_partkey").distinct()
     sizes = t.part.where("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("id"))
     large = t.lineitem.where("l_quantity > 40").select("l_partkey", F.col("l_orderkey").alias("id"))
     return sites.source_links(v, ["l_partkey"], {"sizes": sizes, "large_orders": large}, ["l_partkey"], "id")

@@ -116,9 +116,18 @@ def reverse_complement(t: Tables):
 @query(f"""WITH x AS (SELECT p_partkey, {_BASES} AS s, p_partkey % len(p_name) AS i FROM part), y AS (SELECT *, substr(s, CAST(3 * (i // 3) + 1 AS BIGINT), 3) AS codon FROM x)
     SELECT p_partkey, {_case(sequence.CODONS, "substr(s, 1, 3)")} || {_case(sequence.CODONS, "substr(s, 4, 3)")} AS peptide, codon, CAST(i // 3 + 1 AS INTEGER) AS aa_pos, {_case(sequence.CODONS, "codon")} AS aa, CAST(i % 3 + 1 AS INTEGER) AS codon_offset FROM y""")
 def codon_translate(t: Tables):
-    b = _bases()
-    at = sequence.codon_at(b, F.col("p_partkey") % F.length("p_name"))
-    return t.part.select("p_partkey", sequence.translate(F.substr(b, F.lit(1), F.lit(6))).alias("peptide"), at["codon"].alias("codon"), at["aa_pos"].alias("aa_pos"), at["aa"].alias("aa"), at["offset"].alias("codon_offset"))
+    return _translated(t, F.substr(_bases(), F.lit(1), F.lit(6)))
+
+
+@query()
+def codon_translate_whole(t: Tables):
+    """Peptides of whole sequences; the SQL of codon_translate knows their first six bases."""
+    return _translated(t, _bases())
+
+
+def _translated(t: Tables, cds):
+    at = sequence.codon_at(_bases(), F.col("p_partkey") % F.length("p_name"))
+    return t.part.select("p_partkey", sequence.translate(cds).alias("peptide"), at["codon"].alias("codon"), at["aa_pos"].alias("aa_pos"), at["aa"].alias("aa"), at["offset"].alias("codon_offset"))
 
 
 @query(f"""WITH s AS (SELECT p_partkey, {_BASES} || {_BASES} AS s FROM part), m AS (SELECT unnest(['AAG', 'GAA', 'CAC', 'TCA']) AS motif),
