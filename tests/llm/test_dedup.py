@@ -126,3 +126,51 @@ def test_keep_one_takes_near_copies_and_leaves_others(spark):
     kept = simhash.keep_one(docs(spark, rows))
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(20)) + [200, 201, 202, 203]
     assert simhash.keep_one(docs(spark, rows).limit(0)).count() == 0
+
+
+def slow_similarity(a, b):
+    of = lambda t: {tuple(w) for w in zip(*(t.split()[i:] for i in range(5)), strict=False)}
+    return len(of(a) & of(b)) / len(of(a) | of(b))
+
+
+def test_near_copies_are_told_by_their_shingle_sets(spark):
+    rng, rows, expected = random.Random(9), [], set()
+    for i in range(120):
+        w = [f"t{rng.randrange(10**6)}" for _ in range(204)]
+        # Shingles lost to other words at the end of the text: a similarity around 0.8, on both sides.
+        k = rng.randrange(14, 33)
+        a, b = " ".join(w), " ".join(w[: 204 - k] + [f"u{rng.randrange(10**6)}" for _ in range(k)])
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        expected |= {2 * i} if slow_similarity(a, b) >= 0.8 else {2 * i, 2 * i + 1}
+    assert 150 < len(expected) < 200
+    line = "one line of boiler plate text that repeats itself over and over "
+    rows += [(1000, line * 3 + "and an end of a few words"), (1001, line * 40 + "and an end of a few words")]
+    got = {r["doc_id"] for r in simhash.keep_one(docs(spark, rows)).collect()}
+    assert got == expected | {1000}
+
+
+def test_candidates_of_large_cells_reach_all_that_is_near():
+    rng = np.random.default_rng(4)
+    centre = rng.integers(0, 2**63, (3, 8), dtype=np.uint64)
+    fp = centre[rng.integers(0, 3, 400)].copy()
+    for row in fp:
+        for b in rng.choice(512, rng.integers(0, 60), replace=False):
+            row[b // 64] ^= np.uint64(1 << int(b % 64))
+    node = rng.permutation(400).astype(np.int64)
+    root = {int(x): int(x) for x in node}
+    for cut in (400, 100):
+        size = np.arange(400) // cut
+        found = simhash._candidates(size, fp, node, 108).tolist()
+        near = [(i, j) for i in range(400) for j in range(i) if size[i] == size[j] and simhash._apart(fp[i], fp[j]) <= 108]
+
+        def classes(pairs):
+            own = dict(root)
+            for _ in range(400):
+                was = dict(own)
+                for a, b in pairs:
+                    own[a] = own[b] = min(own[a], own[b])
+                if own == was:
+                    break
+            return own
+
+        assert classes(found) == classes([(int(node[i]), int(node[j])) for i, j in near])

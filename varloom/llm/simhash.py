@@ -15,6 +15,10 @@ PIVOTS reference fingerprints. By the triangle inequality a pair whose rows diff
 difference and only survivors are verified bit by bit. Cells yield spanning links, never all pairs
 of a group; components come from contracting the links over written tables.
 
+near_copies() uses fingerprints (of shingle sets, so that repeats don't count) as candidate search alone:
+the texts of each candidate pair are compared by the Jaccard similarity of their shingle sets before they
+link. Candidates that differ in TIGHT bits or fewer are cut to those that span their group in a batch.
+
 Null text is empty text; a text without words has fingerprint zero and links like any other. A
 null doc_id counts as larger than all (a component of null ids alone has a null id). Repeated
 rows each get their row. An empty table gives an empty result. Other columns are never looked at.
@@ -38,6 +42,8 @@ PIVOTS = 16
 BAND_RECALL = 0.97
 #: Fingerprints that a cell holds on average, at most.
 OCCUPANCY = 128
+#: Pairs within so many of 512 bits all but surely have a similarity over 0.8 (78 bits, give or take 8).
+TIGHT = 48
 
 
 def _mixed(seed: int, n: int) -> np.ndarray:
@@ -65,21 +71,20 @@ def _majority(h: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def simhash(text: bytes, words: int = 4, seed: int = 42, width: int = 1) -> bytes:
-    """Fingerprint of a UTF-8 text, big-endian; bytes.lower and bytes.split know ASCII letters and white space only.
-
-    The first word is the SimHash of the shingles' XXH64; each further word is that of the hashes mixed once more.
-    """
+def _shingles(text: bytes, words: int, seed: int) -> np.ndarray:
+    """XXH64 of a text's word shingles, none without words."""
     from xxhash import xxh64_intdigest as xxh
 
     w = text.lower().split()
-    if not w:
-        return bytes(8 * width)
     if len(w) < words:
-        h = np.array([xxh(b" ".join(w), seed)], dtype="<u8")
-    else:
-        shingles = map(b" ".join, zip(*(itertools.islice(w, i, None) for i in range(words)), strict=False))
-        h = np.fromiter((xxh(s, seed) for s in shingles), dtype="<u8", count=len(w) - words + 1)
+        return np.array([xxh(b" ".join(w), seed)] if w else [], dtype="<u8")
+    shingles = map(b" ".join, zip(*(itertools.islice(w, i, None) for i in range(words)), strict=False))
+    return np.fromiter((xxh(s, seed) for s in shingles), dtype="<u8", count=len(w) - words + 1)
+
+
+def _fingerprint(h: np.ndarray, seed: int, width: int) -> bytes:
+    if not len(h):
+        return bytes(8 * width)
     out = [_majority(h)]
     for salt in _mixed(seed, width - 1):
         x = (h ^ salt) * _SPREAD
@@ -87,6 +92,14 @@ def simhash(text: bytes, words: int = 4, seed: int = 42, width: int = 1) -> byte
     return b"".join(x.to_bytes(8, "big") for x in out)
 
 
+def simhash(text: bytes, words: int = 4, seed: int = 42, width: int = 1) -> bytes:
+    """Fingerprint of a UTF-8 text, big-endian; bytes.lower and bytes.split know ASCII letters and white space only.
+
+    The first word is the SimHash of the shingles' XXH64; each further word is that of the hashes mixed once more.
+    """
+    return _fingerprint(_shingles(text, words, seed), seed, width)
+
+
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, width: int = 1) -> DataFrame:
     """(doc_id, fp): fp is the big-endian fingerprint."""
 
@@ -107,7 +120,7 @@ def _cells(n: int, radius: int, width: int) -> list[np.ndarray]:
             if n <= OCCUPANCY << least or least >= 40:
                 break
         return [np.concatenate(c) for c in itertools.combinations(blocks, extra)]
-    bits = max(16, math.ceil(math.log2(max(1, n) / OCCUPANCY)))
+    bits = max(12, math.ceil(math.log2(max(1, n) / OCCUPANCY)))
     agree = (1 - radius / (64 * width)) ** bits
     bands = math.ceil(math.log(1 - BAND_RECALL) / math.log(1 - agree))
     rng = np.random.default_rng(7)
@@ -256,12 +269,147 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     return rows.join(materialize(of, "components"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 84, width: int = 8) -> DataFrame:
+def _candidates(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> np.ndarray:
+    """(u, v) of the pairs in consecutive whole cells that differ in `radius` bits or fewer; within TIGHT bits, spanning ones."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    pairs: list[tuple[int, int]] = []
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        for i, j in zip(node[a].tolist(), node[b].tolist(), strict=True):
+            if (x := find(i)) != (y := find(j)):
+                parent[x] = y
+                pairs.append((i, j))
+
+    loose = []
+    small = np.repeat(sizes <= 256, sizes)
+    at, end = np.flatnonzero(small), np.repeat(starts + sizes, sizes)[small]
+    for off in range(1, 256):
+        keep = at + off < end
+        at, end = at[keep], end[keep]
+        if not len(at):
+            break
+        d = np.concatenate([_apart(fp[x], fp[x + off]) for x in np.array_split(at, len(at) // 4096 + 1)])
+        join(at[d <= TIGHT], at[d <= TIGHT] + off)
+        some = at[(d > TIGHT) & (d <= radius)]
+        loose.append(np.stack([some, some + off], axis=1))
+    for s, n in zip(starts[sizes > 256].tolist(), sizes[sizes > 256].tolist(), strict=True):
+        todo = np.arange(s, s + n)
+        while len(todo):
+            # One tight group at a time, then its pairs with all that lies outside of it.
+            front, group, todo = [int(todo[0])], [int(todo[0])], todo[1:]
+            while front and len(todo):
+                i = front.pop()
+                near = _apart(fp[todo], fp[i]) <= TIGHT
+                found = todo[near]
+                join(np.full(len(found), i), found)
+                front += found.tolist()
+                group += found.tolist()
+                todo = todo[~near]
+            for i in group if len(todo) else ():
+                some = todo[_apart(fp[todo], fp[i]) <= radius]
+                loose.append(np.stack([np.full(len(some), i), some], axis=1))
+    far = node[np.concatenate(loose)] if loose else np.empty((0, 2), np.int64)
+    far = [(i, j) for i, j in np.unique(np.sort(far, axis=1), axis=0).tolist() if find(i) != find(j)]
+    return np.sort(np.array(pairs + far, dtype=np.int64).reshape(-1, 2), axis=1)
+
+
+def candidates(nodes: DataFrame, n: int, radius: int, width: int) -> DataFrame:
+    """(u, v): pairs of the n nodes (node, fp) to be verified."""
+    keys = _cells(n, radius, width)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 8 * width), axis=1).astype(np.int64)
+            for c, places in enumerate(keys):
+                key = bits[:, places] @ (np.int64(1) << np.arange(len(places), dtype=np.int64)) * len(keys) + c
+                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["k", "node", "fp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, fp = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width), np.uint64)
+        for b in itertools.chain(batches, [None]):
+            cut = len(key)
+            if b is not None:
+                key, node = np.r_[key, b.column(0).to_numpy()], np.r_[node, b.column(1).to_numpy()]
+                fp = np.concatenate([fp, _array(b.column(2), width)])
+                # The last cell may go on in the next batch.
+                cut = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1]) if len(key) else 0
+            if cut:
+                found = _candidates(key[:cut], fp[:cut], node[:cut], radius)
+                key, node, fp = key[cut:], node[cut:], fp[cut:]
+                for x in np.array_split(found, len(found) // 100_000 + 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["u", "v"])
+
+    p = partitions(nodes.sparkSession)
+    cells = nodes.select("node", "fp").mapInArrow(deal, "k long, node long, fp binary")
+    return cells.repartition(p, "k").sortWithinPartitions("k").mapInArrow(run, "u long, v long").distinct()
+
+
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets have a Jaccard similarity of `similarity` or more; two empty ones do."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 108, width: int = 8, seed: int = 42) -> DataFrame:
+    """(doc_id, component_id) per document: the smallest doc_id that a chain of texts reaches whose shingle sets have the similarity."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for b in batches:
+            h = [np.unique(_shingles(t, words, seed)) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            fp, own = [_fingerprint(x, seed, width) for x in h], [xxh3_128_digest(x.tobytes()) for x in h]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), pa.array(own, pa.binary()), b.column(2)], names=["doc_id", "fp", "own", "hash"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda t: np.unique(_shingles(t, words, seed))
+        last, mine = None, None
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist(), strict=True):
+                if x != last:
+                    last, mine = x, of(x)
+                keep.append(_alike(mine, of(y), similarity))
+            yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    text = id_and_text(docs).withColumn("hash", F.md5(F.col("text").cast("binary")))
+    rows = materialize(text.mapInArrow(sets, "doc_id long, fp binary, own binary, hash string"), "sets")
+    nodes = rows.groupBy("own").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id"), F.min("hash").alias("hash"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    pairs = materialize(candidates(nodes, nodes.count(), radius, width), "candidates")
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "hash"), "node")
+    asked = materialize(asked, "asked")
+    texts = asked.join(text.select("hash", "text"), "hash").groupBy("node").agg(F.any_value("text").alias("text"))
+    texts = materialize(texts, "texts")
+    at = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"_{c}"))
+    both = pairs.join(at("v"), "v").join(at("u"), "u").select("u", "v", "_u", "_v")
+    edges = materialize(both.mapInArrow(verify, "u long, v long"), "edges")
+    if edges.isEmpty():
+        of = nodes.select("own", F.col("first_id").alias("component_id"))
+    else:
+        linked = materialize(nodes.join(components(edges), "node").select("own", "first_id", "root"), "linked")
+        least = materialize(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "roots")
+        found = linked.join(least, "root").select(F.col("own").alias("of"), "component_id")
+        of = nodes.join(found, F.col("own") == F.col("of"), "left").select("own", F.coalesce("component_id", "first_id").alias("component_id"))
+    out = rows.join(materialize(of, "components"), "own").select("doc_id", "component_id")
+    discard(texts)
+    return out
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 108, width: int = 8) -> DataFrame:
     """The documents with the smallest doc_id of each component, with all their columns.
 
-    Texts whose shingle sets have a Jaccard similarity of 0.8 differ in 78 of 512 bits on average, give or take 8.
+    Shingle sets with a Jaccard similarity of 0.8 differ in 78 of 512 bits on average, give or take 8: `radius` leaves room for nearly all.
     """
-    stay = near_duplicates(docs, words, radius, width=width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__near_id")).distinct()
+    stay = near_copies(docs, words, similarity, radius, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__near_id")).distinct()
     d = docs.withColumn("__near_doc", F.col("doc_id").cast("long")).join(stay, F.col("__near_doc").eqNullSafe(F.col("__near_id")), "left_semi")
     # Rows that repeat in full are one document; the join's partitioning by document serves this window too.
     d = d.withColumn("__near_text", F.xxhash64(F.col("text").cast("string")))
