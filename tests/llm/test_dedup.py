@@ -149,28 +149,61 @@ def test_near_copies_are_told_by_their_shingle_sets(spark):
     assert got == expected | {1000}
 
 
-def test_candidates_of_large_cells_reach_all_that_is_near():
-    rng = np.random.default_rng(4)
-    centre = rng.integers(0, 2**63, (3, 8), dtype=np.uint64)
-    fp = centre[rng.integers(0, 3, 400)].copy()
-    for row in fp:
-        for b in rng.choice(512, rng.integers(0, 60), replace=False):
-            row[b // 64] ^= np.uint64(1 << int(b % 64))
-    node = rng.permutation(400).astype(np.int64)
-    root = {int(x): int(x) for x in node}
-    for cut in (400, 100):
-        size = np.arange(400) // cut
-        found = simhash._candidates(size, fp, node, 108).tolist()
-        near = [(i, j) for i in range(400) for j in range(i) if size[i] == size[j] and simhash._apart(fp[i], fp[j]) <= 108]
-
-        def classes(pairs):
-            own = dict(root)
-            for _ in range(400):
-                was = dict(own)
-                for a, b in pairs:
-                    own[a] = own[b] = min(own[a], own[b])
-                if own == was:
-                    break
-            return own
-
-        assert classes(found) == classes([(int(node[i]), int(node[j])) for i, j in near])
+def family(rng, n, length=60, most=14):
+    """Texts that are one text with some words changed."""
+    w = [f"t{i}" for i in range(length)]
+    out = []
+    for _ in range(n):
+        own = list(w)
+        for k in rng.sample(range(length), rng.randrange(most)):
+            own[k] = f"u{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    return list(dict.fromkeys(out))
+
+
+def test_groups_of_many_blocks_link_as_all_pairs_do(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    rng = random.Random(2)
+    texts = family(rng, 90) + family(rng, 5, 200, 3)
+    root = list(range(len(texts)))
+    for _ in range(3):
+        for i, a in enumerate(texts):
+            for j, b in enumerate(texts[:i]):
+                if slow_similarity(a, b) >= 0.8:
+                    root[i] = root[j] = min(root[i], root[j])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(root)) and 1 < len(set(root)) < len(texts)
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_shared_counts_and_links_of_blocks(sides, monkeypatch):
+    monkeypatch.setattr(simhash, "COLUMNS", 16)
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(40)]
+    shared = simhash._shared(sets)
+    side, near = np.arange(40) % sides, set()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            both = len(set(a.tolist()) & set(b.tolist()))
+            assert i == j or shared[i, j] == both
+            if i != j and (sides == 1 or side[i] != side[j]) and both >= 0.5 * (len(a) + len(b) - both):
+                near.add((min(i, j), max(i, j)))
+    found = {(min(p), max(p)) for p in simhash._link_block(sets, side, 0.5)}
+    assert found <= near and len(found) < 40
+
+    def classes(pairs):
+        root = list(range(40))
+        for _ in range(40):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert classes(found) == classes(near)
+
+
+def test_one_document_stays_where_ids_are_null_or_shared(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"t{rng.randrange(5000)}" for _ in range(300)) for _ in range(3))
+    rows = [(None, a), (None, a + " tail"), (None, a + " other tail"), (7, b), (7, b + " tail"), (8, b + " more"), (9, c), (9, c), (None, c + " tail")]
+    kept = [(r["doc_id"], r["text"].split()[0]) for r in simhash.keep_one(docs(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a.split()[0]), (7, b.split()[0]), (9, c.split()[0])], key=str)

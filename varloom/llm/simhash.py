@@ -15,9 +15,12 @@ PIVOTS reference fingerprints. By the triangle inequality a pair whose rows diff
 difference and only survivors are verified bit by bit. Cells yield spanning links, never all pairs
 of a group; components come from contracting the links over written tables.
 
-near_copies() uses fingerprints (of shingle sets, so that repeats don't count) as candidate search alone:
-the texts of each candidate pair are compared by the Jaccard similarity of their shingle sets before they
-link. Candidates that differ in TIGHT bits or fewer are cut to those that span their group in a batch.
+near_copies() uses wide fingerprints (of shingle sets, so that repeats don't count) as candidate search alone:
+bands decide which pairs are looked at, and in cells of over SMALL members pivots taken from the cell itself
+discard pairs before their bits are compared (pivots drawn at random are all half the bits away and
+discard nothing at such a radius). Its links only gather texts into groups; inside of a group the shingle sets
+themselves are compared, BLOCK texts against BLOCK texts in one task, and what reaches the Jaccard
+similarity links. Neither step writes a row for a pair: both give links that span.
 
 Null text is empty text; a text without words has fingerprint zero and links like any other. A
 null doc_id counts as larger than all (a component of null ids alone has a null id). Repeated
@@ -42,8 +45,12 @@ PIVOTS = 16
 BAND_RECALL = 0.97
 #: Fingerprints that a cell holds on average, at most.
 OCCUPANCY = 128
-#: Pairs within so many of 512 bits all but surely have a similarity over 0.8 (78 bits, give or take 8).
-TIGHT = 48
+#: Cells of up to so many members are compared offset by offset, larger ones by growing components.
+SMALL = 256
+#: Texts of a group that one task compares with as many others, and their shingles.
+BLOCK, BLOCK_SHINGLES = 96, 4_000_000
+#: Distinct shingles that a comparison looks at together.
+COLUMNS = 8192
 
 
 def _mixed(seed: int, n: int) -> np.ndarray:
@@ -157,7 +164,8 @@ def _link_sorted(cell: np.ndarray, fp: np.ndarray, radius: int, pivots: np.ndarr
     """Spanning links of consecutive whole cells."""
     starts = np.flatnonzero(np.r_[True, np.any(cell[1:] != cell[:-1], axis=1)])
     sizes = np.diff(np.r_[starts, len(fp)])
-    table = np.stack([_apart(fp, p) for p in pivots], axis=1).astype(np.int16)
+    wide = fp.shape[1] > 1
+    table = np.empty((len(fp), 0), np.int16) if wide else np.stack([_apart(fp, p) for p in pivots], axis=1).astype(np.int16)
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -165,11 +173,18 @@ def _link_sorted(cell: np.ndarray, fp: np.ndarray, radius: int, pivots: np.ndarr
             parent[x] = x = parent.get(up, up)
         return x
 
-    pairs: list[tuple[int, int]] = []
-    # Cells of up to 256: the pairs at each offset, of all cells at once.
-    small = np.repeat(sizes <= 256, sizes)
+    out, raw = [], fp.astype(">u8")
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            if (x := find(i)) != (y := find(j)):
+                parent[x] = y
+                out.append((raw[i].tobytes(), raw[j].tobytes()))
+
+    # Small cells: the pairs at each offset, of all cells at once.
+    small = np.repeat(sizes <= SMALL, sizes)
     at, end = np.flatnonzero(small), np.repeat(starts + sizes, sizes)[small]
-    for off in range(1, 256):
+    for off in range(1, SMALL):
         keep = at + off < end
         at, end = at[keep], end[keep]
         if not len(at):
@@ -177,15 +192,14 @@ def _link_sorted(cell: np.ndarray, fp: np.ndarray, radius: int, pivots: np.ndarr
         x = at
         for k in range(table.shape[1]):  # the pivots one by one: most pairs are gone after a few
             x = x[np.abs(table[x, k] - table[x + off, k]) <= radius]
-        x = x[_apart(fp[x], fp[x + off]) <= radius]
-        pairs += zip(x.tolist(), (x + off).tolist(), strict=True)
-    for s, n in zip(starts[sizes > 256].tolist(), sizes[sizes > 256].tolist(), strict=True):
-        pairs += [(s + i, s + j) for i, j in _link_cell(fp[s : s + n], table[s : s + n], radius)]
-    out, raw = [], fp.astype(">u8")
-    for i, j in pairs:
-        if (a := find(i)) != (b := find(j)):
-            parent[a] = b
-            out.append((raw[i].tobytes(), raw[j].tobytes()))
+        for y in np.array_split(x, len(x) // 65536 + 1):
+            y = y[_apart(fp[y], fp[y + off]) <= radius]
+            join(y, y + off)
+    for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        own = fp[s : s + n]
+        rows = np.stack([_apart(own, p) for p in own[:: -(-n // PIVOTS)]], axis=1).astype(np.int16) if wide else table[s : s + n]
+        found = np.array(_link_cell(own, rows, radius), np.int64).reshape(-1, 2) + s
+        join(found[:, 0], found[:, 1])
     return out
 
 
@@ -269,97 +283,73 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     return rows.join(materialize(of, "components"), "fp").select("doc_id", "fp", "component_id")
 
 
-def _candidates(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> np.ndarray:
-    """(u, v) of the pairs in consecutive whole cells that differ in `radius` bits or fewer; within TIGHT bits, spanning ones."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    parent: dict[int, int] = {}
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two sets share."""
+    n, size = len(sets), [len(x) for x in sets]
+    doc, (_, at) = np.repeat(np.arange(n), size), np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(at, minlength=1) > 1
+    keep = often[at]
+    doc, at = doc[keep], (np.cumsum(often) - 1)[at[keep]]
+    order = np.argsort(at, kind="stable")
+    doc, at, out = doc[order], at[order], np.zeros((n, n), np.float32)
+    for s in range(0, int(often.sum()), COLUMNS):
+        i, j = np.searchsorted(at, [s, s + COLUMNS])
+        x = np.zeros((n, int(at[j - 1]) - s + 1), np.float32)
+        x[doc[i:j], at[i:j] - s] = 1
+        out += x @ x.T
+    return out
 
-    def find(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(up, up)
-        return x
 
-    pairs: list[tuple[int, int]] = []
+def _link_block(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Spanning links of the pairs whose sets are similar; with two sides those across them."""
+    size, both = np.array([len(x) for x in sets], np.float64), _shared(sets).astype(np.float64)
+    near = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
+    if side.min() != side.max():
+        near &= side[:, None] != side[None, :]
+    out, left = [], np.ones(len(sets), bool)
+    while left.any():
+        front = [int(left.argmax())]
+        left[front] = False
+        while front:
+            i = front.pop()
+            found = np.flatnonzero(near[i] & left)
+            left[found] = False
+            out += [(i, j) for j in found.tolist()]
+            front += found.tolist()
+    return out
 
-    def join(a: np.ndarray, b: np.ndarray) -> None:
-        for i, j in zip(node[a].tolist(), node[b].tolist(), strict=True):
-            if (x := find(i)) != (y := find(j)):
-                parent[x] = y
-                pairs.append((i, j))
 
-    loose = []
-    small = np.repeat(sizes <= 256, sizes)
-    at, end = np.flatnonzero(small), np.repeat(starts + sizes, sizes)[small]
-    for off in range(1, 256):
-        keep = at + off < end
-        at, end = at[keep], end[keep]
-        if not len(at):
-            break
-        d = np.concatenate([_apart(fp[x], fp[x + off]) for x in np.array_split(at, len(at) // 4096 + 1)])
-        join(at[d <= TIGHT], at[d <= TIGHT] + off)
-        some = at[(d > TIGHT) & (d <= radius)]
-        loose.append(np.stack([some, some + off], axis=1))
-    for s, n in zip(starts[sizes > 256].tolist(), sizes[sizes > 256].tolist(), strict=True):
-        todo = np.arange(s, s + n)
-        while len(todo):
-            # One tight group at a time, then its pairs with all that lies outside of it.
-            front, group, todo = [int(todo[0])], [int(todo[0])], todo[1:]
-            while front and len(todo):
-                i = front.pop()
-                near = _apart(fp[todo], fp[i]) <= TIGHT
-                found = todo[near]
-                join(np.full(len(found), i), found)
-                front += found.tolist()
-                group += found.tolist()
-                todo = todo[~near]
-            for i in group if len(todo) else ():
-                some = todo[_apart(fp[todo], fp[i]) <= radius]
-                loose.append(np.stack([np.full(len(some), i), some], axis=1))
-    far = node[np.concatenate(loose)] if loose else np.empty((0, 2), np.int64)
-    far = [(i, j) for i, j in np.unique(np.sort(far, axis=1), axis=0).tolist() if find(i) != find(j)]
-    return np.sort(np.array(pairs + far, dtype=np.int64).reshape(-1, 2), axis=1)
-
-
-def candidates(nodes: DataFrame, n: int, radius: int, width: int) -> DataFrame:
-    """(u, v): pairs of the n nodes (node, fp) to be verified."""
-    keys = _cells(n, radius, width)
+def similar(members: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links that span the similar sets of each group of members (root, blocks, block, node, set).
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 8 * width), axis=1).astype(np.int64)
-            for c, places in enumerate(keys):
-                key = bits[:, places] @ (np.int64(1) << np.arange(len(places), dtype=np.int64)) * len(keys) + c
-                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["k", "node", "fp"])
+    Each two blocks of a group meet in one task, which holds their sets and no others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, fp = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width), np.uint64)
-        for b in itertools.chain(batches, [None]):
-            cut = len(key)
-            if b is not None:
-                key, node = np.r_[key, b.column(0).to_numpy()], np.r_[node, b.column(1).to_numpy()]
-                fp = np.concatenate([fp, _array(b.column(2), width)])
-                # The last cell may go on in the next batch.
-                cut = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1]) if len(key) else 0
-            if cut:
-                found = _candidates(key[:cut], fp[:cut], node[:cut], radius)
-                key, node, fp = key[cut:], node[cut:], fp[cut:]
-                for x in np.array_split(found, len(found) // 100_000 + 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["u", "v"])
+        key, held = None, []
 
-    p = partitions(nodes.sparkSession)
-    cells = nodes.select("node", "fp").mapInArrow(deal, "k long, node long, fp binary")
-    return cells.repartition(p, "k").sortWithinPartitions("k").mapInArrow(run, "u long, v long").distinct()
+        def links() -> list[tuple[int, int]]:
+            found = _link_block([np.frombuffer(x, np.uint64) for _, _, x in held], np.array([b for b, _, _ in held]), similarity) if len(held) > 1 else []
+            return [(held[i][1], held[j][1]) for i, j in found]
 
+        parts = (b.slice(s, 256) for b in batches for s in range(0, len(b), 256))
+        for b in itertools.chain(parts, [None]):
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True) if b is not None else [(None,) * 6]:
+                if row[:3] != key:
+                    out += links()
+                    key, held = row[:3], []
+                held.append(row[3:])
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
 
-def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sets have a Jaccard similarity of `similarity` or more; two empty ones do."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+    meet = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meet = meet.select("root", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "set")
+    p = partitions(members.sparkSession)
+    return meet.repartition(p, "root", "a", "b").sortWithinPartitions("root", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 108, width: int = 8, seed: int = 42) -> DataFrame:
-    """(doc_id, component_id) per document: the smallest doc_id that a chain of texts reaches whose shingle sets have the similarity."""
+def _classes(docs: DataFrame, words: int, similarity: float, radius: int, width: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, hash, own) per document and (own, stays) per shingle set: stays is the (none, doc_id, hash) that its component's least row has."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -367,51 +357,64 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
         for b in batches:
             h = [np.unique(_shingles(t, words, seed)) for t in b.column(1).cast(pa.binary()).to_pylist()]
             fp, own = [_fingerprint(x, seed, width) for x in h], [xxh3_128_digest(x.tobytes()) for x in h]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), pa.array(own, pa.binary()), b.column(2)], names=["doc_id", "fp", "own", "hash"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp, pa.binary()), pa.array(own, pa.binary()), pa.array([len(x) for x in h], pa.int64())], names=["doc_id", "hash", "fp", "own", "n"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lambda t: np.unique(_shingles(t, words, seed))
-        last, mine = None, None
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                if x != last:
-                    last, mine = x, of(x)
-                keep.append(_alike(mine, of(y), similarity))
-            yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
+            for s in range(0, len(b), 256):
+                part = b.slice(s, 256)
+                found = [np.unique(_shingles(t, words, seed)).tobytes() for t in part.column(4).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(found, pa.binary())], names=["root", "blocks", "block", "node", "set"])
 
     text = id_and_text(docs).withColumn("hash", F.md5(F.col("text").cast("binary")))
-    rows = materialize(text.mapInArrow(sets, "doc_id long, fp binary, own binary, hash string"), "sets")
-    nodes = rows.groupBy("own").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id"), F.min("hash").alias("hash"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    pairs = materialize(candidates(nodes, nodes.count(), radius, width), "candidates")
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "hash"), "node")
-    asked = materialize(asked, "asked")
-    texts = asked.join(text.select("hash", "text"), "hash").groupBy("node").agg(F.any_value("text").alias("text"))
-    texts = materialize(texts, "texts")
-    at = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"_{c}"))
-    both = pairs.join(at("v"), "v").join(at("u"), "u").select("u", "v", "_u", "_v")
-    edges = materialize(both.mapInArrow(verify, "u long, v long"), "edges")
+    rows = materialize(text.mapInArrow(sets, "doc_id long, hash string, fp binary, own binary, n long"), "sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")
+    nodes = rows.groupBy("own").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), first).withColumn("node", F.monotonically_increasing_id())
+    nodes = materialize(nodes, "nodes")
+    alone = nodes.select("own", F.col("first").alias("stays"))
+    distinct = materialize(nodes.select("fp").distinct(), "distinct")
+    loose = materialize(links(distinct, distinct.count(), radius, width), "loose")
+    twins = nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    groups = components(loose).select(F.col("node").alias("fp"), "root") if not loose.isEmpty() else twins.select("fp", F.col("fp").alias("root"))
+    if not loose.isEmpty():
+        groups = groups.union(twins.join(groups.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root")))
+    members = materialize(nodes.join(groups, "fp").select("root", "node", "n", "first"), "members")
+    if members.isEmpty():
+        return rows, alone
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    large = members.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1")
+    members = members.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = members.select("root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", F.col("first.doc_id").alias("of_id"), F.col("first.hash").alias("of_hash"))
+    whose = F.col("of_id").eqNullSafe(F.col("doc_id")) & (F.col("of_hash") == F.col("hash"))
+    asked = members.join(text, whose).dropDuplicates(["node"]).select("root", "blocks", "block", "node", "text")
+    members = materialize(asked.mapInArrow(shingled, "root binary, blocks int, block int, node long, set binary"), "shingles")
+    edges = materialize(similar(members, similarity), "edges")
+    discard(members)
     if edges.isEmpty():
-        of = nodes.select("own", F.col("first_id").alias("component_id"))
-    else:
-        linked = materialize(nodes.join(components(edges), "node").select("own", "first_id", "root"), "linked")
-        least = materialize(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "roots")
-        found = linked.join(least, "root").select(F.col("own").alias("of"), "component_id")
-        of = nodes.join(found, F.col("own") == F.col("of"), "left").select("own", F.coalesce("component_id", "first_id").alias("component_id"))
-    out = rows.join(materialize(of, "components"), "own").select("doc_id", "component_id")
-    discard(texts)
-    return out
+        return rows, alone
+    linked = materialize(nodes.join(components(edges), "node").select("own", "first", "root"), "linked")
+    least = materialize(linked.groupBy("root").agg(F.min("first").alias("stays")), "roots")
+    found = linked.join(least, "root").select(F.col("own").alias("of"), F.col("stays").alias("joined"))
+    of = nodes.join(found, F.col("own") == F.col("of"), "left").select("own", F.coalesce("joined", "first").alias("stays"))
+    return rows, materialize(of, "components")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 108, width: int = 8, seed: int = 42) -> DataFrame:
+    """(doc_id, component_id) per document: the smallest doc_id that a chain of texts reaches whose shingle sets have the similarity."""
+    rows, of = _classes(docs, words, similarity, radius, width, seed)
+    return rows.join(of, "own").select("doc_id", F.col("stays.doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 108, width: int = 8) -> DataFrame:
-    """The documents with the smallest doc_id of each component, with all their columns.
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 108, width: int = 8, seed: int = 42) -> DataFrame:
+    """One document of each component, with all its columns: that with the smallest doc_id, null ids last; of several texts under one id the least by MD5.
 
     Shingle sets with a Jaccard similarity of 0.8 differ in 78 of 512 bits on average, give or take 8: `radius` leaves room for nearly all.
     """
-    stay = near_copies(docs, words, similarity, radius, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__near_id")).distinct()
-    d = docs.withColumn("__near_doc", F.col("doc_id").cast("long")).join(stay, F.col("__near_doc").eqNullSafe(F.col("__near_id")), "left_semi")
-    # Rows that repeat in full are one document; the join's partitioning by document serves this window too.
-    d = d.withColumn("__near_text", F.xxhash64(F.col("text").cast("string")))
+    _, of = _classes(docs, words, similarity, radius, width, seed)
+    stay = of.select(F.col("stays.doc_id").alias("__near_id"), F.col("stays.hash").alias("__near_of")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.select("*", F.col("doc_id").cast("long").alias("__near_doc"), F.md5(text.cast("binary")).alias("__near_text"))
+    d = d.join(stay, F.col("__near_doc").eqNullSafe(F.col("__near_id")) & (F.col("__near_text") == F.col("__near_of")), "left_semi")
+    # Rows that repeat in full are one document; the join's partitioning by document and text serves this window too.
     once = Window.partitionBy("__near_doc", "__near_text").orderBy("__near_doc")
     return d.withColumn("__near_n", F.row_number().over(once)).where("__near_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
