@@ -55,10 +55,11 @@ def lm_lower(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
 
-def test_lm_score_equals_brute_force(spark):
+@pytest.mark.parametrize("fan_bits", [12, 2])
+def test_lm_score_equals_brute_force(spark, fan_bits):
     rng = random.Random(2)
     rows = ODD + [(10 + i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 40)))) for i in range(40)]
-    got = lm_score.score(docs(spark, rows), block_bytes=500, bucket_bytes=300)
+    got = lm_score.score(docs(spark, rows), block_bytes=500, bucket_bytes=300, fan_bits=fan_bits)
     found, wanted = sorted((r["n_words"], r["log10_sum"]) for r in got.collect()), sorted(slow_scores(rows))
     assert [n for n, _ in found] == [n for n, _ in wanted]
     assert np.allclose([s for _, s in found], [s for _, s in wanted], atol=1e-5)
@@ -68,6 +69,22 @@ def test_lm_score_equals_brute_force(spark):
     assert lm_score.score(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_a_block_hands_out_a_bounded_number_of_rows():
+    for bits in range(1, 25):
+        lead = lm_score.first_bits(bits)
+        assert lead <= lm_score.FAN_BITS and bits - lead <= lead
+
+
+def test_hashes_come_back_from_packed_cells():
+    rng = np.random.default_rng(0)
+    for bits in (1, 4, 12):
+        keep = ~((np.uint64(1) << np.uint64(16 - bits)) - np.uint64(1))
+        keys = np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64) & keep)
+        cells = lm_score._cells(keys, np.ones(len(keys), np.int64), 0, 1 << bits, bits, 5, 7)
+        back = [(np.uint64(r.bucket) << np.uint64(64 - bits)) | ((lm_score._unpack(r.hashes) << np.uint64(16)) >> np.uint64(bits)) for r in cells.itertuples()]
+        assert (np.concatenate(back) == keys).all() and cells["words"].sum() == 7
+
+
 def test_mixing_counts_follow_poisson(spark):
     u = [(i + 0.5) / 2000 for i in range(2000)]
     for rate in (0.3, 1.0, 4.5, 60.0):

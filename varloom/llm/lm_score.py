@@ -1,6 +1,7 @@
 """LM scoring: Stupid-backoff scores over n-gram counts of the corpus itself.
 
-Documents are dealt into blocks, n-grams by their hash into buckets. Two rounds of joins:
+Documents are packed where they are read into blocks of about BLOCK_BYTES, n-grams are dealt by their
+hash into buckets of the count table. Two rounds of joins:
 
 1. A block explodes its documents' 1- and 2-grams to hashes, counts them (the partial aggregation)
    and hands each bucket its sorted distinct hashes and counts. A bucket is one partition of the n-gram
@@ -9,8 +10,13 @@ Documents are dealt into blocks, n-grams by their hash into buckets. Two rounds
    3-gram can have been.
 
 A block then joins the totals to its exploded n-grams and sums log10 scores per document. Rows of the
-exchanges are packed, one for each block and bucket, as sorted arrays; their number and size follow
-from the corpus, and every n-gram of every text takes part. A hash keeps the bucket's bits and 48 more.
+exchanges are packed, one for each block and bucket, as sorted arrays of about 7 bytes for each n-gram and
+way. A block hands out 2^FAN_BITS rows at most: where the corpus asks for more buckets, blocks meet by groups first
+(by the leading bits of the hash), and each group's sums go on to the buckets, so that rows grow in
+proportion to the corpus however large it is. Every n-gram of every text takes part.
+
+A hash keeps the bits of the first exchange's bucket and 48 more, 60 from some 30 GB on: of n distinct n-grams n^2 / 2^61 pairs
+are expected to share a hash then, 16 of 6 billion, and their counts add up.
 
 The score of a word is f(w-2 w-1 w) / f(w-2 w-1) if that n-gram was seen, else BACKOFF times the
 score with one word less; a word never seen scores as BACKOFF / N. Counts leave out those of the
@@ -18,8 +24,8 @@ document itself, else every n-gram would have been seen. Words are what ASCII wh
 A-Z lower-cased.
 
 Null and empty texts have no words and a null mean score. Repeated rows count as documents of their
-own. A null doc_id stays null. An empty table gives an empty result; other columns are never
-looked at.
+own, wherever they are read, so none gathers in one block. A null doc_id stays null. An empty table gives an empty
+result; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -30,15 +36,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.llm.text import id_and_text
-from varloom.storage import partitions
+from varloom.storage import materialize, partitions
 
 BACKOFF = 0.4
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES, BLOCK_ROWS = 6_000_000, 100_000
 BUCKET_BYTES = 8_000_000
+#: A block's or group's rows in an exchange are 2^FAN_BITS at most.
+FAN_BITS = 12
 _U = np.uint64
 
 
@@ -51,20 +60,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class _Block:
     """The exploded n-grams of a block's texts."""
 
-    def __init__(self, packed: pd.DataFrame, bits: int):
+    def __init__(self, packed: dict, bits: int):
         from xxhash import xxh64_intdigest as xxh
 
-        hashes = []
-        for n_bytes, texts in zip(packed["sizes"], packed["texts"], strict=True):
-            raw, at = zstandard.decompress(texts), 0
-            for n in np.frombuffer(n_bytes, np.int64).tolist():
-                w = raw[at : at + n].lower().split()
-                at += n
-                hashes.append(np.fromiter(map(xxh, w), np.uint64, len(w)))
+        raw, at, hashes = zstandard.decompress(packed["texts"]), 0, []
+        for n in np.frombuffer(packed["sizes"], np.int64).tolist():
+            w = raw[at : at + n].lower().split()
+            at += n
+            hashes.append(np.fromiter(map(xxh, w), np.uint64, len(w)))
         sizes = np.array([len(x) for x in hashes], np.int64)
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         self.n, self.sizes, self.doc = len(h), sizes, np.repeat(np.arange(len(sizes)), sizes)
-        self.ids, self.has_id = (np.frombuffer(b"".join(packed[c]), t) for c, t in (("ids", np.int64), ("has_ids", np.bool_)))
+        self.ids, self.has_id = np.frombuffer(packed["ids"], np.int64), np.frombuffer(packed["has_ids"], np.bool_)
         place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.second, self.third = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
         two = np.zeros(len(h), np.uint64)
@@ -143,28 +150,36 @@ def _wide(small: bytes, large: bytes) -> np.ndarray:
     return out
 
 
-def _cells(keys: np.ndarray, bits: int, block: int, words: int) -> pd.DataFrame:
-    """A row for each bucket: the block's distinct hashes in it and their counts; one of the rows has the block's number of words."""
-    keys, counts = _distinct(keys)
-    ends = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << _U(64 - bits)).tolist() + [len(keys)]
-    rows = [(b, block, _pack(keys[s:e], bits), *_narrow(counts[s:e]), words if b == block % (1 << bits) else 0) for b, (s, e) in enumerate(zip(ends, ends[1:], strict=False))]
+def _cells(keys: np.ndarray, counts: np.ndarray, first: int, parts: int, bits: int, block: int, words: int) -> pd.DataFrame:
+    """A row for each of `parts` buckets from `first` on: sorted distinct hashes and their counts; one of the rows has the number of words."""
+    at = np.arange(first, first + parts, dtype=np.uint64) << _U(64 - bits)
+    ends = np.searchsorted(keys, at).tolist() + [len(keys)]
+    rows = [(first + i, block, _pack(keys[s:e], bits), *_narrow(counts[s:e]), words if i == block % parts else 0) for i, (s, e) in enumerate(zip(ends, ends[1:], strict=False))]
     return pd.DataFrame(rows, columns=["bucket", "block", "hashes", "small", "large", "words"])
 
 
-def _sum_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each block, in the order of its hashes, what the other blocks count."""
+def _summed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket's cells: the distinct 48 bits under the bucket's and their sums, and for each cell entry its place among those and its own count."""
     keys = np.concatenate([_unpack(x) for x in pdf["hashes"]])
     counts = _wide(b"".join(pdf["small"]), b"".join(pdf["large"]))
     order = np.argsort(keys)
     s = keys[order]
-    group = np.cumsum(np.r_[False, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
-    sums = np.bincount(group, weights=counts[order])
-    each = np.empty(len(keys), np.int64)
-    each[order] = sums[group]
-    each -= counts
+    new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.empty(0, bool)
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return s[new], np.bincount(at, weights=counts, minlength=0).astype(np.int64), at, counts
+
+
+def _shared_out(pdf: pd.DataFrame, each: np.ndarray, words: int) -> pd.DataFrame:
     ends = np.cumsum([0, *map(_packed_size, pdf["hashes"])]).tolist()
     parts = [_narrow(each[s:e]) for s, e in zip(ends, ends[1:], strict=False)]
-    return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "small": [p[0] for p in parts], "large": [p[1] for p in parts], "words": int(pdf["words"].sum())})
+    return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "small": [p[0] for p in parts], "large": [p[1] for p in parts], "words": words})
+
+
+def _sum_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each block, in the order of its hashes, what the other blocks count."""
+    _, sums, at, counts = _summed(pdf)
+    return _shared_out(pdf, sums[at] - counts, int(pdf["words"].sum()))
 
 
 def _in_order(back: pd.DataFrame) -> np.ndarray:
@@ -172,47 +187,91 @@ def _in_order(back: pd.DataFrame) -> np.ndarray:
     return _wide(b"".join(back["small"]), b"".join(back["large"]))
 
 
-def _packed(docs: DataFrame, blocks: int) -> DataFrame:
-    """Documents dealt into blocks: ids, sizes and texts, compressed together for each block and batch, so that texts move small."""
+_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("small", pa.binary()), ("large", pa.binary()), ("words", pa.int64())])
+_CELLS = "bucket int, block long, hashes binary, small binary, large binary, words long"
+_BACK = "block long, bucket int, small binary, large binary, words long"
+
+
+def _elsewhere(cells: DataFrame, blocks: int, bits: int, fan_bits: int) -> DataFrame:
+    """For each cell, in the order of its hashes, what all other blocks count; cells are dealt by the leading bits that first_bits() gives."""
+    lead = first_bits(bits, fan_bits)
+    if lead == bits:
+        return cells.groupBy("bucket").applyInPandas(_sum_bucket, _BACK)
+    under = bits - lead
+    groups = -(-blocks // (1 << under))
+    cells = cells.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        # The cells of a group of blocks in one bucket of the first exchange go on as one, dealt out by further bits.
+        lead_at, low = int(pdf["bucket"].iloc[0]), _summed(pdf)
+        keys = (_U(lead_at) << _U(64 - lead)) | ((low[0] << _U(16)) >> _U(lead))
+        return _cells(keys, low[1], lead_at << under, 1 << under, bits, int(pdf["group"].iloc[0]), int(pdf["words"].sum()))
+
+    def share(own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("block")
+        _, sums, at, counts = _summed(own)
+        return _shared_out(own, (sums + _in_order(back))[at] - counts, int(back["words"].sum()))
+
+    back = cells.groupBy("bucket", "group").applyInPandas(merge, _CELLS).groupBy("bucket").applyInPandas(_sum_bucket, _BACK)
+    back = back.withColumns({"lead": F.shiftright("bucket", under), "group": F.col("block")})
+    return cells.groupBy("bucket", "group").cogroup(back.groupBy("lead", "group")).applyInPandas(share, _BACK)
+
+
+def first_bits(bits: int, fan_bits: int = FAN_BITS) -> int:
+    """Bits of the first exchange's buckets: all of them up to fan_bits, else half of them."""
+    return bits if bits <= fan_bits else -(-bits // 2)
+
+
+def _packed(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """A row for each block, packed where the documents are read: ids, sizes and texts, the latter compressed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze, part = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId()
+        ids, texts, size, n = [], [], 0, 0
+
+        def block() -> pa.RecordBatch:
+            has, number = np.array([i is not None for i in ids], np.bool_), np.array([i or 0 for i in ids], np.int64)
+            sizes = np.array([len(t) for t in texts], np.int64)
+            row = ((part << 32) + n, number.tobytes(), has.tobytes(), sizes.tobytes(), squeeze.compress(b"".join(texts)), size)
+            types = [pa.int64(), *[pa.binary()] * 4, pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["block", "ids", "has_ids", "sizes", "texts", "bytes"])
+
         for b in batches:
-            ids, block = b.column(0), b.column(2).to_numpy()
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            has, number = np.array(ids.is_valid()), np.array(ids.fill_null(0), np.int64)
-            order = np.argsort(block, kind="stable")
-            rows = []
-            for at in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-                if len(at):
-                    own = [texts[i] for i in at.tolist()]
-                    rows.append((int(block[at[0]]), number[at].tobytes(), has[at].tobytes(), np.array([len(t) for t in own], np.int64).tobytes(), squeeze.compress(b"".join(own))))
-            types = [pa.int32(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["block", "ids", "has_ids", "sizes", "texts"])
-
-    d = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
-    return d.mapInArrow(run, "block int, ids binary, has_ids binary, sizes binary, texts binary")
-
-
-def score(docs: DataFrame, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+                if size >= block_bytes or len(ids) >= BLOCK_ROWS:
+                    yield block()
+                    ids, texts, size, n = [], [], 0, n + 1
+        if ids:
+            yield block()
+
+    return docs.mapInArrow(run, "block long, ids binary, has_ids binary, sizes binary, texts binary, bytes long")
+
+
+def score(docs: DataFrame, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, fan_bits: int = FAN_BITS) -> DataFrame:
     """Per document: doc_id, n_words, log10_sum, mean_log10 and how many words were scored with 3, 2, 1 and no words of evidence."""
-    d = id_and_text(docs)
-    least, size = partitions(d.sparkSession), d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(least, -(-size // block_bytes))
-    bits = max(1, int(max(least, -(-size // bucket_bytes)) - 1).bit_length())
-    d = _packed(d, blocks)
+    # Which documents a block holds follows from the order of reading, so it is written once and for all.
+    d = materialize(_packed(id_and_text(docs), block_bytes), "lm-blocks")
+    blocks, size = d.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    bits = max(1, int(max(partitions(d.sparkSession), -(-size // bucket_bytes)) - 1).bit_length())
+    lead = first_bits(bits, fan_bits)
 
-    def count_short(own: pd.DataFrame) -> pd.DataFrame:
-        block = _Block(own, bits)
-        return _cells(block.short()[0], bits, int(own["block"].iloc[0]), block.n)
+    def count_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                block = _Block(row, lead)
+                yield pa.RecordBatch.from_pandas(_cells(*_distinct(block.short()[0]), 0, 1 << lead, lead, row["block"], block.n), _ARROW, preserve_index=False)
 
     def count_long(own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        block = _Block(own, bits)
+        row = own.iloc[0].to_dict()
+        block = _Block(row, lead)
         at = block.promising(block.counts(_in_order(back))[1])
-        return _cells(block.long(at)[0], bits, int(own["block"].iloc[0]), 0)
+        return _cells(*_distinct(block.long(at)[0]), 0, 1 << lead, lead, row["block"], 0)
 
     def summed(own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        block = _Block(own, bits)
+        block = _Block(own.iloc[0].to_dict(), lead)
         short, long = back[back["round"] == 1], back[back["round"] == 2]
         one, two = block.counts(_in_order(short))
         at = block.promising(two)
@@ -234,9 +293,8 @@ def score(docs: DataFrame, backoff: float = BACKOFF, block_bytes: int = BLOCK_BY
             out[f"seen_{k}"] = np.bincount(block.doc[evidence == k], minlength=n)
         return out
 
-    cells, joined = "bucket int, block int, hashes binary, small binary, large binary, words long", "block int, bucket int, small binary, large binary, words long"
-    short = d.groupBy("block").applyInPandas(count_short, cells).groupBy("bucket").applyInPandas(_sum_bucket, joined)
-    long = d.groupBy("block").cogroup(short.groupBy("block")).applyInPandas(count_long, cells).groupBy("bucket").applyInPandas(_sum_bucket, joined)
+    short = _elsewhere(d.mapInArrow(count_short, _CELLS), blocks, bits, fan_bits)
+    long = _elsewhere(d.groupBy("block").cogroup(short.groupBy("block")).applyInPandas(count_long, _CELLS), blocks, bits, fan_bits)
     back = short.withColumn("round", F.lit(1)).unionByName(long.withColumn("round", F.lit(2)))
     schema = "doc_id long, has_id boolean, n_words long, log10_sum double, mean_log10 double, seen_3 long, seen_2 long, seen_1 long, seen_0 long"
     out = d.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(summed, schema)
