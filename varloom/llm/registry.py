@@ -71,26 +71,29 @@ QUERIES = {f.__name__: shipped(f) for f in (op1_lm_score, op2_mix_sources, op3_s
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _found_sql(rows: str, keys: str, kind: str, order: int, pattern: str, group: int, least: int) -> str:
+    """Matches in the texts x of `rows`, each with its start, from the lengths of what lies between them, and its text."""
+    return f"""SELECT {keys}, '{kind}' AS kind, {order} AS ord, unnest(list_transform(list_filter(range(1, len(m) + 1), lambda i: length(v[i]) >= {least}), lambda i: {{'s': CAST(list_sum(list_transform(g[1:i], lambda y: length(y)))
+            + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT), 'm': m[i]}})) AS h
+        FROM (SELECT {keys}, regexp_split_to_array(x, '{pattern}') AS g, regexp_extract_all(x, '{pattern}', 0) AS m, regexp_extract_all(x, '{pattern}', {group}) AS v FROM {rows})"""
+
 
 def _secrets_sql() -> str:
-    """Places of matches from the lengths of what lies between them; entropy counted anew for every window."""
-    either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
-    words = "|".join(either(w) for w in ("password", "passwd", "secret", "token")) + "|" + either("api") + "_?" + either("key")
+    """Base matches; then what lies between the matches of the cut pattern, candidates in it, and entropy counted anew for every window."""
+    either = secrets._either_case
+    words = "|".join(map(either, ("password", "passwd", "secret", "token"))) + "|" + either("api") + "_?" + either("key")
     assign = rf"""({words})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
-    kinds = [("assign", assign, 2, 8), ("access", "AKIA([A-Z0-9]+)", 0, 16), ("hex", "([0-9a-f]+)", 0, 32)]
-    kinds += [(kind, f"({pattern.rpartition('{')[0]}+)", 0, secrets.WINDOW) for kind, pattern, _, _ in secrets.CLASSES]
-    found = " UNION ALL ".join(
-        f"""SELECT doc_id, '{kind}' AS kind, {o} AS ord, unnest(list_transform(list_filter(range(1, len(m) + 1), lambda i: length(v[i]) >= {least}), lambda i: {{'s': CAST(list_sum(list_transform(g[1:i], lambda y: length(y)))
-            + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT), 'm': m[i]}})) AS h
-        FROM (SELECT doc_id, regexp_split_to_array(x, '{p}') AS g, regexp_extract_all(x, '{p}', 0) AS m, regexp_extract_all(x, '{p}', {group}) AS v FROM t)"""
-        for o, (kind, p, group, least) in enumerate(kinds)
-    )
-    allow = " OR ".join(f"regexp_matches(m, '{a}')" for a in secrets.ALLOW)
+    base = " UNION ALL ".join(_found_sql("t", "doc_id", *k) for k in (("assign", 0, assign, 2, 8), ("access", 1, "AKIA([A-Z0-9]+)", 0, 16), ("hex", 2, "([0-9a-f]+)", 0, 32)))
+    cand = " UNION ALL ".join(_found_sql("pieces", "doc_id, off", kind, 3 + i, f"({pattern.rpartition('{')[0]}+)", 0, secrets.WINDOW) for i, (kind, pattern, _, _) in enumerate(secrets.CLASSES))
+    allow = " OR ".join(f"regexp_matches(h.m, '{a}')" for a in secrets.ALLOW)
+    cut = secrets.cut_pattern().replace("'", "''")
     limit = " ".join(f"WHEN '{kind}' THEN {bits}" for kind, _, _, bits in secrets.CLASSES)
     text = "kind || ':' || CAST(s AS VARCHAR) || ':' || CAST(e AS VARCHAR)"
     return f"""
-        WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), f AS (SELECT doc_id, kind, ord, h.s AS s, h.s + length(h.m) AS e, h.m AS m FROM ({found})),
-        base AS (SELECT * FROM f WHERE ord < 3), cand AS (SELECT * FROM f WHERE ord >= 3 AND NOT ({allow}) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.s < f.e AND f.s < b.e)),
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), base AS (SELECT doc_id, kind, ord, h.s AS s, h.s + length(h.m) AS e FROM ({base})),
+        pieces AS (SELECT doc_id, unnest(g) AS x, unnest(list_transform(range(1, len(g) + 1), lambda i: CAST(coalesce(list_sum(list_transform(g[1:i - 1], lambda y: length(y))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT))) AS off
+            FROM (SELECT doc_id, regexp_split_to_array(x, '{cut}') AS g, regexp_extract_all(x, '{cut}', 0) AS m FROM t)),
+        cand AS (SELECT doc_id, kind, ord, off + h.s AS s, h.m AS m FROM ({cand}) WHERE NOT ({allow})),
         w AS (SELECT doc_id, kind, ord, s, w, substr(m, w, {secrets.WINDOW}) AS part FROM (SELECT *, unnest(range(1, length(m) - {secrets.WINDOW} + 2)) AS w FROM cand)),
         ch AS (SELECT doc_id, kind, ord, s, w, c, count(*) AS n FROM (SELECT doc_id, kind, ord, s, w, unnest(string_split(part, '')) AS c FROM w) GROUP BY ALL),
         hot AS (SELECT doc_id, kind, ord, s, w FROM ch GROUP BY ALL HAVING -sum(n / {secrets.WINDOW}.0 * log2(n / {secrets.WINDOW}.0)) >= CASE kind {limit} END - 1e-12),
