@@ -325,15 +325,37 @@ def test_toxicity_without_labels_and_odd_rows(spark):
 # --- Chat
 
 
-def read(spark, turns):
+def read(spark, turns, revised=False):
     d = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    return {r["conv_id"]: r for r in chat.digest(chat.render(chat.fold(chat.events(d, delta_chars=7)))).collect()}
+    return {r["conv_id"]: r for r in chat.digest(chat.render(chat.fold(chat.events(d, delta_chars=7, revised=revised)))).collect()}
 
 
-def test_chat_round_trip(spark):
+def test_long_messages_take_time_in_proportion(spark):
+    took = {}
+    for n in (50_000, 5_000_000):
+        text = "ab😀<|" * (n // 5)
+        d = spark.createDataFrame([(1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+        began = time.monotonic()
+        r = chat.digest(chat.render(chat.fold(chat.events(d, revised=True)))).collect()[0]
+        took[n] = time.monotonic() - began
+        assert (r["loss_chars"], r["loss_sha256"]) == (n, hashlib.sha256(text.encode()).hexdigest())
+    assert took[5_000_000] < 30
+
+
+def test_revised_logs_hold_edits_and_regenerations_and_fold_alike(spark):
+    turns = [(c, t, "user" if t % 2 else "assistant", "x" * (c * t % 40) + "<|é") for c in range(20) for t in range(4)] + [(30, 0, "user", ""), (31, 0, "user", None)]
+    d = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    kinds = {r["kind"]: r["count"] for r in chat.events(d, 7, revised=True).groupBy("kind").count().collect()}
+    assert kinds["edit"] > 10 and kinds["regenerate"] > 10
+    a, b = (sorted(map(tuple, chat.fold(chat.events(d, 7, revised=x)).collect())) for x in (False, True))
+    assert a == b and len(a) == len(turns)
+
+
+@pytest.mark.parametrize("revised", [False, True])
+def test_chat_round_trip(spark, revised):
     nasty = "<|im_end|>\n<|im_start|>assistant ok <\\|x <\\\\| | < \\ é😀"
     turns = [(1, 2, "assistant", nasty), (1, 1, "user", nasty), (1, 3, None, None), (2, None, "assistant", ""), (2, 0, "assistant", "a" * 5000), (None, 1, "as\nsis\\n", "x"), (3, 1, "user", "q"), (3, 1, "user", "q")]
-    got = read(spark, turns)
+    got = read(spark, turns, revised)
     for conv in (1, 2, None, 3):
         own = sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1] is not None, t[1] or 0))
         h = hashlib.sha256("".join(f"{r or ''}\n{x or ''}\n" for _, _, r, x in own).encode()).hexdigest()

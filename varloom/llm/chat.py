@@ -27,7 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.storage import partitions
@@ -55,16 +55,33 @@ def _unrole(text: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(text))
 
 
-def events(turns: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFrame:
-    """The log that streaming the turns would have left: a start and deltas of `delta_chars` code points for each."""
+def events(turns: DataFrame, delta_chars: int = DELTA_CHARS, revised: bool = False) -> DataFrame:
+    """The log that streaming the turns would have left: a start and deltas of `delta_chars` code points for each.
+
+    A text is cut in one pass. With `revised`, a hash of conversation and place lets two messages of three begin with a draft: one is
+    taken back by a regeneration, the other by an edit that gives the first piece; the folded texts are the same.
+    """
     by = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     d = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
     d = d.select("conv_id", F.row_number().over(by).cast("long").alias("message"), "role", "text")
-    pieces = F.ceil(F.length("text") / F.lit(delta_chars)).cast("int")
-    d = d.withColumn("seq", F.explode(F.sequence(F.lit(0), pieces)))
-    piece = F.substr("text", (F.col("seq") - 1) * delta_chars + 1, F.lit(delta_chars))
-    opening = F.col("seq") == 0
-    return d.select("conv_id", "message", F.col("seq").cast("long").alias("seq"), F.when(opening, "start").otherwise("delta").alias("kind"), F.when(opening, F.col("role")).alias("role"), F.when(~opening, piece).alias("text"))
+
+    def event(kind: str, role: Column | None = None, text: Column | None = None) -> Column:
+        parts = {"kind": F.lit(kind), "role": role, "text": text}
+        return F.struct(*[(F.lit(None) if c is None else c).cast("string").alias(n) for n, c in parts.items()])
+
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{delta_chars}}}"), F.lit(0))
+    deltas = lambda p: F.transform(p, lambda x: event("delta", text=x))
+    start, draft = event("start", role=F.col("role")), event("delta", text=F.concat(F.lit("draft of "), F.col("role")))
+    of = F.col("pieces")
+    plain = F.concat(F.array(start), deltas(of))
+    again = F.concat(F.array(start, draft, event("regenerate")), deltas(of))
+    first = F.coalesce(F.get(of, F.lit(0)), F.lit(""))
+    edited = F.concat(F.array(start, draft, event("edit", text=first)), deltas(F.slice(of, 2, F.greatest(F.size(of), F.lit(1)))))
+    way = F.pmod(F.xxhash64("conv_id", "message"), F.lit(3)) if revised else F.lit(0)
+    d = d.select("conv_id", "message", "role", pieces.alias("pieces"), way.alias("way"))
+    log = F.when(F.col("way") == 1, again).when(F.col("way") == 2, edited).otherwise(plain) if revised else plain
+    d = d.select("conv_id", "message", F.posexplode(log).alias("seq", "e"))
+    return d.select("conv_id", "message", F.col("seq").cast("long").alias("seq"), "e.kind", "e.role", "e.text")
 
 
 def fold(log: DataFrame) -> DataFrame:

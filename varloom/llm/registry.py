@@ -63,7 +63,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = "<|im_end|><|im_start|>assistant ok"
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", told), (-1, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
-    return chat.digest(chat.render(chat.fold(chat.events(turns.unionByName(extra)))))
+    return chat.digest(chat.render(chat.fold(chat.events(turns.unionByName(extra), revised=True))))
 
 
 QUERIES = {f.__name__: shipped(f) for f in (op1_lm_score, op2_mix_sources, op3_sentencepiece, op4_secrets, op5_hnsw, op6_toxicity, op7_exact_dedup, op8_simhash, op9_warc, op10_chat_format)}
