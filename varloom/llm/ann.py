@@ -9,8 +9,12 @@ flat neighbour arrays, one for each level, in one row per shard.
 
 Nearness is the inner product. For building, a component sqrt(R^2 - |x|^2) makes it a distance; searches
 use the product itself: a greedy walk down the levels, then a beam of EF nodes on level 0, for a
-whole block of queries at a time. Scores are worked out again in double precision from the
-original components.
+whole block of queries at a time. Graphs and walks use single precision, over vectors divided by their shard's
+largest component and queries by their own, so that any finite size will do; scores are worked out again in double
+precision from the original components.
+
+A shard moves once: its row comes first in its task's stream, the blocks of queries follow and are searched one by one.
+Only where there are fewer shards than tasks, queries are dealt into lanes and each lane gets its copy.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
 another length than most. Ids that are null take no part. An id that repeats takes part once for each
@@ -20,12 +24,15 @@ gives an empty result; other columns are never looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.storage import materialize
+from varloom.storage import materialize, partitions
 
 SHARD_ROWS = 8192
 QUERY_BLOCK = 512
@@ -97,6 +104,10 @@ def _level(x: np.ndarray, members: np.ndarray, m: int, cap: int) -> np.ndarray:
     return np.where(out >= 0, members[np.maximum(out, 0)], -1).astype(np.int32)
 
 
+def _single(vec: np.ndarray) -> np.ndarray:
+    return (vec / max(float(np.abs(vec).max()), np.finfo(np.float64).tiny)).astype(np.float32)
+
+
 def build(ids: np.ndarray, vec: np.ndarray, m: int = M) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Insertion order, then for each level its nodes and their neighbours; level 0 holds all nodes."""
     from xxhash import xxh64_intdigest as xxh
@@ -104,7 +115,7 @@ def build(ids: np.ndarray, vec: np.ndarray, m: int = M) -> tuple[np.ndarray, lis
     u = (np.array([xxh(int(i).to_bytes(8, "little", signed=True)) for i in ids], np.float64) + 1) / 2.0**64
     top = np.minimum((-np.log(np.minimum(u, 1.0)) / np.log(m)).astype(np.int64), 8)
     order = np.argsort(-top, kind="stable")  # the first node is on the top level: every search enters there
-    x, top = vec[order].astype(np.float32), top[order]
+    x, top = _single(vec[order]), top[order]
     sq = (x * x).sum(axis=1)
     x = np.c_[x, np.sqrt(np.maximum(sq.max() - sq, 0))]
     nodes = [np.flatnonzero(top >= level) for level in range(int(top[0]) + 1)]
@@ -188,34 +199,49 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
 
     packed = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block")
     packed = packed.applyInPandas(pack, "block int, query_ids binary, queries binary")
-    # The stated queries, in blocks, meet each shard once: an equi-join on the shard.
-    met = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, "shard")
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in pdf.itertuples():
-            n_ids = np.frombuffer(r.n_ids, np.int32)
-            exact = np.frombuffer(r.vectors, np.float64).reshape(len(n_ids), -1)
-            levels = [np.frombuffer(b, np.int32) for b in r.levels]
-            near = [np.frombuffer(b, np.int32).reshape(len(n), -1) for n, b in zip(levels, r.near, strict=True)]
-            qid, q = np.frombuffer(r.query_ids, np.int64), np.frombuffer(r.queries, np.float64).reshape(-1, exact.shape[1])
-            found = search(exact.astype(np.float32), levels, near, q.astype(np.float32), max(ef, k + 1))
-            row, col = np.nonzero(found >= 0)
-            node = found[row, col]
-            score = np.einsum("nd,nd->n", q[row], exact[node])
-            # Nodes become their ids; an id of the query's own drops out.
-            starts, times = np.cumsum(n_ids) - n_ids, n_ids[node]
-            row, score = np.repeat(row, times), np.repeat(score, times)
-            ids = np.frombuffer(r.ids, np.int64)[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(starts[node], times)]
-            other = ids != qid[row]
-            row, score, ids = row[other], score[other], ids[other]
-            order = np.lexsort((ids, -score, row))
-            row, score, ids = row[order], score[order], ids[order]
-            top = np.arange(len(row)) - np.searchsorted(row, row) < k
-            out.append(pd.DataFrame({"query_id": qid[row[top]], "vec_id": ids[top], "score": score[top]}))
-        return pd.concat(out)
-
-    hits = met.groupBy("shard", "block").applyInPandas(find, "query_id long, vec_id long, score double")
+    # The stated queries, in blocks, meet each shard once.
+    lanes = max(1, min(blocks, partitions(table.sparkSession) // shards))
+    lane = F.pmod(F.col("block"), F.lit(lanes))
+    shared = graphs.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).withColumn("block", F.lit(-1))
+    asked = packed.withColumn("lane", lane).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    stream = shared.unionByName(asked, allowMissingColumns=True).select("shard", "lane", "block", "vectors", "ids", "n_ids", "levels", "near", "query_ids", "queries")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph: tuple = ()
+        for b in batches:
+            for r in (row for i in range(len(b)) for row in b.slice(i, 1).to_pylist()):
+                if r["block"] < 0:
+                    n_ids = np.frombuffer(r["n_ids"], np.int32)
+                    exact = np.frombuffer(r["vectors"], np.float64).reshape(len(n_ids), -1)
+                    levels = [np.frombuffer(x, np.int32) for x in r["levels"]]
+                    near = [np.frombuffer(x, np.int32).reshape(len(n), -1) for n, x in zip(levels, r["near"], strict=True)]
+                    graph = exact, _single(exact), levels, near, n_ids, np.frombuffer(r["ids"], np.int64), r["shard"]
+                elif graph and graph[-1] == r["shard"]:
+                    q = np.frombuffer(r["queries"], np.float64).reshape(-1, graph[0].shape[1])
+                    yield pa.RecordBatch.from_arrays(_hits(graph, np.frombuffer(r["query_ids"], np.int64), q, k, ef), names=["query_id", "vec_id", "score"])
+
+    dealt = stream.repartition(max(partitions(table.sparkSession), shards * lanes), "shard", "lane").sortWithinPartitions("shard", "lane", "block")
+    hits = dealt.mapInArrow(find, "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(by))
     return best.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _hits(graph: tuple, qid: np.ndarray, q: np.ndarray, k: int, ef: int) -> list[pa.Array]:
+    """query_id, vec_id, score of the k nearest found in one shard, ties to the smaller id."""
+    exact, x, levels, near, n_ids, every, _ = graph
+    found = search(x, levels, near, (q / np.abs(q).max(axis=1, keepdims=True)).astype(np.float32), max(ef, k + 1))
+    row, col = np.nonzero(found >= 0)
+    node = found[row, col]
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = np.einsum("nd,nd->n", q[row], exact[node])
+    # Nodes become their ids; an id of the query's own drops out.
+    starts, times = np.cumsum(n_ids) - n_ids, n_ids[node]
+    row, score = np.repeat(row, times), np.repeat(score, times)
+    ids = every[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(starts[node], times)]
+    other = ids != qid[row]
+    row, score, ids = row[other], score[other], ids[other]
+    order = np.lexsort((ids, -score, row))
+    row, score, ids = row[order], score[order], ids[order]
+    top = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return [pa.array(qid[row[top]]), pa.array(ids[top]), pa.array(score[top])]
