@@ -36,6 +36,15 @@ def test_warc_reads_selected_records_only_and_empty_tables(spark):
     assert none.count() == 0 and warc.read(none, none._varloom_warc).count() == 0
 
 
+def test_payloads_are_passed_on_in_bounded_batches_or_not_at_all(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HELD", 1000)
+    index = warc.write(pages(spark, [(i, "u", f"{i} " * 500) for i in range(30)]))
+    got = {r["page_id"]: r for r in warc.read(index, index._varloom_warc).collect()}
+    assert {i: r["payload"].decode() for i, r in got.items()} == {i: f"{i} " * 500 for i in range(30)}
+    bare = {r["page_id"]: r for r in warc.read(index, index._varloom_warc, payload=False).collect()}
+    assert {i: (r["payload"], r["payload_digest"]) for i, r in bare.items()} == {i: (None, r["payload_digest"]) for i, r in got.items()}
+
+
 def test_records_are_gzip_members_of_the_standard_form():
     import gzip
 
@@ -88,3 +97,29 @@ def test_fewer_candidates_than_k_and_no_rows(spark):
     got = ann.nearest(table(spark, [(0, [1.0, 0.0]), (1, [0.5, 1.0]), (2, [-1.0, 0.0])]), k=20, every=20).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 1), (0, 2, 2)]
     assert ann.nearest(table(spark, []), k=20, every=20).count() == 0
+
+
+def test_recall_with_production_shards(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(200, 64))
+    x = np.float32(centres[rng.integers(0, 200, 20_000)] + 0.6 * rng.normal(size=(20_000, 64))).astype(np.float64)
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {q: set(g.vec_id) for q, g in ann.nearest(d).toPandas().groupby("query_id")}
+    queries = np.arange(0, 20_000, 20)
+    score = x[queries] @ x.T
+    score[np.arange(len(queries)), queries] = -np.inf
+    best = np.argpartition(-score, 20, axis=1)[:, :20]
+    recall = [len(got[q] & set(b)) / 20 for q, b in zip(queries.tolist(), best.tolist(), strict=True)]
+    assert np.mean(recall) >= 0.95 and all(len(g) == 20 for g in got.values())
+
+
+def test_vectors_of_any_finite_size_take_part(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 8)) * 10.0 ** rng.choice([-25, 25], 400)[:, None]
+    big = [(i, v) for i, v in enumerate((np.abs(x) + x).tolist()) if any(v)]
+    got = ann.nearest(spark.createDataFrame(big, "vec_id long, embedding array<double>"), k=5, every=20).toPandas()
+    assert len(got) == 5 * sum(i % 20 == 0 for i, _ in big) and np.isfinite(got.score).all()
+    small = [(i, (1e25 * v).tolist()) for i, v in enumerate(rng.normal(size=(400, 8)))]
+    got = ann.nearest(spark.createDataFrame(small, "vec_id long, embedding array<double>"), k=20, every=20).toPandas().sort_values(["query_id", "rank"])
+    want = brute(small, 20, 20)
+    assert np.mean([len(set(g.vec_id) & set(want[q])) / 20 for q, g in got.groupby("query_id")]) > 0.98 and len(got) == 400

@@ -56,7 +56,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write(_table(spark, sf_dir, "pages"))
-    return warc.read(index, index._varloom_warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read(index, index._varloom_warc, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

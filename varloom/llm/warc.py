@@ -7,7 +7,8 @@ task left behind is never referred to. Of equal payloads of at least REVISIT_BYT
 largest page_id is a response and the others are revisits of it; smaller payloads are always responses.
 
 Reading: index rows are selected with DataFrame operations, sorted by file and offset, and each
-task joins neighbouring ranges (gaps of GAP bytes at most, RUN bytes at most) into one read.
+task joins neighbouring ranges (gaps of GAP bytes at most, RUN bytes at most) into one read. Records are inflated one by
+one, and rows go on whenever HELD bytes of payloads have come together, or without payloads if none are asked for.
 
 Null html is empty. A null url leaves out the target URI. A null page_id never is the largest; where
 all are null, all are responses. Rows that repeat a page_id with the same payload are responses
@@ -32,7 +33,7 @@ from varloom.storage import fresh_path, materialize, partitions
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
-GAP, RUN = 64 << 10, 8 << 20
+GAP, RUN, HELD = 64 << 10, 8 << 20, 16 << 20
 DATE = "2026-01-01T00:00:00Z"
 LEVEL = 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -116,15 +117,15 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     return index
 
 
-def read(selected: DataFrame, folder: str) -> DataFrame:
-    """The records of the selected index rows, by sorted and coalesced byte ranges."""
+def read(selected: DataFrame, folder: str, payload: bool = True) -> DataFrame:
+    """The records of the selected index rows, by sorted and coalesced byte ranges; payload: whether to return it (it is checked anyway)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _filesystem(folder)
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
         name, stream = None, None
 
-        def load(held: list[tuple[str, int, int]]) -> pa.RecordBatch:
+        def load(held: list[tuple[str, int, int]]) -> Iterator[pa.RecordBatch]:
             nonlocal name, stream
             if held[0][0] != name:
                 if stream:
@@ -132,17 +133,27 @@ def read(selected: DataFrame, folder: str) -> DataFrame:
                 name, stream = held[0][0], files.open_input_file(f"{root}/{held[0][0]}")
             first, last = held[0][1], max(o + n for _, o, n in held)
             raw = memoryview(stream.read_at(last - first, first))
-            return pa.RecordBatch.from_pylist([parse(raw[o - first : o - first + n]) for _, o, n in held], schema)
+            rows, size = [], 0
+            for _, o, n in held:
+                row = parse(raw[o - first : o - first + n])
+                if not payload:
+                    row["payload"] = None
+                rows.append(row)
+                size += len(row["payload"] or b"")
+                if size >= HELD:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
         held: list[tuple[str, int, int]] = []
         for b in batches:
             for place in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if held and (place[0] != held[0][0] or place[1] - held[-1][1] - held[-1][2] > GAP or place[1] + place[2] - held[0][1] > RUN):
-                    yield load(held)
+                    yield from load(held)
                     held = []
                 held.append(place)
         if held:
-            yield load(held)
+            yield from load(held)
 
     places = selected.select("file", "offset", "length").repartition(partitions(selected.sparkSession), "file").sortWithinPartitions("file", "offset")
     return places.mapInArrow(run, _RECORD)
