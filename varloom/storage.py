@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where the session names none (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one where a local session names none (tests)."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="varloom-")
         context.setCheckpointDir(named)
@@ -41,5 +44,24 @@ def discard(df: DataFrame | None) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def listed(spark: SparkSession, folder: str, with_size: bool = False) -> dict[str, int] | list[str]:
+    """Names in a folder, none if there is no such folder; hidden files are left out."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = {x.getPath().getName(): x.getLen() for x in files.listStatus(place)} if files.exists(place) else {}
+    found = {name: size for name, size in found.items() if name[0] not in "._"}
+    return found if with_size else list(found)
+
+
+#: Bytes of input for each partition of an exchange whose number of partitions is fixed, at most.
+PARTITION_BYTES = 128 << 20
+
+
+def partitions(spark: SparkSession, *tables: DataFrame) -> int:
+    """Partitions for an exchange of a fixed number: spark.sql.shuffle.partitions, and more where the files under `tables` are large."""
+    size = 0
+    for t in tables:
+        leaves = t._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+        size += sum(x for x in sizes if x < 1 << 60)  # sources that can't tell claim a size beyond all
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
