@@ -36,15 +36,51 @@ def test_index_persists_and_drops_what_it_has(spark):
     second = {r["doc_id"]: r for r in exact_dedup.deduplicate(docs(spark, [(9, "A"), (10, "c")]), again).collect()}
     assert (second[9]["kept"], second[9]["keep_id"], second[10]["kept"]) == (False, 1, True)
     assert again.read().count() == 3
+    assert [again.buckets, again.generation] == [4, 0]
     new = spark.createDataFrame([(bytearray(b"x"), 1)], "digest binary, keep_id long")
     plan = new.hint("merge").join(again.read(), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan
 
 
+def test_a_batch_that_is_run_again_has_the_same_result(spark):
+    index = exact_dedup.DigestIndex(spark)
+    exact_dedup.deduplicate(docs(spark, [(1, "a")]), index, "first")
+    batch = docs(spark, [(5, "a"), (6, "b"), (7, "B"), (8, "c")])
+    results = [sorted(map(tuple, exact_dedup.deduplicate(batch, index, "second").drop("digest").collect())) for _ in range(3)]
+    assert results[0] == [(5, 1, 1, False), (6, 7, 2, False), (7, 7, 2, True), (8, 8, 1, True)] and results == results[:1] * 3
+    assert index.read().count() == 3
+    assert {r["kept"] for r in exact_dedup.deduplicate(batch, index, "third").collect()} == {False}
+    index.close()
+    assert not spark.catalog.tableExists(index.table)
+
+
+def test_index_that_outgrows_its_buckets_is_rewritten(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET_FILES", 2)
+    index = exact_dedup.DigestIndex(spark, buckets=2)
+    for k in range(8):
+        out = exact_dedup.deduplicate(docs(spark, [(100 * k + i, f"text {(k * 10 + i) % 60}") for i in range(20)]), index)
+        assert out.where("kept").count() == (20 if k == 0 else 10 if k < 5 else 0)
+    again = exact_dedup.DigestIndex(spark, index.path)
+    assert (again.generation, again.buckets) == (index.generation, index.buckets) and again.generation > 0 and again.buckets == 16
+    assert again.read().count() == 60 == again.read().select("digest").distinct().count()
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_parts_have_the_result_of_one_batch(spark, parts):
+    rng = random.Random(parts)
+    rows = [(rng.choice([None, *range(30)]), rng.choice("abcdefghABC")) for _ in range(120)]
+    d = docs(spark, rows)
+    one = sorted(map(str, exact_dedup.deduplicate(d, exact_dedup.DigestIndex(spark)).drop("digest").collect()))
+    assert sorted(map(str, exact_dedup.deduplicate_by_parts(d, exact_dedup.DigestIndex(spark), parts).drop("digest").collect())) == one
+    assert exact_dedup.deduplicate_by_parts(d.limit(0), exact_dedup.DigestIndex(spark), parts).count() == 0
+
+
 def test_repeated_rows_keep_one_and_empty_table(spark):
     d = docs(spark, [(1, "a"), (1, "a"), (None, "b"), (2, "c"), (2, "d")])
     kept = exact_dedup.keep_first(d, exact_dedup.DigestIndex(spark)).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "b"), (1, "a"), (2, "c"), (2, "d")]
+    same = docs(spark, [(1, "Ab"), (1, "aB"), (1, "ab")])
+    assert len({exact_dedup.keep_first(same.repartition(n), exact_dedup.DigestIndex(spark)).collect()[0]["text"] for n in (1, 2, 3)}) == 1
     none = exact_dedup.keep_first(d.limit(0), exact_dedup.DigestIndex(spark))
     assert none.count() == 0 and none.columns == d.columns
 
