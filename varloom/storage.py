@@ -62,6 +62,6 @@ def partitions(spark: SparkSession, *tables: DataFrame) -> int:
     size = 0
     for t in tables:
         leaves = t._jdf.queryExecution().optimizedPlan().collectLeaves()
-        sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
         size += sum(x for x in sizes if x < 1 << 60)  # sources that can't tell claim a size beyond all
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
