@@ -5,9 +5,11 @@ hashed to 2^18 places. The machine scores bias + sum of weights + pairwise produ
 vectors, so a pair such as an insult with a group's name can weigh more than both do apart.
 
 It is fitted on a bounded sample of labelled documents: `max_train` rows at most, up to half of
-them toxic, chosen by a hash of doc_id among rows that are not held out. Only the `n_features`
-places that tell the classes apart best take part. The sample is the only thing that
-comes to the driver. Every document is scored over its whole text.
+them toxic, chosen by a hash of doc_id among rows that are not held out. Two kinds of places take part: the `n_features`
+that tell the classes apart best by themselves, and of the `n_paired` most frequent ones those of which some pair tells
+more than either place does, such as a name that is harmless until it meets an insult. Counts by place and
+the sample's rows, cut to places that may take part, are all that comes to the driver: 2^18 counts and
+max_train rows of n_features + n_paired numbers at most, however long the texts. Every document is scored over its whole text.
 
 Null text is empty text and gets the score of no terms. Labels that are null, not 0 or 1, or of a
 null doc_id are not used; of repeated labels the larger counts. Without labels of both classes every
@@ -27,9 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.llm.text import id_and_text
+from varloom.storage import materialize
 
 PLACES = 1 << 18
 THRESHOLD = 0.7
+#: Standard deviations beyond which a pair speaks for its places; there are a million pairs, so some reach 5 by chance.
+PAIR_EVIDENCE = 6.0
 #: Bytes of the beginnings that count as terms of their own.
 BEGINNINGS = (4, 5, 6)
 #: Everything but letters, digits and bytes of other scripts parts terms.
@@ -63,26 +68,39 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, n_features: int = 1024, rank: int = 4, steps: int = 400, l2: float = 2e-3, seed: int = 11) -> Machine:
-    """Full-batch Adam on log loss with weight decay; rows: places of each document."""
-    slots, y = np.full(PLACES, -1, np.int32), labels.astype(np.float64)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        z = float(np.log(share / (1 - share))) if 0 < share < 1 else 30.0 if share else -30.0
-        return Machine(slots, z, np.zeros(1, np.float32), np.zeros((1, rank), np.float32))
-    with_term = [np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t == c] or [np.empty(0, np.uint32)]).astype(np.int64), minlength=PLACES) for c in (0, 1)]
-    n = [float((y == c).sum()) for c in (0, 1)]
-    rate = [(with_term[c] + 0.5) / (n[c] + 1) for c in (0, 1)]
-    both = (with_term[0] + with_term[1] + 1.0) / (n[0] + n[1] + 2)
-    apart = np.abs(rate[1] - rate[0]) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))
-    apart[with_term[0] + with_term[1] < 4] = 0
-    chosen = np.argsort(-apart, kind="stable")[:n_features]
-    chosen = chosen[apart[chosen] > 3]
-    slots[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(rows), max(1, len(chosen))), np.float32)
-    for i, r in enumerate(rows):
-        s = slots[r]
-        x[i, s[s >= 0]] = 1
+def single_evidence(with_term: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """By place: how many standard deviations its share of documents differs by between the classes; with_term (2, places) counts documents."""
+    rate = (with_term + 0.5) / (n[:, None] + 1)
+    both = (with_term.sum(axis=0) + 1.0) / (n.sum() + 2)
+    apart = np.abs(rate[1] - rate[0]) / np.sqrt(both * (1 - both) * (1 / n).sum())
+    apart[with_term.sum(axis=0) < 4] = 0
+    return apart
+
+
+def pair_evidence(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By column: over its pairs, the most standard deviations by which the pair's share of toxic documents leaves the range of its two places' own shares."""
+    toxic = x[y == 1]
+    together, bad = x.T @ x, toxic.T @ toxic
+    own = np.clip(np.diag(bad) / np.maximum(np.diag(together), 1), 0.01, 0.99)
+    out = np.zeros(x.shape[1], np.float32)
+    for i in range(x.shape[1]):
+        both = np.maximum(together[i], 1)
+        high, low = np.maximum(own, own[i]), np.minimum(own, own[i])
+        over = (bad[i] - both * high) / np.sqrt(both * high * (1 - high))
+        under = (both * low - bad[i]) / np.sqrt(both * low * (1 - low))
+        out[i] = np.where(together[i] >= 8, np.maximum(over, under), 0).max()
+    return out
+
+
+def constant(y: np.ndarray, rank: int = 4) -> Machine:
+    """Without labels of both classes."""
+    share = float(y.mean()) if len(y) else 0.0
+    z = float(np.log(share / (1 - share))) if 0 < share < 1 else 30.0 if share else -30.0
+    return Machine(np.full(PLACES, -1, np.int32), z, np.zeros(1, np.float32), np.zeros((1, rank), np.float32))
+
+
+def train(x: np.ndarray, y: np.ndarray, rank: int = 4, steps: int = 400, l2: float = 2e-3, seed: int = 11) -> list[np.ndarray]:
+    """Bias, weights and factors by full-batch Adam on log loss with weight decay; x: documents by features, 0 or 1."""
     rng = np.random.default_rng(seed)
     par = [np.zeros(1), np.zeros(x.shape[1]), rng.normal(0, 0.01, (x.shape[1], rank))]
     par = [p.astype(np.float32) for p in par]
@@ -98,10 +116,10 @@ def train(rows: list[np.ndarray], labels: np.ndarray, n_features: int = 1024, ra
             m[k] = 0.9 * m[k] + 0.1 * d
             s[k] = 0.999 * s[k] + 0.001 * d * d
             par[k] = par[k] - 0.05 * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
-    return Machine(slots, float(par[0][0]), par[1], par[2])
+    return par
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000, **settings) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000, n_features: int = 1024, n_paired: int = 1536, **settings) -> Machine:
     """Fit on `max_train` labelled rows at most that are not held out."""
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     lab = lab.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -111,12 +129,50 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000, **settings) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [places(t).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["toxic", "places"])
-
-    d = id_and_text(docs).join(some, "doc_id").select("toxic", "text").mapInArrow(run, "toxic int, places binary")
-    got = sorted({(bytes(r["places"]), r["toxic"]) for r in d.toLocalIterator()})  # each text once, in an order of its own
-    return train([np.frombuffer(p, np.uint32) for p, _ in got], np.array([t for _, t in got], dtype=np.int64), **settings)
+            found = [places(t).astype(np.int32) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "places"])
+
+    d = id_and_text(docs).join(some, "doc_id").select("toxic", "text").mapInArrow(run, "toxic int, places array<int>")
+    # Each text counts once, and one under max_train ids that repeat may come in more rows: the least by a hash stay.
+    d = d.distinct().orderBy(F.xxhash64("places"), "places", "toxic").limit(max_train)
+    d = materialize(d, "toxicity-sample")
+    n = np.zeros(2)
+    for r in d.groupBy("toxic").count().collect():
+        n[r["toxic"]] = r["count"]
+    if not n.all():
+        return constant(np.repeat([0, 1], n.astype(int)), settings.get("rank", 4))
+    counts = d.select("toxic", F.explode("places").alias("place")).groupBy("place").agg(*[F.count_if(F.col("toxic") == c) for c in (0, 1)]).toPandas().to_numpy(np.int64)
+    with_term = np.zeros((2, PLACES))
+    with_term[:, counts[:, 0]] = counts[:, 1:].T
+    apart = single_evidence(with_term, n)
+    telling = np.argsort(-apart, kind="stable")[:n_features]
+    telling = telling[apart[telling] > 3]
+    total = with_term.sum(axis=0)
+    frequent = np.argsort(-total, kind="stable")[:n_paired]
+    frequent = np.setdiff1d(frequent[(total[frequent] >= 8) & (total[frequent] < n.sum())], telling)
+    pool = np.r_[telling, frequent]
+    column = np.full(PLACES, -1, np.int32)
+    column[pool] = np.arange(len(pool))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [column[np.asarray(p, np.int64)] for p in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sort(a[a >= 0]).astype(np.uint16).tobytes() for a in at], pa.binary())], names=["toxic", "at"])
+
+    rows = sorted((bytes(r["at"]), r["toxic"]) for r in d.mapInArrow(cut, "toxic int, at binary").toLocalIterator())
+    y = np.array([t for _, t in rows], np.float64)
+    x = np.zeros((len(rows), max(1, len(pool))), np.float32)
+    for i, (at, _) in enumerate(rows):
+        x[i, np.frombuffer(at, np.uint16)] = 1
+    keep = np.arange(len(telling))
+    if len(pool):
+        found = pair_evidence(x, y)[len(telling) :]
+        keep = np.r_[keep, len(telling) + np.flatnonzero(found > PAIR_EVIDENCE)]
+    chosen, slots = pool[keep], np.full(PLACES, -1, np.int32)
+    slots[chosen] = np.arange(len(chosen))
+    x = x[:, keep] if len(keep) else np.zeros((len(y), 1), np.float32)
+    bias, weights, factors = train(x, y, **settings)
+    return Machine(slots, float(bias[0]), weights, factors)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
