@@ -131,6 +131,17 @@ def test_mixing_meets_weights_of_small_sources(spark):
     assert abs(n["small"] - 1001) < 130 and abs(n["big"] - 9009) < 400
 
 
+def test_mixing_keeps_columns_of_any_name_and_deals_null_ids_apart(spark):
+    names = ["quality_mix", "rate_mix", "Copy_Mix", "a.b", "source_mix", "c0", "c`d"]
+    d = spark.createDataFrame([(None if i < 400 else i, f"text {i}", "s", *range(7)) for i in range(800)], ["doc_id", "text", "source", *names])
+    got = mixing.mix(d, weights={"s": 1.0})
+    assert got.columns == [*d.columns, "rate_mix_", "copy_mix_", "key_mix"]
+    rows = got.collect()
+    assert all(list(r[3:10]) == list(range(7)) and r[10] == 1.0 for r in rows)
+    n = len({r["text"] for r in rows if r["doc_id"] is None})
+    assert 200 < n < 300 and 200 < len({r["doc_id"] for r in rows}) - 1 < 300
+
+
 # --- SentencePiece
 
 
@@ -313,6 +324,42 @@ def test_machine_learns_pairs_and_held_out_rows_follow(spark):
     assert kept == {i for i, s in got.items() if s < 0.7}
 
 
+def test_machine_learns_pairs_of_terms_that_tell_nothing_alone(spark):
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(1500):
+        w = [f"n{rng.randrange(200)}" for _ in range(20)]
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w += ["first"] * a + ["second"] * b
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(a == b)))
+    share = lambda term: np.mean([y for (_, t), (_, y) in zip(rows, labels, strict=True) if term in t.split()])
+    assert abs(share("first") - 0.5) < 0.06 and abs(share("second") - 0.5) < 0.06
+    d = docs(spark, rows)
+    machine = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(d, machine).collect()}
+    held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([(got[i] >= 0.5) == bool(y) for i, y in held]) > 0.9
+
+
+def test_scores_are_those_of_all_pairs():
+    rng = np.random.default_rng(3)
+    texts = [b"", b"one", b"one two three", b"Insulting insulted insult", "é one two three four".encode()]
+    slots = np.full(toxicity.PLACES, -1, np.int32)
+    every = np.unique(np.concatenate([toxicity.places(t) for t in texts]))
+    slots[every[: len(every) * 3 // 4]] = np.arange(len(every) * 3 // 4)
+    machine = toxicity.Machine(slots, -0.3, rng.normal(size=len(every)), rng.normal(size=(len(every), 4)))
+    for t in texts:
+        terms = {"".join(c for c in w) for w in re.findall(r"[a-z0-9é]+", t.decode().lower())}
+        terms |= {w[:k] + "*" for w in terms for k in toxicity.BEGINNINGS if len(w.encode()) >= k and w.isascii()}
+        at = sorted({int(slots[zlib.crc32(w.encode()) % toxicity.PLACES]) for w in terms} - {-1})
+        z = machine.bias + sum(machine.weights[i] for i in at)
+        for n, i in enumerate(at):
+            z += sum(float(machine.factors[i] @ machine.factors[j]) for j in at[:n])
+        assert math.isclose(machine.score(t), 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
 def test_toxicity_without_labels_and_odd_rows(spark):
     d = docs(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -123,7 +123,7 @@ def fold(log: DataFrame) -> DataFrame:
             yield batch()
 
     order = ["conv_id", "message", "seq", "kind", "role", "text"]
-    return log.select(*order).repartition(partitions(log.sparkSession), "conv_id").sortWithinPartitions(*order).mapInArrow(run, _MESSAGES)
+    return log.select(*order).repartition(partitions(log.sparkSession, log), "conv_id").sortWithinPartitions(*order).mapInArrow(run, _MESSAGES)
 
 
 def render(messages: DataFrame) -> DataFrame:

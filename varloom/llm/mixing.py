@@ -7,9 +7,9 @@ its doc_id gives, so a run can be repeated anywhere with equal results. Document
 their count and dealt out by another hash, which shuffles globally.
 
 Null sources count as the source ''. Null texts are empty; a source without characters has rate
-1. A null doc_id hashes as ''. Rows that repeat in full are drawn alike. Sources that `weights`
-does not name have weight zero. An empty table gives an empty result. Extra columns are kept;
-names ending in _mix are this operator's own and are replaced.
+1. A null doc_id is replaced by the text's MD5 in both hashes. Rows that repeat in full are drawn alike. Sources that `weights`
+does not name have weight zero. An empty table gives an empty result. Extra columns are kept, whatever their
+names; rate_mix, copy_mix and key_mix get underscores behind where docs has such a column.
 """
 
 from __future__ import annotations
@@ -88,15 +88,30 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     return per.select("source_mix", rate.alias("rate_mix"))
 
 
+def own_names(docs: DataFrame) -> tuple[str, str, str]:
+    """Names of the rate, the number of the copy and the order that no column of docs has."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in ("rate_mix", "copy_mix", "key_mix"):
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return tuple(out)
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: str = "mix") -> DataFrame:
     """docs' rows, each as often as drawn, in global random order, with rate_mix, copy_mix (from 1) and key_mix (the order)."""
     rates = source_rates(docs, weights, temperature, epochs)
     small = rates.count() <= BROADCAST_SOURCES
-    own = [F.col(f"`{c}`") for c in docs.columns if not c.endswith("_mix")]
-    d = docs.select(*own, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source_mix"))
+    rate, copy, order = own_names(docs)
+    # Names are set aside while others come in.
+    d = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own = list(d.columns)
+    d = d.withColumn("source_mix", F.coalesce(F.col(at["source"]).cast("string"), F.lit("")))
     d = d.join(F.broadcast(rates) if small else rates, "source_mix")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    key = F.coalesce(F.col(at["doc_id"]).cast("string"), F.md5(F.coalesce(F.col(at["text"]).cast("string"), F.lit("")).cast("binary")))
     d = d.withColumn("count_mix", poisson_count(uniform(key, seed), F.col("rate_mix"))).where("count_mix > 0")
     d = d.select(*own, "rate_mix", F.explode(F.sequence(F.lit(1), F.col("count_mix"))).alias("copy_mix"))
     d = d.withColumn("key_mix", F.md5(F.concat(F.lit(f"{seed}:order:"), key, F.lit(":"), F.col("copy_mix").cast("string")).cast("binary")))
-    return d.repartition(partitions(docs.sparkSession), "key_mix").sortWithinPartitions("key_mix")
+    d = d.repartition(partitions(docs.sparkSession, docs), "key_mix").sortWithinPartitions("key_mix")
+    return d.toDF(*docs.columns, rate, copy, order)

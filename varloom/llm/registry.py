@@ -45,7 +45,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_dedup.deduplicate(_table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
+    index = exact_dedup.DigestIndex(spark)
+    out = exact_dedup.deduplicate_by_parts(_table(spark, sf_dir, "documents"), index)
+    index.close()
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -127,19 +129,19 @@ ORACLE = {
         WITH RECURSIVE per AS (
             SELECT coalesce(source, '') AS s, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS size FROM documents GROUP BY 1),
         total AS (SELECT sum(size) AS size, sum(pow(size, 0.5)) AS weight FROM per),
-        rates AS (SELECT s, least(CASE WHEN per.size > 0 THEN pow(per.size, 0.5) / total.weight * total.size / per.size ELSE 1.0 END, 64.0) AS rate FROM per, total),
+        rates AS (SELECT s, CASE WHEN per.size > 0 THEN pow(per.size, 0.5) / total.weight * total.size / per.size ELSE 1.0 END AS rate FROM per, total),
         cdf(s, rate, k, p, c) AS (
             SELECT s, rate, 0, exp(-rate), exp(-rate) FROM rates
             UNION ALL
             SELECT s, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k + 1 < ceil(rate + 12 * sqrt(rate) + 20)),
         drawn AS (
-            SELECT d.*, r.rate, CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
+            SELECT d.*, r.rate, CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
             FROM documents d JOIN rates r ON coalesce(d.source, '') = r.s),
         counted AS (
             SELECT doc_id, any_value(text) AS text, any_value(lang) AS lang, any_value(source) AS source, any_value(n_chars) AS n_chars, any_value(d.rate) AS rate, count(*) AS n
             FROM drawn d JOIN cdf ON coalesce(d.source, '') = cdf.s AND d.u >= cdf.c GROUP BY doc_id)
         SELECT doc_id, text, lang, source, n_chars, round(rate, 6) AS rate, i AS copy_no,
-               md5('mix:order:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(i AS VARCHAR)) AS order_key
+               md5('mix:order:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) || ':' || CAST(i AS VARCHAR)) AS order_key
         FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM counted)""",
     "op7_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS h FROM documents)

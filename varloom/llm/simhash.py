@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.llm.text import id_and_text
-from varloom.storage import discard, materialize, partitions
+from varloom.storage import PARTITION_BYTES, discard, materialize, partitions
 
 PIVOTS = 16
 BAND_RECALL = 0.97
@@ -230,7 +230,8 @@ def links(distinct: DataFrame, n: int, radius: int = 4, width: int = 1) -> DataF
                 u, v = [min(x) for x in found], [max(x) for x in found]
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
-    p = partitions(distinct.sparkSession)
+    # A cell row takes as many bytes as a fingerprint and its key, and each fingerprint has one for each cell.
+    p = max(partitions(distinct.sparkSession), n * len(keys) * (8 * width + 16) // PARTITION_BYTES)
     cells = distinct.select("fp").mapInArrow(deal, "c long, k long, fp binary")
     return cells.repartition(p, "c", "k").sortWithinPartitions("c", "k").mapInArrow(run, "u binary, v binary").distinct()
 
@@ -344,7 +345,7 @@ def similar(members: DataFrame, similarity: float) -> DataFrame:
 
     meet = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meet = meet.select("root", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "set")
-    p = partitions(members.sparkSession)
+    p = partitions(members.sparkSession, members)
     return meet.repartition(p, "root", "a", "b").sortWithinPartitions("root", "a", "b").mapInArrow(run, "u long, v long")
 
 

@@ -155,5 +155,5 @@ def read(selected: DataFrame, folder: str, payload: bool = True) -> DataFrame:
         if held:
             yield from load(held)
 
-    places = selected.select("file", "offset", "length").repartition(partitions(selected.sparkSession), "file").sortWithinPartitions("file", "offset")
+    places = selected.select("file", "offset", "length").repartition(partitions(selected.sparkSession, selected), "file").sortWithinPartitions("file", "offset")
     return places.mapInArrow(run, _RECORD)
