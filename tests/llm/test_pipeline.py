@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 
 import corpus_pipeline
@@ -34,13 +35,15 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert kept[1] == kept[0] - set(range(10)) - {4000}
     assert kept[2] == kept[1] - set(range(3000, 3010))
     assert kept[3] <= kept[2] and kept[4] == kept[3]
+    texts = {r[0]: hashlib.sha256((r[1] or "").encode()).hexdigest() for r in clean + toxic + copies + near + odd}
+    assert all(r["text_sha256"] == texts[r["doc_id"]] and r["same_text"] for r in docs.collect())
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, path).select("doc_id").collect()} == kept[4]
 
 
 def test_stages_bear_odd_rows_and_clashing_columns(spark, tmp_path):
-    names = ["digest", "fp", "kept", "block", "score", "row", "_doc", "_id", "_n", "node", "root", "ids", "size", "weight"]
+    names = ["digest", "fp", "kept", "block", "score", "row", "_doc", "_id", "_n", "node", "root", "ids", "size", "weight", "quality_mix", "rate_mix", "a.b"]
     rows = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "x y z"), (5, "w " * 20_000), (6, "W " * 20_000), (None, None)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
     docs = spark.createDataFrame([(i, t, None, None, None, *["z"] * len(names)) for i, t in rows], schema)
     spark.createDataFrame([(3, None, 1), (5, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for table in (docs, docs.limit(0)):

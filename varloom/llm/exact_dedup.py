@@ -25,7 +25,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from varloom.llm.text import ascii_lower, id_and_text
+from varloom.llm.text import ascii_lower, id_and_text, quoted
 from varloom.storage import fresh_path, listed, materialize
 
 #: A bucket of the index is made for so many bytes (some 40 each digest), and rewritten beyond four times as many or so many files.
@@ -155,8 +155,8 @@ def keep_first(docs: DataFrame, index: DigestIndex, batch: str | None = None) ->
     """
     kept = deduplicate(docs, index, batch).where("kept").select(F.col("doc_id").alias("__dedup_id"), F.col("digest").alias("__dedup_digest"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    every = [F.col(f"`{f.name}`") for f in docs.schema.fields if not re.search("map<|variant|void", f.dataType.simpleString())]
+    every = quoted(f.name for f in docs.schema.fields if not re.search("map<|variant|void", f.dataType.simpleString()))
     d = docs.select("*", F.unhex(F.sha2(ascii_lower(text), 256)).alias("__dedup_of"), F.col("doc_id").cast("long").alias("__dedup_doc"), F.md5(text.cast("binary")).alias("__dedup_own"), F.xxhash64(*every).alias("__dedup_all"))
     d = d.join(kept, F.col("__dedup_doc").eqNullSafe(F.col("__dedup_id")) & (F.col("__dedup_of") == F.col("__dedup_digest")), "left_semi")
     once = Window.partitionBy("__dedup_doc", "__dedup_of").orderBy("__dedup_own", "__dedup_all")
-    return d.withColumn("__dedup_n", F.row_number().over(once)).where("__dedup_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return d.withColumn("__dedup_n", F.row_number().over(once)).where("__dedup_n = 1").select(*quoted(docs.columns))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.llm.text import id_and_text
+from varloom.llm.text import id_and_text, quoted
 from varloom.storage import PARTITION_BYTES, discard, materialize, partitions
 
 PIVOTS = 16
@@ -418,4 +418,4 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: i
     d = d.join(stay, F.col("__near_doc").eqNullSafe(F.col("__near_id")) & (F.col("__near_text") == F.col("__near_of")), "left_semi")
     # Rows that repeat in full are one document; the join's partitioning by document and text serves this window too.
     once = Window.partitionBy("__near_doc", "__near_text").orderBy("__near_doc")
-    return d.withColumn("__near_n", F.row_number().over(once)).where("__near_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return d.withColumn("__near_n", F.row_number().over(once)).where("__near_n = 1").select(*quoted(docs.columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,3 +19,8 @@ def ascii_lower(text: Column) -> Column:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty; other columns, whatever their names, stay out."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns by name, whatever characters the names hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]

@@ -189,11 +189,12 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """The documents under the threshold, with all their columns, scored where they are: nothing is shuffled."""
-    model, schema, text = docs.sparkSession.sparkContext.broadcast(machine), docs.schema, docs.columns.index("text")
+    model, text = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index("text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may hold dots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
             yield b.filter(pa.array([m.score(t or b"") < threshold for t in b.column(text).cast(pa.binary()).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
