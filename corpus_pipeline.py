@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from varloom.llm import exact_dedup, mixing, sentencepiece, simhash, toxicity
 from varloom.llm.ship import shipped
+from varloom.llm.text import quoted
 from varloom.storage import materialize
 
 #: A score, a hash that no DuckDB function gives and a vocabulary file decide, so SQL can't express the pipeline.
 ORACLE_SQL = None
+#: Segmentations that are searched for each text, as op3_sentencepiece does.
+N_BEST = 2
 
 
 @shipped
@@ -27,25 +30,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @shipped
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the largest doc_id."""
-    return exact_dedup.keep_first(docs, exact_dedup.DigestIndex(spark))
+    index = exact_dedup.DigestIndex(spark)
+    out = exact_dedup.keep_first(docs, index)
+    index.close()
+    return out
 
 
 @shipped
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts of a similarity of 0.8 or more over five-word shingles the smallest doc_id."""
+    """Of texts that a chain of similarities of 0.8 or more over five-word shingles joins, the one with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
 @shipped
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the weight of their source asks for, in global random order."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs).select(*quoted(docs.columns))
 
 
 @shipped
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids and score of the best segmentation of each text."""
-    return sentencepiece.encode(docs, n_best=1).selectExpr("doc_id", "nbest[0].score AS score", "nbest[0].ids AS ids")
+    """Piece ids and score of the best of N_BEST segmentations of each text, the SHA-256 of what they decode to and whether all decode alike."""
+    out = sentencepiece.decode(sentencepiece.encode(docs, n_best=N_BEST))
+    return out.selectExpr("doc_id", "nbest[0].score AS score", "nbest[0].ids AS ids", "sha2(texts[0], 256) AS text_sha256", "size(array_distinct(texts)) = 1 AS same_text")
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("encode", encode)]
