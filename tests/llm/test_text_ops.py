@@ -187,6 +187,7 @@ def test_round_trip_of_any_text(spark, pieces):
     texts = sorted((i or 0, t or "") for i, t in rows)
     assert sorted((r["doc_id"] or 0, r["texts"][0]) for r in out) == texts
     assert all(set(r["texts"]) == {r["texts"][0]} for r in out)
+    assert sorted(map(str, sentencepiece.round_trip(d, 3).collect())) == sorted(map(str, out))
     empty = next(r for r in out if r["doc_id"] == 2)
     assert empty["nbest"][0]["ids"] == [] and empty["nbest"][0]["score"] == 0
     assert sentencepiece.encode(d.limit(0)).count() == 0

@@ -318,44 +318,68 @@ def vocabulary(model: str = MODEL) -> tuple[tuple[str, float, int], ...]:
     return tuple(out)
 
 
+_ENCODED = "doc_id long, nbest array<struct<score: double, ids: array<int>>>"
+_DECODED = _ENCODED + ", texts array<string>"
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
+
+
+def _encoded(lattice: Lattice, texts: pa.Array) -> pa.ListArray:
+    got = lattice.encode(texts.to_pylist())
+    flat = [x for ways in got for x in ways]
+    ends = np.cumsum([0, *(len(x[1]) for x in flat)]).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[1] for x in flat])))
+    ways = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.float64()), ids], names=["score", "ids"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]).astype(np.int32)), ways)
+
+
+def _decoded(lattice: Lattice, nbest: pa.ListArray) -> pa.ListArray:
+    ids = nbest.flatten().field("ids")
+    texts = lattice.decode(ids.flatten().to_numpy(), ids.value_lengths().to_numpy())
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(nbest.value_lengths().to_numpy())].astype(np.int32)), texts)
+
+
 def encode(docs: DataFrame, n_best: int = 1, model: str = MODEL) -> DataFrame:
     """(doc_id, nbest array<struct<score, ids>>), best first; the vocabulary travels with the tasks."""
     shared = docs.sparkSession.sparkContext.broadcast(Lattice(vocabulary(model), n_best))  # a few times the model file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = shared.value  # one for each worker: what it has learnt serves its next task
-        for whole in batches:
-            for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
-                got = lattice.encode(b.column(1).to_pylist())
-                flat = [x for ways in got for x in ways]
-                ends = np.cumsum([0, *(len(x[1]) for x in flat)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[1] for x in flat])))
-                ways = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.float64()), ids], names=["score", "ids"])
-                outer = pa.array(np.cumsum([0, *map(len, got)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(outer, ways)], names=["doc_id", "nbest"])
+        for b in _slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), _encoded(lattice, b.column(1))], names=["doc_id", "nbest"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, nbest array<struct<score: double, ids: array<int>>>")
+    return id_and_text(docs).mapInArrow(run, _ENCODED)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """Rows of encode() with texts array<string>: the text that each segmentation gives back."""
     shared = encoded.sparkSession.sparkContext.broadcast(Lattice(vocabulary(model), 1))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _decoded(shared.value, b.column(1))], names=["doc_id", "nbest", "texts"])
+
+    return encoded.select("doc_id", "nbest").mapInArrow(run, _DECODED)
+
+
+def round_trip(docs: DataFrame, n_best: int = 2, model: str = MODEL) -> DataFrame:
+    """decode(encode(docs)) in one worker and with one lattice; chained, both would hold a worker and a lattice at a time."""
+    shared = docs.sparkSession.sparkContext.broadcast(Lattice(vocabulary(model), n_best))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = shared.value
-        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
-            nbest = b.column(1)
-            ids = nbest.flatten().field("ids")
-            texts = lattice.decode(ids.flatten().to_numpy(), ids.value_lengths().to_numpy())
-            outer = pa.array(np.r_[0, np.cumsum(nbest.value_lengths().to_numpy())].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), nbest, pa.ListArray.from_arrays(outer, texts)], names=["doc_id", "nbest", "texts"])
+        for b in _slices(batches):
+            nbest = _encoded(lattice, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), nbest, _decoded(lattice, nbest)], names=["doc_id", "nbest", "texts"])
 
-    return encoded.select("doc_id", "nbest").mapInArrow(run, "doc_id long, nbest array<struct<score: double, ids: array<int>>>, texts array<string>")
+    return id_and_text(docs).mapInArrow(run, _DECODED)
 
 
 def digest(docs: DataFrame, n_best: int = 2, model: str = MODEL) -> DataFrame:
     """Per document: pieces and score of the two best segmentations, a digest of what the best decodes to, and whether all give the text back."""
-    out = decode(encode(docs, n_best, model), model)
+    out = round_trip(docs, n_best, model)
     return out.select(
         "doc_id",
         F.size(F.col("nbest")[0]["ids"]).cast("long").alias("n_pieces"),
