@@ -51,7 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @shipped
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids and score of the best of N_BEST segmentations of each text, the SHA-256 of what they decode to and whether all decode alike."""
-    out = sentencepiece.decode(sentencepiece.encode(docs, n_best=N_BEST))
+    out = sentencepiece.round_trip(docs, n_best=N_BEST)
     return out.selectExpr("doc_id", "nbest[0].score AS score", "nbest[0].ids AS ids", "sha2(texts[0], 256) AS text_sha256", "size(array_distinct(texts)) = 1 AS same_text")
 
 
