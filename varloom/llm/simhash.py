@@ -383,7 +383,8 @@ def _classes(docs: DataFrame, words: int, similarity: float, radius: int, width:
     if members.isEmpty():
         return rows, alone
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    large = members.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1")
+    # Written first: both sides of the join are tables then, and a hot group's rows can be split.
+    large = materialize(members.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
     members = members.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     members = members.select("root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", F.col("first.doc_id").alias("of_id"), F.col("first.hash").alias("of_hash"))
     whose = F.col("of_id").eqNullSafe(F.col("doc_id")) & (F.col("of_hash") == F.col("hash"))
