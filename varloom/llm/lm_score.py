@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.llm.text import id_and_text
-from varloom.storage import materialize, partitions
+from varloom.storage import partitions
 
 BACKOFF = 0.4
 BLOCK_BYTES, BLOCK_ROWS = 6_000_000, 100_000
@@ -187,7 +187,6 @@ def _in_order(back: pd.DataFrame) -> np.ndarray:
     return _wide(b"".join(back["small"]), b"".join(back["large"]))
 
 
-_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("small", pa.binary()), ("large", pa.binary()), ("words", pa.int64())])
 _CELLS = "bucket int, block long, hashes binary, small binary, large binary, words long"
 _BACK = "block long, bucket int, small binary, large binary, words long"
 
@@ -198,7 +197,7 @@ def _elsewhere(cells: DataFrame, blocks: int, bits: int, fan_bits: int) -> DataF
     if lead == bits:
         return cells.groupBy("bucket").applyInPandas(_sum_bucket, _BACK)
     under = bits - lead
-    groups = -(-blocks // (1 << under))
+    groups = max(1, -(-blocks // (1 << under)))
     cells = cells.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -232,9 +231,9 @@ def _packed(docs: DataFrame, block_bytes: int) -> DataFrame:
         def block() -> pa.RecordBatch:
             has, number = np.array([i is not None for i in ids], np.bool_), np.array([i or 0 for i in ids], np.int64)
             sizes = np.array([len(t) for t in texts], np.int64)
-            row = ((part << 32) + n, number.tobytes(), has.tobytes(), sizes.tobytes(), squeeze.compress(b"".join(texts)), size)
-            types = [pa.int64(), *[pa.binary()] * 4, pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["block", "ids", "has_ids", "sizes", "texts", "bytes"])
+            row = ((part << 32) + n, number.tobytes(), has.tobytes(), sizes.tobytes(), squeeze.compress(b"".join(texts)))
+            types = [pa.int64(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["block", "ids", "has_ids", "sizes", "texts"])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -247,22 +246,23 @@ def _packed(docs: DataFrame, block_bytes: int) -> DataFrame:
         if ids:
             yield block()
 
-    return docs.mapInArrow(run, "block long, ids binary, has_ids binary, sizes binary, texts binary, bytes long")
+    return docs.mapInArrow(run, "block long, ids binary, has_ids binary, sizes binary, texts binary")
 
 
 def score(docs: DataFrame, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, fan_bits: int = FAN_BITS) -> DataFrame:
     """Per document: doc_id, n_words, log10_sum, mean_log10 and how many words were scored with 3, 2, 1 and no words of evidence."""
-    # Which documents a block holds follows from the order of reading, so it is written once and for all.
-    d = materialize(_packed(id_and_text(docs), block_bytes), "lm-blocks")
-    blocks, size = d.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    bits = max(1, int(max(partitions(d.sparkSession), -(-size // bucket_bytes)) - 1).bit_length())
+    docs = id_and_text(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-size // block_bytes)
+    bits = max(1, int(max(partitions(docs.sparkSession), -(-size // bucket_bytes)) - 1).bit_length())
+    # Which documents a block holds follows from the order of its partition's rows; sorted, a task that runs anew makes the same blocks.
+    d = _packed(docs.sortWithinPartitions(F.xxhash64("doc_id", "text")), block_bytes)
     lead = first_bits(bits, fan_bits)
 
-    def count_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                block = _Block(row, lead)
-                yield pa.RecordBatch.from_pandas(_cells(*_distinct(block.short()[0]), 0, 1 << lead, lead, row["block"], block.n), _ARROW, preserve_index=False)
+    def count_short(own: pd.DataFrame) -> pd.DataFrame:
+        row = own.iloc[0].to_dict()
+        block = _Block(row, lead)
+        return _cells(*_distinct(block.short()[0]), 0, 1 << lead, lead, row["block"], block.n)
 
     def count_long(own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         row = own.iloc[0].to_dict()
@@ -293,7 +293,7 @@ def score(docs: DataFrame, backoff: float = BACKOFF, block_bytes: int = BLOCK_BY
             out[f"seen_{k}"] = np.bincount(block.doc[evidence == k], minlength=n)
         return out
 
-    short = _elsewhere(d.mapInArrow(count_short, _CELLS), blocks, bits, fan_bits)
+    short = _elsewhere(d.groupBy("block").applyInPandas(count_short, _CELLS), blocks, bits, fan_bits)
     long = _elsewhere(d.groupBy("block").cogroup(short.groupBy("block")).applyInPandas(count_long, _CELLS), blocks, bits, fan_bits)
     back = short.withColumn("round", F.lit(1)).unionByName(long.withColumn("round", F.lit(2)))
     schema = "doc_id long, has_id boolean, n_words long, log10_sum double, mean_log10 double, seen_3 long, seen_2 long, seen_1 long, seen_0 long"
