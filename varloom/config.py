@@ -31,6 +31,7 @@ def filter_config(path: str, gene_list: str | None = None) -> FilterConfig:
         frequency=float(freq.get("maf") or 0.01),
         clinical_frequency=float(ini.get("freq_cli", "maf", fallback=None) or 0.05),
         splice_distance=int(ini.get("reg", "splice", fallback=None) or 20),
+        regions=tuple(r for r in listed("reg", "incl") if r != "all"),
         variant_types=listed("vartype", "incl") or ("snp", "indel"),
         genes=genes,
         sources={k: truth(v) for k, v in freq.items() if k != "maf"},

@@ -16,7 +16,6 @@ GENE_ORDER = ("CodingExonic", "boundary", "CodingIntronic", "UTR5", "UTR3", "Non
 REGION_SCORE = {"CodingExonic": 5, "CodingIntronic": 4, "NonCodingExonic": 3, "UTR5": 2, "UTR3": 2, "NonCodingIntronic": 1}
 CLASS_SCORE = {"splc_coding;hpm": 5, "hpm": 4, "warn": 3, "splc_coding": 2, "splc_ext_intron": 1}
 CLASS_TAG = {"splc_coding;hpm": "S", "hpm": "e", "warn": "w", "splc_coding": "s", "splc_ext_intron": "i"}
-# Genes in the pseudoautosomal regions are looked up in a list that the caller gives.
 
 
 def literal_map(values: dict) -> Column:
@@ -83,6 +82,7 @@ class FilterConfig:
     frequency: float = 0.01
     clinical_frequency: float = 0.05
     splice_distance: int = 20
+    regions: tuple[str, ...] = ()
     variant_types: tuple[str, ...] = ("snp", "indel")
     genes: tuple[str, ...] = ()
     sources: dict[str, bool] = field(default_factory=dict)
@@ -125,6 +125,79 @@ def decide(*, excluded: Column, clinvar: Column, hgmd: Column, at_clinical: Colu
     return kept, tag
 
 
+# Consequences that count as damaging, and the regions of either kind.
+DAMAGING = ("StopGain", "StopLoss", "StartLoss", "NonSyn", "FrameShiftInsert", "FrameShiftDelete", "NonFrameShiftInsert", "NonFrameShiftDelete")
+EXONIC, BESIDE = ("CodingExonic", "NonCodingExonic"), ("CodingIntronic", "NonCodingIntronic", "UTR5", "UTR3")
+CDS_WARNING = "CDS_NOT_MULTIPLE_OF_3"
+
+
+def consequence_class(region: Column, motif: Column, consequence: Column, warning: Column, offset: Column, splice_distance: int, regions: tuple[str, ...] = ()) -> Column:
+    """A key of CLASS_SCORE for one transcript, null if the variant doesn't count there.
+
+    motif: ESE or ESS where an exonic variant lies in a splice-regulatory site. offset: distance from the coding exons of
+    a variant in an intron or UTR. regions: only these count; all, if empty.
+    """
+    wanted = region.isin(*regions) if regions else F.lit(True)
+    hit = F.coalesce(consequence.isin(*DAMAGING), F.lit(False))
+    exonic = F.when(motif.isin("ESE", "ESS"), F.when(hit, "splc_coding;hpm").otherwise("splc_coding")).when(hit, "hpm").when(warning == CDS_WARNING, "warn")
+    beside = F.when((F.lit(splice_distance) > 0) & (offset <= splice_distance), "splc_ext_intron")
+    return F.when(wanted & region.isin(*EXONIC), exonic).when(wanted & region.isin(*BESIDE), beside)
+
+
+def cdna_offset(cdna: Column) -> Column:
+    """Least offset from the coding exons in a cDNA name such as c.12+5_12+8, c.-14 or c.*3; null without one."""
+    found = F.transform(F.regexp_extract_all(cdna, F.lit(r"(?:\d[+-]|c\.[-*]|_[-*])(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
+    return F.array_min(found)
+
+
+def flags_pass(info: Column, include: tuple[str, ...], exclude: tuple[str, ...]) -> Column:
+    """Whether INFO has one of the flags asked for, if any are, and none of those ruled out."""
+    return (has_flag(info, include) if include else F.lit(True)) & ~has_flag(info, exclude)
+
+
+def any_source_low(sources: list[Column], limit: float) -> Column:
+    """The older frequency test: some source has the variant at `limit` or less, or not at all."""
+    out = F.lit(False)
+    for s in sources:
+        out = out | s.isNull() | (s <= limit)
+    return out
+
+
+def is_functional(consequence: Column) -> Column:
+    """The simple test of a consequence, without regions."""
+    return F.coalesce(consequence.isin(*DAMAGING), F.lit(False))
+
+
+def is_exonic(region: Column) -> Column:
+    return F.coalesce(region.isin(*EXONIC) | region.contains("Exonic"), F.lit(False))
+
+
+def is_clinical(significance: Column, classes: Column) -> Column:
+    """Whether a clinical source calls the variant pathogenic."""
+    return (clinvar_vote(significance_codes(F.coalesce(significance, F.lit("")))) == 1) | (hgmd_vote(F.coalesce(classes, F.array().cast("array<string>"))) > 2)
+
+
+def phenotype_name(text: Column) -> Column:
+    """A phenotype's name fit for INFO fields: braces, brackets and question marks go, what separates fields becomes an underscore."""
+    return F.regexp_replace(F.trim(F.regexp_replace(text, r"[{}\[\]?]", "")), r"[\s,;|:=]+", "_")
+
+
+def cdna_parts(text: Column) -> Column:
+    """The cDNA changes of a text that joins them by ; or ,"""
+    return F.filter(F.transform(F.split(text, r"[;,]"), lambda p: F.trim(p)), lambda p: p != "")
+
+
+# Genes in both sex chromosomes.
+PSEUDOAUTOSOMAL = (
+    "ASMT", "ASMTL", "CD99", "CRLF2", "CSF2RA", "SFRS17A", "DHRSXY", "GTPBP6", "IL3RA", "P2RY8", "PLCXD1", "PPP2R3B",
+    "SHOX", "SLC25A6", "XG", "ZBED1", "SPRY3", "SYBL1", "IL9R", "PCDH11X", "PCDH11Y", "TGIF2LX", "TGIF2LY",
+)
+
+
+def pseudoautosomal(gene: Column) -> Column:
+    return F.coalesce(gene.isin(*PSEUDOAUTOSOMAL), F.lit(False))
+
+
 def most_damaging(hits: Column) -> Column:
     """Of an array<struct<region, consequence>> the one with the largest region score, then class score; the last of equals."""
     regions, classes = literal_map(REGION_SCORE), literal_map(CLASS_SCORE)

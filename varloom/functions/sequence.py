@@ -16,7 +16,7 @@ AMINO3 = {"A": "Ala", "R": "Arg", "N": "Asn", "D": "Asp", "C": "Cys", "Q": "Gln"
 
 
 def reverse_complement(seq: Column) -> Column:
-    return F.reverse(F.translate(seq, "ACGTNacgtn", "TGCANtgcan"))
+    return F.reverse(F.translate(seq, "ACGTRYKMBVDHacgtrykmbvdh", "TGCAYRMKVBHDtgcayrmkvbhd"))
 
 
 def _unambiguous() -> dict[str, str]:
@@ -119,6 +119,20 @@ def cds_defect(length: Column) -> Column:
     return F.when(length % 3 != 0, "CDS_NOT_MULTIPLE_OF_3")
 
 
+def codons_around(utr: Column, index: Column) -> Column:
+    """The whole codons of a 5' UTR that hold the base at an index, in each of the three frames: a new start lies among them."""
+    at = F.transform(F.array(index, index - 1, index - 2), lambda i: F.when(i >= 0, F.substr(utr, (i + 1).cast("int"), F.lit(3))))
+    return F.array_distinct(F.filter(at, lambda c: F.coalesce(F.length(c) == 3, F.lit(False))))
+
+
+def utr5_index(base: Column, exons: Column, strand: Column) -> Column:
+    """0-based index of a genomic base in the spliced transcript, on its strand; null outside of exons."""
+    inside = F.exists(exons, lambda e: (base >= e["start"]) & (base < e["end"]))
+    ahead = F.aggregate(exons, F.lit(0).cast("long"), lambda s, e: s + F.greatest(F.lit(0), F.least(base, e["end"]) - e["start"]))
+    behind = F.aggregate(exons, F.lit(0).cast("long"), lambda s, e: s + F.greatest(F.lit(0), e["end"] - F.greatest(base + 1, e["start"])))
+    return F.when(inside, F.when(strand == "-", behind).otherwise(ahead))
+
+
 def pad_or_clip(values: Column, n: int, fill: str = ".") -> Column:
     """An array of exactly n elements."""
     return F.slice(F.concat(values, F.array_repeat(F.lit(fill), n)), 1, n)

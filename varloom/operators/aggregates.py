@@ -46,9 +46,11 @@ def normalize(d: DataFrame, value: str, by: str, name: str) -> DataFrame:
     return d.join(F.broadcast(total)).withColumn(name, F.try_divide(F.col(value), F.col("_t"))).drop("_t")
 
 
-def kth_largest(d: DataFrame, value: str, k: int, name: str) -> DataFrame:
-    """The value at 0-based rank k; the smallest where there are fewer."""
-    return d.select(value).orderBy(F.desc(value)).limit(k + 1).agg(F.min(value).alias(name))
+def kth_largest(d: DataFrame, value: str, k: float, name: str) -> DataFrame:
+    """The value at 0-based rank k, or under 1 at that fraction of the rows; the smallest where there are fewer."""
+    if 0 < k < 1:
+        k = int(k * d.where(F.col(value).isNotNull()).count() + 0.5)
+    return d.select(value).orderBy(F.desc(value)).limit(int(k) + 1).agg(F.min(value).alias(name))
 
 
 def best_pair(d: DataFrame, a: str, b: str, category: str, score: str) -> DataFrame:
@@ -132,4 +134,46 @@ def insert_absent(new: DataFrame, table: DataFrame, key: list[str]) -> DataFrame
 
 def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct rows of b that a lacks."""
-    return b.exceptAll(a).distinct()
+    return b.subtract(a)
+
+
+def set_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows that both have."""
+    return a.intersect(b)
+
+
+def set_union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of either."""
+    return a.unionByName(b).distinct()
+
+
+def append(a: DataFrame, b: DataFrame) -> DataFrame:
+    """All rows of both, repeats included."""
+    return a.unionByName(b)
+
+
+def key_counts(d: DataFrame, key: list[str], counted: str, ident: str) -> DataFrame:
+    """(key, n_distinct, max_id, n)."""
+    return d.groupBy(*key).agg(F.count_distinct(counted).alias("n_distinct"), F.max(ident).alias("max_id"), F.count(F.lit(1)).alias("n"))
+
+
+def distinct_where(d: DataFrame, keep: Column, value: str) -> DataFrame:
+    """Distinct values of the rows that satisfy `keep`."""
+    return d.where(keep).select(value).distinct()
+
+
+def top_rows(d: DataFrame, key: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each key by `order`."""
+    return d.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def first_key(values: Column) -> Column:
+    """The key of the least value of a map, ties to the smaller key."""
+    return F.array_min(F.transform(F.map_entries(values), lambda e: F.struct(e["value"].alias("value"), e["key"].alias("key"))))["key"]
+
+
+def swapped(values: Column) -> Column:
+    """A map with keys and values exchanged; of keys with one value the largest stays."""
+    pairs = F.array_sort(F.transform(F.map_entries(values), lambda e: F.struct(e["value"].alias("k"), e["key"].alias("v"))))
+    last = F.filter(pairs, lambda p, i: F.coalesce(F.get(pairs, i + 1)["k"] != p["k"], F.lit(True)))
+    return F.map_from_entries(last)

@@ -96,3 +96,29 @@ def relabel(tx: DataFrame, ids: DataFrame) -> DataFrame:
     bare = bare.groupBy("_b").agg(F.max_by("refseq", F.struct("_v", "refseq")).alias("_r2"))
     d = tx.join(exact, "name", "left").withColumn("_b", F.substring_index("name", ".", 1)).join(bare, "_b", "left")
     return d.withColumn("refseq", F.coalesce("_r1", "_r2")).drop("_r1", "_r2", "_b")
+
+
+def gene_lookup(tx: DataFrame, **by) -> DataFrame:
+    """Transcripts by gene, accession, gid, chrom or strand, whichever are given."""
+    d = tx
+    for name, value in by.items():
+        d = d.where(F.col(name) == value)
+    return d
+
+
+def genes_at(points: DataFrame, tx: DataFrame, chrom: str, pos: str) -> DataFrame:
+    """points (1-based pos) with gid, accession, gene and strand of the transcripts that hold them."""
+    from varloom.operators import intervals
+
+    t = tx.select(F.col("chrom").alias("_tc"), (F.col("tx_start") + 1).alias("_ts"), F.col("tx_end").alias("_te"), "gid", "accession", "gene", "strand")
+    return intervals.point_join(points, t, chrom, pos, "_tc", "_ts", "_te").drop("_tc", "_ts", "_te")
+
+
+def mrna_lookup(d: DataFrame, mrnas: DataFrame) -> DataFrame:
+    """d (gid, accession) with the transcript's sequence; mrnas: (gid, name, sequence)."""
+    return d.join(mrnas.select("gid", F.col("name").alias("accession"), "sequence"), ["gid", "accession"], "left")
+
+
+def pathogenic_profile(d: DataFrame, tx: DataFrame) -> DataFrame:
+    """(gene, counts by consequence and vote, length) of each gene that has variants."""
+    return consequence_counts(d).join(union_length(tx), "gene", "left")

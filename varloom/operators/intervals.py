@@ -111,6 +111,19 @@ def contains(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return (s1 <= s2) & (e2 <= e1)
 
 
+def has_region(points: DataFrame, regions: DataFrame, chrom: str, pos: str, name: str = "has_region") -> DataFrame:
+    """points with whether any region (rchrom, rstart, rend) holds them."""
+    key = [c for c in points.columns]
+    hit = point_join(points, regions, chrom, pos, "rchrom", "rstart", "rend", how="left_semi").select(*key, F.lit(True).alias(name)).distinct()
+    return points.join(hit, key, "left").fillna({name: False})
+
+
+def domain_texts(variants: DataFrame, domains: DataFrame, row: str, chrom: str, start: str, end: str) -> DataFrame:
+    """(row, descriptions): the distinct descriptions, sorted, of the domains (dchrom, dstart, dend, description) that a variant overlaps."""
+    hit = overlap_join(variants, domains, chrom, start, end, "dchrom", "dstart", "dend")
+    return hit.groupBy(row).agg(F.array_sort(F.collect_set("description")).alias("descriptions"))
+
+
 def liftover(points: DataFrame, chain: DataFrame, chrom: str, pos: str, size: int = BIN) -> DataFrame:
     """points moved through chain blocks (from_chrom, from_start, from_end, to_chrom, to_start, to_strand): to_chrom, to_pos.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.operators import network, phenotype
@@ -10,11 +9,11 @@ from varloom.queries.base import Tables, query
 
 
 def _edges(t: Tables):
-    e = t.lineitem.groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 97).alias("dst")).agg(F.sum("l_quantity").alias("w"))
+    e = t.lineitem.groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.sum("l_quantity").alias("w"))
     return e
 
 
-_EDGES = """e AS (SELECT l_suppkey AS src, l_partkey % 97 AS dst, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2), r AS (SELECT src, sum(w) AS r FROM e GROUP BY 1), c AS (SELECT dst, sum(w) AS c FROM e GROUP BY 1),
+_EDGES = """e AS (SELECT l_suppkey AS src, l_partkey AS dst, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2), r AS (SELECT src, sum(w) AS r FROM e GROUP BY 1), c AS (SELECT dst, sum(w) AS c FROM e GROUP BY 1),
     n AS (SELECT src, dst, w / (sqrt(r) * sqrt(c)) AS w FROM e JOIN r USING (src) JOIN c USING (dst))"""
 
 
@@ -24,14 +23,16 @@ def edge_normalize(t: Tables):
 
 
 def _square(t: Tables):
-    """Edges among 60 nodes."""
-    return t.lineitem.groupBy((F.col("l_suppkey") % 60).alias("src"), (F.col("l_partkey") % 60).alias("dst")).agg(F.sum("l_quantity").alias("w"))
+    """Edges from suppliers to parts and back, parts under negative numbers."""
+    both = t.lineitem.select(F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"), "l_quantity")
+    both = both.union(both.select("dst", "src", "l_quantity"))
+    return both.groupBy("src", "dst").agg(F.sum("l_quantity").alias("w"))
 
 
 def _heat_sql(k: int) -> str:
-    out = """WITH e AS (SELECT l_suppkey % 60 AS src, l_partkey % 60 AS dst, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2), r AS (SELECT src, sum(w) AS r FROM e GROUP BY 1), c AS (SELECT dst, sum(w) AS c FROM e GROUP BY 1),
+    out = """WITH l AS (SELECT l_suppkey AS s, -1 - l_partkey AS p, l_quantity AS q FROM lineitem), e AS (SELECT src, dst, sum(q) AS w FROM (SELECT s AS src, p AS dst, q FROM l UNION ALL SELECT p, s, q FROM l) GROUP BY 1, 2), r AS (SELECT src, sum(w) AS r FROM e GROUP BY 1), c AS (SELECT dst, sum(w) AS c FROM e GROUP BY 1),
     n AS (SELECT src, dst, w / (sqrt(r) * sqrt(c)) AS w FROM e JOIN r USING (src) JOIN c USING (dst)),
-    y AS (SELECT node, v / sum(v) OVER () AS v FROM (SELECT s_suppkey % 60 AS node, sum(abs(s_acctbal)) AS v FROM supplier GROUP BY 1)), s0 AS (SELECT node, 0.0 AS v FROM y)"""
+    y AS (SELECT node, v / sum(v) OVER () AS v FROM (SELECT s_suppkey AS node, sum(abs(s_acctbal)) AS v FROM supplier GROUP BY 1)), s0 AS (SELECT node, 0.0 AS v FROM y)"""
     for i in range(1, k + 1):
         out += f""", a{i} AS (SELECT node, sum(v) AS v FROM (SELECT node, v * 0.98 AS v FROM s{i - 1} UNION ALL SELECT src, w * v * 0.018 FROM n JOIN s{i - 1} ON node = dst UNION ALL SELECT node, v * 0.02 * (1 - 0.9) FROM y) GROUP BY 1),
     s{i} AS (SELECT node, v / (SELECT sum(v) FROM a{i}) AS v FROM a{i})"""
@@ -40,14 +41,14 @@ def _heat_sql(k: int) -> str:
 
 @query(_heat_sql(3))
 def heat_diffusion_k(t: Tables):
-    y = t.supplier.groupBy((F.col("s_suppkey") % 60).alias("node")).agg(F.sum(F.abs("s_acctbal")).alias("value"))
+    y = t.supplier.groupBy(F.col("s_suppkey").alias("node")).agg(F.sum(F.abs("s_acctbal")).alias("value"))
     total = y.agg(F.sum("value").alias("t"))
     y = y.join(F.broadcast(total)).select("node", (F.col("value") / F.col("t")).alias("value"))
     return network.heat_diffusion(network.normalize_edges(_square(t)), y, rounds=3).select("node", F.round("value", 8).alias("value"))
 
 
 def _bipartite_sql(k: int) -> str:
-    out = f"WITH {_EDGES}, q AS (SELECT s_suppkey AS node, abs(s_acctbal) / (SELECT sum(abs(s_acctbal)) FROM supplier WHERE s_suppkey % 5 = 0) AS v FROM supplier WHERE s_suppkey % 5 = 0), r0 AS (SELECT node, v FROM q), c0 AS (SELECT dst AS node, 0.0 AS v FROM c)"
+    out = f"WITH {_EDGES}, q AS (SELECT s_suppkey AS node, abs(s_acctbal) / (SELECT sum(abs(s_acctbal)) FROM supplier WHERE s_acctbal > 0) AS v FROM supplier WHERE s_acctbal > 0), r0 AS (SELECT node, v FROM q), c0 AS (SELECT dst AS node, 0.0 AS v FROM c)"
     for i in range(1, k + 1):
         out += f""", r{i} AS (SELECT node, sum(v) AS v FROM (SELECT src AS node, n.w * x.v * 0.75 AS v FROM n JOIN c{i - 1} x ON x.node = n.dst UNION ALL SELECT node, v * 0.25 FROM q) GROUP BY 1),
     c{i} AS (SELECT dst AS node, sum(n.w * x.v * 0.75) AS v FROM n JOIN r{i - 1} x ON x.node = n.src GROUP BY 1)"""
@@ -56,43 +57,34 @@ def _bipartite_sql(k: int) -> str:
 
 @query(_bipartite_sql(3))
 def bipartite_diffusion_k(t: Tables):
-    return _bipartite(t, t.supplier.where("s_suppkey % 5 = 0"))
-
-
-@query()
-def bipartite_diffusion_k_whole(t: Tables):
-    return _bipartite(t, t.supplier.where("s_acctbal > 0"))
-
-
-def _bipartite(t: Tables, seeds: DataFrame):
-    r0 = seeds.select(F.col("s_suppkey").alias("node"), F.abs("s_acctbal").alias("value"))
+    r0 = t.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("node"), F.abs("s_acctbal").alias("value"))
     out = network.bipartite_diffusion(_edges(t), r0, rounds=3)
     return out.orderBy(F.desc("value"), "node").limit(25).select("node", F.round("value", 8).alias("value"))
 
 
-@query("""WITH g AS (SELECT p_brand AS gene, sum(p_retailprice) AS seed FROM part WHERE p_size > 45 GROUP BY 1), d AS (SELECT o_orderkey AS disease, o_totalprice AS score, p_brand AS gene FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_totalprice > 450000),
+@query("""WITH g AS (SELECT p_brand AS gene, sum(p_retailprice) AS seed FROM part WHERE p_size > 45 GROUP BY 1), d AS (SELECT o_orderkey AS disease, o_totalprice AS score, p_brand AS gene FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
     u AS (SELECT DISTINCT disease, score, d.gene, seed FROM d LEFT JOIN g ON g.gene = d.gene)
     SELECT disease, score, count(DISTINCT gene) AS n_genes, count(DISTINCT CASE WHEN seed IS NOT NULL THEN gene END) AS n_mutated, round(avg(seed), 4) AS avg_seed, max(round(seed, 4)) AS max_seed,
       string_agg(gene || (CASE WHEN seed IS NOT NULL THEN '^' ELSE '' END), ',' ORDER BY gene) AS genes FROM u GROUP BY 1, 2""")
 def disease_rank_table(t: Tables):
-    d = t.orders.where("o_totalprice > 450000").join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    d = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     d = d.select(F.col("o_orderkey").alias("disease_id"), F.lit("").alias("description"), F.col("p_brand").alias("gene"), F.col("o_totalprice").alias("score")).distinct()
     g = t.part.where("p_size > 45").groupBy(F.col("p_brand").alias("gene")).agg(F.sum("p_retailprice").alias("seed_score"))
     out = phenotype.disease_table(d, g.withColumns({"predicted_score": F.col("seed_score"), "pathogenic": F.lit(False)}))
     return out.select(F.col("disease_id").alias("disease"), "score", "n_genes", "n_mutated", F.round("avg_seed", 4).alias("avg_seed"), F.round("max_seed", 4).alias("max_seed"), "genes")
 
 
-@query("""WITH d AS (SELECT DISTINCT o_orderkey AS disease, o_totalprice AS score, p_brand AS gene FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey), m AS (SELECT DISTINCT p_brand AS gene FROM part WHERE p_size > 48),
+@query("""WITH d AS (SELECT DISTINCT o_orderkey AS disease, o_totalprice AS score, p_brand AS gene FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey), m AS (SELECT DISTINCT p_brand AS gene FROM part WHERE p_size > 25),
     h AS (SELECT d.* FROM d JOIN m USING (gene)), n AS (SELECT disease, count(DISTINCT gene) AS n FROM h GROUP BY 1), s AS (SELECT gene, disease, score / ln(n + 3) AS s FROM h JOIN n USING (disease))
     SELECT gene, disease AS disease_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY s DESC, disease) AS r FROM s) WHERE r = 1""")
 def phenotype_gene_score(t: Tables):
     d = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     d = d.select(F.col("o_orderkey").alias("disease_id"), F.col("p_brand").alias("gene"), F.col("o_totalprice").alias("score")).distinct()
-    out = phenotype.gene_scores(d, t.part.where("p_size > 48").select(F.col("p_brand").alias("gene")))
+    out = phenotype.gene_scores(d, t.part.where("p_size > 25").select(F.col("p_brand").alias("gene")))
     return out.select("gene", "disease_id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT node, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS neighbours FROM (SELECT l_suppkey % 60 AS node, l_partkey % 60 AS o FROM lineitem WHERE l_quantity > 49 UNION SELECT l_partkey % 60, l_suppkey % 60 FROM lineitem WHERE l_quantity > 49) GROUP BY 1")
+@query("SELECT node, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS neighbours FROM (SELECT l_suppkey AS node, -1 - l_partkey AS o FROM lineitem UNION SELECT -1 - l_partkey, l_suppkey FROM lineitem) GROUP BY 1")
 def adjacency_lists(t: Tables):
-    e = t.lineitem.where("l_quantity > 49").select((F.col("l_suppkey") % 60).alias("src"), (F.col("l_partkey") % 60).alias("dst"))
+    e = t.lineitem.select(F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"))
     return network.adjacency(e).select("node", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))

@@ -67,12 +67,11 @@ def kth_score(t: Tables):
     return aggregates.kth_largest(t.orders, "o_totalprice", 100, "kth")
 
 
-@query("""WITH m AS (SELECT l_suppkey, l_returnflag, l_linestatus, avg(l_quantity) AS mean_score, count(*) AS denominator FROM lineitem WHERE l_linenumber = 1 AND l_discount < 0.02 GROUP BY 1, 2, 3)
+@query("""WITH m AS (SELECT l_suppkey, l_returnflag, l_linestatus, avg(l_quantity) AS mean_score, count(*) AS denominator FROM lineitem GROUP BY 1, 2, 3)
     SELECT l_suppkey, l_returnflag, l_linestatus, round(mean_score, 6) AS mean_score, denominator FROM
     (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY denominator > 1 DESC, mean_score DESC, l_linestatus) AS r FROM m) WHERE r = 1""")
 def pair_best_pref_denom(t: Tables):
-    d = t.lineitem.where("l_linenumber = 1 AND l_discount < 0.02")
-    return aggregates.best_pair(d, "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity").withColumn("mean_score", F.round("mean_score", 6))
+    return aggregates.best_pair(t.lineitem, "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity").withColumn("mean_score", F.round("mean_score", 6))
 
 
 @query("SELECT o_custkey, string_agg(DISTINCT o_orderpriority, '__' ORDER BY o_orderpriority) AS phenotypes FROM orders GROUP BY 1")
@@ -127,19 +126,44 @@ def run_length_collapse(t: Tables):
 @query("SELECT p_brand, p_partkey, p_size FROM part WHERE p_size > 45 UNION ALL SELECT p_brand, p_partkey, p_size FROM part WHERE p_type = 'PROMO'")
 def bag_union(t: Tables):
     cols = ["p_brand", "p_partkey", "p_size"]
-    return t.part.where("p_size > 45").select(cols).unionByName(t.part.where("p_type = 'PROMO'").select(cols))
+    return aggregates.append(t.part.where("p_size > 45").select(cols), t.part.where("p_type = 'PROMO'").select(cols))
 
 
 @query("SELECT DISTINCT p_brand, p_size FROM part WHERE p_type = 'PROMO' EXCEPT SELECT p_brand, p_size FROM part WHERE p_type = 'LARGE'")
 def set_difference(t: Tables):
     cols = ["p_brand", "p_size"]
-    return t.part.where("p_type = 'PROMO'").select(cols).distinct().join(t.part.where("p_type = 'LARGE'").select(cols), cols, "left_anti")
+    return aggregates.set_difference(t.part.where("p_type = 'LARGE'").select(cols), t.part.where("p_type = 'PROMO'").select(cols))
 
 
 @query("SELECT p_brand, p_size FROM part WHERE p_type = 'PROMO' INTERSECT SELECT p_brand, p_size FROM part WHERE p_type = 'LARGE'")
 def set_intersection(t: Tables):
     cols = ["p_brand", "p_size"]
-    return t.part.where("p_type = 'PROMO'").select(cols).intersect(t.part.where("p_type = 'LARGE'").select(cols))
+    return aggregates.set_intersection(t.part.where("p_type = 'PROMO'").select(cols), t.part.where("p_type = 'LARGE'").select(cols))
+
+
+@query("SELECT p_brand, p_size FROM part WHERE p_type = 'PROMO' UNION SELECT p_brand, p_size FROM part WHERE p_type = 'LARGE'")
+def set_union(t: Tables):
+    cols = ["p_brand", "p_size"]
+    return aggregates.set_union(t.part.where("p_type = 'PROMO'").select(cols), t.part.where("p_type = 'LARGE'").select(cols))
+
+
+@query("SELECT o_totalprice AS kth FROM orders ORDER BY o_totalprice DESC LIMIT 1 OFFSET (SELECT CAST(floor(0.05 * count(*) + 0.5) AS BIGINT) FROM orders)")
+def kth_score_by_fraction(t: Tables):
+    return aggregates.kth_largest(t.orders, "o_totalprice", 0.05, "kth")
+
+
+@query("SELECT DISTINCT p_brand AS gene FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_quantity > 45")
+def distinct_genes_of_class(t: Tables):
+    d = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).withColumnRenamed("p_brand", "gene")
+    return aggregates.distinct_where(d, F.expr("l_returnflag = 'R' AND l_quantity > 45"), "gene")
+
+
+@query("""WITH g AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2), a AS (SELECT p_brand, arg_min(p_type, (n, p_type)) AS least FROM g GROUP BY 1), l AS (SELECT p_brand, n, max(p_type) AS t FROM g GROUP BY 1, 2)
+    SELECT p_brand, least, string_agg(CAST(n AS VARCHAR) || '=' || t, ';' ORDER BY n) AS swapped FROM a JOIN l USING (p_brand) GROUP BY 1, 2""")
+def map_helpers(t: Tables):
+    g = t.part.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n")).groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct("p_type", "n"))).alias("m"))
+    pairs = F.array_sort(F.map_entries(aggregates.swapped(F.col("m"))))
+    return g.select("p_brand", aggregates.first_key(F.col("m")).alias("least"), F.array_join(F.transform(pairs, lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"])), ";").alias("swapped"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('seed' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 500")
@@ -149,16 +173,14 @@ def sample_exact(t: Tables):
 
 @query("SELECT o_orderstatus, count(DISTINCT o_custkey) AS n_genes, max(o_orderkey) AS max_id, count(*) AS n FROM orders GROUP BY 1")
 def distinct_counts(t: Tables):
-    return t.orders.groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("n_genes"), F.max("o_orderkey").alias("max_id"), F.count(F.lit(1)).alias("n"))
+    return aggregates.key_counts(t.orders, ["o_orderstatus"], "o_custkey", "o_orderkey").withColumnRenamed("n_distinct", "n_genes")
 
 
-@query("""WITH g AS (SELECT p_type, p_brand, count(*) AS n FROM part WHERE p_size > 30 GROUP BY 1, 2) SELECT p_type, p_brand, n FROM
+@query("""WITH g AS (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY 1, 2) SELECT p_type, p_brand, n FROM
     (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, p_brand) AS r FROM g) WHERE r <= 3""")
 def top_k_per_group(t: Tables):
-    from pyspark.sql import Window
-
-    g = t.part.where("p_size > 30").groupBy("p_type", "p_brand").agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("r", F.row_number().over(Window.partitionBy("p_type").orderBy(F.desc("n"), "p_brand"))).where("r <= 3").drop("r")
+    g = t.part.groupBy("p_type", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+    return aggregates.top_rows(g, ["p_type"], [F.desc("n"), F.asc("p_brand")], 3)
 
 
 _L = "log10((l_discount + 0.001))"

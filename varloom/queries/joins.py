@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.operators import aggregates, intervals, sites
@@ -169,13 +168,13 @@ def anti_delete(t: Tables):
     return aggregates.insert_absent(t.part.select("p_partkey", "p_brand"), gone, ["p_partkey"])
 
 
-@query("""WITH m AS (SELECT DISTINCT o_custkey, extract(month FROM o_orderdate) AS item FROM orders), s AS (SELECT DISTINCT o_orderpriority AS prio, extract(month FROM o_orderdate) AS item FROM orders WHERE o_orderstatus = 'P' AND extract(day FROM o_orderdate) < 3 AND o_totalprice > 300000),
+@query("""WITH m AS (SELECT DISTINCT o_custkey, extract(month FROM o_orderdate) AS item FROM orders), s AS (SELECT DISTINCT o_orderpriority AS prio, extract(month FROM o_orderdate) AS item FROM orders WHERE o_totalprice > 480000),
     z AS (SELECT o_custkey, count(*) AS n_items FROM m GROUP BY 1)
     SELECT m.o_custkey, s.prio, count(*) AS n_shared, any_value(z.n_items) AS n_items, round(count(*) / any_value(z.n_items), 6) AS ratio FROM m JOIN s USING (item) JOIN z ON z.o_custkey = m.o_custkey
     GROUP BY m.o_custkey, s.prio HAVING count(*) / any_value(z.n_items) > 0.8""")
 def coverage_ratio_join(t: Tables):
     month = F.month("o_orderdate").alias("item")
-    sets = t.orders.where("o_orderstatus = 'P' AND day(o_orderdate) < 3 AND o_totalprice > 300000").select(F.col("o_orderpriority").alias("prio"), month)
+    sets = t.orders.where("o_totalprice > 480000").select(F.col("o_orderpriority").alias("prio"), month)
     return aggregates.coverage(t.orders.select("o_custkey", month), sets, "o_custkey", "prio", "item", 0.8).withColumn("ratio", F.round("ratio", 6))
 
 
@@ -184,20 +183,11 @@ def all_pairs_lt(t: Tables):
     return aggregates.all_pairs(t.nation, "n_name", "a", "b")
 
 
-@query("""WITH v AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_orderkey < 100), a AS (SELECT l_partkey, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS ids FROM (SELECT DISTINCT l_partkey, p_size AS o FROM v JOIN part ON p_partkey = l_partkey WHERE p_size <= 25) GROUP BY 1),
+@query("""WITH v AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), a AS (SELECT l_partkey, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS ids FROM (SELECT DISTINCT l_partkey, p_size AS o FROM v JOIN part ON p_partkey = l_partkey WHERE p_size <= 25) GROUP BY 1),
     b AS (SELECT l_partkey, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS ids FROM (SELECT DISTINCT v.l_partkey, l_orderkey AS o FROM v JOIN lineitem l ON l.l_partkey = v.l_partkey WHERE l_quantity > 40) GROUP BY 1)
     SELECT p.l_partkey, coalesce(a.ids, 'NULL') AS sizes, coalesce(b.ids, 'NULL') AS large_orders FROM (SELECT DISTINCT l_partkey FROM v) p LEFT JOIN a USING (l_partkey) LEFT JOIN b USING (l_partkey)""")
 def dblink_pivot(t: Tables):
-    return _links(t, t.lineitem.where("l_orderkey < 100"))
-
-
-@query()
-def dblink_pivot_whole(t: Tables):
-    return _links(t, t.lineitem)
-
-
-def _links(t: Tables, lines: DataFrame):
-    v = lines.select("l_partkey").distinct()
+    v = t.lineitem.select("l_partkey").distinct()
     sizes = t.part.where("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("id"))
     large = t.lineitem.where("l_quantity > 40").select("l_partkey", F.col("l_orderkey").alias("id"))
     return sites.source_links(v, ["l_partkey"], {"sizes": sizes, "large_orders": large}, ["l_partkey"], "id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +30,16 @@ def build(spark: SparkSession, make, inputs: list[str], output: str, sort: list[
 def set_version(spark: SparkSession, path: str, name: str, date: str, version: str, count: int) -> None:
     """One row per source in release_info, the source's former row replaced."""
     row = spark.createDataFrame([(name, date, version, count)], "dbname string, file_date string, version string, entry_count long")
-    if path_time(spark, path) >= 0:
-        row = spark.createDataFrame(spark.read.parquet(path).where(F.col("dbname") != name).collect() + row.collect(), row.schema)
-    row.coalesce(1).write.mode("overwrite").parquet(path)
+    # Each version is a file of its own and none is rewritten: release_info() takes the last of each source.
+    at = int(time.time() * 1e6)
+    row.withColumn("written", F.lit(at)).coalesce(1).write.mode("append").parquet(path)
+
+
+def release_info(spark: SparkSession, path: str) -> DataFrame:
+    """(dbname, file_date, version, entry_count): the last version of each source."""
+    d = spark.read.parquet(path)
+    kept = [c for c in d.columns if c not in ("dbname", "written")]
+    return d.groupBy("dbname").agg(F.max_by(F.struct(*kept), "written").alias("_v")).select("dbname", "_v.*")
 
 
 def general(c: Column) -> Column:
@@ -72,6 +81,31 @@ def table_to_vcf_rows(d: DataFrame) -> DataFrame:
     return d.select("chrom", F.when(gap & (F.col("alt") == "-"), F.col("pos") - 1).otherwise(F.col("pos")).alias("pos"), padded("ref").alias("ref"), padded("alt").alias("alt"))
 
 
+def coding_exons_bed(tx: DataFrame, pad: int = 0) -> DataFrame:
+    """(chrom, start, end, name) of the coding exons of NM_ transcripts, clipped to the CDS, distinct."""
+    from varloom.functions.sequence import coding
+
+    d = tx.where(F.col("accession").startswith("NM_")).select("chrom", "gene", F.explode(coding(F.col("exons"), F.col("cds_start"), F.col("cds_end"))).alias("e"))
+    return d.select("chrom", (F.col("e.start") - pad).alias("start"), (F.col("e.end") + pad).alias("end"), F.col("gene").alias("name")).distinct()
+
+
+def clinvitae_to_vcf(d: DataFrame, longest: int = 100) -> DataFrame:
+    """VCF alleles of submitted variants (chrom, pos, ref, alt, ...) whose alleles are at most `longest` bases, in order of site."""
+    bases = F.col("ref").rlike("^[ACGTN]+$") & F.col("alt").rlike("^[ACGTN]+$")
+    short = (F.length("ref") <= longest) & (F.length("alt") <= longest)
+    return d.where(bases & short).distinct().orderBy("chrom", "pos", "ref", "alt")
+
+
+def split_rows(d: DataFrame, n: int, key: list[str]) -> DataFrame:
+    """d with `part` 0 to n - 1 by a hash of the key, to be written partitioned by it; concat_files() reads them as one again."""
+    return d.withColumn("part", F.pmod(F.xxhash64(*key), F.lit(n)).cast("int"))
+
+
+def concat_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The rows of several Parquet folders with equal columns."""
+    return spark.read.parquet(*paths)
+
+
 def collapse_sites(d: DataFrame, key: list[str], ident: str) -> DataFrame:
     """One row per site with its ids, comma-joined."""
     return d.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set(ident)), ",").alias(ident))

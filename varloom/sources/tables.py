@@ -10,6 +10,10 @@ GENEPRED = "bin int, name string, chrom string, strand string, tx_start int, tx_
 DISEASE_GENE = "disease_id string, gene string, gene_id string, hpo_id string, hpo_desc string"
 PED = "fam_id string, ind_id string, pat_id string, mat_id string, sex int, phenotype int"
 MIRNA = "mirbase_acc string, mirna string, gene_id string, gene string, transcript string, refseq_acc string, mirna_align string, gene_align string, coord_info string, energy double, score double"
+HPO = "database string, db_object string, db_name string, qualifier string, hpo_id string, reference string, evidence string, onset string, frequency string, modifier string, aspect string, synonyms string, updated string, assigned string"
+INTERPRO = "chrom string, start int, end int, gene string, transcript string, uniprot string, domain_id string, description string"
+FUNSIM = "uniprot1 string, uniprot2 string, category string, score double"
+CLINVITAE = "gene string, cdna string, protein string, other string, transcript string, region string, reported string, classification string, evaluated string, source string, updated string, url string, comment string, accession string"
 REGULOME = "chrom string, pos int, snpid string, exp_info string, score string"
 
 
@@ -193,6 +197,40 @@ def pathway_json(text_: Column) -> Column:
     return F.transform(F.from_json(text_, "array<map<string,string>>"), lambda m: F.try_element_at(m, F.lit("name")))
 
 
+def hpo(spark: SparkSession, path: str) -> DataFrame:
+    """(disease_id, hpo_id) of an annotation file, rows with the qualifier NOT left out."""
+    d = tsv(spark, path, HPO, comment="#").where(~F.coalesce(F.col("qualifier") == "NOT", F.lit(False)))
+    return d.select(F.concat_ws(":", "database", "db_object").alias("disease_id"), "hpo_id").where("hpo_id is not null").distinct()
+
+
+def clinvitae(spark: SparkSession, path: str) -> DataFrame:
+    """Submitted variants: lines of 14 fields that may_pass()."""
+    d = text(spark, path).where((F.size(F.split("value", "\t")) == 14) & ~F.col("value").startswith("Gene\t"))
+    f = F.split("value", "\t")
+    return d.select(*[F.nullif(F.trim(F.get(f, F.lit(i))), F.lit("")).alias(c.split()[0]) for i, c in enumerate(CLINVITAE.split(", "))]).where(may_pass(F.col("cdna"), F.col("classification")))
+
+
+def may_pass(cdna: Column, classification: Column) -> Column:
+    """Rows with a cDNA change and a class that says something."""
+    unclear = F.lower(F.coalesce(classification, F.lit(""))).isin("", "not provided", "other", "unknown")
+    return F.coalesce(cdna.contains("c."), F.lit(False)) & ~unclear
+
+
+def jdbc_table(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] = (0, 0), parts: int = 1, **options: str) -> DataFrame:
+    """A table of a relational database, for moving it to Parquet; read in `parts` ranges of a numeric key where one is given."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if key:
+        reader = reader.options(partitionColumn=key, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(parts))
+    return reader.load()
+
+
+def rgb(text_: Column) -> Column:
+    """struct<r, g, b> of a colour field, null if it isn't three numbers up to 255."""
+    part = F.transform(F.split(text_, ","), lambda x: F.trim(x).try_cast("int"))
+    good = (F.size(part) == 3) & F.forall(part, lambda x: F.coalesce(x.between(0, 255), F.lit(False)))
+    return F.when(good, F.struct(F.get(part, F.lit(0)).alias("r"), F.get(part, F.lit(1)).alias("g"), F.get(part, F.lit(2)).alias("b")))
+
+
 def gerp_elements(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, start, end, score, pvalue): the chromosome is in the file's name."""
     f = F.split(F.trim("value"), r"\s+")

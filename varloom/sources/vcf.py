@@ -88,9 +88,23 @@ class Header:
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
-    """Header lines come first in a file; only lines with a # reach the driver."""
-    lines = spark.read.text(path).where(F.col("value").startswith("#"))
-    return Header.parse([r["value"] for r in lines.toLocalIterator()])
+    """Header lines come first in a file (of a folder, in its first one): it is read through Hadoop's file system up to the first record."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(conf)
+    found = [x for at in files.globStatus(place) or [] for x in (files.listStatus(at.getPath()) if at.isDirectory() else [at])]
+    named = sorted((x.getPath() for x in found if x.getPath().getName()[0] not in "._"), key=lambda p: p.toString())
+    lines: list[str] = []
+    for name in named:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(name)
+        stream = files.open(name)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        while (line := reader.readLine()) is not None and line.startswith("#"):
+            lines.append(line)
+        reader.close()
+        if lines:
+            break
+    return Header.parse(lines)
 
 
 def read_vcf(spark: SparkSession, path: str, samples: list[str] | None = None) -> tuple[DataFrame, Header]:
@@ -101,7 +115,9 @@ def read_vcf(spark: SparkSession, path: str, samples: list[str] | None = None) -
 
 
 def parse_records(lines: DataFrame, all_samples: list[str], samples: list[str] | None = None, value: str = "value") -> DataFrame:
-    f = F.split(value, "\t")
+    # Beyond the last sample asked for, a line isn't split.
+    last = max([9 + all_samples.index(s) for s in (samples if samples is not None else all_samples) if s in all_samples], default=8)
+    f = F.split(value, "\t", last + 2)
     part = lambda i: F.get(f, F.lit(i))
     absent = lambda c: F.when(c == ".", F.lit(None)).otherwise(c)
     listed = lambda c, sep: F.when((c == ".") | (c == ""), F.array().cast("array<string>")).otherwise(F.split(c, sep))
@@ -131,9 +147,14 @@ def parse_records(lines: DataFrame, all_samples: list[str], samples: list[str] |
 
 def parse_info(text: Column) -> Column:
     """map<key, value>; flags have null values; of keys that repeat the last counts; a value may hold '='."""
-    pairs = F.transform(F.filter(F.split(text, ";"), lambda p: (p != "") & (p != ".")), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    pairs = F.transform(F.filter(F.split(text, ";"), lambda p: (p != "") & (p != ".")), lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("k"), i.alias("i"), F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).alias("v")))
+
+    # Sorted, keys that repeat are neighbours, the last in the text last.
+    def last(p: Column) -> Column:
+        kept = F.filter(p, lambda x, i: F.coalesce(F.get(p, i + 1)["k"] != x["k"], F.lit(True)))
+        return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["k"], x["v"])))
+
+    return F.get(F.transform(F.array(F.array_sort(pairs)), last), F.lit(0))
 
 
 def typed_info(records: DataFrame, header: Header, prefix: str = "info_") -> DataFrame:
@@ -151,6 +172,15 @@ def typed_info(records: DataFrame, header: Header, prefix: str = "info_") -> Dat
     return records.withColumns(columns)
 
 
+def typed_format(records: DataFrame, header: Header, sample: str, prefix: str = "") -> DataFrame:
+    """A typed column for each FORMAT id of the header, of one sample: scalars for Number 1, arrays for others; GT stays text."""
+    columns = {}
+    for ident, e in header.meta.get("FORMAT", {}).items():
+        kind, raw = _TYPES.get(e.get("Type", "String"), T.StringType()), F.try_element_at(F.try_element_at("genotypes", F.lit(sample)), F.lit(ident))
+        columns[prefix + re.sub(r"\W", "_", ident)] = raw.try_cast(kind) if e.get("Number") == "1" else F.transform(F.split(raw, ","), _caster(kind))
+    return records.withColumns(columns)
+
+
 def info_table(spark: SparkSession, header: Header) -> DataFrame:
     rows = [(i, e.get("Type"), e.get("Number"), e.get("Description")) for i, e in header.meta.get("INFO", {}).items()]
     return spark.createDataFrame(rows, "id string, type string, count string, description string")
