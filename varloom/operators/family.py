@@ -32,11 +32,14 @@ def haplotypes(trio: DataFrame) -> DataFrame:
     return d.withColumn("haplotype", F.col("_h.h")).drop("_g", "_h")
 
 
-def downstream(trio: DataFrame) -> DataFrame:
-    """Rows of haplotypes with more than one variant, a frame shift or stop gain among them, and the running frame until it is restored."""
+def downstream(trio: DataFrame, tie: list[str] | None = None) -> DataFrame:
+    """Rows of haplotypes with more than one variant, a frame shift or stop gain among them, and the running frame until it is restored.
+
+    tie: columns that order variants of one position and consequence.
+    """
     d = haplotypes(trio)
     group = ["gene", "transcript", "haplotype"]
     w = Window.partitionBy(*group)
     shifts = F.col("consequence").isin("FrameShiftInsert", "FrameShiftDelete", "StopGain")
     d = d.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_s", F.max(shifts.cast("int")).over(w)).where("_n > 1 and _s = 1").drop("_n", "_s")
-    return fold_until_restored(d, group, ["pos", "consequence"], "size")
+    return fold_until_restored(d, group, ["pos", "consequence", *(tie or [])], "size")
