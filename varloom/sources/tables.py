@@ -25,8 +25,7 @@ def tsv(spark: SparkSession, path: str, schema: str | None = None, header: bool
 
 def text(spark: SparkSession, path: str, whole: bool = False, sep: str | None = None) -> DataFrame:
     """Lines (or files) of text; gz and bz2 files are opened by their extension."""
-    reader = spark.read.option("wholetext", whole)
-    return (reader.option("lineSep", sep) if sep else reader).text(path)
+    return spark.read.text(path, wholetext=whole, lineSep=sep)
 
 
 def listing(spark: SparkSession, path: str, name: str = "item") -> DataFrame:
@@ -137,8 +136,13 @@ RECORD_FORMATS = {
 def record_scan(spark: SparkSession, path: str, format_: str) -> DataFrame:
     """Records of a known multi-line format; lines keep their place within each file."""
     start, end = RECORD_FORMATS[format_]
-    d = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
-    return records(d, start, end)
+    return records(numbered_lines(spark, path), start, end)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of text files, each read as one, lines counted from 0."""
+    d = spark.read.text(path, wholetext=True)
+    return d.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
 
 
 def uniprot(recs: DataFrame) -> DataFrame:
