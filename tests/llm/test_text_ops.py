@@ -344,6 +344,15 @@ def test_machine_learns_pairs_of_terms_that_tell_nothing_alone(spark):
     assert np.mean([(got[i] >= 0.5) == bool(y) for i, y in held]) > 0.9
 
 
+def test_sample_is_bounded_where_ids_repeat(spark, monkeypatch):
+    seen = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda x, y, **settings: seen.append(len(y)) or train(x, y, steps=2))
+    d = docs(spark, [(i % 20, f"word{i} insult{i % 2}") for i in range(300)])
+    toxicity.fit(d, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int"), max_train=50)
+    assert seen == [50]
+
+
 def test_scores_are_those_of_all_pairs():
     rng = np.random.default_rng(3)
     texts = [b"", b"one", b"one two three", b"Insulting insulted insult", "é one two three four".encode()]

@@ -133,9 +133,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000, n_features: i
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "places"])
 
     d = id_and_text(docs).join(some, "doc_id").select("toxic", "text").mapInArrow(run, "toxic int, places array<int>")
-    # Each text counts once, and one under max_train ids that repeat may come in more rows: the least by a hash stay.
-    d = d.distinct().orderBy(F.xxhash64("places"), "places", "toxic").limit(max_train)
-    d = materialize(d, "toxicity-sample")
+    # Each text counts once. Where ids repeat there may be more rows than max_train: those with the least hashes stay, found by the hashes alone.
+    d = materialize(d.distinct().withColumn("hash", F.xxhash64("toxic", "places")), "toxicity-sample")
+    last = d.select("hash").orderBy("hash").limit(max_train).agg(F.max("hash")).first()[0]
+    d = d.where(F.col("hash") <= (last or 0)).select("toxic", "places")
     n = np.zeros(2)
     for r in d.groupBy("toxic").count().collect():
         n[r["toxic"]] = r["count"]
