@@ -19,14 +19,18 @@ def ship(spark) -> None:
     context = spark.sparkContext
     if context.applicationId in _sent:
         return
-    _sent.add(context.applicationId)
     root = Path(varloom.__file__).parent
     handle, path = tempfile.mkstemp(prefix="varloom-", suffix=".zip")
     os.close(handle)
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, Path("varloom") / f.relative_to(root))
-    context.addPyFile(path)
+    try:
+        context.addPyFile(path)  # copied to the file server's own folder
+        _sent.add(context.applicationId)
+    finally:
+        if context.master.startswith("local"):
+            os.unlink(path)
 
 
 def shipped(f: Callable) -> Callable:
