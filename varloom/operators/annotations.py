@@ -143,3 +143,30 @@ def concept_mapping(lines: DataFrame) -> DataFrame:
 def proband_ped(spark, sample: str, male: bool | None = None) -> DataFrame:
     """A pedigree of one affected member."""
     return spark.createDataFrame([(sample, sample, "0", "0", 0 if male is None else 1 if male else 2, 2)], "fam_id string, ind_id string, pat_id string, mat_id string, sex int, phenotype int")
+
+
+def mim_phenotypes(genes: DataFrame, names: DataFrame) -> DataFrame:
+    """(accession, gene, mim_id, phenotype) of genes (accession, gene, mim_id) by an offline table of names (mim_id, phenotype)."""
+    from varloom.functions.clinical import phenotype_name
+
+    own = names.groupBy("mim_id").agg(F.min("phenotype").alias("phenotype"))
+    return genes.join(own, "mim_id", "left").select("accession", "gene", "mim_id", phenotype_name(F.col("phenotype")).alias("phenotype"))
+
+
+def genes_of(queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(uniprot, gene) of the accessions that are asked for."""
+    return pairs.join(queries.select("uniprot").distinct(), "uniprot", "left_semi")
+
+
+def prefilter(variants: DataFrame, frequencies: DataFrame, keys: list[str], frequency: str, largest: float = 0.05) -> DataFrame:
+    """variants without those that a population has more often than `largest`; the largest frequency of a site counts."""
+    own = frequencies.groupBy(*keys).agg(F.max(frequency).alias("_f")).where(F.col("_f") > largest)
+    return variants.join(own, keys, "left_anti")
+
+
+def counts_between(regions: DataFrame, sites: DataFrame, vote: str) -> DataFrame:
+    """regions (region, chrom, start, end) with how many sites (schrom, pos, vote) of each vote lie in them."""
+    t = regions.select("region", F.col("chrom").alias("_rc"), F.col("start").alias("_rs"), F.col("end").alias("_re"))
+    hit = intervals.point_join(sites, t, "schrom", "pos", "_rc", "_rs", "_re")
+    n = hit.groupBy("region").agg(*[F.count_if(F.col(vote) == v).alias(name) for name, v in (("benign", -1), ("vus", 0), ("pathogenic", 1))])
+    return regions.join(n, "region", "left").fillna(0, ["benign", "vus", "pathogenic"])

@@ -109,3 +109,31 @@ def concat_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 def collapse_sites(d: DataFrame, key: list[str], ident: str) -> DataFrame:
     """One row per site with its ids, comma-joined."""
     return d.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set(ident)), ",").alias(ident))
+
+
+# Columns of the variant report, in order.
+REPORT = ("chrom", "pos", "ref", "alt", "gene", "region", "consequence", "class_tag", "gene_score", "site_link", "gene_link")
+LINKS = {"site": "https://www.ncbi.nlm.nih.gov/snp/?term=", "gene": "https://www.genenames.org/tools/search/#!/?query="}
+
+
+def report(d: DataFrame) -> DataFrame:
+    """The report's columns: links as formulas of spreadsheets; intergenic variants bear the nearest gene in parentheses."""
+    near = F.coalesce("previous_gene", "next_gene")
+    gene = F.coalesce("gene", F.when(near.isNotNull(), F.concat(F.lit("("), near, F.lit(")"))), F.lit("."))
+    link = lambda base, text: F.concat(F.lit('=HYPERLINK("' + base), text, F.lit('")'))
+    site = F.concat_ws(":", "chrom", F.col("pos").cast("string"))
+    bare = F.regexp_replace(gene, r"[()]", "")
+    return d.withColumns({"gene": gene, "site_link": link(LINKS["site"], site), "gene_link": F.when(bare != ".", link(LINKS["gene"], bare))}).select(*REPORT)
+
+
+def downstream_report(d: DataFrame) -> DataFrame:
+    """Rows of family.downstream() as they are reported: one per gene, transcript and haplotype, its variants in order."""
+    row = F.struct("pos", F.concat_ws(":", F.col("pos").cast("string"), "consequence", F.col("running").cast("string")).alias("t"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["t"]), ";")
+    return d.groupBy("gene", "transcript", "haplotype").agg(F.count(F.lit(1)).alias("n"), listed.alias("variants"))
+
+
+def catalogue(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(table, place, column, type) of Parquet tables by name, from their schemas alone."""
+    rows = [(name, i, f.name, f.dataType.simpleString()) for name, path in paths.items() for i, f in enumerate(spark.read.parquet(path).schema.fields)]
+    return spark.createDataFrame(rows, "table string, place int, column string, type string")
