@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
 import tempfile
@@ -25,12 +26,10 @@ def ship(spark) -> None:
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, Path("varloom") / f.relative_to(root))
-    try:
-        context.addPyFile(path)  # copied to the file server's own folder
-        _sent.add(context.applicationId)
-    finally:
-        if context.master.startswith("local"):
-            os.unlink(path)
+    # Executors may ask for the file at any time, so it stays until the driver ends.
+    atexit.register(lambda: Path(path).unlink(missing_ok=True))
+    context.addPyFile(path)
+    _sent.add(context.applicationId)
 
 
 def shipped(f: Callable) -> Callable:
