@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import ann, chat, exact_dedup, lm_score, mixing, secrets, sentencepiece, simhash, toxicity, warc
+from varloom.llm import ann, chat, exact_dedup, lm_score, mixing, quality, secrets, sentencepiece, simhash, toxicity, warc
 from varloom.llm.ship import shipped
 
 
@@ -68,7 +68,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.render(chat.fold(chat.events(turns.unionByName(extra), revised=True))))
 
 
-QUERIES = {f.__name__: shipped(f) for f in (op1_lm_score, op2_mix_sources, op3_sentencepiece, op4_secrets, op5_hnsw, op6_toxicity, op7_exact_dedup, op8_simhash, op9_warc, op10_chat_format)}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
+QUERIES = {f.__name__: shipped(f) for f in (op1_lm_score, op2_mix_sources, op3_sentencepiece, op4_secrets, op5_hnsw, op6_toxicity, op7_exact_dedup, op8_simhash, op9_warc, op10_chat_format, op11_quality_rules)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -106,6 +111,42 @@ def _secrets_sql() -> str:
         FROM t LEFT JOIN every ON every.doc_id = t.doc_id GROUP BY t.doc_id"""
 
 
+def _quality_sql() -> str:
+    """Windows as joined words, one row each; cutoffs counted for every pair of text and cutoff; binomial tails summed from zero."""
+    first = ", ".join(f"len(list_filter({list(cuts)}::DOUBLE[], lambda c: c > CASE WHEN {under} > 0 THEN {top}::DOUBLE / {under} ELSE 0 END)) + 1" for _, top, under, cuts in quality.RULES)
+    grid = ", ".join(f"({r}, {j})" for r, (_, _, _, cuts) in enumerate(quality.RULES, 1) for j in range(1, len(cuts) + 1))
+    names = ", ".join(f"({r}, '{name}')" for r, (name, _, _, _) in enumerate(quality.RULES, 1))
+    levels = ", ".join(f"({i}, {margin}, {share})" for i, (margin, share) in enumerate(quality.LEVELS, 1))
+    return f"""
+        WITH t AS (SELECT row_number() OVER () AS row, doc_id, lang AS stratum, coalesce(text, '') AS x FROM documents),
+        w AS (SELECT *, list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda a: a <> '') AS ws, list_filter(string_split(x, chr(10)), lambda a: regexp_matches(a, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
+        g AS (SELECT row, i, array_to_string(ws[i:i + 7], ' ') AS gram FROM (SELECT row, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+        again AS (SELECT row, i FROM g QUALIFY count(*) OVER (PARTITION BY row, gram) > 1),
+        rep AS (SELECT row, count(DISTINCT j) AS n FROM (SELECT row, unnest(range(i, i + 8)) AS j FROM again) GROUP BY row),
+        s AS (SELECT w.row, doc_id, stratum, md5(x) AS h, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+            CAST(length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+            CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, length(x) - length(regexp_replace(x, '[!?]', '', 'g')) AS n_marks,
+            length(x) - length(regexp_replace(x, '[A-Z]', '', 'g')) AS n_capitals FROM w LEFT JOIN rep ON rep.row = w.row),
+        f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, [{first}] AS firsts FROM s),
+        trial AS (SELECT stratum, h, min(quality) = 1 AS good, substr(h, 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS design, any_value(firsts) AS firsts
+            FROM f JOIN labels USING (doc_id) WHERE quality IN (0, 1) AND NOT base_failed GROUP BY stratum, h),
+        grid(rule, cut) AS (VALUES {grid}), names(rule, name) AS (VALUES {names}), lev(level, margin, share) AS (VALUES {levels}),
+        cnt AS (SELECT stratum, rule, cut, count(*) FILTER (good AND firsts[rule] <= cut) AS g, count(*) FILTER (NOT good AND firsts[rule] <= cut) AS b, count(*) FILTER (good) AS ng, count(*) FILTER (NOT good) AS nb
+            FROM trial, grid WHERE design GROUP BY stratum, rule, cut),
+        path AS (SELECT a.stratum, a.rule, level, a.cut FROM cnt a JOIN lev ON true JOIN cnt n ON n.stratum IS NOT DISTINCT FROM a.stratum AND n.rule = a.rule AND n.cut = a.cut + margin
+            WHERE a.b * a.ng > a.g * a.nb AND n.g <= share * a.ng QUALIFY row_number() OVER (PARTITION BY a.stratum, a.rule, level ORDER BY a.b * a.ng - a.g * a.nb DESC, a.cut) = 1),
+        hold AS (SELECT row_number() OVER () AS id, stratum, firsts FROM trial WHERE good AND NOT design),
+        size AS (SELECT stratum, count(*) AS n FROM hold GROUP BY stratum),
+        hit AS (SELECT hold.stratum, level, count(DISTINCT id) AS k FROM hold JOIN path ON path.stratum IS NOT DISTINCT FROM hold.stratum AND firsts[rule] <= cut GROUP BY hold.stratum, level),
+        tail AS (SELECT stratum, i, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality.ALPHA}) + (n - i) * ln(1 - {quality.ALPHA}))) OVER (PARTITION BY stratum ORDER BY i) AS p
+            FROM (SELECT stratum, n, unnest(range(0, n)) AS i FROM size)),
+        allowed AS (SELECT stratum, max(i) AS k FROM tail WHERE p <= {quality.DELTA} / (SELECT count(*) FROM size) GROUP BY stratum),
+        chosen AS (SELECT a.stratum, max(lev.level) AS level FROM allowed a JOIN lev ON true LEFT JOIN hit ON hit.level = lev.level AND hit.stratum IS NOT DISTINCT FROM a.stratum WHERE coalesce(hit.k, 0) <= a.k GROUP BY a.stratum),
+        failed AS (SELECT f.row, string_agg(name, ',' ORDER BY rule) AS failed FROM f JOIN chosen c ON c.stratum IS NOT DISTINCT FROM f.stratum JOIN path p ON p.stratum IS NOT DISTINCT FROM f.stratum AND p.level = c.level AND firsts[p.rule] <= p.cut
+            JOIN names USING (rule) GROUP BY f.row)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed FROM f LEFT JOIN failed USING (row)"""
+
+
 ORACLE = {
     "op1_lm_score": f"""
         WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[ \\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -161,4 +202,5 @@ ORACLE = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(24 + length(who) + length(shown)) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
     "op4_secrets": _secrets_sql(),
+    "op11_quality_rules": _quality_sql(),
 }
