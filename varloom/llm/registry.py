@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import ann, chat, exact_dedup, lm_score, mixing, quality, secrets, sentencepiece, simhash, toxicity, warc
+from varloom.llm import alignment, ann, chat, codes, exact_dedup, lm_score, mixing, quality, secrets, sentencepiece, simhash, toxicity, warc
 from varloom.llm.ship import shipped
 
 
@@ -73,7 +73,15 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
-QUERIES = {f.__name__: shipped(f) for f in (op1_lm_score, op2_mix_sources, op3_sentencepiece, op4_secrets, op5_hnsw, op6_toxicity, op7_exact_dedup, op8_simhash, op9_warc, op10_chat_format, op11_quality_rules)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digest(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: shipped(f) for f in (op1_lm_score, op2_mix_sources, op3_sentencepiece, op4_secrets, op5_hnsw, op6_toxicity, op7_exact_dedup, op8_simhash, op9_warc, op10_chat_format, op11_quality_rules, op12_token_alignment, op13_vector_codes)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -147,6 +155,24 @@ def _quality_sql() -> str:
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed FROM f LEFT JOIN failed USING (row)"""
 
 
+def _codes_sql() -> str:
+    """Every round compares all parts with all entries."""
+    near = lambda i: f"""a{i} AS (SELECT p.row, p.part, e.entry, list_sum(list_transform(list_zip(p.x, e.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN c{i} e USING (part)
+            QUALIFY row_number() OVER (PARTITION BY p.row, p.part ORDER BY d, e.entry) = 1)"""
+    moved = lambda i: f"""n{i} AS (SELECT part, entry, list(v ORDER BY j) AS x FROM (SELECT part, entry, j, CAST(floor(sum(v) / count(*)) AS BIGINT) AS v
+            FROM (SELECT part, entry, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM a{i} JOIN p USING (row, part)) GROUP BY part, entry, j) GROUP BY part, entry),
+        c{i + 1} AS (SELECT part, entry, coalesce(n{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN n{i} USING (part, entry))"""
+    steps = ", ".join(f"{near(i)}, {moved(i)}" for i in range(codes.ROUNDS)) + f", {near(codes.ROUNDS)}"
+    return f"""
+        WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding, label NULLS LAST) AS row, vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = len(embedding)),
+        p AS (SELECT row, part, list_transform(x[(part - 1) * len(x) // {codes.PARTS} + 1:part * len(x) // {codes.PARTS}], lambda y: CAST(floor({codes.SCALE} * y) AS BIGINT)) AS x FROM v, range(1, {codes.PARTS + 1}) t(part)),
+        c0 AS (SELECT part, row - 1 AS entry, x FROM p WHERE row <= {codes.ENTRIES}), {steps},
+        r AS (SELECT row, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{codes.ROUNDS} GROUP BY row),
+        b AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{codes.ROUNDS})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN r USING (row), b"""
+
+
 ORACLE = {
     "op1_lm_score": f"""
         WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[ \\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -203,4 +229,5 @@ ORACLE = {
             CAST(sum(24 + length(who) + length(shown)) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
     "op4_secrets": _secrets_sql(),
     "op11_quality_rules": _quality_sql(),
+    "op13_vector_codes": _codes_sql(),
 }
