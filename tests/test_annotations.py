@@ -41,8 +41,8 @@ def test_text_helpers(spark):
     ft = spark.createDataFrame([(1, ["ID x", "FT   uORF            10..25", 'FT                   /evid="yes"', "FT   IRES            1..5"])], "record int, lines array<string>")
     got = A.feature_table(ft).orderBy("feature").collect()
     assert [(r["type"], r["start"], r["end"], [tuple(q) for q in r["qualifiers"]]) for r in got] == [("uORF", 10, 25, [("evid", "yes")]), ("IRES", 1, 5, [])]
-    ttl = [("f", i, v) for i, v in enumerate(["<http://x/D1> a", "  skos:exactMatch <http://y/C001> ;", "  skos:exactMatch <http://y/C002> .", "<http://x/D2> a"])]
-    m = A.concept_mapping(spark.createDataFrame(ttl, "file string, line int, value string"))
+    ttl = [(["<http://x/D1> a", "  skos:exactMatch <http://y/C001> ;", "  skos:exactMatch <http://y/C002> ."],), (["<http://x/D2> a"],)]
+    m = A.concept_mapping(spark.createDataFrame(ttl, "lines array<string>"))
     assert sorted(map(tuple, m.collect())) == [("D1", "C001"), ("D1", "C002")]
     n = A.clinvar_summary(spark.createDataFrame([("NM_1.2(G):c.5+2A>G",)], "names string"), "names").first()
     assert (n["transcript"], n["cdna"], n["near_splice"]) == ("NM_1.2", "c.5+2A>G", True)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varloom.operators import aggregates, consequence, family, genes, intervals, network, phenotype, sites
+from varloom.operators import aggregates, consequence, family, genes, intervals, network, phenotype, scan, sites
 
 EX = "array<struct<start: int, end: int>>"
 
@@ -24,33 +24,48 @@ def ivs(spark):
     return rows, spark.createDataFrame(rows, "iid int, ichrom string, start int, end int, score double")
 
 
-@pytest.mark.parametrize("size", [7, 64, 10_000])
-def test_interval_joins_equal_brute_force(points, ivs, size):
+@pytest.mark.parametrize("scale", [1, 97, 900_000])
+@pytest.mark.parametrize("wide", [False, True])
+def test_interval_joins_equal_brute_force(points, ivs, scale, wide):
+    """At any scale, so that intervals lie on several levels, and with nested columns, which stay out of the binned tables."""
     (p, dp), (v, dv) = points, ivs
-    args = ("chrom", "pos", "ichrom", "start", "end", size)
+    p, v = [(i, c, x * scale) for i, c, x in p], [(i, c, s * scale, e * scale + (i % 3) * 5, w) for i, c, s, e, w in v]
+    dp = dp.withColumn("pos", F.col("pos") * scale)
+    dv = dv.withColumns({"start": F.col("start") * scale, "end": F.col("end") * scale + (F.col("iid") % 3) * 5})
+    if wide:
+        dp, dv = dp.withColumn("tags", F.array("id")), dv.withColumn("exons", F.array("iid"))
+    args = ("chrom", "pos", "ichrom", "start", "end")
     want = sorted((a[0], b[0]) for a in p for b in v if a[1] == b[1] and b[2] <= a[2] <= b[3])
     got = intervals.point_join(dp, dv, *args)
-    assert sorted((r["id"], r["iid"]) for r in got.collect()) == want
+    assert sorted((r["id"], r["iid"]) for r in got.collect()) == want and got.columns == [*dp.columns, *dv.columns]
     assert sorted(r["id"] for r in intervals.point_join(dp, dv, *args, how="left_semi").collect()) == sorted({a for a, _ in want})
+    missed = {a[0] for a in p} - {a for a, _ in want}
+    assert sorted(r["id"] for r in intervals.point_join(dp, dv, *args, how="left_anti").collect()) == sorted(missed)
+    outer = intervals.point_join(dp, dv, *args, how="left").collect()
+    assert sorted((r["id"], r["iid"] is None, r["iid"] or 0) for r in outer) == sorted([(a, False, b) for a, b in want] + [(a, True, 0) for a in missed])
     half = sorted((a[0], b[0]) for a in p for b in v if a[1] == b[1] and b[2] < a[2] <= b[3])
     assert sorted((r["id"], r["iid"]) for r in intervals.point_join(dp, dv, *args, bounds="(]").collect()) == half
+    near = sorted((a[0], b[0]) for a in p for b in v if a[1] == b[1] and b[2] - 9 <= a[2] <= b[3] + 9)
+    assert sorted((r["id"], r["iid"]) for r in intervals.point_join(dp, dv, *args, pad=9).collect()) == near
     other = dv.select(*[F.col(c).alias(f"b_{c}") for c in dv.columns])
-    pairs = intervals.overlap_join(dv, other, "ichrom", "start", "end", "b_ichrom", "b_start", "b_end", size)
+    pairs = intervals.overlap_join(dv, other, "ichrom", "start", "end", "b_ichrom", "b_start", "b_end")
     assert sorted((r["iid"], r["b_iid"]) for r in pairs.collect()) == sorted((a[0], b[0]) for a in v for b in v if a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3])
+    rows = intervals.binned(dv, "start", "end").groupBy("iid").count()
+    assert rows.agg(F.max("count")).first()[0] <= 2  # however long an interval is
     for plan in (got, pairs):
         assert "CartesianProduct" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
 def test_best_score_flanks_merge_and_nearest(points, ivs):
     (p, dp), (v, dv) = points, ivs
-    got = {r["id"]: r["score"] for r in intervals.best_score(dp, dv, ["id"], "chrom", "pos", "ichrom", "start", "end", "score", 32).collect()}
+    got = {r["id"]: r["score"] for r in intervals.best_score(dp, dv, ["id"], "chrom", "pos", "ichrom", "start", "end", "score").collect()}
     over = {a[0]: [b[4] for b in v if a[1] == b[1] and b[2] <= a[2] <= b[3] and b[4] > 0] for a in p}
     assert got == {k: max(x) for k, x in over.items() if x}
-    rows = intervals.flanks(dp, dv, "chrom", "pos", "ichrom", "start", "end", 5, 32).collect()
+    rows = intervals.flanks(dp, dv, "chrom", "pos", "ichrom", "start", "end", 5).collect()
     place = lambda x, b: ("5p", b[2] - x) if x < b[2] else ("3p", x - b[3]) if x > b[3] else ("core", 0)
     assert sorted((r["id"], r["iid"], r["place"], r["distance"]) for r in rows) == sorted((a[0], b[0], *place(a[2], b)) for a in p for b in v if a[1] == b[1] and b[2] - 5 <= a[2] <= b[3] + 5)
-    for size in (16, 1 << 20):
-        islands = {(r["ichrom"], r["start"], r["end"], r["n"]) for r in intervals.merge(dv, "ichrom", "start", "end", size).collect()}
+    for parts in (None, 1, 13):
+        islands = {(r["ichrom"], r["start"], r["end"], r["n"]) for r in intervals.merge(dv, "ichrom", "start", "end", parts).collect()}
         want = []
         for c in "ab":
             for s, e in sorted((b[2], b[3]) for b in v if b[1] == c):
@@ -66,6 +81,29 @@ def test_best_score_flanks_merge_and_nearest(points, ivs):
         assert r["previous_gene"] == (max(before)[1] if before else None) and r["next_gene"] == (-min(after)[1] if after else None)
 
 
+@pytest.mark.parametrize("parts", [1, 2, 40])
+def test_running_values_go_over_partitions(spark, parts):
+    rng = random.Random(parts)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, rng.randrange(-9, 9)])) for i in range(300)]
+    d = scan.dealt(spark.createDataFrame(rows, "g string, i int, v int"), ["g"], ["i"], parts)
+    for how in ("sum", "max", "last"):
+        for inclusive in (True, False):
+            got = {r["i"]: r["x"] for r in scan.running(d, ["g"], ["i"], "x", F.col("v"), how, inclusive).collect()}
+            for g, i, _ in rows:
+                before = [v for h, j, v in rows if h == g and (j < i or (inclusive and j == i)) and v is not None]
+                want = sum(before) if how == "sum" else (max(before) if how == "max" else before[-1]) if before else None
+                assert got[i] == want, (how, inclusive, i)
+    assert [r["n"] for r in scan.numbered(spark.range(50).select((-F.col("id")).alias("k")), ["k"], "n").orderBy("k").collect()] == list(range(1, 51))
+
+
+def test_one_island_over_all_partitions(spark):
+    d = spark.range(500).select(F.lit("1").alias("c"), (F.col("id") * 10).alias("s"), (F.col("id") * 10 + F.when(F.col("id") == 0, 4003).otherwise(3)).alias("e"))
+    got = sorted(map(tuple, intervals.merge(d, "c", "s", "e", 20).collect()))
+    assert got[0] == ("1", 0, 4003, 401) and len(got) == 100
+    plan = intervals.merge(d, "c", "s", "e", 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan  # windows are by partition
+
+
 def test_liftover(spark):
     chain = spark.createDataFrame([("1", 100, 199, "1", 1100, "+"), ("1", 300, 399, "2", 50, "-")], "from_chrom string, from_start int, from_end int, to_chrom string, to_start int, to_strand string")
     d = spark.createDataFrame([("1", 150), ("1", 250), ("1", 300)], "chrom string, pos int")

@@ -132,12 +132,11 @@ def clinvar_summary(d: DataFrame, names: str) -> DataFrame:
     return d.withColumns({"transcript": h["transcript"], "cdna": h["cdna"], "protein": h["protein"], "near_splice": clinical.near_splice_site(h["cdna"])})
 
 
-def concept_mapping(lines: DataFrame) -> DataFrame:
-    """(disease_id, concept) of a turtle file: a subject line is followed by lines that name its exact match. lines: (file, line, value)."""
-    subject = F.nullif(F.regexp_extract("value", r"^<[^>]*/(\w+)>", 1), F.lit(""))
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    d = lines.withColumn("disease_id", F.last(subject, ignorenulls=True).over(w)).withColumn("concept", F.regexp_extract("value", r"exactMatch\s+<[^>]*/(C\d+)>", 1))
-    return d.where("concept <> ''").select("disease_id", "concept").distinct()
+def concept_mapping(records: DataFrame) -> DataFrame:
+    """(disease_id, concept) of a turtle file's records (lines): a subject line, and lines that name its exact matches."""
+    subject = F.regexp_extract(F.get("lines", F.lit(0)), r"^<[^>]*/(\w+)>", 1)
+    concepts = F.regexp_extract_all(F.array_join("lines", "\n"), F.lit(r"exactMatch\s+<[^>]*/(C\d+)>"), F.lit(1))
+    return records.select(subject.alias("disease_id"), F.explode(concepts).alias("concept")).distinct()
 
 
 def proband_ped(spark, sample: str, male: bool | None = None) -> DataFrame:

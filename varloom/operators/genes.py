@@ -45,12 +45,14 @@ def gene_exons(tx: DataFrame) -> DataFrame:
     return d.withColumn("number", F.row_number().over(Window.partitionBy("gene").orderBy("start", "end")))
 
 
-def mrna(tx: DataFrame, chunks: DataFrame, chunk: int = 1 << 20) -> DataFrame:
-    """(gid, name, seq_len, sequence) from the chunks of the chromosomes that exons touch."""
+def mrna(tx: DataFrame, chunks: DataFrame | None = None, chunk: int = 1 << 20, indexed: DataFrame | None = None) -> DataFrame:
+    """(gid, name, seq_len, sequence) from the chunks of the chromosomes that exons touch, or from byte ranges of an indexed FASTA file."""
+    from varloom.sources.fasta import substrings
     from varloom.sources.tables import bases
 
     e = tx.select("gid", "name", "strand", "chrom", F.posexplode("exons").alias("i", "e")).withColumns({"row": F.concat_ws(":", "gid", "i"), "start": F.col("e.start"), "n": F.col("e.end") - F.col("e.start")})
-    b = bases(e.select("row", "chrom", "start", "n", "gid", "name", "strand", "i"), chunks, "chrom", "start", "n", chunk)
+    e = e.select("row", "chrom", "start", "n", "gid", "name", "strand", "i")
+    b = bases(e, chunks, "chrom", "start", "n", chunk) if indexed is None else substrings(e, indexed, "chrom", "start", "n")
     d = b.groupBy("gid", "name", "strand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "bases"))), lambda x: x["bases"]), "").alias("s"))
     seq = F.when(F.col("strand") == "-", sequence.reverse_complement(F.col("s"))).otherwise(F.col("s"))
     return d.select("gid", "name", F.length("s").alias("seq_len"), seq.alias("sequence"))

@@ -1,27 +1,61 @@
 """Interval joins and interval algebra.
 
-Every join has an equi key: the sequence name and a bin of the coordinate, so a range never becomes a
-Cartesian product. Intervals are exploded over the bins that they touch; points have one bin. Two
-intervals meet in every bin that they share, so a pair is emitted only in the bin of the later start.
-Coordinates are inclusive at both ends unless `bounds` says otherwise.
+Every join has an equi key: the sequence name, a level and a bin of the coordinate, so a range never becomes a Cartesian product.
+An interval lives on the level whose bins are the smallest that are as long as itself, where it touches two bins at most, however long it
+is; a point looks up one bin on each level that has intervals. Two intervals meet on the level of the longer one, where both touch
+two bins at most, and a pair is emitted only in the bin of the later start. Rows with nested columns (exons, maps) stay out of the binned
+tables: those hold coordinates alone, and the rows are joined to the matches. Coordinates are inclusive at both ends unless `bounds` says otherwise.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN = 1024
+from varloom.operators import scan
+
+#: Widths of the levels' bins; only intervals beyond the widest touch more than two.
+WIDTHS = tuple(512 * 8**k for k in range(8))
+_NESTED = ("array", "map", "struct", "binary", "variant")
+
+
+def _bin(c: Column, size: int | Column) -> Column:
+    return F.floor(c / (F.lit(size) if isinstance(size, int) else size)).cast("long")
+
 
+def _level(start: Column, end: Column) -> Column:
+    """The first level whose bins are as long as the interval."""
+    return F.least(F.size(F.filter(F.array(*map(F.lit, WIDTHS)), lambda w: w < end - start + 1)), F.lit(len(WIDTHS) - 1))
 
-def _bin(c: Column, size: int) -> Column:
-    return F.floor(c / F.lit(size)).cast("long")
 
+def _width(level: Column) -> Column:
+    return F.get(F.array(*map(F.lit, WIDTHS)), level)
 
-def binned(intervals: DataFrame, start: str, end: str, size: int = BIN, name: str = "_bin", pad: int = 0) -> DataFrame:
-    """A row for each bin that an interval touches, `pad` wider on both sides. Intervals that end before they start drop out."""
+
+def _touched(start: Column, end: Column, level: Column) -> Column:
+    return F.explode(F.sequence(_bin(start, _width(level)), _bin(end, _width(level))))
+
+
+def binned(intervals: DataFrame, start: str, end: str, pad: int = 0) -> DataFrame:
+    """Rows with _level and _bin, two for an interval at most; `pad` wider on both sides. Intervals that end before they start drop out."""
     lo, hi = F.col(start) - pad, F.col(end) + pad
-    return intervals.where(F.col(start) <= F.col(end)).withColumn(name, F.explode(F.sequence(_bin(lo, size), _bin(hi, size))))
+    return intervals.where(F.col(start) <= F.col(end)).withColumn("_level", _level(lo, hi)).withColumn("_bin", _touched(lo, hi, F.col("_level")))
+
+
+def levels(intervals: DataFrame, start: str, end: str, pad: int = 0) -> list[int]:
+    """The levels that have intervals: as many values as there are widths, at most."""
+    d = intervals.where(F.col(start) <= F.col(end)).select(_level(F.col(start) - pad, F.col(end) + pad).alias("level")).distinct()
+    return sorted(r["level"] for r in d.collect() if r["level"] is not None)
+
+
+def _wide(d: DataFrame) -> bool:
+    return any(f.dataType.typeName() in _NESTED for f in d.schema.fields)
+
+
+def _equal(columns: list[str], others: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, (F.col(a) == F.col(b) for a, b in zip(columns, others, strict=True)))
 
 
 def inside(pos: Column, start: Column, end: Column, bounds: str = "[]") -> Column:
@@ -29,25 +63,67 @@ def inside(pos: Column, start: Column, end: Column, bounds: str = "[]") -> Colum
     return low & (pos <= end if bounds[1] == "]" else pos < end)
 
 
-def _point_sides(points: DataFrame, intervals: DataFrame, chrom: str, pos: str, ichrom: str, start: str, end: str, size: int, bounds: str, pad: int):
-    left = points.withColumn("_bin", _bin(F.col(pos), size))
-    right = binned(intervals, start, end, size, "_ibin", pad)
-    cond = (left[chrom] == right[ichrom]) & (left["_bin"] == right["_ibin"]) & inside(left[pos], right[start] - pad, right[end] + pad, bounds)
-    return left, right, cond
+def _matches(points: DataFrame, intervals: DataFrame, chrom: str, pos: str, ichrom: str, start: str, end: str, bounds: str, pad: int) -> DataFrame:
+    """Points joined to the intervals that hold them; all columns of both."""
+    used = levels(intervals, start, end, pad)
+    if not used:
+        return points.crossJoin(intervals.limit(0)).limit(0)
+    places = F.array(*[F.struct(F.lit(k).alias("level"), _bin(F.col(pos), WIDTHS[k]).alias("bin")) for k in used])
+    left = points.withColumn("_at", F.explode(places))
+    right = binned(intervals, start, end, pad)
+    held = inside(F.col(pos), F.col(start) - pad, F.col(end) + pad, bounds)
+    meet = (F.col(chrom) == F.col(ichrom)) & (F.col("_at.level") == F.col("_level")) & (F.col("_at.bin") == F.col("_bin")) & held
+    return left.join(right, meet).drop("_at", "_level", "_bin")
 
 
-def point_join(points: DataFrame, intervals: DataFrame, chrom: str, pos: str, ichrom: str, start: str, end: str, size: int = BIN, bounds: str = "[]", how: str = "inner", pad: int = 0) -> DataFrame:
+def point_join(points: DataFrame, intervals: DataFrame, chrom: str, pos: str, ichrom: str, start: str, end: str, bounds: str = "[]", how: str = "inner", pad: int = 0) -> DataFrame:
     """Points with the intervals that hold them (inner, left, left_semi, left_anti). Column names of the two sides must differ."""
-    left, right, cond = _point_sides(points, intervals, chrom, pos, ichrom, start, end, size, bounds, pad)
-    return left.join(right, cond, how).drop("_bin", "_ibin")
-
-
-def overlap_join(a: DataFrame, b: DataFrame, achrom: str, astart: str, aend: str, bchrom: str, bstart: str, bend: str, size: int = BIN) -> DataFrame:
+    key, place = [ichrom, start, end], [chrom, pos]
+    named = lambda columns: [f"_k{i}" for i, _ in enumerate(columns)]
+    renamed = lambda d, columns: d.select(*[F.col(c).alias(n) for c, n in zip(columns, named(columns), strict=True)], *[c for c in d.columns if c not in columns])
+    if how == "inner" and not _wide(points):
+        if not _wide(intervals):
+            return _matches(points, intervals, chrom, pos, ichrom, start, end, bounds, pad)
+        hit = renamed(_matches(points, intervals.select(*key).distinct(), chrom, pos, ichrom, start, end, bounds, pad), key)
+        return hit.join(intervals, _equal(named(key), key)).select(*points.columns, *intervals.columns)
+    # What a point meets follows from its place, so that only distinct places are binned.
+    places = points.select(*place).distinct()
+    slim = intervals.select(*key).distinct() if _wide(intervals) or how in ("left_semi", "left_anti") else intervals
+    hit = _matches(places, slim, chrom, pos, ichrom, start, end, bounds, pad)
+    if how in ("left_semi", "left_anti"):
+        hit = renamed(hit.select(*place).distinct(), place)
+        return points.join(hit, _equal(place, named(place)), how)
+    if _wide(intervals):
+        hit = renamed(hit, key).join(intervals, _equal(named(key), key)).select(*place, *intervals.columns)
+    return points.join(renamed(hit, place), _equal(place, named(place)), how).select(*points.columns, *intervals.columns)
+
+
+def overlap_join(a: DataFrame, b: DataFrame, achrom: str, astart: str, aend: str, bchrom: str, bstart: str, bend: str) -> DataFrame:
     """Pairs of intervals that share a position, each pair once."""
-    left, right = binned(a, astart, aend, size, "_abin"), binned(b, bstart, bend, size, "_bbin")
-    meet = (F.col(achrom) == F.col(bchrom)) & (F.col("_abin") == F.col("_bbin"))
-    once = F.col("_abin") == _bin(F.greatest(F.col(astart), F.col(bstart)), size)
-    return left.join(right, meet & once & (F.col(astart) <= F.col(bend)) & (F.col(bstart) <= F.col(aend))).drop("_abin", "_bbin")
+    akey, bkey = [achrom, astart, aend], [bchrom, bstart, bend]
+    slim_a, slim_b = (d.select(*key).distinct() if _wide(d) else d for d, key in ((a, akey), (b, bkey)))
+    used_a, used_b = levels(slim_a, astart, aend), levels(slim_b, bstart, bend)
+
+    def seen(d: DataFrame, start: str, end: str, own: str, others: list[int]) -> DataFrame:
+        """On its own level and on the wider ones where the other side has intervals."""
+        at = _level(F.col(start), F.col(end))
+        on = F.array_distinct(F.concat(F.array(at), F.filter(F.array(*map(F.lit, others)), lambda k: k > at)) if others else F.array(at))
+        d = d.where(F.col(start) <= F.col(end)).withColumn(own, at).withColumn("_level", F.explode(on))
+        return d.withColumn("_bin", _touched(F.col(start), F.col(end), F.col("_level"))).withColumnsRenamed({"_level": f"{own}_level", "_bin": f"{own}_bin"})
+
+    left, right = seen(slim_a, astart, aend, "_a", used_b), seen(slim_b, bstart, bend, "_b", used_a)
+    meet = (F.col(achrom) == F.col(bchrom)) & (F.col("_a_level") == F.col("_b_level")) & (F.col("_a_bin") == F.col("_b_bin"))
+    once = F.col("_a_bin") == _bin(F.greatest(F.col(astart), F.col(bstart)), _width(F.col("_a_level")))
+    both = meet & once & (F.col(astart) <= F.col(bend)) & (F.col(bstart) <= F.col(aend))
+    # Rows that are only visiting a level never meet one another there.
+    first = left.where("_a = _a_level").join(right, both)
+    second = left.where("_a < _a_level").join(right.where("_b = _b_level"), both)
+    hit = first.unionByName(second).drop("_a", "_b", "_a_level", "_b_level", "_a_bin", "_b_bin")
+    for d, key, wide in ((a, akey, _wide(a)), (b, bkey, _wide(b))):
+        if wide:
+            names = [f"_k{i}" for i, _ in enumerate(key)]
+            hit = hit.withColumnsRenamed(dict(zip(key, names, strict=True))).join(d, _equal(names, key)).drop(*names)
+    return hit.select(*a.columns, *b.columns)
 
 
 def nearest(points: DataFrame, sites: DataFrame, chrom: str, pos: str, schrom: str, spos: str, label: str, within: int) -> DataFrame:
@@ -71,35 +147,31 @@ def nearest(points: DataFrame, sites: DataFrame, chrom: str, pos: str, schrom: s
     return found.select("_row.*", near(F.col("_before.p"), F.col("_before.l")).alias(f"previous_{label}"), near(F.col("_after.p"), F.col("_nl")).alias(f"next_{label}"))
 
 
-def best_score(points: DataFrame, intervals: DataFrame, key: list[str], chrom: str, pos: str, ichrom: str, start: str, end: str, score: str, size: int = BIN) -> DataFrame:
+def best_score(points: DataFrame, intervals: DataFrame, key: list[str], chrom: str, pos: str, ichrom: str, start: str, end: str, score: str) -> DataFrame:
     """Per point the largest positive score of the intervals over it; points without one drop out."""
-    hit = point_join(points, intervals.where(F.col(score) > 0), chrom, pos, ichrom, start, end, size)
+    hit = point_join(points, intervals.where(F.col(score) > 0), chrom, pos, ichrom, start, end)
     return hit.groupBy(*key).agg(F.max(score).alias(score))
 
 
-def flanks(points: DataFrame, targets: DataFrame, chrom: str, pos: str, ichrom: str, start: str, end: str, pad: int, size: int = BIN) -> DataFrame:
+def flanks(points: DataFrame, targets: DataFrame, chrom: str, pos: str, ichrom: str, start: str, end: str, pad: int) -> DataFrame:
     """Points near padded targets, with place (core, 5p, 3p) and distance (0 in the core)."""
-    hit = point_join(points, targets, chrom, pos, ichrom, start, end, size, pad=pad)
+    hit = point_join(points, targets, chrom, pos, ichrom, start, end, pad=pad)
     before, after = F.col(pos) < F.col(start), F.col(pos) > F.col(end)
     hit = hit.withColumn("place", F.when(before, "5p").when(after, "3p").otherwise("core"))
     return hit.withColumn("distance", F.when(before, F.col(start) - F.col(pos)).when(after, F.col(pos) - F.col(end)).otherwise(0).cast("long"))
 
 
-def merge(intervals: DataFrame, chrom: str, start: str, end: str, size: int = 1 << 20) -> DataFrame:
+def merge(intervals: DataFrame, chrom: str, start: str, end: str, parts: int | None = None) -> DataFrame:
     """Islands (chrom, start, end, n) of intervals that touch: the next start is at most the running end.
 
-    First within bins of the start, then across the islands of all bins, so that the window over a whole sequence sees few rows.
+    Equal intervals are counted first; the running end goes over partitions by scan.running(), so no task sees a whole sequence. An island bears its first start.
     """
-
-    def islands(d: DataFrame, by: list[str]) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(start, end)
-        reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        d = d.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
-        d = d.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        return d.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("n").alias("n"))
-
-    d = intervals.select(chrom, start, end, F.lit(1).cast("long").alias("n")).withColumn("_bin", _bin(F.col(start), size))
-    return islands(islands(d, [chrom, "_bin"]), [chrom]).select(chrom, start, end, "n")
+    d = intervals.groupBy(chrom, start, end).agg(F.count(F.lit(1)).alias("n"))
+    d = scan.dealt(d, [chrom], [start, end], parts)
+    d = scan.running(d, [chrom], [start, end], "_reach", F.col(end), "max", inclusive=False)
+    new = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), F.col(start))
+    d = scan.running(d, [chrom], [start, end], "_first", new, "max")
+    return d.groupBy(chrom, "_first").agg(F.max(end).alias(end), F.sum("n").alias("n")).select(chrom, F.col("_first").alias(start), end, "n")
 
 
 def intersect(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -124,12 +196,12 @@ def domain_texts(variants: DataFrame, domains: DataFrame, row: str, chrom: str,
     return hit.groupBy(row).agg(F.array_sort(F.collect_set("description")).alias("descriptions"))
 
 
-def liftover(points: DataFrame, chain: DataFrame, chrom: str, pos: str, size: int = BIN) -> DataFrame:
+def liftover(points: DataFrame, chain: DataFrame, chrom: str, pos: str) -> DataFrame:
     """points moved through chain blocks (from_chrom, from_start, from_end, to_chrom, to_start, to_strand): to_chrom, to_pos.
 
     Blocks are inclusive; on '-' blocks to_start is the target of from_end. Points outside of all blocks get nulls.
     """
-    hit = point_join(points, chain, chrom, pos, "from_chrom", "from_start", "from_end", size, how="left")
+    hit = point_join(points, chain, chrom, pos, "from_chrom", "from_start", "from_end", how="left")
     ahead, back = F.col(pos) - F.col("from_start"), F.col("from_end") - F.col(pos)
     moved = F.col("to_start") + F.when(F.col("to_strand") == "-", back).otherwise(ahead)
     return hit.select(*points.columns, "to_chrom", moved.alias("to_pos"))

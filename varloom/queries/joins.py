@@ -76,18 +76,18 @@ _HIT = "chrom = ichrom AND pos BETWEEN start_ AND end_"
 
 @query(f'WITH {_IV}, {_VAR} SELECT l_orderkey, l_linenumber, pos, start_ AS "start", end_ AS "end", brand FROM variants JOIN iv ON {_HIT}')
 def interval_containment(t: Tables):
-    return intervals.point_join(_variants(t), _intervals(t), "chrom", "pos", "ichrom", "start", "end", 64).select("l_orderkey", "l_linenumber", "pos", "start", "end", "brand")
+    return intervals.point_join(_variants(t), _intervals(t), "chrom", "pos", "ichrom", "start", "end").select("l_orderkey", "l_linenumber", "pos", "start", "end", "brand")
 
 
 @query(f"WITH {_IV}, {_VAR} SELECT l_orderkey, l_linenumber, chrom, pos FROM variants WHERE EXISTS (SELECT 1 FROM iv WHERE {_HIT})")
 def interval_mask_semi(t: Tables):
-    return intervals.point_join(_variants(t), _intervals(t), "chrom", "pos", "ichrom", "start", "end", 64, how="left_semi").select("l_orderkey", "l_linenumber", "chrom", "pos")
+    return intervals.point_join(_variants(t), _intervals(t), "chrom", "pos", "ichrom", "start", "end", how="left_semi").select("l_orderkey", "l_linenumber", "chrom", "pos")
 
 
 @query(f"""WITH {_IV}, {_VAR}, {_REF} SELECT l_orderkey, l_linenumber, v.pos, v.ref, v.alt, value FROM variants v LEFT JOIN ref_sites USING (pos, ref, alt)
     WHERE EXISTS (SELECT 1 FROM iv WHERE size > 10 AND {_HIT.replace('pos', 'v.pos')})""")
 def mask_then_lookup(t: Tables):
-    v = intervals.point_join(_variants(t), _intervals(t).where("size > 10"), "chrom", "pos", "ichrom", "start", "end", 64, how="left_semi")
+    v = intervals.point_join(_variants(t), _intervals(t).where("size > 10"), "chrom", "pos", "ichrom", "start", "end", how="left_semi")
     return sites.lookup(v, sites.explode_alleles(_reference(t), "alts"), ["pos", "ref", "alt"], ["value"]).select("l_orderkey", "l_linenumber", "pos", "ref", "alt", "value")
 
 
@@ -104,7 +104,7 @@ def nearest_neighbours(t: Tables):
 @query(f"WITH {_IV}, {_VAR} SELECT chrom, pos, max(price) AS price FROM variants JOIN iv ON {_HIT} GROUP BY ALL")
 def interval_best_score(t: Tables):
     points = _variants(t).select("chrom", "pos").distinct()
-    return intervals.best_score(points, _intervals(t), ["chrom", "pos"], "chrom", "pos", "ichrom", "start", "end", "price", 64)
+    return intervals.best_score(points, _intervals(t), ["chrom", "pos"], "chrom", "pos", "ichrom", "start", "end", "price")
 
 
 @query(f"""WITH {_IV}, v AS (SELECT DISTINCT l_suppkey % 24 AS chrom, l_partkey AS pos FROM lineitem)
@@ -113,7 +113,7 @@ def interval_best_score(t: Tables):
     FROM v JOIN iv ON chrom = ichrom AND pos BETWEEN start_ - 7 AND end_ + 7""")
 def interval_core_flank(t: Tables):
     points = _variants(t).select("chrom", "pos").distinct()
-    return intervals.flanks(points, _intervals(t), "chrom", "pos", "ichrom", "start", "end", 7, 64).select("chrom", "pos", "start", "end", "place", "distance")
+    return intervals.flanks(points, _intervals(t), "chrom", "pos", "ichrom", "start", "end", 7).select("chrom", "pos", "start", "end", "place", "distance")
 
 
 @query(f"""WITH {_IV} SELECT a.brand, count(*) AS n, CAST(sum(b.size) AS BIGINT) AS size_sum FROM iv a JOIN iv b
@@ -121,7 +121,7 @@ def interval_core_flank(t: Tables):
 def interval_overlap_groupsum(t: Tables):
     a = _intervals(t)
     b = a.select(*[F.col(c).alias(f"b_{c}") for c in a.columns])
-    hit = intervals.overlap_join(a, b, "ichrom", "start", "end", "b_ichrom", "b_start", "b_end", 64).where(F.col("start") < F.col("b_start"))
+    hit = intervals.overlap_join(a, b, "ichrom", "start", "end", "b_ichrom", "b_start", "b_end").where(F.col("start") < F.col("b_start"))
     return hit.groupBy("brand").agg(F.count(F.lit(1)).alias("n"), F.sum("b_size").alias("size_sum")).where("size_sum > 0")
 
 
@@ -129,7 +129,7 @@ def interval_overlap_groupsum(t: Tables):
     g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_ > reach THEN 1 ELSE 0 END) OVER (PARTITION BY ichrom ORDER BY start_, end_ ROWS UNBOUNDED PRECEDING) AS island FROM o)
     SELECT ichrom, min(start_) AS "start", max(end_) AS "end", count(*) AS n FROM g GROUP BY ichrom, island""")
 def interval_merge(t: Tables):
-    return intervals.merge(_intervals(t), "ichrom", "start", "end", 256)
+    return intervals.merge(_intervals(t), "ichrom", "start", "end")
 
 
 @query("""WITH p AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey),

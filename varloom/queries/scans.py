@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from varloom.operators import aggregates, annotations, genes, sites
 from varloom.queries.base import Tables, query
 from varloom.queries.models import _TX, _transcripts
+from varloom.sources import lines as splits
 from varloom.sources import sinks, tables, vcf
 from varloom.storage import fresh_path
 
@@ -238,7 +239,7 @@ def concept_mapping(t: Tables):
     c = F.col
     text = F.concat(F.lit("<http://x/D"), c("c_custkey"), F.lit("> a y ;\n   z w ;\n   skos:exactMatch <http://u/C"), c("c_nationkey"), F.lit("> ."))
     path = _written(t, t.customer.select(text.alias("value")), "ttl")
-    return annotations.concept_mapping(tables.numbered_lines(t.spark, path))
+    return annotations.concept_mapping(splits.records(t.spark, path, r"^<[^>]*/\w+>"))
 
 
 @query("SELECT p_partkey, 'NM_' || CAST(p_size AS VARCHAR) || '.1' AS transcript, 'c.5' || CASE WHEN p_size % 2 = 0 THEN '+1' ELSE '' END || 'A>G' AS cdna, p_size % 2 = 0 AS near_splice FROM part")

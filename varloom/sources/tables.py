@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varloom.sources import lines as splits
+
 # Column layouts of public formats.
 GENEPRED = "bin int, name string, chrom string, strand string, tx_start int, tx_end int, cds_start int, cds_end int, exon_count int, exon_starts string, exon_ends string, score int, name2 string, cds_start_stat string, cds_end_stat string, exon_frames string"
 DISEASE_GENE = "disease_id string, gene string, gene_id string, hpo_id string, hpo_desc string"
@@ -23,9 +25,12 @@ def tsv(spark: SparkSession, path: str, schema: str | None = None, header: bool
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def text(spark: SparkSession, path: str, whole: bool = False, sep: str | None = None) -> DataFrame:
-    """Lines (or files) of text; gz and bz2 files are opened by their extension."""
-    return spark.read.text(path, wholetext=whole, lineSep=sep)
+def text(spark: SparkSession, path: str, split_bytes: int = splits.SPLIT_BYTES) -> DataFrame:
+    """(value), a row for each line; files of any compression, told by their first bytes. Plain ones are read by Spark's own reader."""
+    files = splits.listed_files(spark, path)
+    if splits.kinds(files) <= {"plain"}:
+        return spark.read.text([uri for uri, _ in files]) if files else spark.createDataFrame([], "value string")
+    return splits.lines(spark, path, split_bytes).select("value")
 
 
 def listing(spark: SparkSession, path: str, name: str = "item") -> DataFrame:
@@ -35,14 +40,13 @@ def listing(spark: SparkSession, path: str, name: str = "item") -> DataFrame:
 
 
 def gene_list(spark: SparkSession, path: str) -> DataFrame:
-    """(mode, gene) of a file with #incl and #excl sections, small enough to be read as one text."""
-    d = text(spark, path, whole=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
-    from pyspark.sql import Window
+    """(mode, gene) of files with #incl and #excl sections; genes before any section are included. A section goes over splits by scan.running()."""
+    from varloom.operators import scan
 
-    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    mode = F.last(F.when(F.col("line").startswith("#"), F.trim(F.regexp_replace("line", "#", ""))), ignorenulls=True).over(w)
-    d = d.select(F.coalesce(mode, F.lit("incl")).alias("mode"), F.trim("line").alias("gene"))
-    return d.where((F.col("gene") != "") & ~F.col("gene").startswith("#"))
+    line = F.trim("value")
+    d = scan.dealt(splits.lines(spark, path), ["file"], ["pos"])
+    d = scan.running(d, ["file"], ["pos"], "_mode", F.when(line.startswith("#"), F.trim(F.regexp_replace(line, "#", ""))), "last")
+    return d.where((line != "") & ~line.startswith("#")).select(F.coalesce("_mode", F.lit("incl")).alias("mode"), line.alias("gene"))
 
 
 def bed(spark: SparkSession, path: str) -> DataFrame:
@@ -76,13 +80,10 @@ def genepred(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str, chunk: int = 1 << 20) -> DataFrame:
-    """(chrom, chunk, offset, sequence): sequences in upper case, cut into chunks so that no row grows with a chromosome."""
-    d = text(spark, path, sep=">").where(F.trim("value") != "")
-    name = F.regexp_extract("value", r"^(\S+)", 1)
-    seq = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s", ""))
-    d = d.select(name.alias("chrom"), seq.alias("_s")).where(F.length("_s") > 0)
-    d = d.select("chrom", "_s", F.explode(F.sequence(F.lit(0), F.floor((F.length("_s") - 1) / chunk).cast("int"))).alias("chunk"))
-    return d.select("chrom", "chunk", (F.col("chunk") * chunk).alias("offset"), F.substr("_s", F.col("chunk") * chunk + 1, F.lit(chunk)).alias("sequence"))
+    """(chrom, chunk, offset, sequence): sequences in upper case, cut into chunks so that no row grows with a chromosome; see varloom.sources.fasta."""
+    from varloom.sources import fasta as indexed
+
+    return indexed.chunks(spark, path, chunk)
 
 
 def bases(wanted: DataFrame, chunks: DataFrame, chrom: str, start: str, length: str, chunk: int = 1 << 20, row: str = "row") -> DataFrame:
@@ -96,53 +97,33 @@ def bases(wanted: DataFrame, chunks: DataFrame, chrom: str, start: str, length:
     return wanted.join(parts, row, "left")
 
 
-def records(lines: DataFrame, start: str, end: str | None = None, value: str = "value", order: str = "line") -> DataFrame:
-    """Multi-line records of (file, line, value): a line that matches `start` opens one, `end` (or the next start) closes it. Result: (file, record, lines array)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("file").orderBy(order)
-    up = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = lines.withColumn("record", F.sum(F.col(value).rlike(start).cast("int")).over(up)).where("record > 0")
-    if end:
-        ended = F.coalesce(F.sum(F.col(value).rlike(end).cast("int")).over(Window.partitionBy("file", "record").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        d = d.withColumn("_e", ended).where("_e = 0")
-    return d.groupBy("file", "record").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("lines"))
-
-
-# Start and end lines of multi-line formats.
+# Start and end lines of multi-line formats, and lines of a record where lines don't tell (FASTQ's qualities may begin with @).
 RECORD_FORMATS = {
-    "embl": ("^ID ", "^//"),
-    "swissprot": ("^ID ", "^//"),
-    "genbank": ("^LOCUS ", "^//"),
-    "genpept": ("^LOCUS ", "^//"),
-    "fasta": ("^>", None),
-    "fastq": ("^@", None),
-    "obo": (r"^\[Term\]", None),
-    "omim": (r"^\*RECORD\*", None),
-    "unigene": ("^ID ", "^//"),
-    "kegg": ("^ENTRY", "^///"),
-    "pfam": ("^# STOCKHOLM", "^//"),
-    "prosite": ("^ID ", "^//"),
-    "medline": ("^PMID-", None),
-    "transfac": ("^AC ", "^//"),
-    "utr": ("^ID ", "^//"),
-    "enzyme": ("^ID ", "^//"),
-    "interpro": ("<interpro ", "</interpro>"),
-    "pdb": ("^HEADER", "^END"),
-    "sdf": (r"^.*$", r"^\$\$\$\$"),
+    "embl": ("^ID ", "^//", None),
+    "swissprot": ("^ID ", "^//", None),
+    "genbank": ("^LOCUS ", "^//", None),
+    "genpept": ("^LOCUS ", "^//", None),
+    "fasta": ("^>", None, None),
+    "fastq": ("^@", None, 4),
+    "obo": (r"^\[Term\]", None, None),
+    "omim": (r"^\*RECORD\*", None, None),
+    "unigene": ("^ID ", "^//", None),
+    "kegg": ("^ENTRY", "^///", None),
+    "pfam": ("^# STOCKHOLM", "^//", None),
+    "prosite": ("^ID ", "^//", None),
+    "medline": ("^PMID-", None, None),
+    "transfac": ("^AC ", "^//", None),
+    "utr": ("^ID ", "^//", None),
+    "enzyme": ("^ID ", "^//", None),
+    "interpro": ("<interpro ", "</interpro>", None),
+    "pdb": ("^HEADER", r"^END\s*$", None),
+    "sdf": (None, r"^\$\$\$\$", None),
 }
 
 
-def record_scan(spark: SparkSession, path: str, format_: str) -> DataFrame:
-    """Records of a known multi-line format; lines keep their place within each file."""
-    start, end = RECORD_FORMATS[format_]
-    return records(numbered_lines(spark, path), start, end)
-
-
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value) of text files, each read as one, lines counted from 0."""
-    d = spark.read.text(path, wholetext=True)
-    return d.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+def record_scan(spark: SparkSession, path: str, format_: str, split_bytes: int = splits.SPLIT_BYTES) -> DataFrame:
+    """(file, record, lines) of a known multi-line format; record is the place of its first line in the file."""
+    return splits.records(spark, path, *RECORD_FORMATS[format_], split_bytes=split_bytes).withColumnRenamed("pos", "record")
 
 
 def uniprot(recs: DataFrame) -> DataFrame:

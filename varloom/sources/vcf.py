@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from varloom.sources import lines as splits
+from varloom.sources import tables
+
 FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")
 _TYPES = {"Integer": T.IntegerType(), "Float": T.DoubleType(), "Flag": T.BooleanType(), "String": T.StringType(), "Character": T.StringType()}
 
@@ -88,29 +91,17 @@ class Header:
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
-    """Header lines come first in a file (of a folder, in its first one): it is read through Hadoop's file system up to the first record."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(conf)
-    found = [x for at in files.globStatus(place) or [] for x in (files.listStatus(at.getPath()) if at.isDirectory() else [at])]
-    named = sorted((x.getPath() for x in found if x.getPath().getName()[0] not in "._"), key=lambda p: p.toString())
-    lines: list[str] = []
-    for name in named:
-        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(name)
-        stream = files.open(name)
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
-        while (line := reader.readLine()) is not None and line.startswith("#"):
-            lines.append(line)
-        reader.close()
-        if lines:
-            break
-    return Header.parse(lines)
-
-
-def read_vcf(spark: SparkSession, path: str, samples: list[str] | None = None) -> tuple[DataFrame, Header]:
-    """(records, header). Columns: FIXED, and genotypes map<sample, map<key, value>> of the samples asked for (all, if None)."""
+    """Header lines come first in a file (of a folder, in its first one): it is read up to the first record."""
+    return Header.parse(splits.head(spark, path))
+
+
+def read_vcf(spark: SparkSession, path: str, samples: list[str] | None = None, split_bytes: int = splits.SPLIT_BYTES) -> tuple[DataFrame, Header]:
+    """(records, header). Columns: FIXED, and genotypes map<sample, map<key, value>> of the samples asked for (all, if None).
+
+    Files may be plain, blocked gzip (read in ranges of split_bytes), gzip, bzip2 or compress, whatever their names.
+    """
     header = read_header(spark, path)
-    body = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != ""))
+    body = tables.text(spark, path, split_bytes).where(~F.col("value").startswith("#") & (F.col("value") != ""))
     return parse_records(body, header.samples, samples), header
 
 
