@@ -137,7 +137,15 @@ def test_units_encode_as_whole_texts_do():
 
 def test_units_that_workers_forget(monkeypatch, spark):
     monkeypatch.setattr(alignment, "KEPT_UNITS", 3)
-    v, known = alignment.vocabularies(alignment.A_FILE, alignment.B_FILE), {}
+    v, known = alignment.vocabularies(alignment.A_FILE, alignment.B_FILE), alignment.Known()
     first = alignment._block(v, known, [1, 2], ["the cat sat on the mat", "a dog"])
     again = alignment._block(v, known, [1, 2], ["the cat sat on the mat", "a dog"])
     assert first == again
+
+
+def test_units_encoded_together_are_as_each_alone(monkeypatch):
+    v = alignment.vocabularies(alignment.A_FILE, alignment.B_FILE)
+    units = [alignment._whole(u) for _, t in ODD if t for u in v.split(t)]
+    together = alignment.align(v, units)
+    monkeypatch.setattr(alignment, "TOGETHER", -1)
+    assert together == alignment.align(v, units) and None in together

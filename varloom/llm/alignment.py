@@ -48,8 +48,8 @@ from varloom.storage import discard, fresh_path, materialize, partitions
 
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 4_000_000
-#: Units that a worker keeps between blocks and their longest, and the keys that a partition holds before they are summed.
-KEPT_UNITS, KEPT_CHARS, HELD_KEYS = 200_000, 100, 4_000_000
+#: Units that a worker keeps between blocks (twice as many at most) and their longest, characters that are encoded as one text, and keys that a partition holds before they are summed.
+KEPT_UNITS, KEPT_CHARS, TOGETHER, HELD_KEYS = 100_000, 100, 4096, 4_000_000
 #: Keys in one batch of a shard, and partial counts for each shard.
 SHARD_BATCH, SHARD_ROWS = 65_536, 2_000_000
 
@@ -85,9 +85,10 @@ class Vocabularies:
         lines = any("\n" in p for p in pieces)
         self.cut = None if across else _CUT_SPACE if lines else _CUT_BOTH
         self.a_digits, self.b_digits = _digits(len(self.a_bytes)), _digits(len(self.b_bytes))
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in entries], np.int64) for entries in (self.a_bytes, self.b_bytes))
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids by A and B of units that begin with a space or a line end."""
+        """Ids by A and B of texts that begin with a space or a line end."""
         a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
         # B puts a space before everything: it stands for a unit's own, and before a line end it goes again.
         b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
@@ -120,21 +121,48 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
-def align(v: Vocabularies, texts: list[str]) -> list[tuple[int, int, int, bytes, bytes] | None]:
-    """For each unit n_a, n_b, n_groups, its links as packed int64 and its groups as text; None if its tokens' bytes differ from it."""
-    ids_a, ids_b = v.encode(texts)
-    raw = [t.encode() for t in texts]
-    good = [b"".join(map(v.a_bytes.__getitem__, x)) == r == b"".join(map(v.b_bytes.__getitem__, y)) for r, x, y in zip(raw, ids_a, ids_b, strict=True)]
-    at = [i for i, g in enumerate(good) if g]
-    out: list = [None] * len(texts)
-    if not at:
-        return out
-    n_a, n_b = np.array([len(ids_a[i]) for i in at]), np.array([len(ids_b[i]) for i in at])
-    a, b = np.array([x for i in at for x in ids_a[i]], np.int64), np.array([x for i in at for x in ids_b[i]], np.int64)
-    sizes = np.array([len(raw[i]) for i in at])
+def _exact(v: Vocabularies, text: str, a: list[int], b: list[int]) -> bool:
+    raw = text.encode()
+    return b"".join(map(v.a_bytes.__getitem__, a)) == raw == b"".join(map(v.b_bytes.__getitem__, b))
+
+
+def align(v: Vocabularies, units: list[str]) -> list[tuple[int, int, int, bytes, bytes] | None]:
+    """For each unit n_a, n_b, n_groups, its links as packed int64 and its groups as text; None if its tokens' bytes differ from it.
+
+    Units may follow one another as in a text, so many of them are encoded as one.
+    """
+    texts, members, size = [], [], 0
+    alone = True
+    for i, u in enumerate(units):
+        joins = v.cut is not None and len(u) > 1 and not u[1].isspace() and not u[-1].isspace() and (u[0] == " " or v.cut is _CUT_BOTH)
+        if alone or not joins or size > TOGETHER:
+            texts.append([])
+            members.append([])
+            size = 0
+        texts[-1].append(u)
+        members[-1].append(i)
+        size += len(u)
+        alone = not joins
+    whole = ["".join(t) for t in texts]
+    ids_a, ids_b = v.encode(whole)
+    good = [_exact(v, t, x, y) for t, x, y in zip(whole, ids_a, ids_b, strict=True)]
+    out: list = [None] * len(units)
+    at = [i for m, g in zip(members, good, strict=True) if g for i in m]
+    if at:
+        flat = [np.fromiter(itertools.chain.from_iterable(x for x, g in zip(ids, good, strict=True) if g), np.int64) for ids in (ids_a, ids_b)]
+        _fill(v, out, at, np.array([len(units[i].encode()) for i in at]), *flat)
+    for m, g in zip(members, good, strict=True):
+        if not g and len(m) > 1:  # some of them differ: each by itself
+            for i in m:
+                out[i] = align(v, [units[i]])[0]
+    return out
+
+
+def _fill(v: Vocabularies, out: list, at: list[int], sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Put units' results in their places: `sizes` bytes each, one after the other, covered by tokens a and by tokens b."""
     flags = np.zeros(int(sizes.sum()) + 1, np.uint8)
-    flags[np.cumsum([len(v.a_bytes[x]) for x in a.tolist()])] |= 1
-    flags[np.cumsum([len(v.b_bytes[x]) for x in b.tolist()])] |= 2
+    flags[np.cumsum(v.a_sizes[a])] |= 1
+    flags[np.cumsum(v.b_sizes[b])] |= 2
     ends = np.flatnonzero(flags)
     kind = flags[ends].astype(np.int64)
     # The token that holds the stretch before an end is the one with as many ends of its kind before it.
@@ -143,7 +171,8 @@ def align(v: Vocabularies, texts: list[str]) -> list[tuple[int, int, int, bytes,
     both = kind == 3
     last = np.searchsorted(ends, np.cumsum(sizes), "right")  # a unit's links end where its bytes do
     first = np.r_[0, last[:-1]]
-    groups = np.diff(np.r_[0, np.cumsum(both)[last - 1]])
+    groups = np.diff(np.cumsum(both)[last - 1], prepend=0)
+    tokens_a, tokens_b = own_a[last - 1] + 1, own_b[last - 1] + 1
     # Groups as text: A's tokens, then B's; a token's place is its own number and the tokens of the other kind before it.
     ends_a, ends_b = own_a[both] + 1, own_b[both] + 1
     in_a, in_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
@@ -154,15 +183,13 @@ def align(v: Vocabularies, texts: list[str]) -> list[tuple[int, int, int, bytes,
     shown[:, 7] = ord(",")
     shown[place_a[ends_a - 1], 7] = ord("|")
     shown[place_b[ends_b - 1], 7] = ord(";")
-    text = shown[shown > 0]
-    length = np.cumsum((shown > 0).sum(axis=1))
-    tokens = np.cumsum(n_a + n_b)
-    text_end = length[tokens - 1]
-    packed, told = links.tobytes(), text.tobytes()
-    each = zip(at, n_a.tolist(), n_b.tolist(), groups.tolist(), first.tolist(), last.tolist(), np.r_[0, text_end[:-1]].tolist(), text_end.tolist(), strict=True)
+    told = shown[shown > 0].tobytes()
+    text_end = np.cumsum((shown > 0).sum(axis=1))[tokens_a + tokens_b - 1]
+    packed = links.tobytes()
+    n_a, n_b = np.diff(tokens_a, prepend=0), np.diff(tokens_b, prepend=0)
+    each = zip(at, n_a.tolist(), n_b.tolist(), groups.tolist(), (8 * first).tolist(), (8 * last).tolist(), np.r_[0, text_end[:-1]].tolist(), (text_end - 1).tolist(), strict=True)
     for i, na, nb, ng, s, e, ts, te in each:
-        out[i] = na, nb, ng, packed[8 * s : 8 * e], told[ts : te - 1]  # without the last group's semicolon
-    return out
+        out[i] = na, nb, ng, packed[s:e], told[ts:te]  # without the last group's semicolon
 
 
 def _squeezed(x: np.ndarray) -> bytes:
@@ -177,28 +204,37 @@ def _loose(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
-def _block(v: Vocabularies, known: dict, ids: list, texts: list[str]) -> dict:
-    """One block's row; `known` holds units that the worker has met."""
+class Known:
+    """Units that a worker has met, those of longest ago forgotten first."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def of(self, v: Vocabularies, units: list) -> list:
+        new = [u for u in units if u not in self.young and u not in self.old]
+        fresh = dict(zip(new, align(v, [_whole(u) for u in new]), strict=True))
+        out = [fresh[u] if u in fresh else self.young[u] if u in self.young else self.old[u] for u in units]
+        self.young.update((u, f) for u, f in zip(units, out, strict=True) if len(u) <= KEPT_CHARS)
+        if len(self.young) > KEPT_UNITS:
+            self.old, self.young = self.young, {}
+        return out
+
+
+def _block(v: Vocabularies, known: Known, ids: list, texts: list[str]) -> dict:
+    """One block's row."""
     local: defaultdict = defaultdict()
     local.default_factory = local.__len__
     units = [list(map(local.__getitem__, v.split(t))) if t else [] for t in texts]
-    new = [u for u in local if u not in known]
-    if len(known) + len(new) > KEPT_UNITS:
-        known.clear()
-        new = list(local)
-    known.update(zip(new, align(v, [_whole(u) for u in new]), strict=True))
-    found = [known[u] for u in local]
-    strings = [f and f[4] for f in found]
-    per_unit = np.array([f[:3] if f else (0, 0, 0) for f in found], np.int64).reshape(-1, 3)
-    links = [f[3] if f else b"" for f in found]
+    found = known.of(v, list(local))
     bad = {i for i, f in enumerate(found) if f is None}
+    none = (0, 0, 0, b"", b"")
+    n_a, n_b, n_groups, links, strings = zip(*(found if not bad else [f or none for f in found]), strict=True) if found else ((), (), (), (), ())
+    per_unit = np.array([n_a, n_b, n_groups], np.int64).T.reshape(-1, 3)
     if bad:
         units = [[] if bad.intersection(x) else x for x in units]
     n_units = np.array([len(x) for x in units], np.int64)
     flat = np.fromiter(itertools.chain.from_iterable(units), np.int64)
-    for u in new:
-        if len(_whole(u)) > KEPT_CHARS:
-            del known[u]
     numbers = _sums(per_unit[flat], n_units)
     digests = b"".join(hashlib.sha256(b";".join(map(strings.__getitem__, x))).digest() if x else bytes(32) for x in units)
     sizes = np.array([len(x) // 8 for x in links], np.int64)
@@ -235,7 +271,7 @@ def blocks(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, block_by
     """Encoded blocks of documents, a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, known = vocabularies(a_file, b_file), {}
+        v, known = vocabularies(a_file, b_file), Known()
         ids, texts, size = [], [], 0
 
         def row() -> pa.RecordBatch:
