@@ -146,3 +146,22 @@ def test_info_parse(spark):
 def test_chromosomes(spark):
     assert many(spark, [("chr1",), ("M",), ("chrX",), ("MT",)], "c string", variant.chrom_bare(F.col("c"))) == ["1", "MT", "X", "MT"]
     assert many(spark, [("1",), ("MT",)], "c string", variant.chrom_ucsc(F.col("c"))) == ["chr1", "chrM"]
+
+
+def test_likelihood_fits_are_stationary(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = [(k, draw.betavariate(a, b) * 7 - 2) for k, (a, b) in {"x": (2.0, 5.0), "y": (0.6, 0.7), "z": (30.0, 2.0)}.items() for _ in range(400)]
+    rows += [("one", 5.0), ("same", 1.0), ("same", 1.0), (None, 1.0), (None, 2.0), (None, 4.0), ("x", None)]
+    got = {r["k"]: r for r in damage.beta_likelihood(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert got["one"]["a"] is None and got["same"]["b"] is None and got[None]["a"] > 0
+    for k in ("x", "y", "z"):
+        r, values = got[k], [v for h, v in rows if h == k and v is not None]
+        z = [(v - r["loc"]) / r["scale"] for v in values]
+        assert len(z) == r["n"] and 0 < min(z) and max(z) < 1
+        l0, l1 = sum(map(math.log, z)) / len(z), sum(math.log(1 - x) for x in z) / len(z)
+        like = lambda a, b: (a - 1) * l0 + (b - 1) * l1 + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+        a, b, h = r["a"], r["b"], 1e-4
+        assert abs(like(a + h, b) - like(a - h, b)) / (2 * h) < 1e-6 and abs(like(a, b + h) - like(a, b - h)) / (2 * h) < 1e-6
+        assert like(a, b) >= max(like(a * 1.01, b), like(a / 1.01, b), like(a, b * 1.01), like(a, b / 1.01))

@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from varloom import queries as core
 from varloom.functions.clinical import FilterConfig
-from varloom.plans import prioritize
+from varloom.operators.store import SiteStore
+from varloom.plans import prioritize, run, training
+from varloom.sources import vcf
+from varloom.storage import fresh_path
 
 EX = "array<struct<start: int, end: int>>"
 
@@ -108,6 +111,106 @@ def test_whole_run_from_variants_and_terms(spark):
     assert [r["gene"] for r in out["genes"].collect()][0] == "P" and [r["disease_id"] for r in out["diseases"].collect()] == ["D1"]
 
 
+def test_frequencies_of_decomposed_alleles(spark):
+    """An allele that the table lacks takes the least frequency of its parts; exact alleles and single parts are filtered at once."""
+    table = spark.createDataFrame([("1", 10, "A", "G", 0.01), ("1", 20, "C", "T", 0.2), ("1", 21, "G", "A", 0.3), ("1", 40, "C", "T", 0.4), ("1", 50, "GA", "G", 0.2), ("1", 60, "T", "C", 0.02)], "chrom string, pos int, ref string, alt string, exac double")
+    table = table.withColumns({"esp": F.lit(None).cast("double"), "kg": F.col("exac") / 2})
+    v = [("1", 10, "A", "G"), ("1", 20, "CG", "TA"), ("1", 20, "CT", "TA"), ("1", 30, "C", "T"), ("1", 40, "CA", "TA"), ("1", 49, "TGA", "TG"), ("1", 60, "TA", "CT")]
+    want = {(10, "A"): (0.01, 0.005), (20, "CG"): (0.2, 0.1), (20, "CT"): (0.0, 0.0), (30, "C"): (None, None), (60, "TA"): (0.0, 0.0)}
+    d = spark.createDataFrame(v, "chrom string, pos int, ref string, alt string")
+    store = SiteStore.write(table, fresh_path(spark, "store"), buckets=3, region=16)
+    for source in (table, store):
+        got = prioritize.with_frequencies(d, source, 0.05).collect()
+        assert {(r["pos"], r["ref"]): (r["exac"], r["kg"]) for r in got} == want
+    assert prioritize.with_frequencies(d, None, 0.05).count() == len(v)
+
+
+def test_cadd_is_looked_up_by_base(spark):
+    table = spark.createDataFrame([("1", 10, "A", "G", 1.5, "K/R"), ("1", 20, "C", "T", 2.0, "P/L"), ("1", 21, "G", "A", 3.0, "P/L")], "chrom string, pos int, ref string, alt string, cadd_raw double, cadd_aa string")
+    d = spark.createDataFrame([("1", 10, "A", "G"), ("1", 20, "CG", "TA"), ("1", 20, "CTG", "TTC"), ("1", 30, "C", "T"), ("1", 10, "A", "AG")], "chrom string, pos int, ref string, alt string")
+    got = {(r["pos"], r["ref"], r["alt"]): (r["cadd_raw"], r["cadd_aa"], r["cadd_bases"]) for r in prioritize.with_cadd(d, table).collect()}
+    assert got == {(10, "A", "G"): (1.5, "K/R", 1), (20, "CG", "TA"): (5.0, None, 2), (20, "CTG", "TTC"): (2.0, None, 1), (30, "C", "T"): (None, None, 0), (10, "A", "AG"): (None, None, 0)}
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_site_store_is_not_moved(spark, broadcast):
+    rows = [(str(c), p, "A", "G", float(p)) for c in (1, 2) for p in range(0, 4000, 7)]
+    table = spark.createDataFrame(rows, "chrom string, pos int, ref string, alt string, af double")
+    path = fresh_path(spark, "store")
+    store = SiteStore.write(table.unionByName(table.limit(50).withColumn("af", F.lit(-1.0))), path, buckets=4, region=1000)
+    asked = spark.createDataFrame([("1", 7, "A", "G"), ("1", 8, "A", "G"), ("1", 7, "A", "T"), ("2", 1400, "A", "G"), ("1", 7, "A", "G")], "chrom string, pos int, ref string, alt string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        hits = store.hits(asked.distinct(), region=1000)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        scan = plan.index("FileScan parquet")
+        above = [line for line in plan[:scan].split("\n")]
+        depth = len(above[-1]) - len(above[-1].lstrip(" :+-"))
+        over = [x for x in above if ("Exchange" in x) and len(x) - len(x.lstrip(" :+-")) < depth and "Broadcast" not in x]
+        assert not [x for x in over if plan.find(x) < scan and x.count("region")], plan
+        assert sorted((r["chrom"], r["pos"], r["af"]) for r in hits.collect()) == [("1", 7, 7.0), ("2", 1400, 1400.0)]
+        assert "region" in plan and {tuple(r) for r in store.lookup(asked, ["af"], region=1000).select("pos", "alt", "af").collect()} == {(7, "G", 7.0), (8, "G", None), (7, "T", None), (1400, "G", 1400.0)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    store.close()
+    again = SiteStore.write(table.limit(0), path, buckets=4, inputs=[], region=1000)  # newer than all its inputs: opened as it is
+    assert again.read().count() == len(rows)
+
+
+def test_compound_heterozygotes_by_phase(spark):
+    rows = [
+        ("v1", "A", "0/1", "0/1", "0/0"), ("v2", "A", "0/1", "0/0", "0/1"),  # one from each parent
+        ("v3", "B", "0/1", "0/1", "0/0"), ("v4", "B", "0/1", "0/1", "0/0"),  # both from the father
+        ("v5", "C", "0/1", "0/0", "0/0"), ("v6", "C", "0/1", "0/1", "0/1"),  # new, and either parent's
+        ("v7", None, "0/1", "0/1", "0/0"), ("v8", None, "0/1", "0/0", "0/1"),  # no gene
+        ("v9", "D", "1/1", "0/1", "0/1"), ("v10", "E", "0/1", None, "0/0"), ("v11", "F", "0|1", "0/1", "0/0"), ("v12", "F", "0|1", "./.", "0/0"),
+    ]
+    d = spark.createDataFrame([(*r, "t") for r in rows], "variant string, gene string, gt string, fa string, mo string, class_tag string")
+    tags = lambda *a: {r["variant"]: r["class_tag"][1:] for r in prioritize.tag_inheritance(d, "gt", *a).collect()}
+    trio = tags("fa", "mo")
+    assert trio == {"v1": "h", "v2": "h", "v3": "", "v4": "", "v5": "hd", "v6": "h", "v7": "", "v8": "", "v9": "H", "v10": "", "v11": "", "v12": ""}
+    alone = tags()
+    assert {k for k, x in alone.items() if x == "h"} == {"v1", "v2", "v3", "v4", "v5", "v6"} and alone["v7"] == alone["v11"] == ""
+
+
+def test_whole_run_from_files(spark, tmp_path):
+    t = transcripts(spark)
+    folder = str(tmp_path / "tables")
+    t.write.parquet(f"{folder}/transcripts")
+    spark.createDataFrame([("2", 132, "T", "A", "5")], "chrom string, pos int, ref string, alt string, clnsig string").write.parquet(f"{folder}/clinvar")
+    spark.createDataFrame([("1", 100, 120)], "chrom string, start int, end int").write.parquet(f"{folder}/capture")
+    spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b")], "term string, parent string").write.parquet(f"{folder}/is_a")
+    spark.createDataFrame([("D1", "d"), ("D2", "c")], "disease_id string, term string").write.parquet(f"{folder}/annotations")
+    spark.createDataFrame([("D1", "one", "P", "dominant"), ("D2", "two", "M", "recessive")], "disease_id string, description string, gene string, inherit string").write.parquet(f"{folder}/disease_genes")
+    spark.createDataFrame([("p1", "p2", 900.0), ("p2", "p1", 900.0)], "src string, dst string, w double").write.parquet(f"{folder}/links")
+    spark.createDataFrame([("p1", "P"), ("p2", "Q")], "node string, gene string").write.parquet(f"{folder}/nodes")
+    (tmp_path / "in.vcf").write_text("##fileformat=VCFv4.1\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\n1\t128\t.\tG\tA\t50\tPASS\t.\tGT\t0/1\nchr2\t132\t.\tT\tA,C\t50\tPASS\t.\tGT\t1/1\n1\t109\t.\tC\tT\t50\tPASS\t.\tGT\t0/1\n")
+    (tmp_path / "terms.txt").write_text("# patient\nd\n")
+    out = run.run(spark, str(tmp_path / "in.vcf"), folder, f"file://{tmp_path}/out", str(tmp_path / "terms.txt"), sample="S1", max_rounds=3)
+    assert set(out) == {"vcf", "genes", "diseases", "variants"}
+    ranked = spark.read.option("sep", "\t").option("header", True).csv(out["genes"]).collect()
+    assert ranked[0]["gene"] == "P" and {r["gene"] for r in ranked} >= {"P", "Q", "M"}
+    back, header = vcf.read_vcf(spark, out["vcf"])
+    tags = {(r["chrom"], r["pos"]): r["info"] for r in back.collect()}
+    assert tags[("1", 128)]["GENE"] == "P" and tags[("1", 128)]["CLASS_TAG"] == "4eh" and tags[("2", 132)]["CLNSIG"] == "5" and "CLASS_TAG" in header.meta["INFO"]
+    assert [r["disease_id"] for r in spark.read.option("sep", "\t").option("header", True).csv(out["diseases"]).collect()] == ["D1"]
+
+
+def test_training_run_gives_fits_that_the_model_reads(spark):
+    t = transcripts(spark)
+    rows, cadd = [], []
+    for i in range(200):
+        site = ("1", 100 + i % 40, "A", "CGT"[i % 3])
+        rows.append((*site, 1 if i % 2 else -1))
+        cadd.append((*site, (i * 7 % 13) / 2.0 + 3 * (i % 2), "K/R"))
+    export = spark.createDataFrame(rows, "chrom string, pos int, ref string, alt string, vote int")
+    table = spark.createDataFrame(cadd, "chrom string, pos int, ref string, alt string, cadd_raw double, cadd_aa string").dropDuplicates(["chrom", "pos", "ref", "alt"])
+    got = training.fits(export, F.col("vote"), prioritize.Resources(t, cadd=table), least=5)
+    assert {r["class"] for r in got.collect()} <= {0, 1} and got.where("model = 'cadd' and aa = 'K' and a > 0 and b > 0").count() >= 1
+    assert got.columns == ["model", "class", "aa", "a", "b", "loc", "scale", "mean"]
+
+
 def test_region_classes_and_flags_can_be_configured():
     from varloom.config import filter_config
     import tempfile

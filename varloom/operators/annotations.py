@@ -144,6 +144,12 @@ def proband_ped(spark, sample: str, male: bool | None = None) -> DataFrame:
     return spark.createDataFrame([(sample, sample, "0", "0", 0 if male is None else 1 if male else 2, 2)], "fam_id string, ind_id string, pat_id string, mat_id string, sex int, phenotype int")
 
 
+def proband_peds(samples: DataFrame) -> DataFrame:
+    """A pedigree of one affected member for each row of samples (sample, male: null if unknown)."""
+    sex = F.when(F.col("male").isNull(), 0).when(F.col("male"), 1).otherwise(2)
+    return samples.select(F.col("sample").alias("fam_id"), F.col("sample").alias("ind_id"), F.lit("0").alias("pat_id"), F.lit("0").alias("mat_id"), sex.alias("sex"), F.lit(2).alias("phenotype"))
+
+
 def mim_phenotypes(genes: DataFrame, names: DataFrame) -> DataFrame:
     """(accession, gene, mim_id, phenotype) of genes (accession, gene, mim_id) by an offline table of names (mim_id, phenotype)."""
     from varloom.functions.clinical import phenotype_name

@@ -43,13 +43,13 @@ def domain_evidence(t: Tables):
     return out.select("p_partkey", F.round("pdom", 6).alias("pdom"), (c("pdens") >= F.lit(lowest)).alias("upper_half"))
 
 
-@query(f"""WITH {_TX}, q AS (SELECT DISTINCT l_partkey * 100 + l_suppkey * 3 AS pos, CAST(l_partkey % 22 + 1 AS VARCHAR) AS c FROM lineitem WHERE l_suppkey > 40)
+@query(f"""WITH {_TX}, q AS (SELECT DISTINCT l_partkey * 100 + l_suppkey * 3 AS pos, CAST(l_partkey % 22 + 1 AS VARCHAR) AS c FROM lineitem)
     SELECT pos, c AS chrom, (SELECT max_by(gene, (e2, gene)) FROM m WHERE m.chrom = c AND e2 < pos AND e2 >= pos - 5000) AS previous_gene,
       (SELECT gene FROM m WHERE m.chrom = c AND a + 1 = (SELECT min(a + 1) FROM m m2 WHERE m2.chrom = c AND m2.a + 1 > pos AND m2.a + 1 <= pos + 5000)) AS next_gene FROM q""")
 def nearest_genes(t: Tables):
     """The genes before and after intergenic variants, 5,000 bases away at most."""
     c = F.col
-    d = t.lineitem.where("l_suppkey > 40").select((c("l_partkey") * 100 + c("l_suppkey") * 3).alias("pos"), (c("l_partkey") % 22 + 1).cast("string").alias("chrom")).distinct()
+    d = t.lineitem.select((c("l_partkey") * 100 + c("l_suppkey") * 3).alias("pos"), (c("l_partkey") % 22 + 1).cast("string").alias("chrom")).distinct()
     d = d.select("pos", "chrom", c("pos").cast("int").alias("start"), F.concat_ws("_", "chrom", "pos").alias("variant"), F.lit("Intergenic").alias("region"))
     return prioritize.beside(d, _transcripts(t)).select("pos", "chrom", "previous_gene", "next_gene")
 
@@ -70,6 +70,18 @@ def frequency_prefilter(t: Tables):
     return annotations.prefilter(v, f, ["pos"], "af").drop("pos")
 
 
+@query("""WITH RECURSIVE s AS (SELECT p_brand, min(p_retailprice) - 0.01 * (max(p_retailprice) - min(p_retailprice)) AS loc, 1.02 * (max(p_retailprice) - min(p_retailprice)) AS scale FROM part GROUP BY 1),
+    z AS (SELECT p_brand, loc, scale, (p_retailprice - loc) / scale AS z FROM part JOIN s USING (p_brand) WHERE scale > 0), m AS (SELECT p_brand, any_value(loc) AS loc, any_value(scale) AS scale, avg(ln(z)) AS l0, avg(ln(1 - z)) AS l1, avg(z) AS mu, var_pop(z) AS v FROM z GROUP BY 1),
+    n(p_brand, i, a, b) AS (SELECT p_brand, 0, mu * greatest(mu * (1 - mu) / v - 1, 0.1), (1 - mu) * greatest(mu * (1 - mu) / v - 1, 0.1) FROM m UNION ALL
+      SELECT p_brand, i + 1, greatest(a - ((tb - tc) * ga + tc * gb) / ((ta - tc) * (tb - tc) - tc * tc), a / 2), greatest(b - ((ta - tc) * gb + tc * ga) / ((ta - tc) * (tb - tc) - tc * tc), b / 2) FROM (SELECT p_brand, i, a, b, pa - pc - l0 AS ga, pb - pc - l1 AS gb, ta, tb, tc FROM (SELECT n.*, l0, l1,
+        (lgamma(a + 1e-4) - lgamma(a - 1e-4)) / 2e-4 AS pa, (lgamma(b + 1e-4) - lgamma(b - 1e-4)) / 2e-4 AS pb, (lgamma(a + b + 1e-4) - lgamma(a + b - 1e-4)) / 2e-4 AS pc,
+        (lgamma(a + 1e-3) - 2 * lgamma(a) + lgamma(a - 1e-3)) / 1e-6 AS ta, (lgamma(b + 1e-3) - 2 * lgamma(b) + lgamma(b - 1e-3)) / 1e-6 AS tb, (lgamma(a + b + 1e-3) - 2 * lgamma(a + b) + lgamma(a + b - 1e-3)) / 1e-6 AS tc FROM n JOIN m USING (p_brand) WHERE i < 40)))
+    SELECT p_brand, round(a, 3) AS a, round(b, 3) AS b, round(loc, 4) AS loc, round(scale, 4) AS scale FROM n JOIN m USING (p_brand) WHERE i = 40""")
+def likelihood_fits(t: Tables):
+    out = damage.beta_likelihood(t.part, ["p_brand"], "p_retailprice").where("a is not null")
+    return out.select("p_brand", *[F.round(n, k).alias(n) for n, k in (("a", 3), ("b", 3), ("loc", 4), ("scale", 4))])
+
+
 @query("""WITH n AS (SELECT s_nationkey AS id, min(s_name) AS p FROM supplier WHERE s_acctbal > 3000 GROUP BY 1) SELECT 'P' || CAST(c_custkey AS VARCHAR) AS accession, 'G' || CAST(c_custkey AS VARCHAR) AS gene, c_nationkey AS mim_id, CASE WHEN p IS NOT NULL THEN 'of_' || p END AS phenotype FROM customer LEFT JOIN n ON id = c_nationkey""")
 def mim_phenotypes(t: Tables):
     c = F.col
@@ -107,12 +119,14 @@ def downstream_report(t: Tables):
     c = F.col
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), c("l_linenumber"))
     gt = lambda a, b: F.concat((a % 2).cast("string"), F.lit("/"), (b % 2).cast("string"))
-    d = t.lineitem.where("l_returnflag <> 'N'").join(t.part, c("l_partkey") == c("p_partkey"))
+    d = t.lineitem.join(t.part, c("l_partkey") == c("p_partkey"))
     trio = d.select(c("p_brand").alias("gene"), c("l_suppkey").alias("transcript"), F.lit("CodingExonic").alias("region"), pick(["FrameShiftInsert", "NonSyn", "FrameShiftDelete", "StopGain", "Syn", "NonSyn", "Syn"]).alias("consequence"), c("l_partkey").alias("pos"), F.lit(1).cast("bigint").alias("size"), F.lit("PASS").alias("filter"),
                     gt(c("l_orderkey"), c("l_partkey")).alias("father"), gt(c("l_suppkey"), c("l_orderkey") + c("l_partkey")).alias("mother"), gt(c("l_linenumber"), c("l_suppkey") + c("l_linenumber")).alias("child"), "l_orderkey", "l_linenumber")
     return sinks.downstream_report(family.downstream(trio, tie=["l_orderkey", "l_linenumber"])).select("gene", "transcript", "haplotype", "n")
 
 
-@query("""SELECT unnest(['region', 'region', 'nation', 'nation', 'nation']) AS "table", CAST(unnest([0, 1, 0, 1, 2]) AS INTEGER) AS place, unnest(['r_regionkey', 'r_name', 'n_nationkey', 'n_name', 'n_regionkey']) AS "column", unnest(['int', 'string', 'int', 'string', 'int']) AS type""")
+@query("""WITH c AS (SELECT count(*) AS n, count(*) - count(c_custkey) AS a, count(*) - count(c_name) AS b, count(*) - count(c_nationkey) AS c, count(*) - count(c_acctbal) AS d, count(*) - count(c_mktsegment) AS e FROM customer), o AS (SELECT count(*) AS n, count(*) - count(n_nationkey) AS a, count(*) - count(n_name) AS b, count(*) - count(n_regionkey) AS c FROM nation)
+    SELECT 'customer' AS "table", CAST(unnest([0, 1, 2, 3, 4]) AS INTEGER) AS place, unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS "column", unnest(['bigint', 'string', 'int', 'double', 'string']) AS type, n AS rows, unnest([a, b, c, d, e]) AS nulls FROM c
+    UNION ALL SELECT 'nation', unnest([0, 1, 2]), unnest(['n_nationkey', 'n_name', 'n_regionkey']), unnest(['int', 'string', 'int']), n, unnest([a, b, c]) FROM o""")
 def table_schemas(t: Tables):
-    return sinks.catalogue(t.spark, {n: f"{t.sf_dir}/{n}.parquet" for n in ("region", "nation")})
+    return sinks.catalogue(t.spark, {n: f"{t.sf_dir}/{n}.parquet" for n in ("customer", "nation")})

@@ -47,6 +47,58 @@ def heat_diffusion_k(t: Tables):
     return network.heat_diffusion(network.normalize_edges(_square(t)), y, rounds=3).select("node", F.round("value", 8).alias("value"))
 
 
+_NATIONS = """l AS (SELECT c_nationkey AS src, s_nationkey AS dst, sum(l_quantity) AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2),
+    r AS (SELECT src, sum(w) AS r FROM l GROUP BY 1), c AS (SELECT dst, sum(w) AS c FROM l GROUP BY 1), n AS MATERIALIZED (SELECT src, dst, w / (sqrt(r) * sqrt(c)) AS w FROM l JOIN r USING (src) JOIN c USING (dst)),
+    y AS MATERIALIZED (SELECT node, v / sum(v) OVER () AS v FROM (SELECT s_nationkey AS node, sum(abs(s_acctbal)) AS v FROM supplier GROUP BY 1))"""
+
+
+def _nations(t: Tables):
+    """Trade between nations: edges of the whole tables on few nodes, so that SQL can run many rounds."""
+    d = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    y = t.supplier.groupBy(F.col("s_nationkey").alias("node")).agg(F.sum(F.abs("s_acctbal")).alias("value"))
+    total = y.agg(F.sum("value").alias("t"))
+    return d.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.sum("l_quantity").alias("w")), y.join(F.broadcast(total)).select("node", (F.col("value") / F.col("t")).alias("value"))
+
+
+def _first_still(k: int, last: str) -> str:
+    """The rows of the first round under the tolerance, or of the last one."""
+    rounds = " UNION ALL ".join(f"SELECT {i} AS i, node, v, (SELECT d FROM d{i}) AS d FROM {last}{i}" for i in range(1, k + 1))
+    return f" , z AS ({rounds}) SELECT node, round(v, 7) AS value, CAST(i AS INTEGER) AS rounds FROM z WHERE i = (SELECT coalesce(min(i) FILTER (d < tol.t), {k}) FROM z, tol)"
+
+
+def _heat_still_sql(k: int, tolerance: float) -> str:
+    out = f"WITH tol AS (SELECT {tolerance} AS t), {_NATIONS}, s0 AS MATERIALIZED (SELECT node, 0.0 AS v FROM y)"
+    for i in range(1, k + 1):
+        out += f""", a{i} AS MATERIALIZED (SELECT node, sum(v) AS v FROM (SELECT node, v * 0.7 AS v FROM s{i - 1} UNION ALL SELECT src, w * v * 0.27 FROM n JOIN s{i - 1} ON node = dst UNION ALL SELECT node, v * 0.3 * (1 - 0.9) FROM y) GROUP BY 1),
+    s{i} AS MATERIALIZED (SELECT node, v / (SELECT sum(v) FROM a{i}) AS v FROM a{i}), d{i} AS MATERIALIZED (SELECT sum(abs(coalesce(p.v, 0) - coalesce(q.v, 0))) AS d FROM s{i} p FULL JOIN s{i - 1} q USING (node))"""
+    return out + _first_still(k, "s")
+
+
+@query(_heat_still_sql(30, 1e-3))
+def heat_diffusion_still(t: Tables):
+    """Diffusion until its stop rule holds, and the number of rounds it took."""
+    edges, y = _nations(t)
+    out = network.heat_diffusion(network.normalize_edges(edges), y, gamma=30, tolerance=1e-3, max_rounds=30)
+    return out.select("node", F.round("value", 7).alias("value"), F.lit(out._varloom_rounds).alias("rounds"))
+
+
+def _bipartite_still_sql(k: int, tolerance: float) -> str:
+    out = f"WITH tol AS (SELECT {tolerance} AS t), {_NATIONS}, r0 AS MATERIALIZED (SELECT node, v FROM y), c0 AS MATERIALIZED (SELECT dst AS node, 0.0 AS v FROM c)"
+    for i in range(1, k + 1):
+        out += f""", r{i} AS MATERIALIZED (SELECT node, sum(v) AS v FROM (SELECT src AS node, n.w * x.v * 0.5 AS v FROM n JOIN c{i - 1} x ON x.node = n.dst UNION ALL SELECT node, v * 0.5 FROM y) GROUP BY 1),
+    c{i} AS MATERIALIZED (SELECT dst AS node, sum(n.w * x.v * 0.5) AS v FROM n JOIN r{i - 1} x ON x.node = n.src GROUP BY 1),
+    d{i} AS MATERIALIZED (SELECT greatest((SELECT max(abs(coalesce(p.v, 0) - coalesce(q.v, 0))) FROM r{i} p FULL JOIN r{i - 1} q USING (node)), (SELECT max(abs(coalesce(p.v, 0) - coalesce(q.v, 0))) FROM c{i} p FULL JOIN c{i - 1} q USING (node))) AS d)"""
+    return out + _first_still(k, "r")
+
+
+@query(_bipartite_still_sql(25, 1e-4))
+def bipartite_diffusion_still(t: Tables):
+    """Bipartite diffusion until no value moves any more, and the number of rounds it took."""
+    edges, y = _nations(t)
+    out = network.bipartite_diffusion(edges, y, a=0.5, tolerance=1e-4, max_rounds=25)
+    return out.select("node", F.round("value", 7).alias("value"), F.lit(out._varloom_rounds).alias("rounds"))
+
+
 def _bipartite_sql(k: int) -> str:
     out = f"WITH {_EDGES}, q AS (SELECT s_suppkey AS node, abs(s_acctbal) / (SELECT sum(abs(s_acctbal)) FROM supplier WHERE s_acctbal > 0) AS v FROM supplier WHERE s_acctbal > 0), r0 AS (SELECT node, v FROM q), c0 AS (SELECT dst AS node, 0.0 AS v FROM c)"
     for i in range(1, k + 1):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varloom.operators import aggregates, intervals, sites
+from varloom.operators import aggregates, intervals, sites, store
 from varloom.queries.base import Tables, query
+from varloom.storage import fresh_path
 
 _LINE = "l_orderkey, l_linenumber, l_suppkey, l_partkey, l_returnflag, l_linestatus"
 
@@ -47,6 +48,15 @@ def site_lookup_two_stage(t: Tables):
     return sites.two_stage(v, ref, ["pos", "ref", "alt"], "parts", ["p", "r", "a"], "value", "row").select("pos", "ref", "alt", "value")
 
 
+@query(f"""WITH {_REF}, {_VAR} SELECT l_orderkey, l_linenumber, v.pos, v.ref, v.alt, value FROM variants v LEFT JOIN (SELECT pos, ref, alt, max(value) AS value FROM ref_sites GROUP BY ALL) USING (pos, ref, alt)""")
+def site_store_lookup(t: Tables):
+    """Lookups in a bucketed store, which is read where variants lie and never moved."""
+    ref = sites.explode_alleles(_reference(t), "alts").select(F.lit("1").alias("chrom"), "pos", "ref", "alt", "value")
+    made = store.SiteStore.write(ref, fresh_path(t.spark, "sites"), buckets=8, region=1024)
+    v = _variants(t).withColumns({"chrom": F.lit("1")})
+    return made.lookup(v, ["value"], region=1024).select("l_orderkey", "l_linenumber", "pos", "ref", "alt", "value")
+
+
 @query(f"""WITH {_REF}, {_VAR}, known AS (SELECT DISTINCT brand FROM ref_sites), v AS (SELECT v.*, p_brand AS brand FROM variants v JOIN part ON p_partkey = pos)
     SELECT l_orderkey, l_linenumber, v.pos, v.ref, v.alt, v.brand, CAST(CASE WHEN r.alt = v.alt THEN 3 WHEN r.alt IS NOT NULL THEN 2 WHEN k.brand IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS level
     FROM v LEFT JOIN ref_sites r ON r.pos = v.pos AND r.ref = v.ref LEFT JOIN known k ON k.brand = v.brand""")

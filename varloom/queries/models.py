@@ -214,14 +214,14 @@ def gene_and_mrna_lookup(t: Tables):
     return genes.mrna_lookup(genes.gene_lookup(tx, gene="Brand#7", strand="-").select("gid", "accession"), mrnas)
 
 
-@query("""WITH s AS (SELECT 'rs' || CAST(l_partkey AS VARCHAR) AS rsid, min((l_suppkey, l_linenumber, l_returnflag)) AS m FROM lineitem GROUP BY 1) SELECT p_partkey, 'rs' || CAST(p_partkey AS VARCHAR) AS rsid, m[1] AS chrom, m[2] AS pos, m[3] AS significance FROM part LEFT JOIN s ON rsid = 'rs' || CAST(p_partkey AS VARCHAR)""".replace("m[1]", "struct_extract(m, 1)").replace("m[2]", "struct_extract(m, 2)").replace("m[3]", "struct_extract(m, 3)"))
+@query("""WITH s AS (SELECT 'rs' || CAST(l_partkey AS VARCHAR) AS rsid, min((l_suppkey, l_linenumber, l_returnflag)) AS m FROM lineitem GROUP BY 1) SELECT p_partkey, 'rs' || CAST(p_partkey AS VARCHAR) AS rsid, struct_extract(m, 1) AS chrom, struct_extract(m, 2) AS pos, struct_extract(m, 3) AS significance FROM part LEFT JOIN s ON rsid = 'rs' || CAST(p_partkey AS VARCHAR)""")
 def sites_by_rsid(t: Tables):
     s = t.lineitem.select(F.concat(F.lit("rs"), F.col("l_partkey")).alias("rsid"), F.col("l_suppkey").alias("chrom"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("significance"))
     return sites.by_rsid(t.part.select("p_partkey", F.concat(F.lit("rs"), F.col("p_partkey")).alias("rsid")), s)
 
 
 @query("""WITH v AS (SELECT l_suppkey AS chrom, l_partkey AS pos, l_returnflag AS ref, l_linestatus AS alt, l_linenumber % 3 - 1 AS v FROM lineitem)
-    SELECT chrom, pos, ref, alt, CASE max(v) WHEN 1 THEN 'pathogenic' WHEN -1 THEN 'benign' ELSE 'vus' END AS label FROM v GROUP BY ALL HAVING min(v) = max(v)""".replace("GROUP BY ALL", "GROUP BY chrom, pos, ref, alt"))
+    SELECT chrom, pos, ref, alt, CASE max(v) WHEN 1 THEN 'pathogenic' WHEN -1 THEN 'benign' ELSE 'vus' END AS label FROM v GROUP BY chrom, pos, ref, alt HAVING min(v) = max(v)""")
 def training_labels(t: Tables):
     d = t.lineitem.select(F.col("l_suppkey").alias("chrom"), F.col("l_partkey").alias("pos"), F.col("l_returnflag").alias("ref"), F.col("l_linestatus").alias("alt"), "l_linenumber")
     return sites.labelled(d, F.col("l_linenumber") % 3 - 1)
@@ -251,7 +251,7 @@ def liftover(t: Tables):
 
 
 _TRIO = """t AS (SELECT p_brand AS gene, l_suppkey AS transcript, l_partkey AS pos, l_orderkey, l_linenumber, (['FrameShiftInsert', 'NonSyn', 'FrameShiftDelete', 'StopGain', 'Syn', 'NonSyn', 'Syn'])[l_linenumber] AS consequence, CAST(([1, 0, -2, 0, 3, 0, -1])[l_linenumber] AS BIGINT) AS size,
-      CAST(l_orderkey % 2 AS VARCHAR) AS f1, CAST(l_partkey % 2 AS VARCHAR) AS f2, CAST(l_suppkey % 2 AS VARCHAR) AS m1, CAST((l_orderkey + l_partkey) % 2 AS VARCHAR) AS m2, CAST(l_linenumber % 2 AS VARCHAR) AS c1, CAST((l_suppkey + l_linenumber) % 2 AS VARCHAR) AS c2 FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'N'),
+      CAST(l_orderkey % 2 AS VARCHAR) AS f1, CAST(l_partkey % 2 AS VARCHAR) AS f2, CAST(l_suppkey % 2 AS VARCHAR) AS m1, CAST((l_orderkey + l_partkey) % 2 AS VARCHAR) AS m2, CAST(l_linenumber % 2 AS VARCHAR) AS c1, CAST((l_suppkey + l_linenumber) % 2 AS VARCHAR) AS c2 FROM lineitem JOIN part ON p_partkey = l_partkey),
     p AS (SELECT *, c1 IN (f1, f2) AND c2 IN (m1, m2) AS s, c2 IN (f1, f2) AND c1 IN (m1, m2) AS k FROM t), q AS (SELECT *, CASE WHEN k AND NOT s THEN c2 ELSE c1 END AS a1, CASE WHEN k AND NOT s THEN c1 ELSE c2 END AS a2, (s AND (c1 = c2 OR NOT k)) OR (k AND NOT s) OR c1 = c2 AS sure FROM p),
     h AS (SELECT *, unnest([1, 2]) AS haplotype, unnest([a1, a2]) AS al FROM q WHERE sure), g AS (SELECT *, count(*) OVER w AS n, max(CASE WHEN consequence IN ('FrameShiftInsert', 'FrameShiftDelete', 'StopGain') THEN 1 ELSE 0 END) OVER w AS z FROM h WHERE al <> '0' WINDOW w AS (PARTITION BY gene, transcript, haplotype))"""
 
@@ -261,7 +261,7 @@ _TRIO = """t AS (SELECT p_brand AS gene, l_suppkey AS transcript, l_partkey AS p
     SELECT gene, transcript, CAST(haplotype AS INTEGER) AS haplotype, pos, consequence, count(*) AS n, CAST(sum(total - base) AS BIGINT) AS running FROM b GROUP BY ALL""")
 def downstream_variants(t: Tables):
     c = F.col
-    d = t.lineitem.where("l_returnflag <> 'N'").join(t.part, c("l_partkey") == c("p_partkey"))
+    d = t.lineitem.join(t.part, c("l_partkey") == c("p_partkey"))
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), c("l_linenumber"))
     gt = lambda a, b: F.concat((a % 2).cast("string"), F.lit("/"), (b % 2).cast("string"))
     trio = d.select(c("p_brand").alias("gene"), c("l_suppkey").alias("transcript"), F.lit("CodingExonic").alias("region"), pick(["FrameShiftInsert", "NonSyn", "FrameShiftDelete", "StopGain", "Syn", "NonSyn", "Syn"]).alias("consequence"), c("l_partkey").alias("pos"), pick([1, 0, -2, 0, 3, 0, -1]).cast("bigint").alias("size"), F.lit("PASS").alias("filter"),
@@ -278,8 +278,10 @@ def sex_from_genotypes(t: Tables):
     return family.sex(d, "l_suppkey", "chrom", "gt", 1.0)
 
 
-_ONTOLOGY = """e AS (SELECT s_suppkey AS term, s_suppkey // 3 AS parent FROM supplier WHERE s_suppkey > 0), c AS (SELECT s_suppkey AS term, s_suppkey AS ancestor FROM supplier UNION SELECT c.term, e.parent FROM c JOIN e ON e.term = c.ancestor),
-    a AS (SELECT DISTINCT o_custkey AS disease, l_suppkey AS term FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 45), ic AS (SELECT c.ancestor AS term, -ln(count(DISTINCT a.disease) / (SELECT count(DISTINCT disease) FROM a)) AS ic FROM a JOIN c ON c.term = a.term GROUP BY 1),
+def _ontology(least: int) -> str:
+    """Terms with their ancestors, diseases of line items over a quantity, and one patient's similarity to them."""
+    return f"""e AS (SELECT s_suppkey AS term, s_suppkey // 3 AS parent FROM supplier WHERE s_suppkey > 0), c AS (SELECT s_suppkey AS term, s_suppkey AS ancestor FROM supplier UNION SELECT c.term, e.parent FROM c JOIN e ON e.term = c.ancestor),
+    a AS (SELECT DISTINCT o_custkey AS disease, l_suppkey AS term FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > {least}), ic AS (SELECT c.ancestor AS term, -ln(count(DISTINCT a.disease) / (SELECT count(DISTINCT disease) FROM a)) AS ic FROM a JOIN c ON c.term = a.term GROUP BY 1),
     p AS (SELECT s_suppkey AS x FROM supplier WHERE s_acctbal > 8000), b AS (SELECT DISTINCT term AS y FROM a),
     s AS (SELECT x, y, max(ic.ic) AS common FROM p CROSS JOIN b JOIN c c1 ON c1.term = x JOIN c c2 ON c2.term = y AND c2.ancestor = c1.ancestor JOIN ic ON ic.term = c1.ancestor GROUP BY 1, 2),
     l AS (SELECT x, y, coalesce(2 * common / nullif(i.ic + k.ic, 0), 0) AS lin FROM s JOIN ic i ON i.term = x JOIN ic k ON k.term = y),
@@ -287,6 +289,9 @@ _ONTOLOGY = """e AS (SELECT s_suppkey AS term, s_suppkey // 3 AS parent FROM sup
     g AS (SELECT disease, sum(m) / any_value(n) AS g FROM (SELECT disease, y, max(lin) AS m FROM d GROUP BY 1, 2) JOIN (SELECT disease, count(*) AS n FROM a GROUP BY 1) USING (disease) GROUP BY 1), r AS (SELECT disease, greatest(f, g) AS raw FROM f JOIN g USING (disease))"""
 
 
+_ONTOLOGY = _ontology(45)
+
+
 @query(f"WITH RECURSIVE {_ONTOLOGY} SELECT disease AS disease_id, round(raw / (SELECT max(raw) FROM r), 6) AS score FROM r")
 def disease_similarity(t: Tables):
     c = F.col
@@ -401,16 +406,16 @@ def filter_retained(t: Tables):
 
 
 @query("""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS variant, p_brand AS gene, (['mismatch', 'del', 'mnp'])[l_linenumber % 3 + 1] AS v, (CASE WHEN l_suppkey % 2 = 0 THEN '3' ELSE '4' END) || (['e', 'i', 'S', 's', 'w'])[l_linenumber % 5 + 1] || (CASE l_partkey % 7 WHEN 0 THEN 'H' WHEN 1 THEN 'h' ELSE '' END) AS tag, CASE WHEN l_orderkey % 50 = 0 THEN 'c' ELSE '' END AS c,
-      p_size * 10 + 50 AS len, l_tax * 10 AS px, l_discount AS maf, l_quantity / 100 AS pdom, l_quantity / 200 AS pdens, l_partkey, l_suppkey, ([NULL, 'dominant', 'unknown', 'recessive'])[CAST(regexp_extract(p_brand, '[0-9]+') AS INTEGER) % 4 + 1] AS inh FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R'),
-    k AS (SELECT *, CASE WHEN c = 'c' THEN 'ns' WHEN v = 'mismatch' THEN CASE WHEN tag LIKE '4%' THEN 'ns' ELSE 'r' END WHEN tag LIKE '4%' THEN 'ni' ELSE 'ri' END AS kind, CASE WHEN tag LIKE '%H%' THEN 3 WHEN c = 'c' THEN CASE WHEN tag LIKE '%h%' THEN 2 ELSE 1 END WHEN inh = 'dominant' THEN 3 WHEN tag LIKE '%h%' OR inh = 'unknown' THEN 2 ELSE 1 END AS z, log10(maf) AS lg FROM r),
+      p_size * 10 + 50 AS len, l_tax * 10 AS px, l_discount AS maf, l_quantity / 100 AS pdom, l_quantity / 200 AS pdens, l_partkey, l_suppkey, ([NULL, 'dominant', 'unknown', 'recessive'])[CAST(regexp_extract(p_brand, '[0-9]+') AS INTEGER) % 4 + 1] AS inh FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity <= 40),
+    k AS (SELECT *, CASE WHEN c = 'c' THEN 'ns' WHEN v = 'mismatch' THEN CASE WHEN tag LIKE '4%' THEN 'ns' ELSE 'r' END WHEN tag LIKE '4%' THEN 'ni' ELSE 'ri' END AS kind, CASE WHEN tag LIKE '%H%' THEN 3 WHEN c = 'c' THEN CASE WHEN tag LIKE '%h%' THEN 2 ELSE 1 END WHEN inh = 'dominant' THEN 3 WHEN tag LIKE '%h%' OR inh = 'unknown' THEN 2 ELSE 1 END AS z, CASE WHEN maf > 0 THEN log10(maf) END AS lg FROM r),
     s AS (SELECT *, (0.5 * (CASE WHEN tag LIKE '%i%' THEN 0.055 WHEN tag LIKE '%e%' THEN 0.35 WHEN contains(tag, 'S') THEN 0.45 WHEN contains(tag, 's') THEN 0.06 ELSE 0.07 END + CASE WHEN c = 'c' THEN 0.5 ELSE 0 END + CASE WHEN maf <= 0 THEN 0.8 ELSE CASE WHEN 0.0125 * lg * lg - 0.093 * lg - 0.298 < 0 THEN 0.1 WHEN 0.0125 * lg * lg - 0.093 * lg - 0.298 > 0.8 THEN 0.8 ELSE 0.0125 * lg * lg - 0.093 * lg - 0.298 END END + pdens) + 0.5 * (px + pdom))
       * CAST((CASE kind WHEN 'r' THEN [0.1, 0.2, 0.75] WHEN 'ns' THEN [0.4, 0.5, 0.85] WHEN 'ni' THEN [0.1, 0.15, 0.25] ELSE [0.2, 0.25, 0.3] END)[z] AS DOUBLE) * CASE WHEN v = 'mnp' THEN 0.5 ELSE 1 END / log10(CAST(len AS DOUBLE)) AS sc FROM k),
-    n AS (SELECT *, row_number() OVER (PARTITION BY gene, c ORDER BY sc DESC, variant) AS q FROM s), b AS (SELECT gene, tag LIKE '%H%' AS hom, max(sc) AS sc FROM n WHERE c = '' OR q = 1 GROUP BY 1, 2) SELECT gene, round(sum(sc), 8) AS score FROM b GROUP BY 1""".replace("log10(maf) AS lg", "CASE WHEN maf > 0 THEN log10(maf) END AS lg"))
+    n AS (SELECT *, row_number() OVER (PARTITION BY gene, c ORDER BY sc DESC, variant) AS q FROM s), b AS (SELECT gene, tag LIKE '%H%' AS hom, max(sc) AS sc FROM n WHERE c = '' OR q = 1 GROUP BY 1, 2) SELECT gene, round(sum(sc), 8) AS score FROM b GROUP BY 1""")
 def damage_model(t: Tables):
     c = F.col
     pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at.cast("int"))
-    tag = F.concat(F.when(c("l_orderkey") % 50 == 0, "c").otherwise(""), F.when(c("l_suppkey") % 2 == 0, "3").otherwise("4"), pick(["e", "i", "S", "s", "w"], c("l_linenumber") % 5 + 1), F.when(c("l_partkey") % 7 == 0, "H").when(c("l_partkey") % 7 == 1, "h").otherwise(""))
-    d = t.lineitem.where("l_returnflag = 'R'").join(t.part, c("l_partkey") == c("p_partkey"))
+    tag = F.concat(F.when(c("l_orderkey") % 50 == 0, "c").otherwise(""), F.when(c("l_suppkey") % 2 == 0, "3").otherwise("4"), pick(["e", "i", "S", "s", "w"], c("l_linenumber") % 5 + 1), F.when(c("l_partkey") % 7 == 0, "H").when(c("l_partkey") % 7 == 1, "h").otherwise(""), F.when(c("l_quantity") > 48, "1").when(c("l_quantity") > 45, "2").when(c("l_quantity") > 40, "b").otherwise(""))
+    d = t.lineitem.join(t.part, c("l_partkey") == c("p_partkey"))
     rows = d.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("variant"), c("p_brand").alias("gene"), pick(["mismatch", "del", "mnp"], c("l_linenumber") % 3 + 1).alias("vartype"), tag.alias("class_tag"), (c("p_size") * 10 + 50).alias("protein_len"), (c("l_tax") * 10).alias("px"), c("l_discount").alias("maf"), (c("l_quantity") / 100).alias("pdom"), (c("l_quantity") / 200).alias("pdens"))
     number = F.regexp_extract("p_brand", "[0-9]+", 0).cast("int") % 4
     inherit = t.part.select(c("p_brand").alias("gene"), F.when(number == 1, "dominant").when(number == 2, "unknown").when(number == 3, "recessive").alias("inherit")).distinct()
@@ -418,7 +423,7 @@ def damage_model(t: Tables):
 
 
 def _rank_sql(k: int) -> str:
-    out = f"""WITH {_BOTH}, nd AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS node, 'Brand#' || CAST(s_nationkey AS VARCHAR) AS gene FROM supplier), l AS (SELECT 's' || CAST(l_suppkey AS VARCHAR) AS src, 's' || CAST(l_partkey % (SELECT count(*) FROM supplier) AS VARCHAR) AS dst, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2),
+    out = f"""WITH {_BOTH}, nd AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS node, 'Brand#' || CAST(s_nationkey AS VARCHAR) AS gene FROM supplier), l AS (SELECT src, dst, sum(q) AS w FROM (SELECT 's' || CAST(l_suppkey AS VARCHAR) AS src, 'p' || CAST(l_partkey AS VARCHAR) AS dst, l_quantity AS q FROM lineitem UNION ALL SELECT 'p' || CAST(l_partkey AS VARCHAR), 's' || CAST(l_suppkey AS VARCHAR), l_quantity FROM lineitem) GROUP BY 1, 2),
     rs AS (SELECT src, sum(w) AS r FROM l GROUP BY 1), cs AS (SELECT dst, sum(w) AS c FROM l GROUP BY 1), e AS (SELECT src, dst, w / (sqrt(r) * sqrt(c)) AS w FROM l JOIN rs USING (src) JOIN cs USING (dst)),
     y0 AS (SELECT node, seed AS v, true AS o FROM nd JOIN c USING (gene) UNION ALL SELECT gene, seed, false FROM c WHERE gene NOT IN (SELECT gene FROM nd)), y AS (SELECT node, o, v / (SELECT sum(v) FROM y0) AS v FROM y0), s0 AS (SELECT node, o, 0.0 AS v FROM y)"""
     for i in range(1, k + 1):
@@ -427,12 +432,17 @@ def _rank_sql(k: int) -> str:
     SELECT coalesce(f.gene, c.gene) AS gene, round(coalesce(v, 0), 8) AS predicted_score, round(coalesce(seed, 0), 8) AS seed_score, coalesce(f.gene, c.gene) IN (SELECT p_brand FROM part WHERE p_size = 50) AS contain_known_pathogenic FROM f FULL JOIN c ON c.gene = f.gene"""
 
 
+def _links(t: Tables):
+    """Edges between suppliers and parts, both ways."""
+    both = t.lineitem.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"), "l_quantity")
+    return both.union(both.select("dst", "src", "l_quantity")).groupBy("src", "dst").agg(F.sum("l_quantity").alias("w"))
+
+
 @query(_rank_sql(3))
 def gene_ranking(t: Tables):
     """The plan's last step: both kinds of evidence combined, spread over a network for three rounds, and ranked."""
     nodes = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("node"), F.concat(F.lit("Brand#"), F.col("s_nationkey")).alias("gene"))
-    n = t.supplier.count()
-    links = t.lineitem.groupBy(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("s"), F.col("l_partkey") % n).alias("dst")).agg(F.sum("l_quantity").alias("w"))
+    links = _links(t)
     known = t.part.where("p_size = 50").select(F.col("p_brand").alias("gene"))
     out = prioritize.rank(*_evidence(t), links, nodes, known, max_rounds=3)
     return out.select("gene", F.round("predicted_score", 8).alias("predicted_score"), F.round("seed_score", 8).alias("seed_score"), "contain_known_pathogenic")
@@ -440,19 +450,47 @@ def gene_ranking(t: Tables):
 
 @query()
 def prioritize_end_to_end(t: Tables):
-    """The whole run on proxies: variants of all transcripts, a patient's terms, diseases, a network; ranked genes. Its steps have queries with SQL."""
+    """The whole run on proxies, all resources given: variants of all transcripts, a patient's terms, diseases, a network; ranked genes. Its steps have queries with SQL, and a test compares a run with plain Python."""
     c = F.col
     tx = _transcripts(t)
-    v = _variants(t).where("j < 2").select("chrom", c("start").alias("pos"), "ref", "alt", F.array(F.lit("PASS")).alias("filter"), F.when(c("k") % 5 == 0, "1/1").otherwise("0/1").alias("gt")).where("ref <> alt")
-    freq = v.where("pos % 3 = 0").select("chrom", "pos", "ref", "alt", (c("pos") % 7 / 100.0).cast("double").alias("exac"), F.lit(None).cast("double").alias("esp"), F.lit(None).cast("double").alias("kg"))
-    clin = v.where("pos % 50 = 1").select("chrom", "pos", "ref", "alt", F.when(c("pos") % 100 == 1, "5").otherwise("2").alias("clnsig"))
-    r = prioritize.Resources(tx, frequencies=freq, clinvar=clin, pathogenic_genes=t.part.where("p_size = 50").select(c("p_brand").alias("gene")))
+    v = _variants(t).select("chrom", c("start").alias("pos"), "ref", "alt", F.array(F.lit("PASS")).alias("filter"), F.when(c("k") % 5 == 0, "1/1").otherwise("0/1").alias("gt")).where("ref <> alt AND ref <> '-' AND alt <> '-'")
+    site = v.select("chrom", "pos", "ref", "alt").distinct()
+    span = site.select("chrom", c("pos").alias("start"), (c("pos") + 40).alias("end"))
+    r = prioritize.Resources(
+        tx,
+        frequencies=site.where("pos % 3 = 0").withColumns({"exac": (c("pos") % 7 / 100.0).cast("double"), "esp": F.lit(None).cast("double"), "kg": F.lit(None).cast("double")}),
+        clinvar=site.where("pos % 50 = 1").withColumn("clnsig", F.when(c("pos") % 100 == 1, "5").otherwise("2")),
+        cadd=site.withColumns({"cadd_raw": (c("pos") % 11).cast("double"), "cadd_aa": F.lit("K/R")}),
+        conserved=span.withColumn("score", (c("start") % 9).cast("double")),
+        low_complexity=span.where("start % 97 = 0"),
+        capture=span.where("start % 2 = 0"),
+        pathogenic_genes=t.part.where("p_size = 50").select(c("p_brand").alias("gene")),
+        splice_motifs=tx.select("chrom", (c("tx_start") + 7).alias("pos"), "accession", F.lit("ESE").alias("motif")),
+        domains=t.part.select(c("p_partkey").alias("idx"), (c("p_partkey") % 22 + 1).cast("string").alias("dchrom"), (100 * c("p_partkey")).cast("int").alias("dstart"), (100 * c("p_partkey") + 30).cast("int").alias("dend"), c("p_brand").alias("gene"), c("p_type").alias("description")),
+        density=t.part.select(c("p_partkey").alias("idx"), (c("p_size") % 7).alias("benign"), (c("p_size") % 5).alias("vus"), (c("p_size") % 11).alias("pathogenic")),
+        fits=t.spark.createDataFrame([("cadd", 0, "K", 2.0, 5.0, -1.0, 13.0, 2.7), ("cadd", 1, "K", 4.0, 2.0, -1.0, 13.0, 7.7)], "model string, class int, aa string, a double, b double, loc double, scale double, mean double"),
+    )
     is_a = t.supplier.where("s_suppkey > 0").select(c("s_suppkey").cast("string").alias("term"), F.floor(c("s_suppkey") / 3).cast("string").alias("parent"))
-    dis = t.orders.join(t.lineitem.where("l_quantity > 45"), c("l_orderkey") == c("o_orderkey")).select(c("o_custkey").cast("string").alias("disease_id"), c("l_suppkey").cast("string").alias("term")).distinct()
-    of = t.orders.join(t.lineitem.where("l_quantity < 5"), c("l_orderkey") == c("o_orderkey")).join(t.part, c("l_partkey") == c("p_partkey"))
+    dis = t.orders.join(t.lineitem, c("l_orderkey") == c("o_orderkey")).select(c("o_custkey").cast("string").alias("disease_id"), c("l_suppkey").cast("string").alias("term")).distinct()
+    of = t.orders.join(t.lineitem, c("l_orderkey") == c("o_orderkey")).join(t.part, c("l_partkey") == c("p_partkey"))
     of = of.select(c("o_custkey").cast("string").alias("disease_id"), F.lit("").alias("description"), c("p_brand").alias("gene"), F.lit("recessive").alias("inherit")).distinct()
-    p = prioritize.Phenotypes(t.supplier.where("s_acctbal > 8000").select(c("s_suppkey").cast("string").alias("term")), dis, is_a, of)
+    pairs = t.lineitem.join(t.part, c("l_partkey") == c("p_partkey")).select("l_orderkey", c("p_brand").alias("b")).distinct()
+    funsim = pairs.select("l_orderkey", c("b").alias("gene1")).join(pairs.select("l_orderkey", c("b").alias("gene2")), "l_orderkey").where("gene1 < gene2").groupBy("gene1", "gene2").agg(F.count(F.lit(1)).alias("denominator")).withColumn("score", F.lit(0.96))
+    paths = t.part.select(c("p_brand").alias("src"), c("p_type").alias("dst"), F.lit(1.0).alias("w")).distinct()
+    p = prioritize.Phenotypes(t.supplier.where("s_acctbal > 8000").select(c("s_suppkey").cast("string").alias("term")), dis, is_a, of, funsim, paths)
     nodes = t.supplier.select(F.concat(F.lit("s"), c("s_suppkey")).alias("node"), F.concat(F.lit("Brand#"), c("s_nationkey")).alias("gene"))
-    n = t.supplier.count()
-    links = t.lineitem.groupBy(F.concat(F.lit("s"), c("l_suppkey")).alias("src"), F.concat(F.lit("s"), c("l_partkey") % n).alias("dst")).agg(F.sum("l_quantity").alias("w"))
-    return prioritize.prioritize(v, r, FilterConfig(), p, links, nodes, "gt", max_rounds=3)["genes"].select("gene", "predicted_score", "seed_score", "gt_dmg_score", "pheno_score", "contain_known_pathogenic")
+    return prioritize.prioritize(v, r, FilterConfig(), p, _links(t), nodes, "gt", max_rounds=3)["genes"].select("gene", "predicted_score", "seed_score", "gt_dmg_score", "pheno_score", "contain_known_pathogenic")
+
+
+@query(f"""WITH RECURSIVE {_ontology(49)},
+    il AS (SELECT term, ic FROM ic), ta AS (SELECT DISTINCT term FROM a), an AS (SELECT c.term, c.ancestor, il.ic FROM c JOIN ta USING (term) JOIN il ON il.term = c.ancestor WHERE il.ic > 0),
+    tp AS (SELECT a1.term AS x, a2.term AS y, max(a1.ic) AS common FROM an a1 JOIN an a2 ON a1.ancestor = a2.ancestor GROUP BY 1, 2), lin AS (SELECT x, y, 2 * common / (i.ic + k.ic) AS lin FROM tp JOIN il i ON i.term = x JOIN il k ON k.term = y),
+    dp AS (SELECT a1.disease AS d, a2.disease AS e, a1.term AS x, a2.term AS y, lin FROM a a1 JOIN lin ON lin.x = a1.term JOIN a a2 ON a2.term = lin.y WHERE a1.disease <> a2.disease),
+    fw AS (SELECT d, e, sum(m) AS f FROM (SELECT d, e, x, max(lin) AS m FROM dp GROUP BY 1, 2, 3) GROUP BY 1, 2), sz AS (SELECT disease, count(*) AS n FROM a GROUP BY 1),
+    sc AS (SELECT p.d, p.e, greatest(p.f / s1.n, q.f / s2.n) AS score FROM fw p JOIN fw q ON q.d = p.e AND q.e = p.d JOIN sz s1 ON s1.disease = p.d JOIN sz s2 ON s2.disease = p.e),
+    rk AS (SELECT d, e, score, row_number() OVER (PARTITION BY d ORDER BY score DESC, e) AS place FROM sc WHERE score >= 0.6) SELECT d AS disease_id, e AS other, round(score, 6) AS score, CAST(place AS INTEGER) AS place FROM rk WHERE place <= 5""")
+def similar_diseases(t: Tables):
+    """For each disease its most similar other ones."""
+    is_a = t.supplier.where("s_suppkey > 0").select(F.col("s_suppkey").alias("term"), F.floor(F.col("s_suppkey") / 3).alias("parent"))
+    a = t.orders.join(t.lineitem.where("l_quantity > 49"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("disease_id"), F.col("l_suppkey").alias("term")).distinct()
+    return phenotype.similar_diseases(a, is_a, 5, 0.6).select("disease_id", "other", F.round("score", 6).alias("score"), "place")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.operators import aggregates, annotations, genes, sites
+from varloom.operators import aggregates, annotations, genes, scan, sites
 from varloom.queries.base import Tables, query
 from varloom.queries.models import _TX, _transcripts
+from varloom.sources import fasta, sinks, tables, vcf
 from varloom.sources import lines as splits
-from varloom.sources import sinks, tables, vcf
-from varloom.storage import fresh_path
+from varloom.storage import fresh_path, materialize
 
 
 def _written(t: Tables, lines: DataFrame, tag: str, **options: str) -> str:
@@ -59,11 +59,15 @@ def vcf_round_trip(t: Tables):
     return d.select("chrom", "pos", F.array_join("id", ",").alias("ids"), F.array_join("alt", ",").alias("alts"), "qual", F.array_join("filter", ";").alias("filters"), F.col("info_SZ").alias("size"), F.col("info_BR").alias("brand"), F.aggregate("info_LS", F.lit(0.0), lambda a, b: a + b).alias("listed"), F.col("info_FL").alias("flag"), F.col("f_GT").alias("gt"), F.col("f_DP").alias("depth"))
 
 
-@query("SELECT unnest(['SZ', 'BR', 'LS', 'FL']) AS id, unnest(['Integer', 'String', 'Float', 'Flag']) AS type, unnest(['1', '1', '.', '0']) AS count, unnest(['Size, in all', 'Brand', 'List', 'Flag']) AS description")
+@query("""SELECT 'B' || replace(p_brand, '#', '') AS id, 'Integer' AS type, '1' AS count, 'Parts, ' || CAST(count(*) AS VARCHAR) || ' of them' AS description FROM part GROUP BY p_brand
+    UNION ALL SELECT unnest(['SZ', 'BR', 'LS', 'FL']), unnest(['Integer', 'String', 'Float', 'Flag']), unnest(['1', '1', '.', '0']), unnest(['Size, in all', 'Brand', 'List', 'Flag'])""")
 def vcf_header(t: Tables):
-    """Header lines with quoted commas, written, read from the file's head and parsed."""
+    """Header lines with quoted commas and definitions from a table, written, read from the file's head and parsed."""
     path = fresh_path(t.spark, "vcf")
-    vcf.write_vcf(_records(t), vcf.Header.parse(_HEADER), path)
+    header = vcf.Header.parse(_HEADER)
+    brand = F.concat(F.lit("B"), F.replace("p_brand", F.lit("#"), F.lit("")))
+    header.define("INFO", t.part.groupBy(brand.alias("id")).agg(F.concat(F.lit("Parts, "), F.count(F.lit(1)), F.lit(" of them")).alias("description")).withColumns({"type": F.lit("Integer"), "count": F.lit("1")}))
+    vcf.write_vcf(_records(t), header, path)
     return vcf.info_table(t.spark, vcf.read_header(t.spark, path))
 
 
@@ -144,9 +148,10 @@ def feature_tables(t: Tables):
 
 @query("SELECT s_name AS gene, 'excl' AS mode FROM supplier WHERE s_nationkey > 12 UNION ALL SELECT s_name, 'incl' FROM supplier WHERE s_nationkey <= 12")
 def gene_list_sections(t: Tables):
-    listed = lambda d: d.agg(F.array_join(F.array_sort(F.collect_list("s_name")), "\n").alias("v"))
-    text = listed(t.supplier.where("s_nationkey <= 12")).select(F.col("v").alias("a")).join(F.broadcast(listed(t.supplier.where("s_nationkey > 12")).select(F.col("v").alias("b"))))
-    path = _written(t, text.select(F.concat(F.lit("#incl\n"), "a", F.lit("\n\n#excl\n"), "b").alias("value")).coalesce(1), "genes")
+    """Files that begin with a section's name, each of one section; a section's genes lie over many lines."""
+    path = fresh_path(t.spark, "genes")
+    for mode, rows in (("incl", t.supplier.where("s_nationkey <= 12")), ("excl", t.supplier.where("s_nationkey > 12"))):
+        rows.select(F.col("s_name").alias(f"#{mode}")).write.option("header", True).option("quote", "").csv(f"{path}/{mode}")
     return tables.gene_list(t.spark, path).select("gene", "mode")
 
 
@@ -155,14 +160,14 @@ def listed_items(t: Tables):
     return tables.listing(t.spark, _written(t, t.supplier.select(F.concat(F.lit("# note\n\n  "), "s_name").alias("value")), "list"))
 
 
-@query("""SELECT CAST(p_partkey AS INTEGER) AS pos, CAST(p_size AS INTEGER) AS pos_aa, least(0.5, p_size / 100.0) AS sift_score, greatest(0.2, p_size / 60.0) AS pp2_score, CASE WHEN p_size / 100.0 < 0.5 THEN 'T2' ELSE 'T1' END AS transcript FROM part""".replace("least(0.5, p_size / 100.0)", "CAST(least(0.5, p_size / 100.0) AS DOUBLE)").replace("greatest(0.2, p_size / 60.0)", "CAST(greatest(0.2, p_size / 60.0) AS DOUBLE)"))
+@query("""SELECT CAST(p_partkey AS INTEGER) AS pos, CAST(p_size AS INTEGER) AS pos_aa, CAST(least(0.5, p_size / 100.0) AS DOUBLE) AS sift_score, CAST(greatest(0.2, p_size / 60.0) AS DOUBLE) AS pp2_score, CASE WHEN p_size / 100.0 < 0.5 THEN 'T2' ELSE 'T1' END AS transcript FROM part""")
 def effect_table_scan(t: Tables):
     c = F.col
     d = t.part.select(F.lit("1").alias("chrom"), c("p_partkey").cast("int").alias("pos"), F.lit("A").alias("ref"), F.lit("G").alias("alt"), c("p_brand").alias("gene"), F.lit("T1;T2").alias("transcript"), F.concat(c("p_size"), F.lit(";"), c("p_size")).alias("aapos"), F.concat(F.lit("0.5;"), c("p_size") / 100.0).alias("sift_score"), F.concat(c("p_size") / 60.0, F.lit(";0.2")).alias("pp2_score"))
     return tables.nsfp(d).select("pos", "pos_aa", "sift_score", "pp2_score", "transcript")
 
 
-@query("SELECT p_partkey, unnest(['rs' || CAST(p_partkey AS VARCHAR), 'rs' || CAST(p_size AS VARCHAR)]) AS snp, unnest([p_brand, 'G2']) AS gene, 'GWAS' AS refdb FROM part WHERE p_size > 20".replace("SELECT p_partkey, unnest(['rs' || CAST(p_partkey AS VARCHAR), 'rs' || CAST(p_size AS VARCHAR)]) AS snp, unnest([p_brand, 'G2']) AS gene,", "SELECT p_partkey, snp, unnest([p_brand, 'G2']) AS gene,").replace("FROM part WHERE p_size > 20", "FROM (SELECT p_partkey, p_brand, unnest(['rs' || CAST(p_partkey AS VARCHAR), 'rs' || CAST(p_size AS VARCHAR)]) AS snp FROM part WHERE p_size > 20)"))
+@query("""SELECT p_partkey, snp, unnest([p_brand, 'G2']) AS gene, 'GWAS' AS refdb FROM (SELECT p_partkey, p_brand, unnest(['rs' || CAST(p_partkey AS VARCHAR), 'rs' || CAST(p_size AS VARCHAR)]) AS snp FROM part WHERE p_size > 20)""")
 def association_catalogue(t: Tables):
     c = F.col
     snps = F.when(c("p_size") > 20, F.concat(F.lit("rs"), c("p_partkey"), F.lit("; rs"), c("p_size"))).otherwise("none")
@@ -192,14 +197,18 @@ def phenotype_annotations(t: Tables):
     return tables.hpo(t.spark, _written(t, t.orders.select(line.alias("value")), "hpo"))
 
 
+def _with_header(t: Tables, rows: DataFrame, tag: str, sep: str) -> str:
+    """Write rows so that each file begins with a line of the columns' names."""
+    path = fresh_path(t.spark, tag)
+    rows.write.option("sep", sep).option("header", True).csv(path)
+    return path
+
+
 @query("SELECT 'P' || CAST(l_suppkey AS VARCHAR) AS src, 'P' || CAST(l_partkey AS VARCHAR) AS dst, l_quantity * 20 AS w FROM lineitem WHERE l_quantity * 20 >= 350")
 def protein_network(t: Tables):
-    """Each file begins with a header line, so the lines are written as one."""
     c = F.col
-    lines = t.lineitem.select(F.concat(F.lit("9606.P"), c("l_suppkey"), F.lit(" 9606.P"), c("l_partkey"), F.lit(" "), c("l_quantity") * 20).alias("value"), F.lit(1).alias("o"))
-    head = t.spark.createDataFrame([("protein1 protein2 combined_score", 0)], "value string, o int")
-    both = head.unionByName(lines).coalesce(1).sortWithinPartitions("o").select("value")
-    return tables.string_links(t.spark, _written(t, both, "string"))
+    links = t.lineitem.select(F.concat(F.lit("9606.P"), c("l_suppkey")).alias("protein1"), F.concat(F.lit("9606.P"), c("l_partkey")).alias("protein2"), (c("l_quantity") * 20).alias("combined_score"))
+    return tables.string_links(t.spark, _with_header(t, links, "string", " "))
 
 
 @query("SELECT p_brand AS gene, arg_min(p_type, p_partkey) AS first_type, arg_max(p_type, p_partkey) AS last_type FROM part GROUP BY 1")
@@ -209,13 +218,12 @@ def first_and_last_names(t: Tables):
     return tables.first_of(d, "gene", "p_type", "p_partkey").withColumnRenamed("p_type", "first_type").join(last, "gene")
 
 
-@query("SELECT DISTINCT o_orderpriority AS gene, 'h' || CAST(o_custkey AS VARCHAR) AS pathway, 1.0 AS w FROM orders".replace("1.0 AS w", "CAST(1.0 AS DOUBLE) AS w"))
+@query("""SELECT DISTINCT o_orderpriority AS gene, 'h' || CAST(o_custkey AS VARCHAR) AS pathway, CAST(1.0 AS DOUBLE) AS w FROM orders""")
 def pathway_table(t: Tables):
     c = F.col
-    rows = t.orders.groupBy("o_custkey").agg(F.array_join(F.collect_set("o_orderpriority"), ",").alias("g")).select(_tabbed(F.concat(F.lit("h"), c("o_custkey")), F.lit("path"), c("g")).alias("value"))
-    head = t.spark.createDataFrame([("hsa_id\tpathway_desc\tgenes",)], "value string")
-    d = head.withColumn("o", F.lit(0)).unionByName(rows.withColumn("o", F.lit(1))).coalesce(1).sortWithinPartitions("o").select("value")
-    return tables.pathways(t.spark, _written(t, d, "pathways")).select(c("src").alias("gene"), c("dst").alias("pathway"), "w")
+    rows = t.orders.groupBy("o_custkey").agg(F.array_join(F.collect_set("o_orderpriority"), ",").alias("genes"))
+    rows = rows.select(F.concat(F.lit("h"), c("o_custkey")).alias("hsa_id"), F.lit("path").alias("pathway_desc"), "genes")
+    return tables.pathways(t.spark, _with_header(t, rows, "pathways", "\t")).select(c("src").alias("gene"), c("dst").alias("pathway"), "w")
 
 
 @query("""SELECT 'chr7' AS chrom, CAST(p_partkey AS INTEGER) AS "start", CAST(p_partkey + p_size AS INTEGER) AS "end", CAST(p_size AS DOUBLE) AS score, '1e-' || CAST(p_size AS VARCHAR) AS pvalue FROM part""")
@@ -288,10 +296,9 @@ def collapsed_sites(t: Tables):
 
 @query("SELECT s_name, s_nationkey, CAST(row_number() OVER (ORDER BY CAST(s_suppkey AS BIGINT), s_name) AS INTEGER) AS place FROM supplier")
 def version_sorted(t: Tables):
-    """Version order of names such as v10: numbers inside of text count as numbers."""
-    d = sinks.sort_columns(t.supplier.select("s_name", "s_nationkey", F.concat(F.lit("v"), F.col("s_suppkey")).alias("v")), [("v", "V")])
-    d = d.coalesce(1).withColumn("place", (F.monotonically_increasing_id() + 1).cast("int"))
-    return d.select("s_name", "s_nationkey", "place")
+    """Version order of names such as v10: numbers inside of text count as numbers; places go over partitions."""
+    d = t.supplier.select("s_name", "s_nationkey", sinks.version_key(F.concat(F.lit("v"), F.col("s_suppkey"))).alias("v"))
+    return scan.numbered(d, ["v", "s_name"], "place").select("s_name", "s_nationkey", F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) // 1000 AS BIGINT) AS book FROM orders")
@@ -299,21 +306,20 @@ def report_books(t: Tables):
     return sinks.books(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 1000).select("o_orderkey", "book")
 
 
-@query("SELECT n_name AS dbname, 'v2' AS version, n_nationkey * 2 AS entry_count FROM nation WHERE n_nationkey < 3".replace("n_nationkey * 2 AS", "CAST(n_nationkey * 2 AS BIGINT) AS"))
+@query("SELECT n_name AS dbname, 'v2' AS version, CAST(n_nationkey * 2 AS BIGINT) AS entry_count FROM nation")
 def release_versions(t: Tables):
     """Each source set twice: the later version counts."""
     path = fresh_path(t.spark, "releases")
     for version, times in (("v1", 1), ("v2", 2)):
-        for r in t.nation.where("n_nationkey < 3").collect():
-            sinks.set_version(t.spark, path, r["n_name"], "2026_01", version, r["n_nationkey"] * times)
+        sinks.set_versions(t.nation.select(F.col("n_name").alias("dbname"), F.lit("2026_01").alias("file_date"), F.lit(version).alias("version"), (F.col("n_nationkey") * times).alias("entry_count")), path)
     return sinks.release_info(t.spark, path).select("dbname", "version", "entry_count")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000")
+@query("SELECT o_orderkey, o_totalprice FROM orders")
 def ranked_table(t: Tables):
     """A ranked TSV, written in order and read back."""
     path = fresh_path(t.spark, "ranked")
-    sinks.ranked_tsv(t.orders.where("o_totalprice > 400000").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], path)
+    sinks.ranked_tsv(t.orders.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], path)
     return tables.tsv(t.spark, path, "o_orderkey long, o_totalprice double", header=True)
 
 
@@ -349,7 +355,55 @@ def merged_catalogues(t: Tables):
     return aggregates.append(gwas, aggregates.insert_absent(rows("O", "GAD").distinct(), gwas, ["snp"]))
 
 
-@query("SELECT 'Supplier' AS fam_id, s_name AS ind_id, CAST(CASE WHEN s_nationkey % 2 = 0 THEN 1 ELSE 2 END AS INTEGER) AS sex FROM supplier WHERE s_suppkey = 1".replace("'Supplier' AS fam_id, ", "s_name AS fam_id, "))
+@query("SELECT s_name AS fam_id, s_name AS ind_id, CAST(CASE WHEN s_nationkey % 2 = 0 THEN 1 ELSE 2 END AS INTEGER) AS sex FROM supplier")
 def proband_pedigree(t: Tables):
-    r = t.supplier.where("s_suppkey = 1").first()
-    return annotations.proband_ped(t.spark, r["s_name"], r["s_nationkey"] % 2 == 0).select("fam_id", "ind_id", "sex")
+    """A pedigree of one member for each sample."""
+    d = t.supplier.select(F.col("s_name").alias("sample"), (F.col("s_nationkey") % 2 == 0).alias("male"))
+    return annotations.proband_peds(d).select("fam_id", "ind_id", "sex")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem")
+def blocked_lines_scan(t: Tables):
+    """Lines written as blocked gzip and read in many ranges of its blocks; the files' names don't say what they are."""
+    c = F.col
+    path = fresh_path(t.spark, "blocked")
+    fields = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    splits.write_blocked(t.lineitem.select(_tabbed(*map(c, fields)).alias("value")), path, block_text=4096, suffix=".txt")
+    f = F.split("value", "\t")
+    kinds = [t.lineitem.schema[n].dataType for n in fields]
+    return splits.lines(t.spark, path, 64 << 10).select(*[F.get(f, F.lit(i)).cast(k).alias(n) for i, (n, k) in enumerate(zip(fields, kinds, strict=True))])
+
+
+@query("SELECT p_brand || '_' || CAST(p_partkey AS VARCHAR) AS name, CAST(p_size % 5 + 2 AS INTEGER) AS n_lines, f AS format FROM part, (SELECT unnest(['swissprot', 'obo', 'fastq', 'sdf']) AS f) WHERE f <> 'fastq' UNION ALL SELECT p_brand || '_' || CAST(p_partkey AS VARCHAR), 4, 'fastq' FROM part")
+def record_format_scan(t: Tables):
+    """Records of four kinds of formats (closed by an end line, by the next start, of four lines, with no start mark), in blocked files read in ranges."""
+    c = F.col
+    name, more = F.concat("p_brand", F.lit("_"), "p_partkey"), F.array_join(F.transform(F.sequence(F.lit(1), c("p_size") % 5), lambda i: F.concat(F.lit("X   "), i.cast("string"), F.lit("\n"))), "")
+    more = F.when(c("p_size") % 5 == 0, "").otherwise(more)
+    made = {
+        "swissprot": F.concat(F.lit("ID   "), name, F.lit("\n"), more, F.lit("//")),
+        "obo": F.concat(F.lit("[Term]\nid: "), F.rtrim(F.concat(name, F.lit("\n"), more), F.lit("\n"))),
+        "fastq": F.concat(F.lit("@"), name, F.lit("\nACGT\n+\n@@@@")),
+        "sdf": F.concat(name, F.lit("\n"), more, F.lit("$$$$")),
+    }
+    pick = {"swissprot": (0, "ID +(.*)"), "obo": (1, "id: (.*)"), "fastq": (0, "@(.*)"), "sdf": (0, "(.*)")}
+    out = None
+    for kind, text in made.items():
+        path = fresh_path(t.spark, kind)
+        splits.write_blocked(t.part.select(text.alias("value")), path, block_text=2048)
+        line, pattern = pick[kind]
+        d = tables.record_scan(t.spark, path, kind, 16 << 10)
+        d = d.select(F.regexp_extract(F.get("lines", F.lit(line)), pattern, 1).alias("name"), F.size("lines").alias("n_lines"), F.lit(kind).alias("format"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query(f"SELECT p_partkey, substr({_SEQ}, CAST(p_size + 1 AS BIGINT), 30) AS bases FROM part")
+def fasta_index_reads(t: Tables):
+    """Substrings by the byte offsets of an index, neighbouring ranges read at once."""
+    c = F.col
+    seq = F.expr(_SEQ)
+    text = F.concat(F.lit(">p"), c("p_partkey"), F.lit(" part\n"), F.array_join(F.regexp_extract_all(F.lower(seq), F.lit(".{1,20}"), F.lit(0)), "\n"))
+    indexed = materialize(fasta.index(t.spark, _written(t, t.part.select(text.alias("value")), "fasta"), 32 << 10), "fasta-index")
+    wanted = t.part.select("p_partkey", F.concat(F.lit("p"), c("p_partkey")).alias("chrom"), c("p_size").alias("start"), F.lit(30).alias("n"))
+    return fasta.substrings(wanted, indexed, "chrom", "start", "n", "p_partkey").select("p_partkey", "bases")

@@ -27,12 +27,15 @@ def build(spark: SparkSession, make, inputs: list[str], output: str, sort: list[
     return spark.read.parquet(output)
 
 
+def set_versions(rows: DataFrame, path: str) -> None:
+    """Rows (dbname, file_date, version, entry_count) of release_info, the sources' former rows replaced: nothing is rewritten, and release_info() takes the last of each source."""
+    kept = rows.select("dbname", "file_date", "version", F.col("entry_count").cast("long").alias("entry_count"), F.lit(int(time.time() * 1e6)).alias("written"))
+    kept.write.mode("append").parquet(path)
+
+
 def set_version(spark: SparkSession, path: str, name: str, date: str, version: str, count: int) -> None:
-    """One row per source in release_info, the source's former row replaced."""
-    row = spark.createDataFrame([(name, date, version, count)], "dbname string, file_date string, version string, entry_count long")
-    # Each version is a file of its own and none is rewritten: release_info() takes the last of each source.
-    at = int(time.time() * 1e6)
-    row.withColumn("written", F.lit(at)).coalesce(1).write.mode("append").parquet(path)
+    """One source's version."""
+    set_versions(spark.createDataFrame([(name, date, version, count)], "dbname string, file_date string, version string, entry_count long").coalesce(1), path)
 
 
 def release_info(spark: SparkSession, path: str) -> DataFrame:
@@ -51,23 +54,22 @@ def ranked_tsv(d: DataFrame, order: list[Column], path: str) -> None:
     d.orderBy(*order).write.option("sep", "\t").option("header", True).mode("overwrite").csv(path)
 
 
+def version_key(c: Column) -> Column:
+    """What sorts text in version order: runs of digits count as numbers."""
+    return F.transform(F.split(c, r"(?<=\d)(?=\D)|(?<=\D)(?=\d)"), lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 12, "0")).otherwise(p))
+
+
 def sort_columns(d: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
     """Sort by columns with modes V (version), n or g (number), r (reversed text)."""
-    version = lambda c: F.transform(F.split(c, r"(?<=\d)(?=\D)|(?<=\D)(?=\d)"), lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 12, "0")).otherwise(p))
-    made = {"V": lambda c: version(F.col(c)), "n": lambda c: F.col(c).try_cast("double"), "g": lambda c: F.col(c).try_cast("double"), "r": lambda c: F.col(c).desc()}
+    made = {"V": lambda c: version_key(F.col(c)), "n": lambda c: F.col(c).try_cast("double"), "g": lambda c: F.col(c).try_cast("double"), "r": lambda c: F.col(c).desc()}
     return d.orderBy(*[made.get(mode, F.col)(c) for c, mode in keys])
 
 
 def books(d: DataFrame, order: list[str], rows: int = 60_001) -> DataFrame:
-    """Report rows with the number of their book: row numbers come from a range sort and partition offsets, not from one task."""
-    d = d.orderBy(*order).withColumn("_p", F.spark_partition_id())
-    from varloom.storage import materialize
+    """Report rows with the number of their book, of `rows` rows each, in order."""
+    from varloom.operators.scan import numbered
 
-    d = materialize(d, "report")
-    sizes = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    d = d.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order))).join(F.broadcast(offsets), "_p")
-    return d.withColumn("book", F.floor((F.col("_i") + F.col("_o") - 1) / rows)).drop("_p", "_i", "_o")
+    return numbered(d, order, "_i").withColumn("book", F.floor((F.col("_i") - 1) / rows)).drop("_i")
 
 
 def table_to_vcf_rows(d: DataFrame) -> DataFrame:
@@ -134,6 +136,12 @@ def downstream_report(d: DataFrame) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """(table, place, column, type) of Parquet tables by name, from their schemas alone."""
-    rows = [(name, i, f.name, f.dataType.simpleString()) for name, path in paths.items() for i, f in enumerate(spark.read.parquet(path).schema.fields)]
-    return spark.createDataFrame(rows, "table string, place int, column string, type string")
+    """(table, place, column, type, rows, nulls) of Parquet tables by name; one pass over each counts its rows and nulls."""
+    out = None
+    for name, path in paths.items():
+        d = spark.read.parquet(path)
+        counted = d.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(f.name).isNull()).alias(f"_n{i}") for i, f in enumerate(d.schema.fields)])
+        told = [F.struct(F.lit(i).alias("place"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col("_rows").alias("rows"), F.col(f"_n{i}").alias("nulls")) for i, f in enumerate(d.schema.fields)]
+        one = counted.select(F.lit(name).alias("table"), F.explode(F.array(*told)).alias("_t")).select("table", "_t.*")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -77,6 +77,11 @@ class Header:
     def add(self, kind: str, ident: str, number: str, type_: str, description: str) -> None:
         self.meta.setdefault(kind, {})[ident] = {"ID": ident, "Number": number, "Type": type_, "Description": description}
 
+    def define(self, kind: str, definitions: DataFrame) -> None:
+        """Add a source's definitions (id, count, type, description): a table as small as the header that they go into."""
+        for r in definitions.select("id", "count", "type", "description").orderBy("id").collect():
+            self.add(kind, r["id"], r["count"], r["type"], r["description"])
+
     def drop(self, kind: str, idents: list[str]) -> None:
         for i in idents:
             self.meta.get(kind, {}).pop(i, None)
