@@ -54,7 +54,7 @@ def site_store_lookup(t: Tables):
     ref = sites.explode_alleles(_reference(t), "alts").select(F.lit("1").alias("chrom"), "pos", "ref", "alt", "value")
     made = store.SiteStore.write(ref, fresh_path(t.spark, "sites"), buckets=8, region=1024)
     v = _variants(t).withColumns({"chrom": F.lit("1")})
-    return made.lookup(v, ["value"], region=1024).select("l_orderkey", "l_linenumber", "pos", "ref", "alt", "value")
+    return made.lookup(v, ["value"]).select("l_orderkey", "l_linenumber", "pos", "ref", "alt", "value")
 
 
 @query(f"""WITH {_REF}, {_VAR}, known AS (SELECT DISTINCT brand FROM ref_sites), v AS (SELECT v.*, p_brand AS brand FROM variants v JOIN part ON p_partkey = pos)
