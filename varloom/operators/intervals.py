@@ -69,11 +69,11 @@ def _matches(points: DataFrame, intervals: DataFrame, chrom: str, pos: str, ichr
     if not used:
         return points.crossJoin(intervals.limit(0)).limit(0)
     places = F.array(*[F.struct(F.lit(k).alias("level"), _bin(F.col(pos), WIDTHS[k]).alias("bin")) for k in used])
-    left = points.withColumn("_at", F.explode(places))
+    left = points.withColumn("_rung", F.explode(places))
     right = binned(intervals, start, end, pad)
     held = inside(F.col(pos), F.col(start) - pad, F.col(end) + pad, bounds)
-    meet = (F.col(chrom) == F.col(ichrom)) & (F.col("_at.level") == F.col("_level")) & (F.col("_at.bin") == F.col("_bin")) & held
-    return left.join(right, meet).drop("_at", "_level", "_bin")
+    meet = (F.col(chrom) == F.col(ichrom)) & (F.col("_rung.level") == F.col("_level")) & (F.col("_rung.bin") == F.col("_bin")) & held
+    return left.join(right, meet).drop("_rung", "_level", "_bin")
 
 
 def point_join(points: DataFrame, intervals: DataFrame, chrom: str, pos: str, ichrom: str, start: str, end: str, bounds: str = "[]", how: str = "inner", pad: int = 0) -> DataFrame:

@@ -148,10 +148,9 @@ def feature_tables(t: Tables):
 
 @query("SELECT s_name AS gene, 'excl' AS mode FROM supplier WHERE s_nationkey > 12 UNION ALL SELECT s_name, 'incl' FROM supplier WHERE s_nationkey <= 12")
 def gene_list_sections(t: Tables):
-    """Files that begin with a section's name, each of one section; a section's genes lie over many lines."""
-    path = fresh_path(t.spark, "genes")
-    for mode, rows in (("incl", t.supplier.where("s_nationkey <= 12")), ("excl", t.supplier.where("s_nationkey > 12"))):
-        rows.select(F.col("s_name").alias(f"#{mode}")).write.option("header", True).option("quote", "").csv(f"{path}/{mode}")
+    """Lists of many short sections, in many files; the genes of one mode are spread over all of them."""
+    mode = F.when(F.col("s_nationkey") > 12, "excl").otherwise("incl")
+    path = _written(t, t.supplier.select(F.concat(F.lit("#"), mode, F.lit("\n\n"), "s_name").alias("value")), "genes")
     return tables.gene_list(t.spark, path).select("gene", "mode")
 
 
