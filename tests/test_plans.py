@@ -1,3 +1,5 @@
+import math
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -174,6 +176,78 @@ def test_compound_heterozygotes_by_phase(spark):
     assert {k for k, x in alone.items() if x == "h"} == {"v1", "v2", "v3", "v4", "v5", "v6"} and alone["v7"] == alone["v11"] == ""
 
 
+def test_scores_of_a_whole_run_equal_plain_python(spark):
+    """From the rows of the damage model on: damage, both kinds of evidence, seeds and three rounds of heat, worked out without Spark."""
+    import numpy as np
+
+    t = transcripts(spark)
+    v = spark.createDataFrame([("1", 128, "G", "A", ["PASS"], "0/1"), ("1", 109, "C", "T", ["PASS"], "0/1"), ("2", 132, "T", "A", ["PASS"], "1/1"), ("2", 128, "G", "C", ["PASS"], "0/1")], "chrom string, pos int, ref string, alt string, filter array<string>, gt string")
+    freq = spark.createDataFrame([("1", 109, "C", "T", 0.002, None, None)], "chrom string, pos int, ref string, alt string, exac double, esp double, kg double")
+    clin = spark.createDataFrame([("2", 132, "T", "A", "5")], "chrom string, pos int, ref string, alt string, clnsig string")
+    res = prioritize.Resources(t, frequencies=freq, clinvar=clin)
+    is_a = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("e", "b")], "term string, parent string")
+    ph = prioritize.Phenotypes(
+        spark.createDataFrame([("d",)], "term string"),
+        spark.createDataFrame([("D1", "d"), ("D2", "e"), ("D3", "c")], "disease_id string, term string"),
+        is_a,
+        spark.createDataFrame([("D1", "one", "P", "dominant"), ("D2", "two", "M", "recessive"), ("D3", "three", "M", "unknown")], "disease_id string, description string, gene string, inherit string"),
+    )
+    edges = [("p1", "p2", 900.0), ("p2", "p1", 900.0), ("p2", "p3", 500.0), ("p3", "p2", 500.0), ("p1", "p3", 400.0), ("p3", "p1", 400.0)]
+    of = {"p1": "P", "p2": "Q", "p3": "R"}
+    out = prioritize.prioritize(v, res, FilterConfig(), ph, spark.createDataFrame(edges, "src string, dst string, w double"), spark.createDataFrame(list(of.items()), "node string, gene string"), "gt", max_rounds=3)
+    rows = [r.asDict() for r in prioritize.mutation_rows(out["retained"], res).collect()]
+    mutated = {r["gene"] for r in rows}
+    # Phenotypes: information of the terms, Lin's measure against the one term of the patient, scores over the largest.
+    up = {"a": "a", "b": "ab", "c": "ac", "d": "abd", "e": "abe"}
+    own = {"D1": "d", "D2": "e", "D3": "c"}
+    ic = {x: -math.log(sum(x in up[q] for q in own.values()) / 3) for x in "abcde" if any(x in up[q] for q in own.values())}
+    lin = lambda x, y: 2 * max(ic[z] for z in set(up[x]) & set(up[y])) / (ic[x] + ic[y])
+    raw = {d: lin("d", q) for d, q in own.items()}
+    score = {d: s / max(raw.values()) for d, s in raw.items()}
+    genes = {"D1": "P", "D2": "M", "D3": "M"}
+    best = {}
+    for d, g in genes.items():
+        if score[d] > 0:
+            best[g] = max(best.get(g, (0, "")), (score[d] / math.log((1 if g in mutated else 0) + 3), d))
+    inherit = {"D1": "dominant", "D2": "recessive", "D3": "unknown"}
+    weight = {"r": (0.1, 0.2, 0.75), "n": (0.4, 0.5, 0.85)}
+    damaged = {}
+    for r in rows:
+        tag, gene = r["class_tag"], r["gene"]
+        how = inherit[best[gene][1]] if gene in best else None
+        z = (2 if "H" in tag else 1 if "h" in tag else 0) if "c" in tag or how is None else 2 if "H" in tag or how == "dominant" else 1 if "h" in tag or how == "unknown" else 0
+        w = weight["n" if "c" in tag or "4" in tag else "r"][z]
+        x = math.log10(r["maf"]) if r["maf"] > 0 else None
+        y = 0.8 if x is None else 0.0125 * x * x - 0.093 * x - 0.298
+        off = 0.1 if y < 0 else min(y, 0.8)
+        place = next((k for c, k in (("n", 0.05), ("i", 0.055), ("e", 0.35), ("S", 0.45), ("s", 0.06), ("w", 0.07)) if c in tag), 0)
+        s = (0.5 * (place + (0.5 if "c" in tag else 0) + off + r["pdens"]) + 0.5 * (r["px"] + r["pdom"])) * w / math.log10(r["protein_len"])
+        key = (gene, "H" in tag)
+        damaged[key] = max(damaged.get(key, 0), s)
+    damage_of = {g: sum(sorted((s for (h, _), s in damaged.items() if h == g), reverse=True)[:2]) for g in mutated}
+    least = min(s for s, _ in best.values())
+    p = {g: best[g][0] if g in best else least * 1.25 for g in damage_of}
+    gt, pt = {g: s / sum(damage_of.values()) for g, s in damage_of.items()}, {g: s / sum(p.values()) for g, s in p.items()}
+    seed = {g: 0 if not gt[g] or not pt[g] else (a := gt[g] / 2) * (b := pt[g] / 2) / (a * b + (1 - a) * (1 - b)) for g in gt}
+    nodes = sorted(of)
+    w = np.array([[sum(x for s, d, x in edges if (s, d) == (i, j)) for j in nodes] for i in nodes])
+    w = w / np.sqrt(np.outer(w.sum(axis=1), w.sum(axis=0)))
+    on, off = np.array([seed.get(of[n], 0.0) for n in nodes]), {g: s for g, s in seed.items() if g not in of.values()}
+    total = on.sum() + sum(off.values())
+    y, y0 = on / total, {g: s / total for g, s in off.items()}
+    s, s0 = np.zeros(3), dict.fromkeys(off, 0.0)
+    for _ in range(3):
+        s, s0 = 0.98 * s + 0.02 * (0.9 * w @ s + 0.1 * y), {g: 0.98 * s0[g] + 0.002 * y0[g] for g in s0}
+        total = s.sum() + sum(s0.values())
+        s, s0 = s / total, {g: x / total for g, x in s0.items()}
+    want = {of[n]: x for n, x in zip(nodes, s)} | s0
+    got = {r["gene"]: r for r in out["genes"].collect()}
+    assert mutated == {"P", "M"} and set(got) == set(want) | mutated
+    for g, r in got.items():
+        assert abs(r["predicted_score"] - want.get(g, 0)) < 1e-9 and abs(r["seed_score"] - seed.get(g, 0)) < 1e-9, g
+        assert abs(r["gt_dmg_score"] - gt.get(g, 0)) < 1e-9 and abs(r["pheno_score"] - pt.get(g, 0)) < 1e-9
+
+
 def test_whole_run_from_files(spark, tmp_path):
     t = transcripts(spark)
     folder = str(tmp_path / "tables")

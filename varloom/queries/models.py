@@ -450,7 +450,10 @@ def gene_ranking(t: Tables):
 
 @query()
 def prioritize_end_to_end(t: Tables):
-    """The whole run on proxies, all resources given: variants of all transcripts, a patient's terms, diseases, a network; ranked genes. Its steps have queries with SQL, and a test compares a run with plain Python."""
+    """The whole run on proxies, most resources given: variants of all transcripts, a patient's terms, diseases, a network; ranked genes.
+
+    Its steps have queries with SQL (enrichment: combined_evidence), and a test compares a run's scores with plain Python.
+    """
     c = F.col
     tx = _transcripts(t)
     v = _variants(t).select("chrom", c("start").alias("pos"), "ref", "alt", F.array(F.lit("PASS")).alias("filter"), F.when(c("k") % 5 == 0, "1/1").otherwise("0/1").alias("gt")).where("ref <> alt AND ref <> '-' AND alt <> '-'")
@@ -462,8 +465,6 @@ def prioritize_end_to_end(t: Tables):
         clinvar=site.where("pos % 50 = 1").withColumn("clnsig", F.when(c("pos") % 100 == 1, "5").otherwise("2")),
         cadd=site.withColumns({"cadd_raw": (c("pos") % 11).cast("double"), "cadd_aa": F.lit("K/R")}),
         conserved=span.withColumn("score", (c("start") % 9).cast("double")),
-        low_complexity=span.where("start % 97 = 0"),
-        capture=span.where("start % 2 = 0"),
         pathogenic_genes=t.part.where("p_size = 50").select(c("p_brand").alias("gene")),
         splice_motifs=tx.select("chrom", (c("tx_start") + 7).alias("pos"), "accession", F.lit("ESE").alias("motif")),
         domains=t.part.select(c("p_partkey").alias("idx"), (c("p_partkey") % 22 + 1).cast("string").alias("dchrom"), (100 * c("p_partkey")).cast("int").alias("dstart"), (100 * c("p_partkey") + 30).cast("int").alias("dend"), c("p_brand").alias("gene"), c("p_type").alias("description")),
@@ -474,10 +475,7 @@ def prioritize_end_to_end(t: Tables):
     dis = t.orders.join(t.lineitem, c("l_orderkey") == c("o_orderkey")).select(c("o_custkey").cast("string").alias("disease_id"), c("l_suppkey").cast("string").alias("term")).distinct()
     of = t.orders.join(t.lineitem, c("l_orderkey") == c("o_orderkey")).join(t.part, c("l_partkey") == c("p_partkey"))
     of = of.select(c("o_custkey").cast("string").alias("disease_id"), F.lit("").alias("description"), c("p_brand").alias("gene"), F.lit("recessive").alias("inherit")).distinct()
-    pairs = t.lineitem.join(t.part, c("l_partkey") == c("p_partkey")).select("l_orderkey", c("p_brand").alias("b")).distinct()
-    funsim = pairs.select("l_orderkey", c("b").alias("gene1")).join(pairs.select("l_orderkey", c("b").alias("gene2")), "l_orderkey").where("gene1 < gene2").groupBy("gene1", "gene2").agg(F.count(F.lit(1)).alias("denominator")).withColumn("score", F.lit(0.96))
-    paths = t.part.select(c("p_brand").alias("src"), c("p_type").alias("dst"), F.lit(1.0).alias("w")).distinct()
-    p = prioritize.Phenotypes(t.supplier.where("s_acctbal > 8000").select(c("s_suppkey").cast("string").alias("term")), dis, is_a, of, funsim, paths)
+    p = prioritize.Phenotypes(t.supplier.where("s_acctbal > 8000").select(c("s_suppkey").cast("string").alias("term")), dis, is_a, of)
     nodes = t.supplier.select(F.concat(F.lit("s"), c("s_suppkey")).alias("node"), F.concat(F.lit("Brand#"), c("s_nationkey")).alias("gene"))
     return prioritize.prioritize(v, r, FilterConfig(), p, _links(t), nodes, "gt", max_rounds=3)["genes"].select("gene", "predicted_score", "seed_score", "gt_dmg_score", "pheno_score", "contain_known_pathogenic")
 
