@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of documents. run() writes each stage's result as Parquet to the shared folder and reads it as
 the next one's docs.
+
+In every stage null texts are empty texts, a null doc_id stays null and is the smallest, long texts are
+read whole, an empty table gives an empty one, and columns beyond those of documents are carried along.
 """
 
 from __future__ import annotations
@@ -22,14 +25,17 @@ N_BEST = 2
 
 @shipped
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the threshold; the machine is fitted on labelled rows that aren't held out."""
+    """Documents that score under the threshold; the machine is fitted on labelled rows that aren't held out.
+
+    Without usable labels all stay unless the share of toxic ones reaches the threshold; repeated rows are each scored.
+    """
     machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, machine)
 
 
 @shipped
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id."""
+    """Of equal texts the largest doc_id; of rows repeated in full one. Empty texts are equal to one another."""
     index = exact_dedup.DigestIndex(spark)
     out = exact_dedup.keep_first(docs, index)
     index.close()
@@ -44,7 +50,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @shipped
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the weight of their source asks for, in global random order."""
+    """Documents as often as the weight of their source asks for, in global random order; a null source is one of its own."""
     return mixing.mix(docs).select(*quoted(docs.columns))
 
 
