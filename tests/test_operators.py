@@ -254,3 +254,18 @@ def test_folds_and_runs(spark):
     run = [r["running"] for r in aggregates.fold_until_restored(d, ["k"], ["i"], "size").orderBy("i").collect()]
     assert run == [1, 2, 3, 2, 1, 0]
     assert [(r["e"], r["n"]) for r in aggregates.run_lengths(d, ["k"], ["i"], "e").orderBy("run").collect()] == [("a", 2), ("b", 1), ("a", 3)]
+
+
+@pytest.mark.parametrize("buckets", [2, 1024])
+def test_percentiles_by_refinement_equal_numpy(spark, buckets):
+    rng = random.Random(buckets)
+    pick = {"ties": lambda: rng.choice([1.0, 2.0, 2.0, 7.5]), "wide": lambda: rng.choice([-1, 1]) * 10.0 ** rng.randrange(-300, 300), "near": lambda: 1.0 + rng.randrange(5) * 2.0**-52, "all": lambda: rng.random()}
+    rows = [(k, f()) for k, f in pick.items() for _ in range(25 if k != "all" else 400)] + [("one", 3.0), (None, 1.0), (None, 5.0), ("ties", None), ("ties", float("nan"))]
+    at = {"a": 0.0, "b": 0.15, "c": 0.5, "d": 1.0}
+    got = {r["k"]: r for r in aggregates.refined_percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", at, buckets).collect()}
+    for k in [*pick, "one", None]:
+        values = [v for h, v in rows if h == k and v is not None and v == v]
+        for name, p in at.items():
+            want = float(np.percentile(values, 100 * p))
+            assert math.isclose(got[k][name], want, rel_tol=1e-12, abs_tol=1e-300) or abs(got[k][name] - want) <= 1e-9 * max(map(abs, values)), (k, name)
+    assert aggregates.refined_percentiles(spark.createDataFrame([], "k string, v double"), ["k"], "v", at).count() == 0

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varloom.storage import discard, materialize
+
 
 def nested_max_of_sum(d: DataFrame, outer: list[str], inner: list[str], value: str, name: str) -> DataFrame:
     return d.groupBy(*outer, *inner).agg(F.sum(value).alias("_s")).groupBy(*outer).agg(F.max("_s").alias(name))
@@ -68,6 +72,38 @@ def percentiles(d: DataFrame, key: list[str], value: str, at: dict[str, float])
     return d.groupBy(*key).agg(*[F.percentile(value, F.lit(p)).alias(name) for name, p in at.items()])
 
 
+def refined_percentiles(d: DataFrame, key: list[str], value: str, at: dict[str, float], buckets: int = 1024) -> DataFrame:
+    """percentiles(), where a key may hold more values than one task can: (key, and a column for each fraction).
+
+    For all keys at once, values between the bounds of what is still sought are counted in `buckets` buckets, and the bounds become the least and the
+    largest value of the bucket that holds the rank, until they are equal. Each round reads d once and moves counts alone: `buckets` rows for each key and rank
+    from a task at most. Nulls and NaN take no part.
+    """
+    d = d.select(*key, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    place = {name: F.lit(float(p)) * (F.col("_n") - 1) for name, p in at.items()}
+    sizes = materialize(d.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "percentile-sizes")
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in place.values()])))
+    sought = materialize(sizes.select(*key, F.explode(ranks).alias("_rank"), "_lo", "_hi", F.lit(0).cast("long").alias("_below")), "percentile-ranks")
+    same = lambda: reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key], F.lit(True))
+    renamed = lambda t: t.withColumnsRenamed({k: f"_k_{k}" for k in key})
+    while not (open_ := sought.where("_lo < _hi")).isEmpty():
+        cells = renamed(open_.select(*key, "_lo", "_hi", "_below").distinct())
+        # Halves, as the difference of two large numbers may be infinite.
+        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        inside = d.join(cells, same() & F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        counts = inside.groupBy(*[f"_k_{k}" for k in key], "_lo", "_below", F.least(F.floor(share * buckets), F.lit(buckets - 1)).alias("_b")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi"))
+        upto = Window.partitionBy(*[f"_k_{k}" for k in key], "_lo").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.col("_below") + F.coalesce(F.sum("_c").over(upto), F.lit(0))).withColumnsRenamed({"_lo": "_cell"}).drop("_below")
+        hit = open_.join(counts, same() & (F.col("_lo") == F.col("_cell")) & (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c")))
+        step = hit.select(*key, "_rank", F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"), F.col("_before").alias("_below"))
+        was, sought = sought, materialize(sought.where("_lo = _hi").unionByName(step), "percentile-ranks")
+        discard(was)
+    found = renamed(sought.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_lo"))).alias("_at")))
+    d = sizes.join(found, same())
+    value_at = lambda p: (F.ceil(p) - p) * F.try_element_at("_at", F.floor(p)) + (p - F.floor(p)) * F.try_element_at("_at", F.ceil(p))
+    return d.select(*key, *[F.when(F.floor(p) == F.ceil(p), F.try_element_at("_at", F.floor(p))).otherwise(value_at(p)).alias(name) for name, p in place.items()])
+
+
 def ratio_flag(d: DataFrame, key: list[str], top: Column, under: Column, limit: float, name: str) -> DataFrame:
     """Whether rows with `top` exceed `limit` times the rows with `under`."""
     n, m = F.count_if(top), F.count_if(under)

@@ -85,6 +85,13 @@ def exact_percentile(t: Tables):
     return out.select("p_brand", F.round("p15", 6).alias("p15"), F.round("p50", 6).alias("p50"))
 
 
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.15), 6) AS p15, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.99), 6) AS p99 FROM lineitem GROUP BY 1")
+def percentile_by_refinement(t: Tables):
+    """Percentiles of few keys that hold a third of all rows each."""
+    out = aggregates.refined_percentiles(t.lineitem, ["l_returnflag"], "l_extendedprice", {"p15": 0.15, "p50": 0.5, "p99": 0.99})
+    return out.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("p15", "p50", "p99")])
+
+
 @query("""SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') AS n_top, count(*) FILTER (l_returnflag = 'A') AS n_under,
     coalesce(count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') / nullif(count(*) FILTER (l_returnflag = 'A'), 0) > 0.5, false) AS male FROM lineitem GROUP BY 1""")
 def conditional_ratio(t: Tables):
