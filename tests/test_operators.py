@@ -269,3 +269,23 @@ def test_percentiles_by_refinement_equal_numpy(spark, buckets):
             want = float(np.percentile(values, 100 * p))
             assert math.isclose(got[k][name], want, rel_tol=1e-12, abs_tol=1e-300) or abs(got[k][name] - want) <= 1e-9 * max(map(abs, values)), (k, name)
     assert aggregates.refined_percentiles(spark.createDataFrame([], "k string, v double"), ["k"], "v", at).count() == 0
+
+
+def test_kept_edges_are_made_again_only_when_an_input_is_newer(spark, tmp_path):
+    import time
+
+    source, out, made = tmp_path / "in.txt", f"file://{tmp_path}/edges", []
+    source.write_text("x")
+    raw = lambda: made.append(1) or spark.createDataFrame([("a", "b", 4.0), ("b", "a", 4.0), ("a", "c", 1.0), ("c", "a", 1.0)], "src string, dst string, w double")
+    y = spark.createDataFrame([("a", 0.7), ("c", 0.3)], "node string, value double")
+    runs = []
+    for turn in range(3):
+        if turn == 2:
+            time.sleep(1.1)
+            source.write_text("y")
+        edges = network.normalized(spark, raw, out, [str(source)])
+        plan = edges.join(y.hint("merge"), F.col("dst") == F.col("node"))._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and len(made) == (1 if turn < 2 else 2)
+        runs.append(sorted((r["node"], round(r["value"], 12)) for r in network.heat_diffusion(edges, y, rounds=2).collect()))
+        network.drop(edges)
+    assert runs[0] == runs[1] == runs[2] and abs(sum(v for _, v in runs[0]) - 1) < 1e-9

@@ -152,3 +152,13 @@ def test_streams(spark, tmp_path, sf):
     q.processAllAvailable()
     q.stop()
     assert spark.table("counted").agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_tables_of_a_database(spark):
+    url = "jdbc:derby:memory:sites;create=true"
+    d = spark.range(500).select(F.col("id").cast("int").alias("k"), F.concat(F.lit("rs"), "id").alias("name"))
+    d.write.format("jdbc").options(url=url, dbtable="SNPS", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    whole = tables.jdbc_table(spark, url, "SNPS", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    parts = tables.jdbc_table(spark, url, "SNPS", "K", (0, 500), 4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert whole.count() == 500 and parts.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, d.collect()))

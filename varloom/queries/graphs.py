@@ -126,6 +126,20 @@ def disease_rank_table(t: Tables):
     return out.select(F.col("disease_id").alias("disease"), "score", "n_genes", "n_mutated", F.round("avg_seed", 4).alias("avg_seed"), F.round("max_seed", 4).alias("max_seed"), "genes")
 
 
+@query("""WITH g AS (SELECT DISTINCT p_brand AS gene FROM part WHERE p_size > 45), d AS (SELECT DISTINCT o_orderkey AS disease, p_brand AS gene FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+    e AS (SELECT DISTINCT a.p_brand AS x, b.p_brand AS y FROM part a JOIN part b ON a.p_retailprice = b.p_retailprice AND a.p_brand <> b.p_brand), w AS (SELECT DISTINCT p_brand AS gene, p_type AS path FROM part WHERE p_size > 40),
+    h AS (SELECT DISTINCT disease, y FROM d JOIN e ON x = d.gene JOIN g ON g.gene = y JOIN w wx ON wx.gene = x JOIN w wy ON wy.gene = y AND wy.path = wx.path WHERE d.gene NOT IN (SELECT gene FROM g)),
+    o AS (SELECT disease, string_agg(y, ',' ORDER BY y) AS external_genes FROM h GROUP BY 1) SELECT t.disease, coalesce(external_genes, '') AS external_genes FROM (SELECT DISTINCT disease FROM d) t LEFT JOIN o ON o.disease = t.disease""")
+def disease_external_genes(t: Tables):
+    """Mutated network neighbours of a disease's unmutated genes, in a pathway that both share."""
+    d = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    d = d.select(F.col("o_orderkey").alias("disease_id"), F.lit("").alias("description"), F.col("p_brand").alias("gene"), F.lit(1.0).alias("score")).distinct()
+    g = t.part.where("p_size > 45").groupBy(F.col("p_brand").alias("gene")).agg(F.sum("p_retailprice").alias("seed_score")).withColumns({"predicted_score": F.lit(0.0), "pathogenic": F.lit(False)})
+    near = t.part.select(F.col("p_brand").alias("src"), "p_retailprice").join(t.part.select(F.col("p_brand").alias("dst"), "p_retailprice"), "p_retailprice").where("src <> dst").select("src", "dst").distinct()
+    paths = t.part.where("p_size > 40").select(F.col("p_brand").alias("gene"), F.col("p_type").alias("pathway")).distinct()
+    return phenotype.disease_table(d, g, near, paths).select(F.col("disease_id").alias("disease"), "external_genes")
+
+
 @query("""WITH d AS (SELECT DISTINCT o_orderkey AS disease, o_totalprice AS score, p_brand AS gene FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey), m AS (SELECT DISTINCT p_brand AS gene FROM part WHERE p_size > 25),
     h AS (SELECT d.* FROM d JOIN m USING (gene)), n AS (SELECT disease, count(DISTINCT gene) AS n FROM h GROUP BY 1), s AS (SELECT gene, disease, score / ln(n + 3) AS s FROM h JOIN n USING (disease))
     SELECT gene, disease AS disease_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY s DESC, disease) AS r FROM s) WHERE r = 1""")

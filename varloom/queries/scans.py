@@ -406,3 +406,40 @@ def fasta_index_reads(t: Tables):
     indexed = materialize(fasta.index(t.spark, _written(t, t.part.select(text.alias("value")), "fasta"), 32 << 10), "fasta-index")
     wanted = t.part.select("p_partkey", F.concat(F.lit("p"), c("p_partkey")).alias("chrom"), c("p_size").alias("start"), F.lit(30).alias("n"))
     return fasta.substrings(wanted, indexed, "chrom", "start", "n", "p_partkey").select("p_partkey", "bases")
+
+
+@query("SELECT CAST(p_partkey AS INTEGER) AS pos, p_name AS snpid, CAST(p_size AS VARCHAR) AS score FROM part")
+def regulatory_table(t: Tables):
+    c = F.col
+    line = _tabbed(F.concat(F.lit("chr"), c("p_partkey") % 22 + 1), c("p_partkey"), c("p_name"), F.lit("x"), c("p_size"))
+    return tables.tsv(t.spark, _written(t, t.part.select(line.alias("value")), "regulome"), tables.REGULOME).select("pos", "snpid", "score")
+
+
+@query("SELECT 'MI' || CAST(p_partkey AS VARCHAR) AS mirbase_acc, p_brand AS gene, CAST(-p_size / 10.0 AS DOUBLE) AS energy, CAST(p_size AS DOUBLE) AS score FROM part")
+def mirna_table(t: Tables):
+    c = F.col
+    line = _tabbed(F.concat(F.lit("MI"), c("p_partkey")), F.lit("mir"), F.lit("1"), c("p_brand"), F.lit("uc1"), F.lit("NM_1"), F.lit("acg"), F.lit("ugc"), F.lit("[1,2]"), -c("p_size") / 10, c("p_size"))
+    return tables.tsv(t.spark, _written(t, t.part.select(line.alias("value")), "mirna"), tables.MIRNA).select("mirbase_acc", "gene", "energy", "score")
+
+
+@query("""SELECT CAST(p_partkey AS INTEGER) AS "start", CAST(p_partkey + p_size AS INTEGER) AS "end", p_brand AS gene, p_type AS description FROM part""")
+def protein_domain_table(t: Tables):
+    c = F.col
+    line = _tabbed(F.lit("1"), c("p_partkey"), c("p_partkey") + c("p_size"), c("p_brand"), F.lit("NM_1"), F.lit("P1"), F.lit("IPR1"), c("p_type"))
+    return tables.tsv(t.spark, _written(t, t.part.select(line.alias("value")), "interpro"), tables.INTERPRO).select("start", "end", "gene", "description")
+
+
+@query("SELECT 'P' || CAST(l_suppkey AS VARCHAR) AS uniprot1, 'P' || CAST(l_partkey AS VARCHAR) AS uniprot2, (['BP', 'MF', 'CC'])[l_linenumber % 3 + 1] AS category, l_discount AS score FROM lineitem")
+def similarity_table(t: Tables):
+    c = F.col
+    kind = F.element_at(F.array(*map(F.lit, ("BP", "MF", "CC"))), (c("l_linenumber") % 3 + 1).cast("int"))
+    line = _tabbed(F.concat(F.lit("P"), c("l_suppkey")), F.concat(F.lit("P"), c("l_partkey")), kind, c("l_discount"))
+    return tables.tsv(t.spark, _written(t, t.lineitem.select(line.alias("value")), "funsim"), tables.FUNSIM)
+
+
+@query("SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderpriority)), '|') AS genes, CAST(count(DISTINCT o_orderpriority) AS INTEGER) AS n FROM orders GROUP BY 1")
+def pathway_answers(t: Tables):
+    """Answers of a pathway service, as JSON."""
+    named = F.transform(F.array_sort(F.collect_set("o_orderpriority")), lambda g: F.struct(g.alias("name")))
+    d = t.orders.groupBy("o_custkey").agg(F.to_json(named).alias("answer")).withColumn("g", tables.pathway_json(F.col("answer")))
+    return d.select("o_custkey", F.array_join("g", "|").alias("genes"), F.size("g").alias("n"))
