@@ -63,17 +63,16 @@ def inside(pos: Column, start: Column, end: Column, bounds: str = "[]") -> Colum
     return low & (pos <= end if bounds[1] == "]" else pos < end)
 
 
-def _matches(points: DataFrame, intervals: DataFrame, chrom: str, pos: str, ichrom: str, start: str, end: str, bounds: str, pad: int) -> DataFrame:
-    """Points joined to the intervals that hold them; all columns of both."""
-    used = levels(intervals, start, end, pad)
+def _matches(points: DataFrame, intervals: DataFrame, chrom: str, pos: str, ichrom: str, start: str, end: str, bounds: str, pad: int, used: list[int], how: str = "inner") -> DataFrame:
+    """Points joined to the intervals that hold them; other joins than inner ones take a single level, on which a point is one row."""
     if not used:
-        return points.crossJoin(intervals.limit(0)).limit(0)
+        used = [0]
     places = F.array(*[F.struct(F.lit(k).alias("level"), _bin(F.col(pos), WIDTHS[k]).alias("bin")) for k in used])
-    left = points.withColumn("_rung", F.explode(places))
+    left = points.withColumn("_rung", F.explode(places) if len(used) > 1 else F.get(places, F.lit(0)))
     right = binned(intervals, start, end, pad)
     held = inside(F.col(pos), F.col(start) - pad, F.col(end) + pad, bounds)
     meet = (F.col(chrom) == F.col(ichrom)) & (F.col("_rung.level") == F.col("_level")) & (F.col("_rung.bin") == F.col("_bin")) & held
-    return left.join(right, meet).drop("_rung", "_level", "_bin")
+    return left.join(right, meet, how).drop("_rung", "_level", "_bin")
 
 
 def point_join(points: DataFrame, intervals: DataFrame, chrom: str, pos: str, ichrom: str, start: str, end: str, bounds: str = "[]", how: str = "inner", pad: int = 0) -> DataFrame:
@@ -81,15 +80,18 @@ def point_join(points: DataFrame, intervals: DataFrame, chrom: str, pos: str, ic
     key, place = [ichrom, start, end], [chrom, pos]
     named = lambda columns: [f"_k{i}" for i, _ in enumerate(columns)]
     renamed = lambda d, columns: d.select(*[F.col(c).alias(n) for c, n in zip(columns, named(columns), strict=True)], *[c for c in d.columns if c not in columns])
+    used = levels(intervals, start, end, pad)
+    if not _wide(intervals) and len(used) < 2:
+        return _matches(points, intervals, chrom, pos, ichrom, start, end, bounds, pad, used, how)
     if how == "inner" and not _wide(points):
         if not _wide(intervals):
-            return _matches(points, intervals, chrom, pos, ichrom, start, end, bounds, pad)
-        hit = renamed(_matches(points, intervals.select(*key).distinct(), chrom, pos, ichrom, start, end, bounds, pad), key)
+            return _matches(points, intervals, chrom, pos, ichrom, start, end, bounds, pad, used)
+        hit = renamed(_matches(points, intervals.select(*key).distinct(), chrom, pos, ichrom, start, end, bounds, pad, used), key)
         return hit.join(intervals, _equal(named(key), key)).select(*points.columns, *intervals.columns)
     # What a point meets follows from its place, so that only distinct places are binned.
     places = points.select(*place).distinct()
     slim = intervals.select(*key).distinct() if _wide(intervals) or how in ("left_semi", "left_anti") else intervals
-    hit = _matches(places, slim, chrom, pos, ichrom, start, end, bounds, pad)
+    hit = _matches(places, slim, chrom, pos, ichrom, start, end, bounds, pad, used)
     if how in ("left_semi", "left_anti"):
         hit = renamed(hit.select(*place).distinct(), place)
         return points.join(hit, _equal(place, named(place)), how)
@@ -116,9 +118,10 @@ def overlap_join(a: DataFrame, b: DataFrame, achrom: str, astart: str, aend: str
     once = F.col("_a_bin") == _bin(F.greatest(F.col(astart), F.col(bstart)), _width(F.col("_a_level")))
     both = meet & once & (F.col(astart) <= F.col(bend)) & (F.col(bstart) <= F.col(aend))
     # Rows that are only visiting a level never meet one another there.
-    first = left.where("_a = _a_level").join(right, both)
-    second = left.where("_a < _a_level").join(right.where("_b = _b_level"), both)
-    hit = first.unionByName(second).drop("_a", "_b", "_a_level", "_b_level", "_a_bin", "_b_bin")
+    hit = left.where("_a = _a_level").join(right, both)
+    if used_a and used_b and used_a[0] < used_b[-1]:  # some of a are shorter than some of b
+        hit = hit.unionByName(left.where("_a < _a_level").join(right.where("_b = _b_level"), both))
+    hit = hit.drop("_a", "_b", "_a_level", "_b_level", "_a_bin", "_b_bin")
     for d, key, wide in ((a, akey, _wide(a)), (b, bkey, _wide(b))):
         if wide:
             names = [f"_k{i}" for i, _ in enumerate(key)]
