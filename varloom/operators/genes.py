@@ -59,9 +59,12 @@ def mrna(tx: DataFrame, chunks: DataFrame | None = None, chunk: int = 1 << 20, i
 
 
 def motif_counts(mrnas: DataFrame, motifs: DataFrame, name: str, size: int = 6) -> DataFrame:
-    """(name, count) of motif hits, non-overlapping per motif: windows of `size` bases meet the motif list by an equi-join first."""
+    """(name, count) of motif hits, non-overlapping per motif: windows of `size` bases meet the motif list by an equi-join first.
+
+    The list has 4**size motifs at most and is the side that is sent to all tasks; of exploded sequences Spark's estimate knows one window each.
+    """
     d = mrnas.withColumn("_w", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("sequence") - size + 1, F.lit(1))), lambda i: F.substr("sequence", i, F.lit(size))))))
-    d = d.join(motifs.select(F.col("motif").alias("_w")).distinct(), "_w")
+    d = d.join(F.broadcast(motifs.select(F.col("motif").alias("_w")).distinct()), "_w")
     return d.groupBy("name").agg(F.sum(F.size(sequence.motif_positions(F.col("sequence"), F.col("_w")))).alias(name))
 
 
