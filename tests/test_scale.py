@@ -20,3 +20,15 @@ def test_motif_counts_send_the_motifs_and_not_the_windows(spark):
     joined = [line for line in plan(d).splitlines() if "HashJoin" in line]
     assert joined and all("BuildRight" in line for line in joined)
     assert {r["name"]: r["n"] for r in d.collect()} == {"0": 2, "1": 2, "2": 2}
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("wide", [False, True])
+def test_interval_joins_send_no_side_whole(spark, how, wide):
+    points = spark.range(40).select(F.lit("1").alias("chrom"), F.col("id").cast("int").alias("pos"))
+    ivs = spark.range(9).select(F.lit("1").alias("ichrom"), (F.col("id") * 4).alias("start"), (F.col("id") * 4 + 1).alias("end"))
+    ivs = ivs.withColumn("exons", F.array("start")) if wide else ivs
+    d = intervals.point_join(points, ivs, "chrom", "pos", "ichrom", "start", "end", how=how)
+    assert "Broadcast" not in plan(d)
+    inside = 18
+    assert d.count() == {"inner": inside, "left": 40, "left_semi": inside, "left_anti": 40 - inside}[how]

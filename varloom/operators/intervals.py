@@ -5,6 +5,7 @@ An interval lives on the level whose bins are the smallest that are as long as i
 is; a point looks up one bin on each level that has intervals. Two intervals meet on the level of the longer one, where both touch
 two bins at most, and a pair is emitted only in the bin of the later start. Rows with nested columns (exons, maps) stay out of the binned
 tables: those hold coordinates alone, and the rows are joined to the matches. Coordinates are inclusive at both ends unless `bounds` says otherwise.
+Joins are merge joins: Spark's estimate leaves out what bins, arrays and sequences add, so that a side it would send whole to the driver can be of any size.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def _matches(points: DataFrame, intervals: DataFrame, chrom: str, pos: str, ichr
     right = binned(intervals, start, end, pad)
     held = inside(F.col(pos), F.col(start) - pad, F.col(end) + pad, bounds)
     meet = (F.col(chrom) == F.col(ichrom)) & (F.col("_rung.level") == F.col("_level")) & (F.col("_rung.bin") == F.col("_bin")) & held
-    return left.join(right, meet, how).drop("_rung", "_level", "_bin")
+    return left.join(right.hint("merge"), meet, how).drop("_rung", "_level", "_bin")
 
 
 def point_join(points: DataFrame, intervals: DataFrame, chrom: str, pos: str, ichrom: str, start: str, end: str, bounds: str = "[]", how: str = "inner", pad: int = 0) -> DataFrame:
@@ -87,17 +88,17 @@ def point_join(points: DataFrame, intervals: DataFrame, chrom: str, pos: str, ic
         if not _wide(intervals):
             return _matches(points, intervals, chrom, pos, ichrom, start, end, bounds, pad, used)
         hit = renamed(_matches(points, intervals.select(*key).distinct(), chrom, pos, ichrom, start, end, bounds, pad, used), key)
-        return hit.join(intervals, _equal(named(key), key)).select(*points.columns, *intervals.columns)
+        return hit.join(intervals.hint("merge"), _equal(named(key), key)).select(*points.columns, *intervals.columns)
     # What a point meets follows from its place, so that only distinct places are binned.
     places = points.select(*place).distinct()
     slim = intervals.select(*key).distinct() if _wide(intervals) or how in ("left_semi", "left_anti") else intervals
     hit = _matches(places, slim, chrom, pos, ichrom, start, end, bounds, pad, used)
     if how in ("left_semi", "left_anti"):
         hit = renamed(hit.select(*place).distinct(), place)
-        return points.join(hit, _equal(place, named(place)), how)
+        return points.join(hit.hint("merge"), _equal(place, named(place)), how)
     if _wide(intervals):
-        hit = renamed(hit, key).join(intervals, _equal(named(key), key)).select(*place, *intervals.columns)
-    return points.join(renamed(hit, place), _equal(place, named(place)), how).select(*points.columns, *intervals.columns)
+        hit = renamed(hit, key).join(intervals.hint("merge"), _equal(named(key), key)).select(*place, *intervals.columns)
+    return points.join(renamed(hit, place).hint("merge"), _equal(place, named(place)), how).select(*points.columns, *intervals.columns)
 
 
 def overlap_join(a: DataFrame, b: DataFrame, achrom: str, astart: str, aend: str, bchrom: str, bstart: str, bend: str) -> DataFrame:
@@ -118,14 +119,14 @@ def overlap_join(a: DataFrame, b: DataFrame, achrom: str, astart: str, aend: str
     once = F.col("_a_bin") == _bin(F.greatest(F.col(astart), F.col(bstart)), _width(F.col("_a_level")))
     both = meet & once & (F.col(astart) <= F.col(bend)) & (F.col(bstart) <= F.col(aend))
     # Rows that are only visiting a level never meet one another there.
-    hit = left.where("_a = _a_level").join(right, both)
+    hit = left.where("_a = _a_level").join(right.hint("merge"), both)
     if used_a and used_b and used_a[0] < used_b[-1]:  # some of a are shorter than some of b
-        hit = hit.unionByName(left.where("_a < _a_level").join(right.where("_b = _b_level"), both))
+        hit = hit.unionByName(left.where("_a < _a_level").join(right.where("_b = _b_level").hint("merge"), both))
     hit = hit.drop("_a", "_b", "_a_level", "_b_level", "_a_bin", "_b_bin")
     for d, key, wide in ((a, akey, _wide(a)), (b, bkey, _wide(b))):
         if wide:
             names = [f"_k{i}" for i, _ in enumerate(key)]
-            hit = hit.withColumnsRenamed(dict(zip(key, names, strict=True))).join(d, _equal(names, key)).drop(*names)
+            hit = hit.withColumnsRenamed(dict(zip(key, names, strict=True))).join(d.hint("merge"), _equal(names, key)).drop(*names)
     return hit.select(*a.columns, *b.columns)
 
 
@@ -145,7 +146,7 @@ def nearest(points: DataFrame, sites: DataFrame, chrom: str, pos: str, schrom: s
     after = F.min(F.when(F.col("_s").isNotNull(), F.struct(F.col("_s.p").alias("p")))).over(w.rangeBetween(1, Window.unboundedFollowing))
     found = both.withColumn("_before", before).withColumn("_after", after).where(F.col("_row").isNotNull())
     at_next = sites.groupBy(F.col(schrom).alias("_nc"), F.col(spos).alias("_np")).agg(F.max(label).alias("_nl"))
-    found = found.join(at_next, (F.col("_c") == F.col("_nc")) & (F.col("_after.p") == F.col("_np")), "left")
+    found = found.join(at_next.hint("merge"), (F.col("_c") == F.col("_nc")) & (F.col("_after.p") == F.col("_np")), "left")
     near = lambda p, v: F.when(F.abs(p - F.col("_p")) <= within, v)
     return found.select("_row.*", near(F.col("_before.p"), F.col("_before.l")).alias(f"previous_{label}"), near(F.col("_after.p"), F.col("_nl")).alias(f"next_{label}"))
 
