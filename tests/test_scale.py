@@ -32,3 +32,12 @@ def test_interval_joins_send_no_side_whole(spark, how, wide):
     assert "Broadcast" not in plan(d)
     inside = 18
     assert d.count() == {"inner": inside, "left": 40, "left_semi": inside, "left_anti": 40 - inside}[how]
+
+
+def test_disease_genes_join_one_row_for_each_concept_and_gene(spark):
+    d = spark.createDataFrame([("D1", "C1"), ("D2", "C1"), ("D2", "C1")], "disease_id string, concept string")
+    a = spark.range(50).select(F.lit("C1").alias("concept"), (F.col("id") % 2).cast("string").alias("gene"), F.col("id").cast("double").alias("score"))
+    out = annotations.disease_genes(d, d, a, 3)
+    assert sorted(map(tuple, out.collect())) == [("D1", "0", 48.0), ("D1", "1", 49.0), ("D2", "0", 48.0), ("D2", "1", 49.0)]
+    text = plan(out)
+    assert "max(score" in text[text.index("Join") :]

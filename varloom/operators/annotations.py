@@ -71,8 +71,12 @@ def by_key(d: DataFrame, table: DataFrame, key: str, value: str, sep: str = "__"
 
 
 def disease_genes(diseases: DataFrame, mapping: DataFrame, associations: DataFrame, least: float = 0.1) -> DataFrame:
-    """(disease_id, gene, score) through a mapping (disease_id, concept) to associations (concept, gene, score)."""
-    d = diseases.select("disease_id").distinct().join(mapping, "disease_id").join(associations.where(F.col("score") >= least), "concept")
+    """(disease_id, gene, score) through a mapping (disease_id, concept) to associations (concept, gene, score).
+
+    Of a concept's associations with a gene the best counts and is all that the join sees, however many there are.
+    """
+    best = associations.where(F.col("score") >= least).groupBy("concept", "gene").agg(F.max("score").alias("score"))
+    d = diseases.select("disease_id").distinct().join(mapping.select("disease_id", "concept").distinct(), "disease_id").join(best, "concept")
     return d.groupBy("disease_id", "gene").agg(F.max("score").alias("score"))
 
 
