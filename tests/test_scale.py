@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from varloom.operators import annotations, genes, intervals
+from varloom.operators import annotations, genes, intervals, phenotype
 
 
 def plan(d):
@@ -41,3 +41,46 @@ def test_disease_genes_join_one_row_for_each_concept_and_gene(spark):
     assert sorted(map(tuple, out.collect())) == [("D1", "0", 48.0), ("D1", "1", 49.0), ("D2", "0", 48.0), ("D2", "1", 49.0)]
     text = plan(out)
     assert "max(score" in text[text.index("Join") :]
+
+
+def _ontology(rng, n=60):
+    """(is_a rows, ancestors by term): a graph in which some terms have two parents."""
+    up = {t: {(t - 1) // 3} | ({(t - 1) // 5} if t % 4 == 0 else set()) for t in range(1, n)} | {0: set()}
+    above = {}
+    for t in range(n):
+        above[t] = {t}.union(*(above[x] for x in up[t]))
+    return [(t, x) for t in up for x in up[t]], above
+
+
+def _lin(objects, above):
+    under = {}
+    for o, terms in objects.items():
+        for x in set().union(*(above[t] for t in terms)):
+            under.setdefault(x, set()).add(o)
+    ic = {x: -math.log(len(o) / len(objects)) for x, o in under.items()}
+    return lambda a, b: 2 * max([ic[x] for x in above[a] & above[b] if x in ic], default=0) / (ic[a] + ic[b]) if a in ic and b in ic and ic[a] + ic[b] else 0.0
+
+
+def test_disease_similarity_by_blocks_of_terms_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    is_a, above = _ontology(rng)
+    objects = {f"D{i}": set(rng.sample(range(60), rng.randint(1, 4))) for i in range(30)}
+    patient = rng.sample(range(60), 17)
+    lin = _lin(objects, above)
+    raw = {o: max(sum(max(lin(a, b) for b in terms) for a in patient) / len(patient), sum(max(lin(a, b) for a in patient) for b in terms) / len(terms)) for o, terms in objects.items()}
+    monkeypatch.setattr(phenotype, "TERMS", 5)
+    monkeypatch.setattr(phenotype, "DISEASES", 8)
+    made = {}
+    plain = phenotype.materialize
+
+    def counted(d, tag):
+        out = plain(d, tag)
+        made[tag] = made.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(phenotype, "materialize", counted)
+    d = spark.createDataFrame([(o, t) for o, terms in objects.items() for t in terms], "disease_id string, term int")
+    got = phenotype.disease_similarity(spark.createDataFrame([(t,) for t in patient], "term int"), d, spark.createDataFrame(is_a, "term int, parent int"))
+    top = max(raw.values())
+    assert {r["disease_id"]: pytest.approx(r["score"], abs=1e-12) for r in got.collect()} == {o: v / top for o, v in raw.items()}
+    assert "term-sims" not in made  # pairs of terms are never rows
