@@ -84,3 +84,33 @@ def test_disease_similarity_by_blocks_of_terms_equals_brute_force(spark, monkeyp
     top = max(raw.values())
     assert {r["disease_id"]: pytest.approx(r["score"], abs=1e-12) for r in got.collect()} == {o: v / top for o, v in raw.items()}
     assert "term-sims" not in made  # pairs of terms are never rows
+
+
+@pytest.mark.parametrize("k, least", [(2, 0.4), (40, 0.3)])
+def test_similar_diseases_ask_again_only_for_those_without_enough(spark, monkeypatch, k, least):
+    rng = random.Random(6)
+    is_a, above = _ontology(rng)
+    objects = {i: set(rng.sample(range(20, 60), rng.randint(1, 2))) for i in range(60)}
+    lin = _lin(objects, above)
+    mean = lambda p, q: sum(max(lin(a, b) for b in q) for a in p) / len(p)
+    want = {}
+    for o, p in objects.items():
+        every = sorted((-round(max(mean(p, q), mean(q, p)), 9), e) for e, q in objects.items() if e != o)
+        want[o] = [(e, -s) for s, e in every if -s >= least][:k]
+    made = []
+    plain = phenotype.materialize
+
+    def counted(d, tag):
+        out = plain(d, tag)
+        if tag == "disease-pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(phenotype, "materialize", counted)
+    d = spark.createDataFrame([(o, t) for o, terms in objects.items() for t in terms], "disease_id int, term int")
+    got = {}
+    for r in phenotype.similar_diseases(d, spark.createDataFrame(is_a, "term int, parent int"), k, least).orderBy("disease_id", "place").collect():
+        got.setdefault(r["disease_id"], []).append((r["other"], round(r["score"], 9)))
+    assert [[s for _, s in got.get(o, [])] for o in want] == [[pytest.approx(s) for _, s in rows] for rows in want.values()]
+    if k == 2:
+        assert len(made) > 1 and made[0] < 60 * 59 / 4
