@@ -114,3 +114,11 @@ def test_similar_diseases_ask_again_only_for_those_without_enough(spark, monkeyp
     assert [[s for _, s in got.get(o, [])] for o in want] == [[pytest.approx(s) for _, s in rows] for rows in want.values()]
     if k == 2:
         assert len(made) > 1 and made[0] < 60 * 59 / 4
+
+
+def test_gene_scores_sort_no_gene_whole(spark):
+    rows = [("D2", "g", 5.0), ("D1", "g", 5.0), ("D3", "g", 4.0), ("D1", "h", 1.0), ("D9", "x", 9.0)]
+    d = spark.createDataFrame(rows, "disease_id string, gene string, score double")
+    out = phenotype.gene_scores(d, spark.createDataFrame([("g",), ("h",)], "gene string"))
+    assert "Window" not in plan(out)
+    assert sorted(map(tuple, out.collect())) == [("g", 5 / math.log(4), "D2"), ("h", 1 / math.log(5), "D1")]
