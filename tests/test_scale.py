@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from varloom.operators import annotations, genes, intervals, phenotype
+from varloom.operators import annotations, genes, intervals, network, phenotype
 
 
 def plan(d):
@@ -122,3 +122,22 @@ def test_gene_scores_sort_no_gene_whole(spark):
     out = phenotype.gene_scores(d, spark.createDataFrame([("g",), ("h",)], "gene string"))
     assert "Window" not in plan(out)
     assert sorted(map(tuple, out.collect())) == [("g", 5 / math.log(4), "D2"), ("h", 1 / math.log(5), "D1")]
+
+
+def test_edges_are_summed_once_and_neither_sorted_nor_held(spark, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    rows = [(rng.randrange(9), rng.randrange(7), float(rng.randint(1, 5))) for _ in range(200)]
+    monkeypatch.setattr(network, "HELD_BYTES", 100)
+    spark.createDataFrame(rows, "src int, dst int, w double").coalesce(1).write.parquet(f"{tmp_path}/edges")
+    d, parts = spark.read.parquet(f"{tmp_path}/edges"), []
+    plain = network.materialize
+    monkeypatch.setattr(network, "materialize", lambda e, tag: parts.append(e.rdd.getNumPartitions()) or plain(e, tag))
+    out = network.normalize_edges(d)
+    assert parts[0] > 4  # more than spark.sql.shuffle.partitions: as many as the input asks for
+    assert "SortMergeJoin" not in plan(out) and not [line for line in plan(out).splitlines() if "HashAggregate(keys=[src" in line and "dst" in line]
+    e, r, c = {}, {}, {}
+    for s, t, w in rows:
+        e[s, t], r[s], c[t] = e.get((s, t), 0) + w, r.get(s, 0) + w, c.get(t, 0) + w
+    assert {(x["src"], x["dst"]): pytest.approx(x["w"]) for x in out.collect()} == {(s, t): w / math.sqrt(r[s]) / math.sqrt(c[t]) for (s, t), w in e.items()}
+    vector = spark.range(7).select(F.col("id").cast("int").alias("node"), F.lit(1.0).alias("value"))
+    assert "SortMergeJoin" not in plan(network.multiply(out, vector))

@@ -9,8 +9,7 @@ from varloom.queries.base import Tables, query
 
 
 def _edges(t: Tables):
-    e = t.lineitem.groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.sum("l_quantity").alias("w"))
-    return e
+    return t.lineitem.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("w"))
 
 
 _EDGES = """e AS (SELECT l_suppkey AS src, l_partkey AS dst, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2), r AS (SELECT src, sum(w) AS r FROM e GROUP BY 1), c AS (SELECT dst, sum(w) AS c FROM e GROUP BY 1),
@@ -24,9 +23,8 @@ def edge_normalize(t: Tables):
 
 def _square(t: Tables):
     """Edges from suppliers to parts and back, parts under negative numbers."""
-    both = t.lineitem.select(F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"), "l_quantity")
-    both = both.union(both.select("dst", "src", "l_quantity"))
-    return both.groupBy("src", "dst").agg(F.sum("l_quantity").alias("w"))
+    both = t.lineitem.select(F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"), F.col("l_quantity").alias("w"))
+    return both.union(both.select("dst", "src", "w"))
 
 
 def _heat_sql(k: int) -> str:
