@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varloom.operators import annotations, genes, intervals, network, phenotype
+from varloom.sources import vcf
 
 
 def plan(d):
@@ -141,3 +142,10 @@ def test_edges_are_summed_once_and_neither_sorted_nor_held(spark, tmp_path, monk
     assert {(x["src"], x["dst"]): pytest.approx(x["w"]) for x in out.collect()} == {(s, t): w / math.sqrt(r[s]) / math.sqrt(c[t]) for (s, t), w in e.items()}
     vector = spark.range(7).select(F.col("id").cast("int").alias("node"), F.lit(1.0).alias("value"))
     assert "SortMergeJoin" not in plan(network.multiply(out, vector))
+
+
+def test_long_genotypes_parse_each_record_once(spark):
+    lines = spark.createDataFrame([("1\t5\t.\tA\tC\t.\t.\t.\tGT:DP\t0/1:7\t1|1",), ("1\t6\t.\tA\tC\t.\t.\t.",)], "value string")
+    out = vcf.long_genotypes(vcf.parse_records(lines, ["S1", "S2"]), ["pos"])
+    assert "Filter" not in plan(out)
+    assert sorted(map(tuple, out.collect()), key=str) == [(5, "S1", "DP", "7"), (5, "S1", "GT", "0/1"), (5, "S2", "DP", None), (5, "S2", "GT", "1|1")]

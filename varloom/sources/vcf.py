@@ -195,9 +195,13 @@ def explode_alts(records: DataFrame) -> DataFrame:
 
 
 def long_genotypes(records: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, sample, key, value), a row for each genotype field."""
-    d = records.select(*keys, F.explode("genotypes").alias("sample", "_g"))
-    return d.select(*keys, "sample", F.explode("_g").alias("key", "value"))
+    """(keys, sample, key, value), a row for each genotype field.
+
+    Entries are exploded and not the maps: of a column that is exploded as it is Spark infers a filter, which parses each record over again.
+    """
+    d = records.select(*keys, F.explode(F.map_entries("genotypes")).alias("_s"))
+    d = d.select(*keys, F.col("_s.key").alias("sample"), F.explode(F.map_entries("_s.value")).alias("_g"))
+    return d.select(*keys, "sample", F.col("_g.key").alias("key"), F.col("_g.value").alias("value"))
 
 
 def add_info(info: Column, key: str, value: Column) -> Column:
