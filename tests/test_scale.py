@@ -149,3 +149,11 @@ def test_long_genotypes_parse_each_record_once(spark):
     out = vcf.long_genotypes(vcf.parse_records(lines, ["S1", "S2"]), ["pos"])
     assert "Filter" not in plan(out)
     assert sorted(map(tuple, out.collect()), key=str) == [(5, "S1", "DP", "7"), (5, "S1", "GT", "0/1"), (5, "S2", "DP", None), (5, "S2", "GT", "1|1")]
+
+
+def test_disease_table_copies_no_rows_to_count_genes(spark):
+    d = spark.createDataFrame([("D1", "", "a", 2.0), ("D1", "", "a", 2.0), ("D1", "", "b", 2.0), ("D1", "", "x", 2.0), ("D2", "", None, 1.0), ("D3", "", "a", 0.0)], "disease_id string, description string, gene string, score double")
+    g = spark.createDataFrame([("a", 1.0, 1.0, True), ("b", 4.0, 4.0, False)], "gene string, seed_score double, predicted_score double, pathogenic boolean")
+    out = phenotype.disease_table(d, g)
+    assert "Expand" not in plan(out)
+    assert [tuple(r) for r in out.select("disease_id", "genes", "n_genes", "n_mutated", "avg_seed", "max_seed").collect()] == [("D1", "a*^,b^,x", 3, 2, 2.0, 4.0), ("D2", "", 0, 0, None, None)]

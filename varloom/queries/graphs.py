@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from varloom.operators import network, phenotype
 from varloom.queries.base import Tables, query
+from varloom.storage import HELD_BYTES, partitions
 
 
 def _edges(t: Tables):
@@ -112,13 +113,18 @@ def bipartite_diffusion_k(t: Tables):
     return out.orderBy(F.desc("value"), "node").limit(25).select("node", F.round("value", 8).alias("value"))
 
 
+def _apart(d):
+    """Distinct rows of diseases, in partitions as many as the input asks for."""
+    return d.repartition(partitions(d.sparkSession, d, each=HELD_BYTES), "disease_id").distinct()
+
+
 @query("""WITH g AS (SELECT p_brand AS gene, sum(p_retailprice) AS seed FROM part WHERE p_size > 45 GROUP BY 1), d AS (SELECT o_orderkey AS disease, o_totalprice AS score, p_brand AS gene FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
     u AS (SELECT DISTINCT disease, score, d.gene, seed FROM d LEFT JOIN g ON g.gene = d.gene)
     SELECT disease, score, count(DISTINCT gene) AS n_genes, count(DISTINCT CASE WHEN seed IS NOT NULL THEN gene END) AS n_mutated, round(avg(seed), 4) AS avg_seed, max(round(seed, 4)) AS max_seed,
       string_agg(gene || (CASE WHEN seed IS NOT NULL THEN '^' ELSE '' END), ',' ORDER BY gene) AS genes FROM u GROUP BY 1, 2""")
 def disease_rank_table(t: Tables):
     d = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    d = d.select(F.col("o_orderkey").alias("disease_id"), F.lit("").alias("description"), F.col("p_brand").alias("gene"), F.col("o_totalprice").alias("score")).distinct()
+    d = _apart(d.select(F.col("o_orderkey").alias("disease_id"), F.lit("").alias("description"), F.col("p_brand").alias("gene"), F.col("o_totalprice").alias("score")))
     g = t.part.where("p_size > 45").groupBy(F.col("p_brand").alias("gene")).agg(F.sum("p_retailprice").alias("seed_score"))
     out = phenotype.disease_table(d, g.withColumns({"predicted_score": F.col("seed_score"), "pathogenic": F.lit(False)}))
     return out.select(F.col("disease_id").alias("disease"), "score", "n_genes", "n_mutated", F.round("avg_seed", 4).alias("avg_seed"), F.round("max_seed", 4).alias("max_seed"), "genes")
@@ -131,7 +137,7 @@ def disease_rank_table(t: Tables):
 def disease_external_genes(t: Tables):
     """Mutated network neighbours of a disease's unmutated genes, in a pathway that both share."""
     d = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    d = d.select(F.col("o_orderkey").alias("disease_id"), F.lit("").alias("description"), F.col("p_brand").alias("gene"), F.lit(1.0).alias("score")).distinct()
+    d = _apart(d.select(F.col("o_orderkey").alias("disease_id"), F.lit("").alias("description"), F.col("p_brand").alias("gene"), F.lit(1.0).alias("score")))
     g = t.part.where("p_size > 45").groupBy(F.col("p_brand").alias("gene")).agg(F.sum("p_retailprice").alias("seed_score")).withColumns({"predicted_score": F.lit(0.0), "pathogenic": F.lit(False)})
     near = t.part.select(F.col("p_brand").alias("src"), "p_retailprice").join(t.part.select(F.col("p_brand").alias("dst"), "p_retailprice"), "p_retailprice").where("src <> dst").select("src", "dst").distinct()
     paths = t.part.where("p_size > 40").select(F.col("p_brand").alias("gene"), F.col("p_type").alias("pathway")).distinct()
