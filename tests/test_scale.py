@@ -157,3 +157,15 @@ def test_disease_table_copies_no_rows_to_count_genes(spark):
     out = phenotype.disease_table(d, g)
     assert "Expand" not in plan(out)
     assert [tuple(r) for r in out.select("disease_id", "genes", "n_genes", "n_mutated", "avg_seed", "max_seed").collect()] == [("D1", "a*^,b^,x", 3, 2, 2.0, 4.0), ("D2", "", 0, 0, None, None)]
+
+
+def test_external_genes_come_from_pairs_of_genes(spark):
+    d = spark.range(40).select(F.concat(F.lit("D"), F.col("id")).alias("disease_id"), F.lit("").alias("description"), F.lit("x").alias("gene"), F.lit(1.0).alias("score"))
+    g = spark.createDataFrame([("a", 1.0, 1.0, False), ("b", 1.0, 1.0, False)], "gene string, seed_score double, predicted_score double, pathogenic boolean")
+    edges = spark.createDataFrame([("x", "a"), ("b", "x"), ("x", "y")], "src string, dst string")
+    paths = spark.createDataFrame([(n, f"p{i}") for n in "xay" for i in range(9)] + [("b", "q")], "gene string, pathway string")
+    out = phenotype.disease_table(d, g, edges, paths)
+    assert {r["external_genes"] for r in out.collect()} == {"a"}
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    at = text.index("collect_set(other")
+    assert "Aggregate [gene" in text[at:].split("Join Inner")[1] or "Aggregate [gene" in text[at:].split("Join Inner")[2]  # pairs are distinct before they meet diseases

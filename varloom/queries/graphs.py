@@ -139,7 +139,8 @@ def disease_external_genes(t: Tables):
     d = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     d = _apart(d.select(F.col("o_orderkey").alias("disease_id"), F.lit("").alias("description"), F.col("p_brand").alias("gene"), F.lit(1.0).alias("score")))
     g = t.part.where("p_size > 45").groupBy(F.col("p_brand").alias("gene")).agg(F.sum("p_retailprice").alias("seed_score")).withColumns({"predicted_score": F.lit(0.0), "pathogenic": F.lit(False)})
-    near = t.part.select(F.col("p_brand").alias("src"), "p_retailprice").join(t.part.select(F.col("p_brand").alias("dst"), "p_retailprice"), "p_retailprice").where("src <> dst").select("src", "dst").distinct()
+    price = t.part.select("p_brand", "p_retailprice").distinct()  # parts of one brand and price make the same pairs
+    near = price.select(F.col("p_brand").alias("src"), "p_retailprice").join(price.select(F.col("p_brand").alias("dst"), "p_retailprice"), "p_retailprice").where("src <> dst").select("src", "dst").distinct()
     paths = t.part.where("p_size > 40").select(F.col("p_brand").alias("gene"), F.col("p_type").alias("pathway")).distinct()
     return phenotype.disease_table(d, g, near, paths).select(F.col("disease_id").alias("disease"), "external_genes")
 
