@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from varloom.operators import annotations, genes, intervals, network, phenotype
+from varloom.operators import annotations, family, genes, intervals, network, phenotype
 from varloom.sources import vcf
 
 
@@ -169,3 +169,11 @@ def test_external_genes_come_from_pairs_of_genes(spark):
     text = out._jdf.queryExecution().optimizedPlan().toString()
     at = text.index("collect_set(other")
     assert "Aggregate [gene" in text[at:].split("Join Inner")[1] or "Aggregate [gene" in text[at:].split("Join Inner")[2]  # pairs are distinct before they meet diseases
+
+
+def test_downstream_sorts_once(spark):
+    rows = [("g", "t", "CodingExonic", "FrameShiftInsert", 1, 1, "PASS", "0/1", "0/1", "1/1"), ("g", "t", "CodingExonic", "Syn", 2, 3, "PASS", "0/1", "0/1", "1/1"), ("g", "u", "CodingExonic", "Syn", 2, 3, "PASS", "0/1", "0/1", "1/1")]
+    d = spark.createDataFrame(rows, "gene string, transcript string, region string, consequence string, pos int, size int, filter string, father string, mother string, child string")
+    out = family.downstream(d)
+    assert len([line for line in plan(out).splitlines() if "- Sort [" in line]) == 1
+    assert sorted((r["haplotype"], r["pos"], r["running"]) for r in out.collect()) == [(1, 1, 1), (1, 2, 4), (2, 1, 1), (2, 2, 4)]

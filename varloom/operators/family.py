@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions import variant
 from varloom.operators.aggregates import fold_until_restored, ratio_flag
+from varloom.storage import HELD_BYTES, partitions
 
 PASSING = ("PASS", "VQSRTrancheSNP99.00to99.90")
 
@@ -39,7 +40,10 @@ def downstream(trio: DataFrame, tie: list[str] | None = None) -> DataFrame:
     """
     d = haplotypes(trio)
     group = ["gene", "transcript", "haplotype"]
-    w = Window.partitionBy(*group)
+    order = ["pos", "consequence", *(tie or [])]
+    # All of a group's frame in the order that the running frame needs too: one sort serves both.
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = d.repartition(partitions(d.sparkSession, trio, each=HELD_BYTES), *group)
     shifts = F.col("consequence").isin("FrameShiftInsert", "FrameShiftDelete", "StopGain")
     d = d.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_s", F.max(shifts.cast("int")).over(w)).where("_n > 1 and _s = 1").drop("_n", "_s")
-    return fold_until_restored(d, group, ["pos", "consequence", *(tie or [])], "size")
+    return fold_until_restored(d, group, order, "size")
