@@ -2,12 +2,14 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from varloom import storage
 from varloom.operators import annotations, family, genes, intervals, network, phenotype
-from varloom.sources import vcf
+from varloom.sources import fasta, tables, vcf
 
 
 def plan(d):
@@ -177,3 +179,44 @@ def test_downstream_sorts_once(spark):
     out = family.downstream(d)
     assert len([line for line in plan(out).splitlines() if "- Sort [" in line]) == 1
     assert sorted((r["haplotype"], r["pos"], r["running"]) for r in out.collect()) == [(1, 1, 1), (1, 2, 4), (2, 1, 1), (2, 2, 4)]
+
+
+def test_bases_send_no_side_and_sort_as_many_rows_as_a_task_may(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "SORTED_BYTES", 1000)
+    spark.range(90).select(F.concat(F.lit("p"), F.col("id") % 30).alias("chrom"), F.floor(F.col("id") / 30).cast("int").alias("chunk"), (F.floor(F.col("id") / 30) * 4).alias("offset"), F.lit("ACGT").alias("sequence")).write.parquet(f"{tmp_path}/c")
+    want = spark.range(31).select(F.col("id").alias("row"), F.concat(F.lit("p"), "id").alias("chrom"), F.lit(2).alias("start"), F.lit(7).alias("n"))
+    out = tables.bases(want, spark.read.parquet(f"{tmp_path}/c"), "chrom", "start", "n", 4)
+    assert "Broadcast" not in plan(out)
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\([^)]*?, (\d+)\)", plan(out))]
+    assert dealt and min(dealt) == (90 * 104 + 90 * 100) // 1000 + 1  # 90 chunks of 4 bases, 31 rows on three chunks each, of which p30 has none
+    assert {r["row"]: r["bases"] for r in out.collect()} == {i: "GTACGTA" if i < 30 else None for i in range(31)}
+
+
+def test_large_indexes_of_sequences_are_not_sent(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.fa").write_text("".join(f">p{i}\nACGTA\nCG\n" for i in range(50)))
+    found = storage.materialize(fasta.index(spark, str(tmp_path / "a.fa")), "fasta-index")
+    want = spark.range(60).select(F.col("id").alias("row"), F.concat(F.lit("p"), "id").alias("chrom"), F.lit(3).alias("s"), F.lit(3).alias("n"))
+    plans, plain = [], fasta.materialize
+    monkeypatch.setattr(fasta, "materialize", lambda d, tag: plans.append(plan(d)) or plain(d, tag))
+    for sent in (50, 49):
+        monkeypatch.setattr(fasta, "SENT", sent)
+        out = fasta.substrings(want, found, "chrom", "s", "n")
+        assert "Broadcast" not in plan(out)
+        assert {r["row"]: r["bases"] for r in out.collect()} == {i: "TAC" if i < 50 else None for i in range(60)}
+    assert ["Broadcast" in p for p in plans] == [True, False]
+
+
+def test_chunks_need_a_row_for_each_split_and_no_index(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    made, written = [("a", name, "".join(rng.choice("acgt") for _ in range(size))) for name, size in (("x", 900), ("y", 3), ("z", 0), ("x2", 400))], {}
+    made += [("b", "x", "".join(rng.choice("acgt") for _ in range(333)))]  # a name that another file has too
+    for file in "ab":
+        (tmp_path / f"{file}.fa").write_text("no sequence yet\n" + "".join(f">{n} about\n" + "".join(s[i : i + 7] + "\n" for i in range(0, len(s), 7)) for f, n, s in made if f == file))
+    plain = fasta.materialize
+    monkeypatch.setattr(fasta, "materialize", lambda d, tag: written.setdefault(tag, plain(d, tag)))
+    for split, chunk in ((100, 16), (100, 250), (64, 1), (10_000, 500)):
+        written.clear()
+        got = sorted(map(tuple, fasta.chunks(spark, str(tmp_path), chunk, split).collect()))
+        assert got == sorted((n, k, k * chunk, s[k * chunk : (k + 1) * chunk].upper()) for _, n, s in made for k in range(-(-len(s) // chunk)))
+        size = [(tmp_path / f"{file}.fa").stat().st_size for file in "ab"]
+        assert set(written) == {"fasta-tails", "fasta-chunks"} and written["fasta-tails"].count() == sum(-(-n // split) for n in size)

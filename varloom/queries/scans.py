@@ -122,6 +122,7 @@ def fasta_substrings(t: Tables):
 def spliced_mrna(t: Tables):
     c = F.col
     chunks = t.part.select(F.concat(F.lit("p"), c("p_partkey")).alias("chrom"), F.posexplode(F.regexp_extract_all(F.expr(_SEQ), F.lit(".{1,16}"), F.lit(0))).alias("chunk", "sequence")).withColumn("offset", c("chunk") * 16)
+    chunks = materialize(chunks, "chunks")
     exon = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
     tx = t.part.select(c("p_partkey").cast("int").alias("gid"), F.concat(F.lit("t"), c("p_partkey")).alias("name"), F.concat(F.lit("p"), c("p_partkey")).alias("chrom"), F.when(c("p_partkey") % 2 == 0, "+").otherwise("-").alias("strand"), F.array(exon(2, 12), exon(20, 27)).alias("exons"))
     return genes.mrna(tx, chunks, 16).select("gid", "seq_len", "sequence")
