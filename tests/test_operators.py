@@ -289,3 +289,28 @@ def test_kept_edges_are_made_again_only_when_an_input_is_newer(spark, tmp_path):
         runs.append(sorted((r["node"], round(r["value"], 12)) for r in network.heat_diffusion(edges, y, rounds=2).collect()))
         network.drop(edges)
     assert runs[0] == runs[1] == runs[2] and abs(sum(v for _, v in runs[0]) - 1) < 1e-9
+
+
+@pytest.mark.parametrize(("tolerance", "rounds"), [(1e-4, 60), (3e-3, 60), (1e-4, 1), (1e-4, 3)])
+def test_settled_heat_equals_the_rounds(spark, tolerance, rounds):
+    """A path longer than the powers that count, a part that no seed reaches, edges in one direction, and a prior off the network."""
+    links = [(f"n{i}", f"n{i + 1}", 1.0 + i % 3) for i in range(40)]
+    links += [(b, a, w) for a, b, w in links] + [("n0", "q", 2.0), ("x", "y", 1.0), ("y", "x", 1.0), ("n1", "n2", 4.0)]
+    links = spark.createDataFrame(links, "src string, dst string, w double")
+    y = spark.createDataFrame([("n0", 0.4), ("n0", 0.1), ("n3", 0.0), ("z", 0.2)], "node string, value double")
+    y0 = spark.createDataFrame([("g", 0.3)], "node string, value double")
+    want = network.heat_diffusion(network.normalize_edges(links), y, y0, tolerance=tolerance, max_rounds=rounds)
+    got = network.settled_heat(links, y, y0, tolerance=tolerance, max_rounds=rounds)
+    assert got._varloom_rounds == want._varloom_rounds
+    a, b = ({(r["node"], r["on_network"]): r["value"] for r in d.collect()} for d in (got, want))
+    assert a.keys() == b.keys() and all(abs(a[x] - b[x]) < 1e-14 for x in a)
+
+
+def test_settled_heat_without_seeds_or_links(spark):
+    none = spark.createDataFrame([], "node string, value double")
+    links = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, w double")
+    one = spark.createDataFrame([("a", 1.0)], "node string, value double")
+    assert network.settled_heat(links, none).count() == 0
+    assert [tuple(r) for r in network.settled_heat(links, none, one).collect()] == [("a", 1.0, False)]
+    assert [tuple(r) for r in network.settled_heat(links.limit(0), one).collect()] == [("a", 1.0, True)]
+    assert {r["value"] for r in network.settled_heat(links, spark.createDataFrame([("a", 0.0)], "node string, value double")).collect()} == {0.0}
