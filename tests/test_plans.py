@@ -331,3 +331,20 @@ def test_gene_ranking_spreads_evidence_until_the_stop_rule_holds(spark, sf):
         want[gene.get(n, n)] = max(want.get(gene.get(n, n), 0.0), x)
     got = {r["gene"]: r["predicted_score"] for r in core.QUERIES["gene_ranking"](spark, sf).collect()}
     assert set(seed.index) <= got.keys() and all(abs(want.get(n, 0.0) - x) < 2e-8 for n, x in got.items())
+
+
+def test_the_whole_run_does_not_cut_its_rounds(spark, sf, monkeypatch):
+    import inspect
+
+    given = {}
+    plan = inspect.signature(prioritize.prioritize)
+
+    def seen(*values, **named):
+        bound = plan.bind(*values, **named)
+        bound.apply_defaults()
+        given.update(bound.arguments)
+        return {"genes": spark.createDataFrame([], "gene string, predicted_score double, seed_score double, gt_dmg_score double, pheno_score double, contain_known_pathogenic boolean")}
+
+    monkeypatch.setattr(prioritize, "prioritize", seen)
+    core.QUERIES["prioritize_end_to_end"](spark, sf)
+    assert given["max_rounds"] == 150
