@@ -220,3 +220,35 @@ def test_chunks_need_a_row_for_each_split_and_no_index(spark, tmp_path, monkeypa
         assert got == sorted((n, k, k * chunk, s[k * chunk : (k + 1) * chunk].upper()) for _, n, s in made for k in range(-(-len(s) // chunk)))
         size = [(tmp_path / f"{file}.fa").stat().st_size for file in "ab"]
         assert set(written) == {"fasta-tails", "fasta-chunks"} and written["fasta-tails"].count() == sum(-(-n // split) for n in size)
+
+
+def test_similarity_reads_the_annotations_once_and_deals_diseases_to_all_tasks(spark, monkeypatch):
+    """Annotations that come from joins are computed once; before, six steps did so, and all diseases of up to 50,000 went through one task a block."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    is_a = spark.createDataFrame([(t, (t - 1) // 3) for t in range(1, 60)], "term long, parent long")
+    rows = [(d, 59 - (d * k) % 59) for d in range(400) for k in (1, 7, 12)]
+    dis = spark.createDataFrame(rows, "disease_id long, term long").mapInArrow(seen, "disease_id long, term long")
+    groups, real = [], phenotype.materialize
+
+    def kept(d, tag):
+        out = real(d, tag)
+        if tag == "forward":
+            groups.append(out.select(F.spark_partition_id()).distinct().count())
+        return out
+
+    monkeypatch.setattr(phenotype, "materialize", kept)
+    monkeypatch.setattr(phenotype, "FEW", 50, raising=False)
+    patient = spark.createDataFrame([(t,) for t in range(20, 60, 2)], "term long")
+    with_adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = phenotype.disease_similarity(patient, dis, is_a).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", with_adaptive)
+    assert len(out) == 400 and read.value == len(rows) and groups[0] > 1
