@@ -223,7 +223,7 @@ def test_chunks_need_a_row_for_each_split_and_no_index(spark, tmp_path, monkeypa
 
 
 def test_similarity_reads_the_annotations_once_and_deals_diseases_to_all_tasks(spark, monkeypatch):
-    """Annotations that come from joins are computed once; before, six steps did so, and all diseases of up to 50,000 went through one task a block."""
+    """Annotations that come from joins are computed once; before, several steps did so, and all diseases of up to 50,000 went through one task a block."""
     read = spark.sparkContext.accumulator(0)
 
     def seen(batches):
